@@ -133,7 +133,7 @@ def models_sql_values() -> str:
     """Same dimension as a SQL VALUES list (for DuckDB oracles)."""
     rows = []
     for (o, name, prov, ctx, tier, _s, rt, lo, hi, style, tpl) in MODEL_ROWS:
-        rows.append(f"({o}, '{name}', '{prov}', {ctx}, '{tier}', {rt}, {lo}, {hi}, '{style}', '{tpl}')")
+        rows.append(f"({o}, '{name}', '{prov}', {ctx}, '{tier}', CAST({rt} AS DOUBLE), {lo}, {hi}, '{style}', '{tpl}')")
     return (
         "(VALUES " + ", ".join(rows) + ") AS m(ordinal, model_name, provider, context_length, cost_tier, "
         "avg_response_time, quality_lo, quality_hi, response_style, template)"

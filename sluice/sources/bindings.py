@@ -180,3 +180,38 @@ ev AS (
 
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip() for c in ctes) + "\n"
+
+
+MODELS_CTE = "models AS (SELECT * FROM " + models_sql_values() + ")"
+
+UPSERT_NOW = "2024-03-01 00:00:00"
+
+
+def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert records: English questions are looked up again (re-accesses with
+    a new answer and no score), every QA user turn arrives as a new record."""
+    q = questions(spark, sf_dir).filter(F.col("original_answer") == "en").select(
+        "question_title", "question_content", "original_answer",
+        F.concat(F.lit("updated:"), F.col("original_answer")).alias("llm_answer"),
+        F.lit(None).cast("double").alias("quality_score"),
+        F.col("id").alias("seq"),
+    )
+    qa = qa_pairs(spark, sf_dir).select(
+        "question_title", "question_content", F.lit("qa").alias("original_answer"),
+        F.col("answer").alias("llm_answer"),
+        F.when(F.col("answer").isNotNull(), F.lit(2.0)).alias("quality_score"),
+        (F.col("id") + F.lit(10 ** 12)).alias("seq"),
+    )
+    return q.unionByName(qa)
+
+
+RECORDS_CTE = """
+records AS (
+  SELECT question_title, question_content, original_answer, 'updated:' || original_answer AS llm_answer,
+         CAST(NULL AS DOUBLE) AS quality_score, id AS seq
+  FROM questions WHERE original_answer = 'en'
+  UNION ALL
+  SELECT question_title, question_content, 'qa' AS original_answer, answer AS llm_answer,
+         CASE WHEN answer IS NOT NULL THEN 2.0 END AS quality_score, id + 1000000000000 AS seq
+  FROM qa
+)"""
