@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.session import cut_lineage
+
 
 def _n_parts(df: DataFrame, num_partitions: int | None) -> int:
     if num_partitions:
@@ -22,6 +24,19 @@ def _n_parts(df: DataFrame, num_partitions: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def sliced(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], n: int) -> DataFrame:
+    """Range partition on (group, order) and tag each row with its slice ``_pid``.
+
+    The range bounds come from sampling, and after an upstream shuffle the row
+    order (hence the sample) is not deterministic, so two plans reading the same
+    exchange could disagree on slices. The tagged rows are therefore written
+    once to the checkpoint folder; every later branch reads the same slices,
+    also after an executor is lost.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in list(group_cols) + list(order_cols)]
+    return cut_lineage(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
+
+
 def sequence_within(
     df: DataFrame,
     group_cols: Sequence[str],
@@ -39,8 +54,7 @@ def sequence_within(
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
     n = _n_parts(df, num_partitions)
-    keys = [F.col(c).asc_nulls_first() for c in group_cols + order_cols]
-    r = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    r = sliced(df, group_cols, order_cols, n)
     slice_cols = group_cols + ["_pid"]
     w = Window.partitionBy(*slice_cols).orderBy(*[F.col(c) for c in order_cols])
     wd = Window.partitionBy(*slice_cols).orderBy(*[F.col(c).desc() for c in order_cols])
@@ -118,3 +132,31 @@ def global_dense_id(df: DataFrame, order_cols: Sequence[str], id_col: str = "id"
 
 def col_list(cols: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in cols]
+
+
+def next_non_null(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], value_col: str,
+                  out_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Value of the first later row (same group) whose ``value_col`` is not NULL.
+
+    This is the as-of lookup primitive: union probe rows (NULL value) with point
+    rows and ask every probe for the first point after it. Computed on range
+    slices with an incremental (descending, growing) frame, then stitched across
+    slices through a per-slice summary.
+    """
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    out_col = out_col or f"next_{value_col}"
+    n = _n_parts(df, num_partitions)
+    r = sliced(df, group_cols, order_cols, n)
+    slice_cols = group_cols + ["_pid"]
+    # descending order + frame ending one row before: the rows seen so far are
+    # the later rows, and last(ignorenulls) is the nearest one (O(n) frame)
+    wd = (Window.partitionBy(*slice_cols).orderBy(*[F.col(c).desc_nulls_last() for c in order_cols])
+          .rowsBetween(Window.unboundedPreceding, -1))
+    r = r.withColumn(out_col, F.last(F.col(value_col), ignorenulls=True).over(wd))
+    first_key = F.when(F.col(value_col).isNotNull(), F.struct(*[F.col(c) for c in order_cols]))
+    summ = r.groupBy(*slice_cols).agg(F.min_by(F.col(value_col), first_key).alias("_first"))
+    ws = Window.partitionBy(*group_cols).orderBy(F.col("_pid").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.select(*slice_cols, F.last("_first", ignorenulls=True).over(ws).alias("_carry"))
+    out = r.join(summ, on=slice_cols, how="left")
+    out = out.withColumn(out_col, F.coalesce(F.col(out_col), F.col("_carry")))
+    return out.drop("_pid", "_carry")

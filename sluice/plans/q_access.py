@@ -1 +1,238 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queries: access-log analytics (TTL rules, reuse distance, curves, metrics)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sluice.functions.numeric import round_ratio, round_ratio_sql
+from sluice.operators import access as A
+from sluice.plans.registry import register
+from sluice.schemas import CACHE_SIZES, DEFAULT_TTL_SECONDS, POLICIES
+from sluice.sources import bindings as B
+
+TTL_HOURS = [6, 24, 72]
+CURVE_SIZES = [10, 50, 100, 500, 1000, 2000]
+
+SEQ_CTES = """
+seqd AS (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY ts, seq) AS pos FROM ev),
+seql AS (SELECT *, lag(pos) OVER (PARTITION BY instance, key ORDER BY pos) AS prev_pos,
+                   lag(ts) OVER (PARTITION BY instance, key ORDER BY pos) AS prev_ts FROM seqd),
+rd AS (
+  SELECT a.instance, a.key, a.seq, a.ts, a.op_ms, a.pos, a.prev_pos,
+         (SELECT count(DISTINCT b.key) FROM seqd b
+          WHERE b.instance = a.instance AND b.pos > a.prev_pos AND b.pos < a.pos) AS reuse_distance
+  FROM seql a WHERE a.prev_pos IS NOT NULL
+)"""
+
+
+def anchors_ctes(ttl_seconds: int, name: str = "anchors") -> str:
+    """Fixed-TTL anchors in SQL: ASOF next access + recursive chain from the first access."""
+    return f"""
+{name}_nxt AS (
+  SELECT p.instance, p.key, p.seq, arg_min(q.seq, (q.ts, q.seq)) AS j
+  FROM ev p JOIN ev q ON p.instance = q.instance AND p.key = q.key
+   AND q.ts >= p.ts + INTERVAL {int(ttl_seconds)} SECOND
+  GROUP BY p.instance, p.key, p.seq
+),
+{name} AS (
+  SELECT instance, key, seq FROM (
+    SELECT instance, key, seq, row_number() OVER (PARTITION BY instance, key ORDER BY ts, seq) AS rn FROM ev
+  ) WHERE rn = 1
+  UNION ALL
+  SELECT n.instance, n.key, n.j FROM {name} a JOIN {name}_nxt n
+    ON n.instance = a.instance AND n.key = a.key AND n.seq = a.seq
+)"""
+
+
+def rec(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",".join(c.strip() for c in ctes) + "\n"
+
+
+EV = B.with_ctes(B.EV_CTE)
+
+
+@register("access_count_agg", EV + """
+SELECT instance, key, count(*) AS accesses, min(ts) AS first_access, max(ts) AS last_access
+FROM ev GROUP BY instance, key""")
+def access_count_agg(spark, sf):
+    return A.access_count_agg(B.access_log(spark, sf))
+
+
+def _ttl_values_sql(hours):
+    return "(VALUES " + ", ".join(f"({h})" for h in hours) + ") AS t(ttl_hours)"
+
+
+@register("ttl_hits_sliding", B.with_ctes(B.EV_CTE, SEQ_CTES.split(",\nrd AS")[0]) + f"""
+SELECT t.ttl_hours,
+       count(CASE WHEN s.prev_ts IS NOT NULL AND epoch_us(s.ts) - epoch_us(s.prev_ts) < t.ttl_hours * 3600000000 THEN 1 END) AS hits,
+       count(CASE WHEN NOT (s.prev_ts IS NOT NULL AND epoch_us(s.ts) - epoch_us(s.prev_ts) < t.ttl_hours * 3600000000) THEN 1 END) AS misses
+FROM seql s CROSS JOIN {_ttl_values_sql(TTL_HOURS)} GROUP BY t.ttl_hours""")
+def ttl_hits_sliding(spark, sf):
+    s = A.sequence_log(B.access_log(spark, sf))
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prev_ts").cast("timestamp"))
+    aggs = []
+    for h in TTL_HOURS:
+        hit = F.coalesce(gap < h * 3_600_000_000, F.lit(False))
+        aggs += [F.count_if(hit).alias(f"h{h}"), F.count_if(~hit).alias(f"m{h}")]
+    one = s.agg(*aggs)
+    rows = F.explode(F.array(*[F.struct(F.lit(h).alias("ttl_hours"), F.col(f"h{h}").alias("hits"),
+                                        F.col(f"m{h}").alias("misses")) for h in TTL_HOURS]))
+    return one.select(rows.alias("r")).select("r.*")
+
+
+def _fixed_sql():
+    ctes = [B.EV_CTE] + [anchors_ctes(h * 3600, f"a{h}") for h in TTL_HOURS]
+    parts = [f"SELECT {h} AS ttl_hours, (SELECT count(*) FROM ev) - count(*) AS hits, count(*) AS misses FROM a{h}"
+             for h in TTL_HOURS]
+    return rec(*ctes) + " UNION ALL ".join(parts)
+
+
+@register("ttl_hits_fixed", _fixed_sql())
+def ttl_hits_fixed(spark, sf):
+    log = B.access_log(spark, sf)
+    total = log.agg(F.count(F.lit(1)).alias("n"))
+    out = None
+    for h in TTL_HOURS:
+        m = A.fixed_ttl_anchors(log, h * 3600).agg(F.count(F.lit(1)).alias("misses"))
+        r = m.crossJoin(total).select(F.lit(h).alias("ttl_hours"), (F.col("n") - F.col("misses")).alias("hits"),
+                                      "misses")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+@register("reuse_distance", B.with_ctes(B.EV_CTE, SEQ_CTES) + """
+SELECT instance, key, seq, reuse_distance FROM rd""")
+def reuse_distance(spark, sf):
+    s = A.sequence_log(B.access_log(spark, sf))
+    return A.reuse_distance(s).select("instance", "key", "seq", "reuse_distance")
+
+
+def _curve_sql(sizes):
+    return B.with_ctes(B.EV_CTE, SEQ_CTES) + f"""
+SELECT c.cache_size, (SELECT count(*) FROM ev) AS accesses,
+       count(rd.seq) AS hits,
+       {round_ratio_sql('count(rd.seq) * 100', '(SELECT count(*) FROM ev)', 2)} AS hit_rate_percent
+FROM (VALUES {', '.join(f'({s})' for s in sizes)}) AS c(cache_size)
+LEFT JOIN rd ON rd.reuse_distance < c.cache_size
+GROUP BY c.cache_size"""
+
+
+@register("hit_rate_curve", _curve_sql(CURVE_SIZES))
+def hit_rate_curve(spark, sf):
+    s = A.sequence_log(B.access_log(spark, sf))
+    return A.hit_rate_curve(s, A.reuse_distance(s), CURVE_SIZES)
+
+
+@register("hit_rate_curve_sampled")
+def hit_rate_curve_sampled(spark, sf):
+    # approximate by design (key-hash sample); checked against the exact curve in tests
+    return A.hit_rate_curve_sampled(B.access_log(spark, sf), CURVE_SIZES, modulus=100, threshold=50)
+
+
+def access_metrics_sql(ttl_seconds: int = DEFAULT_TTL_SECONDS) -> str:
+    cfg = ", ".join(f"('{p}', {c})" for p in POLICIES for c in CACHE_SIZES)
+    hit = ("CASE WHEN f.reuse_distance IS NOT NULL AND f.reuse_distance < c.cache_size AND "
+           "(c.policy = 'LRU' OR (c.policy = 'TTL-LRU' AND f.sliding_hit) OR (c.policy = 'TTL' AND f.fixed_hit)) "
+           "THEN 1 ELSE 0 END")
+    return rec(B.EV_CTE, SEQ_CTES, anchors_ctes(ttl_seconds, "fa")) + f"""
+, flags AS (
+  SELECT s.instance, s.key, s.seq, s.ts, s.op_ms, rd.reuse_distance,
+         coalesce(epoch_us(s.ts) - epoch_us(s.prev_ts) < {int(ttl_seconds) * 1_000_000}, false) AS sliding_hit,
+         fa.seq IS NULL AS fixed_hit
+  FROM seql s LEFT JOIN rd ON rd.instance = s.instance AND rd.pos = s.pos
+  LEFT JOIN fa ON fa.instance = s.instance AND fa.key = s.key AND fa.seq = s.seq
+), per AS (
+  SELECT c.policy, c.cache_size, f.instance, count(*) AS ops, count(DISTINCT f.key) AS keys,
+         sum({hit}) AS hits,
+         sum(CASE WHEN {hit} = 1 THEN CAST(round(f.op_ms * 100) AS BIGINT) END) AS hit_ms,
+         sum(CASE WHEN {hit} = 0 THEN CAST(round(f.op_ms * 100) AS BIGINT) END) AS miss_ms,
+         min(f.ts) AS t0, max(f.ts) AS t1
+  FROM flags f CROSS JOIN (VALUES {cfg}) AS c(policy, cache_size)
+  GROUP BY c.policy, c.cache_size, f.instance
+), per2 AS (
+  SELECT *, ops - hits AS misses,
+         CASE WHEN ops - hits > cache_size
+              THEN CAST(ceil((ops - hits - cache_size) / greatest(1, floor(cache_size * 0.1))) * greatest(1, floor(cache_size * 0.1)) AS BIGINT)
+              ELSE 0 END AS evictions,
+         greatest(0, ops - hits - least(cache_size, keys)) AS lru_evictions
+  FROM per
+), g AS (
+  SELECT policy, cache_size, sum(ops) AS total_operations, sum(hits) AS hits, sum(misses) AS misses,
+         sum(evictions) AS evictions, sum(lru_evictions) AS lru_evictions, sum(hit_ms) AS hit_ms,
+         sum(miss_ms) AS miss_ms, min(t0) AS t0, max(t1) AS t1
+  FROM per2 GROUP BY policy, cache_size
+)
+SELECT policy, CAST(cache_size AS INTEGER) AS cache_size, CAST(total_operations AS BIGINT) AS total_operations,
+       CAST(hits AS BIGINT) AS hits, CAST(misses AS BIGINT) AS misses, CAST(misses AS BIGINT) AS sets,
+       CAST(evictions AS BIGINT) AS evictions, CAST(lru_evictions AS BIGINT) AS lru_evictions,
+       {round_ratio_sql('hits * 100', 'total_operations', 2)} AS hit_rate_percent,
+       {round_ratio_sql('misses * 100', 'total_operations', 2)} AS miss_rate_percent,
+       {round_ratio_sql('evictions * 100', 'total_operations', 2)} AS eviction_rate_percent,
+       {round_ratio_sql('coalesce(hit_ms, 0)', 'hits * 100', 2)} AS avg_hit_time_ms,
+       {round_ratio_sql('coalesce(miss_ms, 0)', 'misses * 100', 2)} AS avg_miss_time_ms,
+       {round_ratio_sql('hits * 100', 'hits + misses', 2)} AS cache_efficiency,
+       {round_ratio_sql('hits * 100', 'hits + misses + evictions', 2)} AS efficiency_evict,
+       (epoch_us(t1) - epoch_us(t0)) / 1e6 AS runtime_seconds
+FROM g"""
+
+
+ACCESS_METRICS_SQL = access_metrics_sql()
+
+
+def config_metrics(spark, sf):
+    """The 15-configuration metrics frame derived from the events log."""
+    flags = A.access_flags(B.access_log(spark, sf), DEFAULT_TTL_SECONDS)
+    return A.access_metrics(flags, POLICIES, CACHE_SIZES)
+
+
+@register("access_metrics", ACCESS_METRICS_SQL)
+def access_metrics(spark, sf):
+    return config_metrics(spark, sf)
+
+
+LOOKUP_SQL = EV + """
+, snap AS (SELECT DISTINCT instance, key FROM ev WHERE ts < (SELECT min(ts) FROM ev) + INTERVAL 7 DAY)
+SELECT e.instance, count(*) AS lookups, count(s.key) AS hits, count(*) - count(s.key) AS misses
+FROM ev e LEFT JOIN snap s ON s.instance = e.instance AND s.key = e.key
+WHERE e.ts >= (SELECT min(ts) FROM ev) + INTERVAL 7 DAY
+GROUP BY e.instance"""
+
+
+@register("lookup_hit", LOOKUP_SQL)
+def lookup_hit(spark, sf):
+    log = B.access_log(spark, sf)
+    cut = log.agg((F.min("ts") + F.expr("INTERVAL 7 DAYS")).alias("cut"))  # one row
+    tagged = log.crossJoin(cut)
+    snap = tagged.filter(F.col("ts") < F.col("cut")).select("instance", "key").distinct().withColumn("_in", F.lit(True))
+    later = tagged.filter(F.col("ts") >= F.col("cut"))
+    j = later.join(snap, ["instance", "key"], "left")
+    return j.groupBy("instance").agg(F.count(F.lit(1)).alias("lookups"), F.count("_in").alias("hits"),
+                                     F.count_if(F.col("_in").isNull()).alias("misses"))
+
+
+@register("throughput", EV + """
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, count(*) AS requests,
+       count(*) / 86400.0 AS requests_per_second
+FROM ev GROUP BY 1""")
+def throughput(spark, sf):
+    return A.throughput(B.access_log(spark, sf), "1 day")
+
+
+@register("error_rate", EV + f"""
+SELECT CAST(ts AS DATE) AS day, count(*) AS requests, count(CASE WHEN is_error THEN 1 END) AS errors,
+       {round_ratio_sql('count(CASE WHEN is_error THEN 1 END) * 100', 'count(*)', 2)} AS error_rate_percent
+FROM ev GROUP BY 1""")
+def error_rate(spark, sf):
+    log = B.access_log(spark, sf).withColumn("day", F.to_date("ts"))
+    return A.error_rate(log, ["day"])
+
+
+@register("qps_by_instance", EV + f"""
+SELECT instance, count(*) AS requests,
+       {round_ratio_sql('count(*) * 1000000', 'max(epoch_us(ts)) - min(epoch_us(ts))', 6)} AS qps_micro
+FROM ev GROUP BY instance""")
+def qps_by_instance(spark, sf):
+    log = B.access_log(spark, sf).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    g = log.groupBy("instance").agg(F.count(F.lit(1)).alias("requests"), F.min("us").alias("a"), F.max("us").alias("b"))
+    return g.select("instance", "requests",
+                    round_ratio(F.col("requests") * 1000000, F.col("b") - F.col("a"), 6).alias("qps_micro"))
