@@ -129,6 +129,19 @@ def hit_rate_curve_sampled(spark, sf):
     return A.hit_rate_curve_sampled(B.access_log(spark, sf), CURVE_SIZES, modulus=100, threshold=50)
 
 
+def access_metrics_parts(ttl_seconds: int = DEFAULT_TTL_SECONDS) -> tuple[str, str]:
+    """(CTE prefix ending with the ``g`` CTE, final SELECT over ``g``) of the metrics SQL."""
+    sql = access_metrics_sql(ttl_seconds)
+    cut = sql.rindex("\nSELECT policy, CAST(cache_size AS INTEGER)")
+    return sql[:cut], sql[cut:]
+
+
+def over_metrics_sql(query: str, ttl_seconds: int = DEFAULT_TTL_SECONDS) -> str:
+    """SQL that reads the 15-configuration metrics as the CTE ``cm``."""
+    prefix, final = access_metrics_parts(ttl_seconds)
+    return prefix + ",\ncm AS (" + final + ")\n" + query
+
+
 def access_metrics_sql(ttl_seconds: int = DEFAULT_TTL_SECONDS) -> str:
     cfg = ", ".join(f"('{p}', {c})" for p in POLICIES for c in CACHE_SIZES)
     hit = ("CASE WHEN f.reuse_distance IS NOT NULL AND f.reuse_distance < c.cache_size AND "

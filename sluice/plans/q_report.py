@@ -1 +1,143 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queries: configuration comparison, chart tables, report lines and sinks.
+
+Every query starts from the events log: the 15 (policy, size) metrics are
+derived from it (``access_metrics``) and the small comparison steps follow.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from sluice.functions.numeric import avg_rounded, avg_rounded_sql
+from sluice.operators import report as R
+from sluice.plans.q_access import config_metrics, over_metrics_sql
+from sluice.plans.registry import register
+from sluice.schemas import CACHE_SIZES, POLICIES
+from sluice.session import checkpoint_dir
+from sluice.sources import bindings as B
+
+GRID_SQL = "(VALUES " + ", ".join(
+    f"({i * len(CACHE_SIZES) + j}, '{p}', {c})" for i, p in enumerate(POLICIES) for j, c in enumerate(CACHE_SIZES)
+) + ") AS grid(ordinal, policy, cache_size)"
+
+
+def _scratch(spark, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@register("policy_size_grid", B.with_ctes(B.EV_CTE) + f"""
+SELECT grid.ordinal, grid.policy, grid.cache_size, e.instance, e.ops
+FROM {GRID_SQL} CROSS JOIN (SELECT instance, count(*) AS ops FROM ev GROUP BY instance) e""")
+def policy_size_grid(spark, sf):
+    ops = B.access_log(spark, sf).groupBy("instance").agg(F.count(F.lit(1)).alias("ops"))
+    grid = R.policy_size_grid(spark)
+    return F.broadcast(grid).crossJoin(ops)  # grid is |policies| x |sizes| rows
+
+
+@register("config_label", over_metrics_sql("""
+SELECT policy || '_size_' || CAST(cache_size AS VARCHAR) AS config, policy, cache_size FROM cm"""))
+def config_label(spark, sf):
+    return R.config_labels(config_metrics(spark, sf))
+
+
+@register("best_configs", over_metrics_sql(f"""
+, o AS (SELECT cm.*, grid.ordinal, cm.policy || '_size_' || CAST(cm.cache_size AS VARCHAR) AS label
+        FROM cm JOIN {GRID_SQL} USING (policy, cache_size))
+SELECT (SELECT label FROM o ORDER BY hit_rate_percent DESC, ordinal LIMIT 1) AS best_hit_rate_config,
+       (SELECT max(hit_rate_percent) FROM o) AS best_hit_rate,
+       (SELECT label FROM o ORDER BY evictions, ordinal LIMIT 1) AS fewest_evictions_config,
+       (SELECT min(evictions) FROM o) AS fewest_evictions,
+       (SELECT label FROM o ORDER BY cache_efficiency DESC, ordinal LIMIT 1) AS best_efficiency_config,
+       (SELECT max(cache_efficiency) FROM o) AS best_efficiency"""))
+def best_configs(spark, sf):
+    return R.best_configs(config_metrics(spark, sf))
+
+
+@register("pivot_metric", over_metrics_sql("""
+SELECT cache_size, max(CASE WHEN policy = 'LRU' THEN evictions END) AS "LRU",
+       max(CASE WHEN policy = 'TTL' THEN evictions END) AS "TTL",
+       max(CASE WHEN policy = 'TTL-LRU' THEN evictions END) AS "TTL-LRU"
+FROM cm GROUP BY cache_size"""))
+def pivot_metric(spark, sf):
+    return R.pivot_metric(config_metrics(spark, sf), "evictions")
+
+
+@register("mean_by_group", over_metrics_sql(f"""
+SELECT policy, {avg_rounded_sql('hit_rate_percent', 2, 4)} AS mean_hit_rate,
+       {avg_rounded_sql('avg_hit_time_ms', 2, 4)} AS mean_hit_time_ms
+FROM cm GROUP BY policy"""))
+def mean_by_group(spark, sf):
+    m = config_metrics(spark, sf)
+    return m.groupBy("policy").agg(avg_rounded(F.col("hit_rate_percent"), 2, 4).alias("mean_hit_rate"),
+                                   avg_rounded(F.col("avg_hit_time_ms"), 2, 4).alias("mean_hit_time_ms"))
+
+
+@register("box_stats", over_metrics_sql("""
+, ranked AS (SELECT policy, miss_rate_percent AS v,
+                    row_number() OVER (PARTITION BY policy ORDER BY miss_rate_percent) - 1 AS r,
+                    count(*) OVER (PARTITION BY policy) AS n FROM cm)
+SELECT policy, min(v) AS lo, round(sum(CASE WHEN r = floor((0.25 * (n - 1))) THEN v * (1 - ((0.25 * (n - 1)) - floor((0.25 * (n - 1))))) WHEN r = floor((0.25 * (n - 1))) + 1 THEN v * ((0.25 * (n - 1)) - floor((0.25 * (n - 1)))) ELSE 0 END), 6) AS q1, round(sum(CASE WHEN r = floor((0.5 * (n - 1))) THEN v * (1 - ((0.5 * (n - 1)) - floor((0.5 * (n - 1))))) WHEN r = floor((0.5 * (n - 1))) + 1 THEN v * ((0.5 * (n - 1)) - floor((0.5 * (n - 1)))) ELSE 0 END), 6) AS median, round(sum(CASE WHEN r = floor((0.75 * (n - 1))) THEN v * (1 - ((0.75 * (n - 1)) - floor((0.75 * (n - 1))))) WHEN r = floor((0.75 * (n - 1))) + 1 THEN v * ((0.75 * (n - 1)) - floor((0.75 * (n - 1)))) ELSE 0 END), 6) AS q3, max(v) AS hi
+FROM ranked GROUP BY policy"""))
+def box_stats(spark, sf):
+    return R.box_stats(config_metrics(spark, sf), "miss_rate_percent")
+
+
+@register("distribution_hist", B.with_ctes(B.EV_CTE) + """
+SELECT instance, CASE WHEN op_ms < 0 THEN 0 WHEN op_ms >= 100 THEN 11
+                      ELSE CAST(floor((op_ms - 0) * 10 / (100 - 0)) AS INTEGER) + 1 END AS bucket,
+       count(*) AS n
+FROM ev GROUP BY 1, 2""")
+def distribution_hist(spark, sf):
+    return R.distribution_hist(B.access_log(spark, sf), "op_ms", ["instance"], 0.0, 100.0, 10)
+
+
+CHART_SQL = """
+SELECT policy, cache_size, hit_rate_percent, miss_rate_percent, evictions,
+       round(CASE WHEN runtime_seconds > 0 THEN total_operations / runtime_seconds ELSE 0.0 END, 6) AS queries_per_sec,
+       (avg_hit_time_ms + avg_miss_time_ms) / 2 AS avg_time_ms
+FROM cm"""
+
+
+@register("chart_frame", over_metrics_sql(CHART_SQL))
+def chart_frame(spark, sf):
+    return R.chart_frame(config_metrics(spark, sf))
+
+
+@register("scatter_points", over_metrics_sql(f"""
+SELECT policy, hit_rate_percent, queries_per_sec, cache_size / 10 AS point_size FROM ({CHART_SQL})"""))
+def scatter_points(spark, sf):
+    return R.scatter_points(config_metrics(spark, sf))
+
+
+REPORT_SQL = f"""
+SELECT grid.ordinal, cm.policy, cm.cache_size, l.line, l.text FROM cm JOIN {GRID_SQL} USING (policy, cache_size),
+LATERAL (SELECT * FROM (VALUES
+  (0, printf('  Tamaño %d:', cm.cache_size)),
+  (1, printf('    Hit Rate: %.2f%%', cm.hit_rate_percent)),
+  (2, printf('    Miss Rate: %.2f%%', cm.miss_rate_percent)),
+  (3, printf('    Evictions: %d', cm.evictions)),
+  (4, printf('    Tiempo promedio hit: %.2fms', cm.avg_hit_time_ms)),
+  (5, printf('    Tiempo promedio miss: %.2fms', cm.avg_miss_time_ms)),
+  (6, printf('    Eficiencia cache: %.2f%%', cm.cache_efficiency)),
+  (7, '')) AS v(line, text)) l"""
+
+
+@register("report_rows", over_metrics_sql(REPORT_SQL))
+def report_rows(spark, sf):
+    return R.report_rows(config_metrics(spark, sf))
+
+
+@register("report_text_sink", over_metrics_sql(f"SELECT text FROM ({REPORT_SQL})"))
+def report_text_sink(spark, sf):
+    path = _scratch(spark, "report")
+    R.write_report_text(config_metrics(spark, sf), path)
+    return spark.read.text(path).select(F.col("value").alias("text"))
+
+
+@register("chart_data_export", over_metrics_sql(CHART_SQL))
+def chart_data_export(spark, sf):
+    path = _scratch(spark, "charts")
+    R.export_chart_data(config_metrics(spark, sf), path)
+    return spark.read.parquet(path)
