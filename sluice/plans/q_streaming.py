@@ -1 +1,92 @@
-"""Registered queries (filled in as operators land)."""
+"""Registered queries: streaming runs (availableNow) over the events log.
+
+Each query runs its stream to completion into parquet batch folders and
+returns the result read back as a batch DataFrame.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sluice.plans.q_access import SEQ_CTES, anchors_ctes, rec
+from sluice.plans.q_scoring import UPSERT_RESULTS_SQL
+from sluice.plans.registry import register
+from sluice.sources import bindings as B
+from sluice.streaming import streams as ST
+
+RESIDENCY_TTL = 6 * 3600
+FIXED_TTL = 6 * 3600
+
+
+@register("stream_residency", B.with_ctes(B.EV_CTE) + f"""
+, g AS (SELECT *, CASE WHEN lag(ts) OVER w IS NULL
+                         OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= {RESIDENCY_TTL * 1_000_000}
+                       THEN 1 ELSE 0 END AS new_session
+        FROM ev WINDOW w AS (PARTITION BY instance, key ORDER BY ts, seq))
+, s AS (SELECT *, sum(new_session) OVER (PARTITION BY instance, key ORDER BY ts, seq) AS sid FROM g)
+, sess AS (SELECT instance, key, min(ts) AS session_start,
+                  max(ts) + INTERVAL ({RESIDENCY_TTL * 1_000_000 - 1}) MICROSECOND AS session_end,
+                  count(*) AS accesses
+           FROM s GROUP BY instance, key, sid)
+SELECT instance, key, session_start, session_end, accesses, accesses - 1 AS hits, 1 AS misses
+FROM sess WHERE session_end <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR""")
+def stream_residency(spark, sf):
+    out = ST.scratch(spark, "residency")
+    ST.run_to_parquet(ST.residency_sessions(ST.access_stream(spark, sf), RESIDENCY_TTL), out, "append")
+    df = spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
+    return df.select("instance", "key", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
+                     F.col("session_end").cast("timestamp_ntz").alias("session_end"), "accesses", "hits", "misses")
+
+
+@register("stream_first_seen")
+def stream_first_seen(spark, sf):
+    # which duplicate survives depends on micro-batch boundaries: rows-only check
+    out = ST.scratch(spark, "first-seen")
+    ST.run_to_parquet(ST.first_seen(ST.access_stream(spark, sf)), out, "append")
+    return spark.read.option("basePath", out).parquet(f"{out}/batch_id=*").drop("batch_id")
+
+
+@register("stream_fixed_ttl", rec(B.EV_CTE, anchors_ctes(FIXED_TTL, "fa")) + """
+SELECT e.instance, e.key, e.seq, fa.seq IS NULL AS hit
+FROM ev e LEFT JOIN fa ON fa.instance = e.instance AND fa.key = e.key AND fa.seq = e.seq""")
+def stream_fixed_ttl(spark, sf):
+    out = ST.scratch(spark, "fixed-ttl")
+    ST.run_to_parquet(ST.fixed_ttl_flags(ST.access_stream(spark, sf), FIXED_TTL), out, "append")
+    return spark.read.option("basePath", out).parquet(f"{out}/batch_id=*").select("instance", "key", "seq", "hit")
+
+
+@register("stream_access_counts", B.with_ctes(B.EV_CTE) + """
+SELECT instance, key, count(*) AS accesses, max(ts) AS last_access FROM ev GROUP BY instance, key""")
+def stream_access_counts(spark, sf):
+    out = ST.scratch(spark, "counts")
+    ST.run_to_parquet(ST.access_counts(ST.access_stream(spark, sf)), out, "update")
+    upd = spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
+    latest = ST.latest_counts(upd)
+    return latest.select("instance", "key", "accesses", F.col("last_access").cast("timestamp_ntz").alias("last_access"))
+
+
+@register("stream_hit_metrics", B.with_ctes(B.EV_CTE) + """
+SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,
+       count(*) AS ops, count(CASE WHEN is_error THEN 1 END) AS errors,
+       sum(CAST(round(op_ms * 100) AS BIGINT)) AS op_ms_e2
+FROM ev GROUP BY 1, 2
+HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR""")
+def stream_hit_metrics(spark, sf):
+    out = ST.scratch(spark, "window")
+    ST.run_to_parquet(ST.window_metrics(ST.access_stream(spark, sf), "1 day"), out, "append")
+    df = spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
+    return df.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                     F.col("window_end").cast("timestamp_ntz").alias("window_end"), "ops", "errors", "op_ms_e2")
+
+
+@register("stream_upsert_results", B.with_ctes(B.QA_CTE, B.MR_CTE, B.INCOMING_CTE) + "," + UPSERT_RESULTS_SQL
+          + " SELECT * FROM merged")
+def stream_upsert_results(spark, sf):
+    # incoming results arrive as files; each file is one micro-batch
+    src = ST.scratch(spark, "incoming")
+    B.incoming_results(spark, sf).repartition(3, "question_id").write.parquet(src)
+    schema = spark.read.parquet(src).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = ST.scratch(spark, "upsert")
+    final = ST.upsert_sink(stream, B.model_results(spark, sf), out)
+    return spark.read.parquet(final)
