@@ -20,7 +20,6 @@ Instances are separate caches (instance = event_type for the events table).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.numeric import round_ratio
-from sluice.operators.sequence import dense_position, next_non_null, previous_in_group
+from sluice.operators.sequence import dense_position, neighbors_non_null, previous_in_group
 from sluice.session import cut_lineage
 
 INST, KEY = "instance", "key"
@@ -59,52 +58,67 @@ def ttl_hits_sliding(seq_log: DataFrame, ttl_seconds: float) -> DataFrame:
     return seq_log.withColumn("hit", F.coalesce(gap < F.lit(int(ttl_seconds * 1_000_000)), F.lit(False)))
 
 
-def _max_chain(log: DataFrame, ttl_us: int) -> int:
-    span = log.groupBy(INST, KEY).agg((F.max(_us()) - F.min(_us())).alias("span")).agg(F.max("span")).first()[0]
-    return int((span or 0) // ttl_us) + 1
-
-
-def fixed_ttl_anchors(log: DataFrame, ttl_seconds: float, checkpoint_rounds: bool = True) -> DataFrame:
-    """Fixed TTL (a hit does not renew): returns ``(instance, key, seq)`` of the
-    accesses that miss (the set/anchor accesses).
-
-    anchor_1 = first access of the key, anchor_{k+1} = first access at or after
-    anchor_k + TTL. ``nxt(x)`` is computed for every access with an as-of
-    lookup; the anchors are the orbit of the first access under ``nxt``. The
-    orbit is expanded by doubling: after round k the set holds orbit positions
-    < 2^(k+1), and ``J_{k+1} = J_k o J_k``. Every join is on the unique access
-    id, so a hot key is spread over all tasks.
+def fixed_ttl_anchors_multi(log: DataFrame, ttls_seconds: Sequence[float], max_rounds: int = 64) -> DataFrame:
+    """Fixed TTL (a hit does not renew) for several TTLs at once: returns
+    ``(ttl_seconds, instance, key, seq)`` of the accesses that miss (the set /
+    anchor accesses) under each TTL.
+
+    anchor_1 = first access of a key, anchor_{k+1} = first access at or after
+    anchor_k + TTL. One range-sliced pass over probe rows (ts + TTL, one per
+    TTL) and point rows (the accesses) gives, per access, the previous access
+    and, per probe, ``nxt`` = the first access at or after ts + TTL. An access
+    whose gap is >= TTL (or the first one) starts a segment and is always an
+    anchor; inside a segment the anchors are the orbit of the start under
+    ``nxt``, expanded by doubling: after round k every chain is known up to
+    2^(k+1) steps and ``J_{k+1} = J_k o J_k``. The loop stops when no chain
+    grows. All joins are on the unique access id, so a hot key is spread over
+    all tasks.
     """
-    ttl_us = int(ttl_seconds * 1_000_000)
+    spark = log.sparkSession
+    ttl_df = F.broadcast(spark.createDataFrame([(float(t), int(t * 1_000_000)) for t in ttls_seconds],
+                                               "ttl_seconds double, ttl_us long"))  # a handful of rows
     pts = log.select(INST, KEY, "seq", _us().alias("t"))
-    probes = pts.select(INST, KEY, (F.col("t") + ttl_us).alias("t"), F.lit(0).alias("kind"),
-                        F.col("seq").alias("src"), F.lit(None).cast("long").alias("pt"))
+    probes = pts.crossJoin(ttl_df).select(
+        INST, KEY, (F.col("t") + F.col("ttl_us")).alias("t"), F.lit(0).alias("kind"), F.col("seq").alias("src"),
+        F.lit(None).cast("long").alias("pt"), F.lit(None).cast("long").alias("pt_t"), "ttl_seconds")
     points = pts.select(INST, KEY, "t", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("src"),
-                        F.col("seq").alias("pt"))
+                        F.col("seq").alias("pt"), F.col("t").alias("pt_t"), F.lit(None).cast("double").alias("ttl_seconds"))
     u = probes.unionByName(points).withColumn("tie", F.coalesce("pt", "src"))
-    # probe sorts before a point at the same instant: an access exactly TTL later misses
-    nx = next_non_null(u, [INST, KEY], ["t", "kind", "tie"], "pt", "nxt")
-    jump = nx.filter(F.col("kind") == 0).select(INST, KEY, F.col("src").alias("seq"), F.col("nxt").alias("j"))
-    jump = jump.filter(F.col("j").isNotNull())
-    if checkpoint_rounds:
-        jump = cut_lineage(jump)
-    first = log.groupBy(INST, KEY).agg(F.min_by("seq", F.struct("ts", "seq")).alias("seq"))
-    anchors = first
-    rounds = max(1, math.ceil(math.log2(_max_chain(log, ttl_us) + 1)))
-    for k in range(rounds):
-        step = anchors.join(jump, [INST, KEY, "seq"], "inner").select(INST, KEY, F.col("j").alias("seq"))
+    # a probe sorts before a point at the same instant: an access exactly TTL later misses;
+    # ttl_seconds orders probes of the same source and instant deterministically
+    nb = neighbors_non_null(u, [INST, KEY], ["t", "kind", "tie", "ttl_seconds"], prev_value="pt_t", prev_col="prev_t",
+                            next_value="pt", next_col="nxt")
+    nb = cut_lineage(nb.select(INST, KEY, "kind", "src", "pt", "t", "prev_t", "nxt", "ttl_seconds"))
+    starts = (nb.filter(F.col("kind") == 1).drop("ttl_seconds").crossJoin(ttl_df)
+              .filter(F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") >= F.col("ttl_us")))
+              .select("ttl_seconds", INST, KEY, F.col("pt").alias("seq")))
+    # jumps that stay inside their segment (a jump to a segment start is already an anchor)
+    jump = nb.filter((F.col("kind") == 0) & F.col("nxt").isNotNull()).select(
+        "ttl_seconds", INST, KEY, F.col("src").alias("seq"), F.col("nxt").alias("j"))
+    keys = ["ttl_seconds", INST, KEY]
+    jump = cut_lineage(jump.join(starts.withColumnRenamed("seq", "j"), keys + ["j"], "left_anti"))
+    anchors = starts
+    for k in range(max_rounds):
+        step = anchors.join(jump, keys + ["seq"], "inner").select(*keys, F.col("j").alias("seq"))
+        if step.isEmpty():
+            break
         anchors = anchors.unionByName(step)
-        if k + 1 < rounds:
-            j2 = jump.alias("a").join(jump.alias("b"), [F.col("a.instance") == F.col("b.instance"),
-                                                         F.col("a.key") == F.col("b.key"),
-                                                         F.col("a.j") == F.col("b.seq")], "inner")
-            jump = j2.select(F.col("a.instance").alias(INST), F.col("a.key").alias(KEY),
-                             F.col("a.seq").alias("seq"), F.col("b.j").alias("j"))
-            if checkpoint_rounds:
-                jump, anchors = cut_lineage(jump), cut_lineage(anchors)
+        if k % 2 == 1:  # keep the plan from doubling: the anchor set is reused by the next round
+            anchors = cut_lineage(anchors)
+        a, b = jump.alias("a"), jump.alias("b")
+        cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys] + [F.col("a.j") == F.col("b.seq")]
+        jump = cut_lineage(a.join(b, cond, "inner").select(*[F.col(f"a.{c}").alias(c) for c in keys],
+                                                           F.col("a.seq").alias("seq"), F.col("b.j").alias("j")))
+    else:
+        raise RuntimeError("fixed_ttl_anchors did not converge")
     return anchors
 
 
+def fixed_ttl_anchors(log: DataFrame, ttl_seconds: float) -> DataFrame:
+    """Single-TTL form of ``fixed_ttl_anchors_multi``: ``(instance, key, seq)`` of the misses."""
+    return fixed_ttl_anchors_multi(log, [ttl_seconds]).drop("ttl_seconds")
+
+
 def ttl_hits_fixed(log: DataFrame, ttl_seconds: float) -> DataFrame:
     """Log rows with ``hit`` under the fixed-TTL rule."""
     miss = fixed_ttl_anchors(log, ttl_seconds).withColumn("_miss", F.lit(True))

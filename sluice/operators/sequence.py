@@ -134,6 +134,47 @@ def col_list(cols: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in cols]
 
 
+def neighbors_non_null(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
+                       prev_value: str | None = None, prev_col: str | None = None,
+                       next_value: str | None = None, next_col: str | None = None,
+                       num_partitions: int | None = None) -> DataFrame:
+    """For every row: ``prev_value`` of the nearest earlier row (``prev_col``)
+    and ``next_value`` of the nearest later row (``next_col``) of the same
+    group where that value is not NULL.
+
+    One range-sliced pass computes both directions with incremental frames
+    (growing from the slice edge), then stitches slices through per-slice
+    first/last non-NULL values.
+    """
+    group_cols, order_cols = list(group_cols), list(order_cols)
+    n = _n_parts(df, num_partitions)
+    r = sliced(df, group_cols, order_cols, n)
+    slice_cols = group_cols + ["_pid"]
+    okey = F.struct(*[F.col(c) for c in order_cols])
+    aggs, carry = [], list(slice_cols)
+    if prev_value:
+        wa = (Window.partitionBy(*slice_cols).orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
+              .rowsBetween(Window.unboundedPreceding, -1))
+        r = r.withColumn(prev_col, F.last(F.col(prev_value), ignorenulls=True).over(wa))
+        aggs.append(F.max_by(F.col(prev_value), F.when(F.col(prev_value).isNotNull(), okey)).alias("_last"))
+        ws = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        carry.append(F.last("_last", ignorenulls=True).over(ws).alias("_carry_prev"))
+    if next_value:
+        wd = (Window.partitionBy(*slice_cols).orderBy(*[F.col(c).desc_nulls_last() for c in order_cols])
+              .rowsBetween(Window.unboundedPreceding, -1))
+        r = r.withColumn(next_col, F.last(F.col(next_value), ignorenulls=True).over(wd))
+        aggs.append(F.min_by(F.col(next_value), F.when(F.col(next_value).isNotNull(), okey)).alias("_first"))
+        ws = Window.partitionBy(*group_cols).orderBy(F.col("_pid").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        carry.append(F.last("_first", ignorenulls=True).over(ws).alias("_carry_next"))
+    summ = r.groupBy(*slice_cols).agg(*aggs).select(*carry)
+    out = r.join(summ, on=slice_cols, how="left")
+    if prev_value:
+        out = out.withColumn(prev_col, F.coalesce(F.col(prev_col), F.col("_carry_prev")))
+    if next_value:
+        out = out.withColumn(next_col, F.coalesce(F.col(next_col), F.col("_carry_next")))
+    return out.drop(*[c for c in ("_pid", "_carry_prev", "_carry_next") if c in out.columns])
+
+
 def next_non_null(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], value_col: str,
                   out_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
     """Value of the first later row (same group) whose ``value_col`` is not NULL.

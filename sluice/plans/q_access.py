@@ -90,14 +90,11 @@ def _fixed_sql():
 @register("ttl_hits_fixed", _fixed_sql())
 def ttl_hits_fixed(spark, sf):
     log = B.access_log(spark, sf)
-    total = log.agg(F.count(F.lit(1)).alias("n"))
-    out = None
-    for h in TTL_HOURS:
-        m = A.fixed_ttl_anchors(log, h * 3600).agg(F.count(F.lit(1)).alias("misses"))
-        r = m.crossJoin(total).select(F.lit(h).alias("ttl_hours"), (F.col("n") - F.col("misses")).alias("hits"),
-                                      "misses")
-        out = r if out is None else out.unionByName(r)
-    return out
+    total = log.agg(F.count(F.lit(1)).alias("n"))  # one row
+    m = A.fixed_ttl_anchors_multi(log, [h * 3600 for h in TTL_HOURS]).groupBy("ttl_seconds").agg(
+        F.count(F.lit(1)).alias("misses"))
+    return m.crossJoin(total).select((F.col("ttl_seconds") / 3600).cast("int").alias("ttl_hours"),
+                                     (F.col("n") - F.col("misses")).alias("hits"), "misses")
 
 
 @register("reuse_distance", B.with_ctes(B.EV_CTE, SEQ_CTES) + """

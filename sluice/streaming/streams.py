@@ -21,6 +21,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,20 +105,23 @@ def _fixed_ttl_state_fn(ttl_us: int):
         parts = list(pdfs)
         if not parts:
             return
-        pdf = pd.concat(parts).sort_values(["ts", "seq"])
-        t_us = pdf["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        hits = []
-        for t in t_us:
+        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        t_all = pdf["ts"].to_numpy(dtype="datetime64[us]").astype(np.int64)
+        seq_all = pdf["seq"].to_numpy()
+        order = np.lexsort((seq_all, t_all))
+        t_us, seq = t_all[order], seq_all[order]
+        hits = np.empty(len(t_us), dtype=bool)
+        for i in range(len(t_us)):
+            t = int(t_us[i])
             if anchor is None or t - anchor >= ttl_us:
-                anchor = int(t)
-                hits.append(False)
+                anchor, hits[i] = t, False
             else:
-                hits.append(True)
+                hits[i] = True
         state.update((anchor,))
         # the entry expires ttl after its set; drop the state then
         state.setTimeoutTimestamp(anchor // 1000 + ttl_us // 1000)
-        yield pd.DataFrame({"instance": pdf["instance"].to_numpy(), "key": pdf["key"].to_numpy(),
-                            "seq": pdf["seq"].to_numpy(), "hit": hits})
+        yield pd.DataFrame({"instance": np.repeat(key[0], len(seq)), "key": np.repeat(key[1], len(seq)),
+                            "seq": seq, "hit": hits})
     return fn
 
 
