@@ -230,7 +230,8 @@ def hit_rate_curve(seq_log: DataFrame, distances: DataFrame, sizes: Sequence[int
     hits = (hist.crossJoin(F.broadcast(sz))
             .groupBy(*g, "cache_size")
             .agg(F.sum(F.when(F.col("reuse_distance") < F.col("cache_size"), F.col("n"))).alias("hits")))
-    out = total.join(hits, g, "left") if by_instance else total.crossJoin(hits)  # total: one row per group
+    # every size gets a row, also for an empty log (0 accesses, 0 hits)
+    out = total.crossJoin(F.broadcast(sz)).join(hits, [*g, "cache_size"], "left")
     out = out.fillna(0, ["hits"])
     return out.select(*g, "cache_size", "accesses", F.col("hits").cast("long").alias("hits"),
                       round_ratio(F.col("hits") * 100, F.col("accesses"), 2).alias("hit_rate_percent"))
