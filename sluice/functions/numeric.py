@@ -17,10 +17,15 @@ def safe_ratio_pct(n: Column, d: Column) -> Column:
     return F.when(d > 0, n.cast("double") / d * 100.0).otherwise(F.lit(0.0))
 
 
+def idiv(a: Column, b: Column) -> Column:
+    """Exact integer division (SQL ``div``); no detour through doubles."""
+    return F.call_function("div", a.cast("long"), b.cast("long"))
+
+
 def round_ratio(num: Column, den: Column, scale: int) -> Column:
     """``round(num/den, scale)`` HALF_UP for non-negative integer columns; 0 when den <= 0."""
     p = 10 ** scale
-    q = F.floor((num.cast("long") * (2 * p) + den.cast("long")) / (den.cast("long") * 2))
+    q = idiv(num.cast("long") * (2 * p) + den.cast("long"), den.cast("long") * 2)
     return F.when(den > 0, q.cast("double") / p).otherwise(F.lit(0.0))
 
 
@@ -46,9 +51,9 @@ def avg_rounded(c: Column, in_scale: int = 2, out_scale: int = 3, where: Column
     n = F.count(v)
     p = 10 ** out_scale
     den = n * (10 ** in_scale)
-    q = F.floor((s * (2 * p) + den) / (den * 2))
+    q = idiv(s * (2 * p) + den, den * 2)
     # negative sums are rounded away from zero (HALF_UP on magnitude)
-    qneg = -F.floor((-s * (2 * p) + den) / (den * 2))
+    qneg = -idiv(-s * (2 * p) + den, den * 2)
     return F.when(n > 0, F.when(s >= 0, q).otherwise(qneg).cast("double") / p)
 
 

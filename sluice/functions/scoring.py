@@ -45,7 +45,7 @@ def hash_score(text: Column, model: Column, lo: Column, hi: Column) -> Column:
     lo_e5 = F.round(lo.cast("decimal(12,5)") * 100000).cast("long")
     span_e2 = F.round((hi.cast("decimal(12,5)") - lo.cast("decimal(12,5)")) * 100).cast("long")
     score_e5 = lo_e5 + h * span_e2
-    return (F.floor((score_e5 + 500) / 1000) / 100.0).cast("double")
+    return F.call_function("div", score_e5 + 500, F.lit(1000)).cast("double") / 100.0
 
 
 def hash_score_sql(text: str, model: str, lo: str, hi: str) -> str:

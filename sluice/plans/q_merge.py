@@ -89,7 +89,7 @@ def limit_requests(spark, sf):
     return todo.orderBy("id").limit(MAX_REQUESTS).crossJoin(total)  # total is one row
 
 
-@register("upsert_question", B.with_ctes(B.QUESTIONS_CTE, B.QA_CTE, B.RECORDS_CTE) + f"""
+UPSERT_QUESTION_SQL = B.with_ctes(B.QUESTIONS_CTE, B.QA_CTE, B.RECORDS_CTE) + f"""
 , inc AS (
   SELECT question_title, question_content, count(*) AS n_records,
          arg_max(llm_answer, seq) FILTER (WHERE llm_answer IS NOT NULL AND llm_answer <> '') AS new_answer,
@@ -118,7 +118,10 @@ SELECT (SELECT coalesce(max(id), 0) FROM questions)
          + row_number() OVER (ORDER BY question_title NULLS FIRST, question_content NULLS FIRST) AS id,
        question_title, question_content, new_original, new_answer, new_score, CAST(n_records AS INTEGER),
        CAST(NULL AS INTEGER), TIMESTAMP '{B.UPSERT_NOW}'
-FROM m WHERE first_id IS NULL""")
+FROM m WHERE first_id IS NULL"""
+
+
+@register("upsert_question", UPSERT_QUESTION_SQL)
 def upsert_question(spark, sf):
     now = F.lit(B.UPSERT_NOW).cast("timestamp_ntz")
     return M.upsert_questions(B.questions(spark, sf), B.question_records(spark, sf), now)
@@ -129,3 +132,15 @@ SELECT row_number() OVER (ORDER BY question_title, id) AS serial_id, id FROM que
 def surrogate_key(spark, sf):
     q = B.questions(spark, sf).select("id", "question_title")
     return global_dense_id(q, ["question_title", "id"], id_col="serial_id").select("serial_id", "id")
+
+
+@register("conditional_overwrite", "SELECT id, llm_answer, quality_score FROM (" + UPSERT_QUESTION_SQL + ")")
+def conditional_overwrite(spark, sf):
+    """Answer taken only when truthy, score only when not NULL (batch upsert)."""
+    return upsert_question(spark, sf).select("id", "llm_answer", "quality_score")
+
+
+@register("touch_updated_at", "SELECT id, updated_at FROM (" + UPSERT_QUESTION_SQL + ") WHERE updated_at IS NOT NULL")
+def touch_updated_at(spark, sf):
+    """Rows changed by the upsert carry the (parameterised) update clock."""
+    return upsert_question(spark, sf).filter(F.col("updated_at").isNotNull()).select("id", "updated_at")

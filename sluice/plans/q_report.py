@@ -141,3 +141,22 @@ def chart_data_export(spark, sf):
     path = _scratch(spark, "charts")
     R.export_chart_data(config_metrics(spark, sf), path)
     return spark.read.parquet(path)
+
+
+@register("config_parse", over_metrics_sql("""
+SELECT policy || '_size_' || CAST(cache_size AS VARCHAR) AS config,
+       split_part(policy || '_size_' || CAST(cache_size AS VARCHAR), '_size_', 1) AS parsed_policy,
+       TRY_CAST(split_part(policy || '_size_' || CAST(cache_size AS VARCHAR), '_size_', 2) AS INTEGER) AS parsed_size
+FROM cm"""))
+def config_parse(spark, sf):
+    lab = R.config_labels(config_metrics(spark, sf))
+    return lab.select("config", F.col("policy").alias("parsed_policy"), F.col("cache_size").alias("parsed_size"))
+
+
+@register("midpoint_latency", over_metrics_sql("""
+SELECT policy, cache_size, (avg_hit_time_ms + avg_miss_time_ms) / 2 AS midpoint_ms FROM cm"""))
+def midpoint_latency(spark, sf):
+    from sluice.functions.numeric import midpoint_latency as mid
+
+    m = config_metrics(spark, sf)
+    return m.select("policy", "cache_size", mid(F.col("avg_hit_time_ms"), F.col("avg_miss_time_ms")).alias("midpoint_ms"))

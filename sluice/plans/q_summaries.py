@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.functions.numeric import avg_rounded_sql
+from sluice.functions.numeric import avg_rounded, avg_rounded_sql
 from sluice.operators import summaries as SM
 from sluice.plans.registry import register
 from sluice.sources import bindings as B
@@ -102,3 +102,53 @@ SELECT model_name, count(*) AS n, round(stddev_samp(quality_score), 6) AS score_
 FROM mr GROUP BY model_name""")
 def model_consistency(spark, sf):
     return SM.model_consistency(B.model_results(spark, sf))
+
+
+@register("register_views", Q + f"""
+SELECT COALESCE(original_class, -1) AS original_class, count(*) AS question_count,
+       count(CASE WHEN llm_answer IS NOT NULL THEN 1 END) AS processed_count,
+       {avg_rounded_sql('quality_score', 2, 3, where='quality_score > 0')} AS avg_score,
+       max(access_count) AS max_access_count
+FROM questions GROUP BY original_class""")
+def register_views(spark, sf):
+    """The summary view defined in Spark SQL over the registered ``questions`` view."""
+    from sluice.plans.views import register_views as reg
+
+    reg(spark, sf)
+    return spark.sql("SELECT * FROM questions_summary")
+
+
+@register("model_comparison_view", MR + MODEL_COMPARISON_SQL)
+def model_comparison_view(spark, sf):
+    from sluice.plans.views import register_views as reg
+
+    reg(spark, sf)
+    return spark.sql("SELECT * FROM model_comparison")
+
+
+@register("stats_table_function", Q + f"""
+SELECT count(*) AS total_questions,
+       count(CASE WHEN llm_answer IS NOT NULL THEN 1 END) AS processed_questions,
+       {avg_rounded_sql('quality_score', 2, 3, where='quality_score > 0')} AS avg_quality_score,
+       (SELECT original_class FROM questions WHERE original_class IS NOT NULL
+        GROUP BY original_class ORDER BY count(*) DESC, original_class LIMIT 1) AS top_class,
+       (SELECT question_title FROM questions WHERE question_title IS NOT NULL
+        ORDER BY access_count DESC, id LIMIT 1) AS most_accessed_question
+FROM questions""")
+def stats_table_function(spark, sf):
+    from sluice.plans.views import register_stats_function
+
+    register_stats_function(spark, sf)
+    return spark.sql("SELECT * FROM get_questions_stats()")
+
+
+@register("rounding", MR + f"""
+SELECT model_name, {avg_rounded_sql('quality_score', 2, 2)} AS avg_score_2dp,
+       {avg_rounded_sql('quality_score', 2, 3)} AS avg_score_3dp,
+       {avg_rounded_sql('response_time', 2, 3)} AS avg_time_3dp
+FROM mr GROUP BY model_name""")
+def rounding(spark, sf):
+    mr = B.model_results(spark, sf)
+    return mr.groupBy("model_name").agg(avg_rounded(F.col("quality_score"), 2, 2).alias("avg_score_2dp"),
+                                        avg_rounded(F.col("quality_score"), 2, 3).alias("avg_score_3dp"),
+                                        avg_rounded(F.col("response_time"), 2, 3).alias("avg_time_3dp"))
