@@ -129,8 +129,16 @@ def ttl_hits_fixed(log: DataFrame, ttl_seconds: float) -> DataFrame:
 # ---------------------------------------------------------------------------
 # reuse distance
 
+DENSE_COUNT_MAX = 2048  # groups up to this size are counted with one vectorised comparison matrix
+
+
 def _fenwick_count_less(order_vals: np.ndarray, query_vals: np.ndarray, add_vals: np.ndarray) -> np.ndarray:
     """For i in order: #{j < i : add_vals[j] < query_vals[i]} (j before i in the given order)."""
+    m = len(order_vals)
+    if m <= DENSE_COUNT_MAX:
+        # lower triangle (j < i) of the comparison matrix, summed per row
+        less = add_vals[None, :] < query_vals[:, None]
+        return np.tril(less, k=-1).sum(axis=1).astype(np.int64)
     allv = np.unique(np.concatenate([query_vals, add_vals]))
     qr = np.searchsorted(allv, query_vals, side="left")   # number of distinct values < q
     ar = np.searchsorted(allv, add_vals, side="left") + 1  # 1-based slot
