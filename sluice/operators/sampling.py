@@ -61,7 +61,15 @@ def weighted_sample(items: DataFrame, draws_per_item: int = 10, seed: int = 7, i
     n = items.agg(F.count(F.lit(1)).alias("n"))
     d = _draws(items, draws_per_item, id_col).crossJoin(n)
     d = d.withColumn("target", weighted_target(draw_u(seed, "src", "j"), F.col("n")))
-    return d.join(idx, d["target"] == idx["idx"], "inner").select("src", "j", F.col(id_col).alias("drawn_id"))
+    # 80 % of the draws hit the 50 frequent items: joining them by key would put
+    # those draws in 50 tasks. The frequent items are at most 50 rows, so that
+    # side is broadcast; the rare draws spread evenly and use a normal join.
+    freq_items = F.broadcast(idx.filter(F.col("idx") <= FREQUENT_ITEMS))
+    hot = d.filter(F.col("target") <= FREQUENT_ITEMS).join(freq_items, F.col("target") == F.col("idx"), "inner")
+    rare_items = idx.filter(F.col("idx") > FREQUENT_ITEMS)
+    cold = d.filter(F.col("target") > FREQUENT_ITEMS).join(rare_items, F.col("target") == F.col("idx"), "inner")
+    cols = ["src", "j", F.col(id_col).alias("drawn_id")]
+    return hot.select(*cols).unionByName(cold.select(*cols))
 
 
 def union_workload(items: DataFrame, id_col: str = "id") -> DataFrame:
