@@ -34,10 +34,8 @@ BEST_LINES = ["Mejor Hit Rate: %s (%.2f%%)", "Menores Evictions: %s (%d eviction
 
 def policy_size_grid(spark, policies: Sequence[str] = POLICIES, sizes: Sequence[int] = CACHE_SIZES) -> DataFrame:
     """Configuration grid with its insertion ordinal (policy-major)."""
-    p = spark.createDataFrame([(i, x) for i, x in enumerate(policies)], "p_ord int, policy string")
-    s = spark.createDataFrame([(i, int(x)) for i, x in enumerate(sizes)], "s_ord int, cache_size int")
-    return p.crossJoin(s).select(
-        (F.col("p_ord") * len(sizes) + F.col("s_ord")).alias("ordinal"), "policy", "cache_size")
+    rows = [(i * len(sizes) + j, p, int(c)) for i, p in enumerate(policies) for j, c in enumerate(sizes)]
+    return spark.createDataFrame(rows, "ordinal int, policy string, cache_size int")
 
 
 def with_ordinal(metrics: DataFrame, policies: Sequence[str] = POLICIES, sizes: Sequence[int] = CACHE_SIZES):
