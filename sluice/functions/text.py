@@ -67,6 +67,18 @@ def content_key_sql(title: str, content: str) -> str:
     return f"sha256({strip_ws_sql(f'{title} || ' + chr(39) + '|' + chr(39) + f' || coalesce({content}, ' + chr(39) * 2 + ')')})"
 
 
+def pair_key(title: Column, content: Column) -> Column:
+    """Compact 128-bit key of the null-safe pair (title, content).
+
+    Length-prefixed so that ('a|b', 'c') and ('a', 'b|c') differ and NULL differs
+    from ''. Grouping and joining on 16 bytes instead of the full texts keeps
+    the texts out of the aggregation shuffle.
+    """
+    def part(c: Column) -> Column:
+        return F.concat(F.coalesce(F.length(c).cast("string"), F.lit("N")), F.lit(":"), F.coalesce(c, F.lit("")))
+    return F.unhex(F.md5(F.concat(part(title), F.lit(":"), part(content))))
+
+
 def categorize_text(title: Column, content: Column,
                     categories: Sequence[tuple[str, Sequence[str]]] = DEFAULT_CATEGORIES,
                     default: str = "general") -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.predicates import conditional_overwrite_text, conditional_overwrite_value
+from sluice.functions.text import pair_key
 from sluice.operators.sequence import global_dense_id
 from sluice.schemas import FAILURE_SCORE
 
@@ -101,17 +102,19 @@ def upsert_questions(existing: DataFrame, records: DataFrame, now: Column) -> Da
     """
     key = ["question_title", "question_content"]
     seq = F.struct(F.col("seq"))
-    inc = records.groupBy(*key).agg(
+    # group on the 16-byte null-safe pair key; the texts ride along once per key
+    records = records.withColumn("_k", pair_key(F.col("question_title"), F.col("question_content")))
+    existing_k = existing.withColumn("_k", pair_key(F.col("question_title"), F.col("question_content")))
+    inc = records.groupBy("_k").agg(
+        F.first("question_title").alias("question_title"), F.first("question_content").alias("question_content"),
         F.count(F.lit(1)).alias("n_records"),
         F.max_by(F.col("llm_answer"), F.when(F.col("llm_answer").isNotNull() & (F.col("llm_answer") != ""), seq))
         .alias("new_answer"),
         F.max_by(F.col("quality_score"), F.when(F.col("quality_score").isNotNull(), seq)).alias("new_score"),
         F.min_by(F.col("original_answer"), seq).alias("new_original"),
     )
-    first = existing.groupBy(*key).agg(F.min("id").alias("first_id"))
-    cond = [first[k].eqNullSafe(inc[k]) for k in key]
-    m = inc.join(first, cond, "left").select(*[inc[k] for k in key], "n_records", "new_answer", "new_score",
-                                              "new_original", "first_id")
+    first = existing_k.groupBy("_k").agg(F.min("id").alias("first_id"))
+    m = inc.join(first, "_k", "left").select(*key, "n_records", "new_answer", "new_score", "new_original", "first_id")
 
     upd = m.filter(F.col("first_id").isNotNull()).select(
         F.col("first_id").alias("id"), "n_records", "new_answer", "new_score")

@@ -25,10 +25,22 @@ RESULTS_CREATED_AT = "2024-01-01 00:00:00"
 INCOMING_CREATED_AT = "2024-02-01 00:00:00"
 
 
+DUP_BROADCAST_ROWS = 2_000_000  # ~50 MB of (16-byte key, count) rows
+
+
 def _access_counts(q: DataFrame) -> DataFrame:
-    # aggregate first (partial aggregation absorbs hot keys), then join back
-    counts = q.groupBy("question_title", "question_content").agg(F.count(F.lit(1)).cast("int").alias("access_count"))
-    return q.join(counts, on=["question_title", "question_content"], how="left")
+    """Rows per (title, content) attached to every row.
+
+    Counted on a 16-byte pair key (partial aggregation, no text in the
+    shuffle). Only keys seen more than once need a join; when their number is
+    below a checked bound they are broadcast and the question rows are not
+    shuffled at all, otherwise a regular (AQE-planned) join is used.
+    """
+    keyed = q.withColumn("_k", X.pair_key(F.col("question_title"), F.col("question_content")))
+    dups = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
+    side = F.broadcast(dups) if dups.count() <= DUP_BROADCAST_ROWS else dups
+    out = keyed.join(side, "_k", "left")
+    return out.withColumn("access_count", F.coalesce(F.col("_n"), F.lit(1)).cast("int")).drop("_k", "_n")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
