@@ -110,3 +110,12 @@ def test_csv_edge_cases(spark, tmp_path):
     assert tuple(rows[0]) == (1, "a, b", 'say "hi"', "line1\nline2")
     assert tuple(rows[1]) == (None, None, None, None)
     assert tuple(rows[2]) == (3, None, "x", None)
+
+
+def test_content_key_strips_unicode_blanks(spark):
+    import hashlib
+
+    t = "  title "
+    df = spark.createDataFrame([(t, "")], "t string, c string")
+    got = df.select(X.content_key(F.col("t"), F.col("c"))).first()[0]
+    assert got == hashlib.sha256(f"{t}|".strip().encode()).hexdigest()
