@@ -55,6 +55,16 @@ def stream_fixed_ttl(spark, sf):
     return spark.read.option("basePath", out).parquet(f"{out}/batch_id=*").select("instance", "key", "seq", "hit")
 
 
+@register("stream_fixed_ttl_batched", rec(B.EV_CTE, anchors_ctes(FIXED_TTL, "fa")) + """
+SELECT e.instance, e.key, e.seq, fa.seq IS NULL AS hit
+FROM ev e LEFT JOIN fa ON fa.instance = e.instance AND fa.key = e.key AND fa.seq = e.seq""")
+def stream_fixed_ttl_batched(spark, sf):
+    """Hot-key-safe form: per micro-batch distributed anchors + versioned state table."""
+    out = ST.scratch(spark, "fixed-ttl-batched")
+    flags = ST.fixed_ttl_by_batch(ST.access_stream(spark, sf), FIXED_TTL, out)
+    return spark.read.parquet(flags).select("instance", "key", "seq", "hit")
+
+
 @register("stream_access_counts", B.with_ctes(B.EV_CTE) + """
 SELECT instance, key, count(*) AS accesses, max(ts) AS last_access FROM ev GROUP BY instance, key""")
 def stream_access_counts(spark, sf):

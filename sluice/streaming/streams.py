@@ -139,6 +139,64 @@ def fixed_ttl_flags(stream: DataFrame, ttl_seconds: int) -> DataFrame:
                                     "append", GroupStateTimeout.EventTimeTimeout))
 
 
+def fixed_ttl_by_batch(stream: DataFrame, ttl_seconds: int, out: str, prune_delay_seconds: int = 3600) -> str:
+    """Fixed TTL with the state in a versioned table instead of the state store.
+
+    Each micro-batch runs the distributed ``fixed_ttl_anchors`` (range slices,
+    doubling; no key is ever one task) over its rows, seeded with the current
+    set time of every key from state version ``v``; the new set times form
+    version ``v + 1``. Rows older than their key's set time are hits (the entry
+    is still cached). Entries whose TTL ran out before the batch's newest event
+    minus ``prune_delay_seconds`` are dropped: any later access misses anyway.
+    Flags land in ``out/flags/batch_id=b``; a replayed batch is skipped.
+    Returns the flags folder (partitioned by ``batch_id``).
+    """
+    from sluice.operators.access import fixed_ttl_anchors
+
+    spark = stream.sparkSession
+    ttl_us = ttl_seconds * 1_000_000
+    state_schema = "instance string, key long, anchor_ts timestamp"
+    spark.createDataFrame([], state_schema).write.mode("overwrite").parquet(f"{out}/state/v0")
+
+    def done(v: int) -> bool:
+        return _exists(spark, f"{out}/state/v{v}/_SUCCESS")
+
+    def newest() -> int:
+        return max(v for v in _versions(spark, f"{out}/state") if done(v))
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        target = batch_id + 1
+        if done(target):
+            return
+        prev = spark.read.parquet(f"{out}/state/v{newest()}")
+        rows = batch.select("instance", "key", "ts", "seq").join(prev, ["instance", "key"], "left")
+        late = rows.filter(F.col("anchor_ts").isNotNull() & (F.col("ts") < F.col("anchor_ts")))
+        fresh = rows.filter(F.col("anchor_ts").isNull() | (F.col("ts") >= F.col("anchor_ts")))
+        seeds = (fresh.filter(F.col("anchor_ts").isNotNull()).select("instance", "key", "anchor_ts").distinct()
+                 .select("instance", "key", F.col("anchor_ts").alias("ts"), F.lit(-1).cast("long").alias("seq")))
+        log = fresh.select("instance", "key", "ts", "seq").unionByName(seeds)
+        anchors = fixed_ttl_anchors(log, ttl_seconds).withColumn("_miss", F.lit(True))
+        flags = (fresh.join(anchors, ["instance", "key", "seq"], "left")
+                 .select("instance", "key", "seq", F.col("_miss").isNull().alias("hit"))
+                 .unionByName(late.select("instance", "key", "seq", F.lit(True).alias("hit"))))
+        flags.write.mode("overwrite").parquet(f"{out}/flags/batch_id={batch_id}")
+        last = (anchors.join(log, ["instance", "key", "seq"]).groupBy("instance", "key")
+                .agg(F.max("ts").alias("anchor_ts")))
+        newest_ts = batch.agg(F.max("ts").alias("_mx"))  # one row
+        keep = (prev.join(last, ["instance", "key"], "left_anti").unionByName(last).crossJoin(newest_ts)
+                .filter(F.unix_micros(F.col("anchor_ts")) + ttl_us
+                        > F.unix_micros(F.col("_mx")) - prune_delay_seconds * 1_000_000)
+                .drop("_mx"))
+        keep.write.mode("overwrite").parquet(f"{out}/state/v{target}")
+
+    q = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{out}/_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return f"{out}/flags"
+
+
 def access_counts(stream: DataFrame) -> DataFrame:
     """Running access count and last access per key (update mode)."""
     return stream.groupBy("instance", "key").agg(F.count(F.lit(1)).alias("accesses"),

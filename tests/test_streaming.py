@@ -1,5 +1,7 @@
 """Streaming sinks: idempotent replay of the upsert sink, sampled curve vs exact."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from sluice.operators import access as A
@@ -45,3 +47,32 @@ def test_window_metrics_closed_windows_only(spark):
     mx = B.access_log(spark, SF001).agg(F.max("ts")).first()[0]
     assert got.count() == 29
     assert got.filter(F.col("window_end").cast("timestamp_ntz") > F.lit(mx)).count() == 0
+
+
+def test_fixed_ttl_by_batch_over_several_batches(spark):
+    """Events split into time-ordered files, one file per micro-batch, equal the batch rule."""
+    log = B.access_log(spark, SF001)
+    src = ST.scratch(spark, "t-split")
+    ev = log.select(F.col("instance").alias("event_type"), F.col("key").alias("user_id"), "ts",
+                    F.col("seq").alias("event_id"), F.col("op_ms").alias("value"))
+    bounds = ["2024-01-08", "2024-01-16", "2024-01-23"]
+    edges = [None, *bounds, None]
+    # the file source orders files by modification time: append the ranges one after another
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        part = ev
+        if lo:
+            part = part.filter(F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
+        if hi:
+            part = part.filter(F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
+        part.coalesce(1).write.mode("append").parquet(src)
+        time.sleep(1.1)
+    assert len(spark.read.parquet(src).inputFiles()) == 4
+    schema = spark.read.parquet(src).schema
+    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+              .select(F.col("event_type").alias("instance"), F.col("user_id").alias("key"),
+                      F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq")))
+    out = ST.scratch(spark, "t-fixed-batched")
+    flags = spark.read.parquet(ST.fixed_ttl_by_batch(stream, 6 * 3600, out))
+    assert flags.select("batch_id").distinct().count() == 4
+    assert flags.count() == 10000
+    assert flags.filter(~F.col("hit")).count() == 9017
