@@ -17,13 +17,26 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 
 
+def ensure_utc(spark: SparkSession) -> None:
+    """The library computes in UTC (timestamps are wall-clock TIMESTAMP_NTZ; casts
+    to TIMESTAMP and day windows must not move with a local session zone)."""
+    if spark.conf.get("spark.sql.session.timeZone", None) not in ("UTC", "Etc/UTC", "+00:00", "Z"):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def register(name: str, sql: str | None = None):
     """Decorator: register ``fn(spark, sf_dir)`` under ``name`` with optional oracle SQL."""
 
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_utc(spark)
+            return fn(spark, sf_dir)
+
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn
