@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.numeric import round_ratio
+from sluice.functions.scoring import hash_bucket
 from sluice.operators.sequence import dense_position, neighbors_non_null, previous_in_group
 from sluice.session import cut_lineage
 
@@ -246,9 +247,9 @@ def hit_rate_curve(seq_log: DataFrame, distances: DataFrame, sizes: Sequence[int
 
 
 def sampled_log(log: DataFrame, modulus: int, threshold: int) -> DataFrame:
-    """Spatial (key-hash) sample for ``hit_rate_curve_sampled``: keep keys with
-    pmod(xxhash64(key), P) < T. Every access of a kept key is kept."""
-    return log.filter(F.pmod(F.xxhash64(F.col(KEY)), F.lit(modulus)) < threshold)
+    """Spatial (key-hash) sample for ``hit_rate_curve_sampled``: keep keys whose
+    hash bucket (md5, modulo P) is below T. Every access of a kept key is kept."""
+    return log.filter(hash_bucket(F.col(KEY).cast("string"), modulus) < threshold)
 
 
 def hit_rate_curve_sampled(log: DataFrame, sizes: Sequence[int], modulus: int = 100,

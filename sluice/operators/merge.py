@@ -77,8 +77,7 @@ def upsert_results(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def best_result_writeback(questions: DataFrame, best: DataFrame, processed_ids: DataFrame | None = None,
-                          failure_score: float = FAILURE_SCORE) -> DataFrame:
+def best_result_writeback(questions: DataFrame, best: DataFrame, failure_score: float = FAILURE_SCORE) -> DataFrame:
     """Write the best answer/score onto each question; a question processed
     without any result gets the failure score 1.0."""
     b = best.select(F.col("question_id").alias("id"), "best_answer", "best_score")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sluice.functions import scoring as S
 from sluice.functions.numeric import round_ratio, round_ratio_sql
 from sluice.operators import access as A
 from sluice.plans.registry import register
@@ -13,6 +14,11 @@ from sluice.sources import bindings as B
 TTL_HOURS = [6, 24, 72]
 CURVE_SIZES = [10, 50, 100, 500, 1000, 2000]
 
+def seq_ctes(src: str = "ev") -> str:
+    """Positions, previous access and reuse distance of an access-log relation, in SQL."""
+    return SEQ_CTES.replace("ORDER BY ts, seq) AS pos FROM ev)", f"ORDER BY ts, seq) AS pos FROM {src})")
+
+
 SEQ_CTES = """
 seqd AS (SELECT *, row_number() OVER (PARTITION BY instance ORDER BY ts, seq) AS pos FROM ev),
 seql AS (SELECT *, lag(pos) OVER (PARTITION BY instance, key ORDER BY pos) AS prev_pos,
@@ -120,10 +126,21 @@ def hit_rate_curve(spark, sf):
     return A.hit_rate_curve(s, A.reuse_distance(s), CURVE_SIZES)
 
 
-@register("hit_rate_curve_sampled")
+SAMPLE_P, SAMPLE_T = 100, 50
+
+
+@register("hit_rate_curve_sampled", B.with_ctes(
+    B.EV_CTE, f"evs AS (SELECT * FROM ev WHERE {S.hash_bucket_sql('CAST(key AS VARCHAR)', SAMPLE_P)} < {SAMPLE_T})",
+    seq_ctes("evs")) + f"""
+SELECT c.cache_size, (SELECT count(*) FROM evs) AS accesses, count(rd.seq) AS hits,
+       {round_ratio_sql('count(rd.seq) * 100', '(SELECT count(*) FROM evs)', 2)} AS hit_rate_percent
+FROM (VALUES {', '.join(f'({s})' for s in CURVE_SIZES)}) AS c(cache_size)
+LEFT JOIN rd ON floor(rd.reuse_distance / {SAMPLE_T / SAMPLE_P}) < c.cache_size
+GROUP BY c.cache_size""")
 def hit_rate_curve_sampled(spark, sf):
-    # approximate by design (key-hash sample); checked against the exact curve in tests
-    return A.hit_rate_curve_sampled(B.access_log(spark, sf), CURVE_SIZES, modulus=100, threshold=50)
+    # approximate by design (key-hash sample, distances scaled by 1/rate); its own SQL twin
+    # checks the sample and the scaling, the tests check it against the exact curve
+    return A.hit_rate_curve_sampled(B.access_log(spark, sf), CURVE_SIZES, modulus=SAMPLE_P, threshold=SAMPLE_T)
 
 
 def access_metrics_parts(ttl_seconds: int = DEFAULT_TTL_SECONDS) -> tuple[str, str]:

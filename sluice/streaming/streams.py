@@ -58,7 +58,6 @@ def access_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int |
 def run_to_parquet(df: DataFrame, out: str, mode: str = "append") -> None:
     """Run a streaming query to completion (availableNow) with a parquet
     foreachBatch sink: batch ``b`` lands in ``out/batch_id=b`` (idempotent)."""
-    spark = df.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
@@ -68,16 +67,6 @@ def run_to_parquet(df: DataFrame, out: str, mode: str = "append") -> None:
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    del spark
-
-
-def read_batches(spark: SparkSession, out: str, schema_hint: DataFrame | None = None) -> DataFrame:
-    try:
-        return spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
-    except Exception:  # noqa: BLE001 - no batch produced output
-        if schema_hint is None:
-            raise
-        return schema_hint.sparkSession.createDataFrame([], schema_hint.schema.add("batch_id", "int"))
 
 
 def residency_sessions(stream: DataFrame, ttl_seconds: int) -> DataFrame:
