@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sluice.operators import access as A
@@ -11,7 +9,7 @@ from sluice.operators import retention as RT
 from sluice.operators import sampling as SP
 from sluice.plans.q_access import SEQ_CTES, anchors_ctes, rec
 from sluice.plans.registry import register
-from sluice.session import checkpoint_dir
+from sluice.session import scratch_path
 from sluice.sources import bindings as B
 from sluice.sources import ingest as IN
 
@@ -19,10 +17,6 @@ Q = B.with_ctes(B.QUESTIONS_CTE)
 INGEST_NOW = "2024-01-01 00:00:00"
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 # ---------------------------------------------------------------------------
 # retention
 
@@ -141,7 +135,7 @@ FROM questions"""
 
 
 def _csv_roundtrip(spark, sf):
-    path = _scratch(spark, "csv")
+    path = scratch_path(spark, "csv")
     IN.write_headerless_csv(B.questions(spark, sf).select(*RAW_COLS), path)
     return IN.fill_string_nulls(IN.csv_headerless_scan(spark, path))
 
@@ -164,7 +158,7 @@ def column_defaults(spark, sf):
 
 @register("idempotent_load", Q + "SELECT true AS first_load, false AS second_load, count(*) AS rows FROM questions")
 def idempotent_load(spark, sf):
-    path = _scratch(spark, "load")
+    path = scratch_path(spark, "load")
     q = B.questions(spark, sf)
     first = IN.idempotent_load(q, path)
     second = IN.idempotent_load(q, path)
@@ -174,7 +168,7 @@ def idempotent_load(spark, sf):
 
 @register("batch_append_sink", Q + "SELECT * FROM questions")
 def batch_append_sink(spark, sf):
-    path = _scratch(spark, "append")
+    path = scratch_path(spark, "append")
     IN.batch_append_sink(B.questions(spark, sf), path, files=4)
     return spark.read.parquet(path)
 
@@ -188,7 +182,7 @@ def load_row_limit(spark, sf):
 @register("load_reconcile", Q + """
 SELECT count(*) AS source_rows, count(*) AS target_rows, true AS match FROM questions""")
 def load_reconcile(spark, sf):
-    path = _scratch(spark, "reconcile")
+    path = scratch_path(spark, "reconcile")
     q = B.questions(spark, sf)
     IN.batch_append_sink(q, path)
     return IN.load_reconcile(q, spark.read.parquet(path))

@@ -6,8 +6,6 @@ derived from it (``access_metrics``) and the small comparison steps follow.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sluice.functions.numeric import avg_rounded, avg_rounded_sql
@@ -15,7 +13,7 @@ from sluice.operators import report as R
 from sluice.plans.q_access import config_metrics, over_metrics_sql
 from sluice.plans.registry import register
 from sluice.schemas import CACHE_SIZES, POLICIES
-from sluice.session import checkpoint_dir
+from sluice.session import scratch_path
 from sluice.sources import bindings as B
 
 GRID_SQL = "(VALUES " + ", ".join(
@@ -23,10 +21,6 @@ GRID_SQL = "(VALUES " + ", ".join(
 ) + ") AS grid(ordinal, policy, cache_size)"
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @register("policy_size_grid", B.with_ctes(B.EV_CTE) + f"""
 SELECT grid.ordinal, grid.policy, grid.cache_size, e.instance, e.ops
 FROM {GRID_SQL} CROSS JOIN (SELECT instance, count(*) AS ops FROM ev GROUP BY instance) e""")
@@ -131,14 +125,14 @@ def report_rows(spark, sf):
 
 @register("report_text_sink", over_metrics_sql(f"SELECT text FROM ({REPORT_SQL})"))
 def report_text_sink(spark, sf):
-    path = _scratch(spark, "report")
+    path = scratch_path(spark, "report")
     R.write_report_text(config_metrics(spark, sf), path)
     return spark.read.text(path).select(F.col("value").alias("text"))
 
 
 @register("chart_data_export", over_metrics_sql(CHART_SQL))
 def chart_data_export(spark, sf):
-    path = _scratch(spark, "charts")
+    path = scratch_path(spark, "charts")
     R.export_chart_data(config_metrics(spark, sf), path)
     return spark.read.parquet(path)
 

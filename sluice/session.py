@@ -63,6 +63,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared checkpoint folder (for sinks and round trips)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of ``df`` into the shared checkpoint folder: later
     stages read the saved partitions (no recomputation of the upstream plan,

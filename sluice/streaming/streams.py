@@ -18,7 +18,6 @@ stream casts it to TIMESTAMP first.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,14 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sluice.operators.merge import upsert_results
-from sluice.session import checkpoint_dir
+from sluice.session import scratch_path
 from sluice.sources.tables import table_path
 
 WATERMARK = "1 hour"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, f"stream-{name}")
 
 
 def access_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
