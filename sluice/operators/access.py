@@ -175,10 +175,14 @@ def _same_prev_block_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({INST: pdf[INST].to_numpy(), "pos": pdf["pos"].to_numpy(), "c_res": cnt})
 
 
+MAX_BLOCK = 1 << 22  # rows of one pandas group; beyond ~1e10 accesses the grid grows instead
+
+
 def choose_block(n_max: int) -> int:
-    """Block size ~ n^(2/3): groups of <= B rows and a grid of ~(n/B)^2 cells."""
+    """Block size ~ n^(2/3): groups of <= B rows and a grid of ~(n/B)^2 cells,
+    with B capped so one task never holds more than ``MAX_BLOCK`` rows."""
     b = max(64, int(round(n_max ** (2.0 / 3.0))))
-    return 1 << (b - 1).bit_length()
+    return min(1 << (b - 1).bit_length(), MAX_BLOCK)
 
 
 def reuse_distance(seq_log: DataFrame, block: int | None = None) -> DataFrame:
