@@ -18,10 +18,21 @@ from pyspark.sql import functions as F
 from sluice.session import cut_lineage
 
 
+SLICE_BYTES = 64 * 1024 * 1024
+
+
 def _n_parts(df: DataFrame, num_partitions: int | None) -> int:
+    """Number of range slices: one per ~64 MB of the optimizer's size estimate,
+    at most ``spark.sql.shuffle.partitions`` (the cap also bounds the per-slice
+    summaries of a hot group)."""
     if num_partitions:
         return int(num_partitions)
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - no estimate: use the cap
+        return cap
+    return max(1, min(cap, -(-size // SLICE_BYTES)))
 
 
 def sliced(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], n: int) -> DataFrame:
