@@ -45,11 +45,11 @@ def access_count_agg(log: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("accesses"), F.min("ts").alias("first_access"), F.max("ts").alias("last_access"))
 
 
-def sequence_log(log: DataFrame, checkpoint: bool = True) -> DataFrame:
+def sequence_log(log: DataFrame, checkpoint: bool = True, num_partitions: int | None = None) -> DataFrame:
     """Add ``pos`` (1-based order per instance by (ts, seq)), ``prev_pos`` and
     ``prev_ts`` (previous access of the same key, NULL when cold)."""
-    s = dense_position(log, [INST], ["ts", "seq"], "pos")
-    s = previous_in_group(s, [INST, KEY], ["pos"], ["pos", "ts"])
+    s = dense_position(log, [INST], ["ts", "seq"], "pos", num_partitions=num_partitions)
+    s = previous_in_group(s, [INST, KEY], ["pos"], ["pos", "ts"], num_partitions=num_partitions)
     return cut_lineage(s) if checkpoint else s
 
 
@@ -59,7 +59,8 @@ def ttl_hits_sliding(seq_log: DataFrame, ttl_seconds: float) -> DataFrame:
     return seq_log.withColumn("hit", F.coalesce(gap < F.lit(int(ttl_seconds * 1_000_000)), F.lit(False)))
 
 
-def fixed_ttl_anchors_multi(log: DataFrame, ttls_seconds: Sequence[float], max_rounds: int = 64) -> DataFrame:
+def fixed_ttl_anchors_multi(log: DataFrame, ttls_seconds: Sequence[float], max_rounds: int = 64,
+                            num_partitions: int | None = None) -> DataFrame:
     """Fixed TTL (a hit does not renew) for several TTLs at once: returns
     ``(ttl_seconds, instance, key, seq)`` of the accesses that miss (the set /
     anchor accesses) under each TTL.
@@ -88,7 +89,7 @@ def fixed_ttl_anchors_multi(log: DataFrame, ttls_seconds: Sequence[float], max_r
     # a probe sorts before a point at the same instant: an access exactly TTL later misses;
     # ttl_seconds orders probes of the same source and instant deterministically
     nb = neighbors_non_null(u, [INST, KEY], ["t", "kind", "tie", "ttl_seconds"], prev_value="pt_t", prev_col="prev_t",
-                            next_value="pt", next_col="nxt")
+                            next_value="pt", next_col="nxt", num_partitions=num_partitions)
     nb = cut_lineage(nb.select(INST, KEY, "kind", "src", "pt", "t", "prev_t", "nxt", "ttl_seconds"))
     starts = (nb.filter(F.col("kind") == 1).drop("ttl_seconds").crossJoin(ttl_df)
               .filter(F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") >= F.col("ttl_us")))
@@ -115,9 +116,9 @@ def fixed_ttl_anchors_multi(log: DataFrame, ttls_seconds: Sequence[float], max_r
     return anchors
 
 
-def fixed_ttl_anchors(log: DataFrame, ttl_seconds: float) -> DataFrame:
+def fixed_ttl_anchors(log: DataFrame, ttl_seconds: float, num_partitions: int | None = None) -> DataFrame:
     """Single-TTL form of ``fixed_ttl_anchors_multi``: ``(instance, key, seq)`` of the misses."""
-    return fixed_ttl_anchors_multi(log, [ttl_seconds]).drop("ttl_seconds")
+    return fixed_ttl_anchors_multi(log, [ttl_seconds], num_partitions=num_partitions).drop("ttl_seconds")
 
 
 def ttl_hits_fixed(log: DataFrame, ttl_seconds: float) -> DataFrame:

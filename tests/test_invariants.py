@@ -42,7 +42,7 @@ def _brute_reuse(rows):
 
 def test_reuse_distance_matches_brute_force_with_small_blocks(spark):
     rows, log = _hot_log(spark)
-    s = A.sequence_log(log)
+    s = A.sequence_log(log, num_partitions=9)  # many slices: the hot key spans several
     want = _brute_reuse(rows)
     for block in (4, 16, 1024):
         got = {r.seq: r.reuse_distance for r in A.reuse_distance(s, block=block).collect()}
@@ -71,8 +71,9 @@ def test_fixed_ttl_matches_sequential_replay(spark):
         if k not in anchor or (t - anchor[k]).total_seconds() >= ttl:
             anchor[k] = t
             want.add(r[3])
-    got = {r.seq for r in A.fixed_ttl_anchors(log, ttl).collect()}
-    assert got == want
+    for parts in (None, 7):  # one slice and many slices (the hot key crosses slice borders)
+        got = {r.seq for r in A.fixed_ttl_anchors(log, ttl, num_partitions=parts).collect()}
+        assert got == want, parts
 
 
 def test_hits_misses_and_monotone_curve(spark):
