@@ -69,7 +69,7 @@ def evict_candidates_floor(spark, sf):
 
 
 @register("recent_history", B.with_ctes(B.EV_CTE, SEQ_CTES.split(",\nrd AS")[0]) + """
-SELECT instance, key, seq, ts, recency_rank FROM (
+SELECT instance, key, seq, ts, CAST(recency_rank AS INTEGER) AS recency_rank FROM (
   SELECT *, row_number() OVER (PARTITION BY instance ORDER BY ts DESC, seq DESC) AS recency_rank
   FROM seql WHERE NOT coalesce(epoch_us(ts) - epoch_us(prev_ts) < 3600000000, false)
 ) WHERE recency_rank <= 10""")

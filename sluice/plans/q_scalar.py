@@ -33,7 +33,7 @@ def categorize_text(spark, sf):
 
 
 @register("extract_keywords", Q + f"""
-SELECT id, array_to_string(kw, '|') AS keywords, len(kw) AS n_keywords
+SELECT id, array_to_string(kw, '|') AS keywords, CAST(len(kw) AS INTEGER) AS n_keywords
 FROM (SELECT id, {X.extract_keywords_sql("question_title || ' ' || question_content")} AS kw FROM questions)""")
 def extract_keywords(spark, sf):
     q = B.questions(spark, sf)
@@ -54,7 +54,7 @@ def template_text(spark, sf):
 
 
 @register("token_count", QA + f"""
-SELECT id, {X.token_count_sql('answer')} AS token_count, length(answer) AS char_count FROM qa""")
+SELECT id, CAST({X.token_count_sql('answer')} AS INTEGER) AS token_count, CAST(length(answer) AS INTEGER) AS char_count FROM qa""")
 def token_count(spark, sf):
     qa = B.qa_pairs(spark, sf)
     return qa.select("id", X.token_count(F.col("answer")).alias("token_count"),
@@ -62,7 +62,7 @@ def token_count(spark, sf):
 
 
 @register("char_count", B.with_ctes(B.QA_CTE, B.MR_CTE) + f"""
-SELECT question_id, model_name, length(answer) AS char_count, {X.token_count_sql('answer')} AS token_count FROM mr""")
+SELECT question_id, model_name, CAST(length(answer) AS INTEGER) AS char_count, CAST({X.token_count_sql('answer')} AS INTEGER) AS token_count FROM mr""")
 def char_count(spark, sf):
     mr = B.model_results(spark, sf)
     return mr.select("question_id", "model_name", X.char_count(F.col("answer")).alias("char_count"),
@@ -83,7 +83,7 @@ def hash_score(spark, sf):
 
 @register("score_input", QA + """
 SELECT id, md5(question_title || chr(10) || coalesce(question_content, '')) AS input_md5,
-       length(question_title || chr(10) || coalesce(question_content, '')) AS input_len FROM qa""")
+       CAST(length(question_title || chr(10) || coalesce(question_content, '')) AS INTEGER) AS input_len FROM qa""")
 def score_input(spark, sf):
     qa = B.qa_pairs(spark, sf)
     x = S.score_input(F.col("question_title"), F.col("question_content"))
@@ -156,7 +156,7 @@ def json_decode(spark, sf):
 
 
 @register("json_encode", """
-SELECT event_id AS seq, to_json(struct_pack(event_type := event_type, k := CAST(json_extract(props, '$.k') AS BIGINT), v := value)) AS payload
+SELECT event_id AS seq, CAST(to_json(struct_pack(event_type := event_type, k := CAST(json_extract(props, '$.k') AS BIGINT), v := value)) AS VARCHAR) AS payload
 FROM events""")
 def json_encode(spark, sf):
     ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "event_type", "props", "value")
@@ -167,9 +167,9 @@ def json_encode(spark, sf):
 
 @register("json_counter_update", """
 SELECT event_id AS seq,
-       to_json(struct_pack(k := CAST(json_extract(props, '$.k') AS BIGINT),
-                           access_count := coalesce(CAST(json_extract(props, '$.access_count') AS BIGINT), 1) + 1,
-                           last_accessed := strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'))) AS payload
+       CAST(to_json(struct_pack(k := CAST(json_extract(props, '$.k') AS BIGINT),
+                                access_count := coalesce(CAST(json_extract(props, '$.access_count') AS BIGINT), 1) + 1,
+                                last_accessed := strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'))) AS VARCHAR) AS payload
 FROM events""")
 def json_counter_update(spark, sf):
     ev = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "props", "ts")

@@ -78,7 +78,7 @@ def stream_access_counts(spark, sf):
 @register("stream_hit_metrics", B.with_ctes(B.EV_CTE) + """
 SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,
        count(*) AS ops, count(CASE WHEN is_error THEN 1 END) AS errors,
-       sum(CAST(round(op_ms * 100) AS BIGINT)) AS op_ms_e2
+       CAST(sum(CAST(round(op_ms * 100) AS BIGINT)) AS BIGINT) AS op_ms_e2
 FROM ev GROUP BY 1, 2
 HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR""")
 def stream_hit_metrics(spark, sf):
