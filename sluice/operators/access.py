@@ -333,6 +333,10 @@ def access_metrics(flags: DataFrame, policies: Sequence[str], sizes: Sequence[in
         F.sum("evictions").alias("evictions"), F.sum("lru_evictions").alias("lru_evictions"),
         F.sum("hit_ms").alias("hit_ms"), F.sum("miss_ms").alias("miss_ms"),
         F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    # every configuration gets a row, also for an empty log (0 operations, 0 rates)
+    grid = F.broadcast(flags.sparkSession.createDataFrame(cfgs, "policy string, cache_size int"))
+    g = grid.join(g, ["policy", "cache_size"], "left").fillna(
+        0, ["total_operations", "hits", "misses", "evictions", "lru_evictions"])
     return g.select(
         "policy", F.col("cache_size").cast("int").alias("cache_size"),
         "total_operations", F.col("hits").cast("long").alias("hits"), F.col("misses").cast("long").alias("misses"),
@@ -345,8 +349,8 @@ def access_metrics(flags: DataFrame, policies: Sequence[str], sizes: Sequence[in
         round_ratio(F.col("hits") * 100, F.col("hits") + F.col("misses"), 2).alias("cache_efficiency"),
         round_ratio(F.col("hits") * 100, F.col("hits") + F.col("misses") + F.col("evictions"), 2)
         .alias("efficiency_evict"),
-        ((F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1e6)
-        .alias("runtime_seconds"),
+        F.coalesce((F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1e6,
+                   F.lit(0.0)).alias("runtime_seconds"),
     )
 
 

@@ -183,11 +183,16 @@ def access_metrics_sql(ttl_seconds: int = DEFAULT_TTL_SECONDS) -> str:
               ELSE 0 END AS evictions,
          greatest(0, ops - hits - least(cache_size, keys)) AS lru_evictions
   FROM per
-), g AS (
+), g0 AS (
   SELECT policy, cache_size, sum(ops) AS total_operations, sum(hits) AS hits, sum(misses) AS misses,
          sum(evictions) AS evictions, sum(lru_evictions) AS lru_evictions, sum(hit_ms) AS hit_ms,
          sum(miss_ms) AS miss_ms, min(t0) AS t0, max(t1) AS t1
   FROM per2 GROUP BY policy, cache_size
+), g AS (
+  SELECT c.policy, c.cache_size, coalesce(total_operations, 0) AS total_operations, coalesce(hits, 0) AS hits,
+         coalesce(misses, 0) AS misses, coalesce(evictions, 0) AS evictions,
+         coalesce(lru_evictions, 0) AS lru_evictions, hit_ms, miss_ms, t0, t1
+  FROM (VALUES {cfg}) AS c(policy, cache_size) LEFT JOIN g0 USING (policy, cache_size)
 )
 SELECT policy, CAST(cache_size AS INTEGER) AS cache_size, CAST(total_operations AS BIGINT) AS total_operations,
        CAST(hits AS BIGINT) AS hits, CAST(misses AS BIGINT) AS misses, CAST(misses AS BIGINT) AS sets,
@@ -199,7 +204,7 @@ SELECT policy, CAST(cache_size AS INTEGER) AS cache_size, CAST(total_operations
        {round_ratio_sql('coalesce(miss_ms, 0)', 'misses * 100', 2)} AS avg_miss_time_ms,
        {round_ratio_sql('hits * 100', 'hits + misses', 2)} AS cache_efficiency,
        {round_ratio_sql('hits * 100', 'hits + misses + evictions', 2)} AS efficiency_evict,
-       (epoch_us(t1) - epoch_us(t0)) / 1e6 AS runtime_seconds
+       coalesce((epoch_us(t1) - epoch_us(t0)) / 1e6, 0.0) AS runtime_seconds
 FROM g"""
 
 

@@ -119,3 +119,39 @@ def test_content_key_strips_unicode_blanks(spark):
     df = spark.createDataFrame([(t, "")], "t string, c string")
     got = df.select(X.content_key(F.col("t"), F.col("c"))).first()[0]
     assert got == hashlib.sha256(f"{t}|".strip().encode()).hexdigest()
+
+
+def test_stats_ties_pick_smallest_class_and_id(spark):
+    rows = [(3, "b", 5), (1, "a", 5), (2, "c", 7), (4, "d", 7)]
+    q = spark.createDataFrame([(i, t, "", None, None, None, n, c) for (i, t, c), n in zip(rows, [2, 2, 1, 1])],
+                              "id long, question_title string, question_content string, original_answer string,"
+                              " llm_answer string, quality_score double, access_count int, original_class int")
+    r = SM.questions_stats(q).first()
+    # classes 5 and 7 both appear twice -> 5; titles 'a' (id 1) and 'b' (id 3) share the max count -> id 1
+    assert (r.top_class, r.most_accessed_question, r.total_questions) == (5, "a", 4)
+
+
+def test_anti_join_ignores_null_question_id(spark):
+    from sluice.operators import merge as M
+
+    q = spark.createDataFrame([(1,), (2,)], "id long")
+    res = spark.createDataFrame([(None, "gpt-4o"), (2, "gpt-4o")], "question_id long, model_name string")
+    assert sorted(r.id for r in M.anti_unprocessed(q, res).collect()) == [1]
+
+
+def test_reuse_distance_one_key_distinct_keys_and_tied_times(spark):
+    # one key only: every re-access has distance 0
+    s = A.sequence_log(_log(spark, [0, 5, 5, 9]))
+    assert [r.reuse_distance for r in A.reuse_distance(s, block=64).orderBy("seq").collect()] == [0, 0, 0]
+    # all keys distinct: no re-access at all
+    base = dt.datetime(2024, 1, 1)
+    rows = [("i", k, base, k, 1.0, False) for k in range(6)]
+    s2 = A.sequence_log(spark.createDataFrame(rows, "instance string, key long, ts timestamp_ntz, seq long, op_ms double, is_error boolean"))
+    assert A.reuse_distance(s2, block=64).count() == 0
+
+
+def test_access_metrics_on_empty_log(spark):
+    empty = spark.createDataFrame([], "instance string, key long, ts timestamp_ntz, seq long, op_ms double, is_error boolean")
+    m = A.access_metrics(A.access_flags(empty, 3600), ["LRU", "TTL"], [10, 100]).collect()
+    assert len(m) == 4
+    assert all(r.total_operations == 0 and r.hit_rate_percent == 0.0 and r.evictions == 0 for r in m)
