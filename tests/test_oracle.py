@@ -13,6 +13,10 @@ FAST = ["questions_summary", "questions_stats", "model_comparison", "flagship",
 NAMES = sorted(E.oracle_sql()) if os.environ.get("SLUICE_FULL_ORACLE") else FAST
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 def _norm(v):
     if isinstance(v, float):
         return repr(v)
@@ -30,6 +34,10 @@ def test_matches_duckdb(spark, duck, name):
     res = con.execute(E.oracle_sql()[name])
     dcols = [d[0] for d in res.description]
     assert sorted(dcols) == sorted(cols)
+    dtypes = dict(zip(dcols, [str(t) for t in con.sql(E.oracle_sql()[name]).types]))
+    for f in df.schema.fields:
+        st = f.dataType.simpleString()
+        assert SPARK_TO_DUCK.get(st, st) == dtypes[f.name], (f.name, st, dtypes[f.name])
     idx = [dcols.index(c) for c in sorted(cols)]
     want = sorted(tuple(_norm(r[i]) for i in idx) for r in res.fetchall())
     assert got == want
