@@ -37,3 +37,12 @@ def test_every_query_has_a_name_and_most_have_oracles():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(o) >= len(q) - 3
+
+
+def test_entry_smoke(spark):
+    import __spark_entry__ as E
+
+    df = E.entry(spark)
+    assert df.columns == ["model_name", "model_provider", "total_answers", "avg_quality_score",
+                          "avg_response_time", "cost_tier", "high_quality_answers"]
+    assert df.count() >= 0
