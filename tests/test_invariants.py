@@ -115,3 +115,14 @@ def test_best_score_is_max(spark):
     best = SC.best_model_per_question(mr, models_dim(spark))
     mx = mr.groupBy("question_id").agg(F.max("quality_score").alias("m"))
     assert best.join(mx, "question_id").filter(F.col("m") != F.col("best_score")).count() == 0
+
+
+def test_curve_by_instance_adds_up_to_global(spark):
+    log = B.access_log(spark, SF0001)
+    s = A.sequence_log(log)
+    d = A.reuse_distance(s)
+    sizes = [1, 10, 100]
+    glob = {r.cache_size: (r.accesses, r.hits) for r in A.hit_rate_curve(s, d, sizes).collect()}
+    per = A.hit_rate_curve(s, d, sizes, by_instance=True).groupBy("cache_size").agg(
+        F.sum("accesses").alias("a"), F.sum("hits").alias("h")).collect()
+    assert {r.cache_size: (r.a, r.h) for r in per} == glob
