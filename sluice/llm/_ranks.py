@@ -12,9 +12,10 @@ BUCKETS = 4096
 
 
 def running_total(rows: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, out: str,
-                  buckets: int = BUCKETS) -> DataFrame:
+                  ties: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
     """Add ``out``: the total of ``value`` over the rows of the same ``group`` before this row and this
-    row itself. Rows are ordered by a hash bucket of ``order``, then by ``order``.
+    row itself. Rows are ordered by a hash bucket of ``order``, then by ``order``, then by ``ties``, which
+    need not be the same in another run.
 
     The totals of the buckets come first (partial sums before the shuffle), their prefix sums give each
     bucket its start, and a window runs inside one bucket: a group holding a third of all rows is spread
@@ -27,7 +28,7 @@ def running_total(rows: DataFrame, group: Sequence[str], order: Sequence[str], v
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (keyed.groupBy(*group, "_bucket").agg(F.sum("_value").alias("_total"))
               .select(*group, "_bucket", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start")))
-    inside = (Window.partitionBy(*group, "_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order])
+    inside = (Window.partitionBy(*group, "_bucket").orderBy(*[F.col(c).asc_nulls_first() for c in [*order, *ties]])
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (keyed.join(starts, [*group, "_bucket"])
             .withColumn(out, F.col("_start") + F.sum("_value").over(inside))

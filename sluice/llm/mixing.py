@@ -64,18 +64,18 @@ def fair_queue(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     budget = int(targets.agg(F.sum("source_size")).first()[0] or 0)
     queued = (rows.join(targets, F.col("source").eqNullSafe(F.col("_name")), "inner")
               .withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "_text")))
-    queued = running_total(queued, ["_src"], ["_hash", "doc_id", "_text", "_uid"], F.col("size"), "_cumulative")
+    queued = running_total(queued, ["_src"], ["_hash", "doc_id", "_text"], F.col("size"), "_cumulative", ["_uid"])
     size, end = F.col("source_size").cast("double"), F.col("_cumulative").cast("double")
     copies = (queued.where((F.col("target") > 0) & (F.col("size") > 0))
               .withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
               .where(F.col("_round") * size + end - F.col("size") < F.col("target"))
               .withColumn("_finish", (F.col("_round") * size + end) / F.col("target"))
               .withColumn("_slice", F.least(F.floor(F.col("_finish") * slices), F.lit(2 * slices)).cast("int")))
-    copies = write_table(copies.select("_uid", "_round", "size", "_src", "_finish", "_slice"), "mix-copies")
+    copies = write_table(copies.select("_uid", "_round", "size", "_src", "_hash", "doc_id", "_text", "_finish", "_slice"), "mix-copies")
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 * slices + 1 rows
     starts = copies.groupBy("_slice").agg(F.sum("size").alias("_total")).select(
         "_slice", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_slice").orderBy("_finish", "_src", "_uid", "_round").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_slice").orderBy("_finish", "_src", "_hash", "doc_id", "_text", "_round", "_uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = (copies.join(starts, "_slice").withColumn("_total", F.col("_start") + F.sum("size").over(inside))
              .where(F.col("_total") <= F.lit(budget)).groupBy("_uid").agg(F.count(F.lit(1)).alias("copies")))
     return (rows.join(targets, F.col("source").eqNullSafe(F.col("_name")), "inner").join(taken, "_uid", "left")
