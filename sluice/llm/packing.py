@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -17,7 +19,7 @@ from sluice.session import write_table
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers; beyond it forgets all and starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -26,35 +28,91 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: A word of Latin letters and marks after them: lower-cased letters and marks are separate parts for the tokenizer.
+_LETTERS, _MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+"), b".,!?;:*#$%&|"
+_PROBES = ["the", "Erthing.", "naïve,", "STRASSE!!", "Straße***", "a%%%", "garçon|", "ÉTÉ&&&", "x;:", "y###", "z$$$", "Ÿ", "word"]
+
+
+def _byte_characters() -> list[str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself where it is printable
+    in Latin-1, else the next free one from U+0100."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in own else next(rest)) for b in range(256)]
+
+
 class WordIds:
     """Token ids (little-endian unsigned 32-bit) of whole texts, word by word.
 
     The tokenizer splits at white space before anything else, so a text's ids are its words' ids in a
-    row. Each distinct word is encoded once and remembered.
+    row. Each distinct word is encoded once and remembered. A word of letters and marks is the ids of the
+    two parts, which skips the tokenizer's normaliser; that way is taken only if it agrees with the whole
+    tokenizer on probe words.
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remembered, self.known = Tokenizer.from_file(path), remembered, {}
+        self.tokenizer, self.remembered, self.known, self.parts = Tokenizer.from_file(path), remembered, {}, {}
+        self.model, self.alphabet = self.tokenizer.model, _byte_characters()
+        self.short = all(self._split(w.encode()) in (None, x) for w, x in zip(_PROBES, self._whole(_PROBES), strict=True))
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        return [np.array(c.ids, dtype="<u4").tobytes() for c in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _split(self, word: bytes) -> bytes | None:
+        """Ids of a word of letters and marks; None for other words."""
+        stem = word.rstrip(_MARKS)
+        if stem.isalpha():  # ASCII
+            low = stem.lower()
+        else:
+            text = stem.decode("utf-8", "replace")
+            if not _LETTERS.fullmatch(text):
+                return None
+            low = text.lower().encode()
+        ids = self.parts.get(low) or self._part(low)
+        if len(stem) == len(word):
+            return ids
+        marks = word[len(stem) :]
+        return ids + (self.parts.get(marks) or self._part(marks))
+
+    def _part(self, part: bytes) -> bytes:
+        coded = part.decode() if part.isascii() else "".join([self.alphabet[b] for b in part])
+        found = [t.id for t in self.model.tokenize(coded)]
+        ids = self.parts[part] = struct.pack(f"<{len(found)}I", *found)
+        return ids
 
     def __call__(self, text: bytes | None) -> bytes:
         words = (text or b"").split()
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in known})
+        new = set(words).difference(known)
         if len(known) + len(new) > self.remembered:
-            known = self.known = {}
-            new = list(set(words))
-        coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        for w, c in zip(new, coded, strict=True):
-            known[w] = np.array(c.ids, dtype="<u4").tobytes()
+            known.clear()
+            self.parts.clear()
+            new = set(words)
+        rest = []
+        for w in new:
+            ids = self._split(w) if self.short else None
+            if ids is None:
+                rest.append(w)
+            else:
+                known[w] = ids
+        if rest:
+            known.update(zip(rest, self._whole([w.decode("utf-8", "replace") for w in rest]), strict=True))
         return b"".join([known[w] for w in words])
 
 
+_KEPT: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's encoder: it outlives a task, and what it remembers is bounded."""
+    if path not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path] = WordIds(path)
+    return _KEPT[path]
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -67,7 +125,7 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
     path = path or tokenizer_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, width = WordIds(path), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
+        encode, end, width = word_ids(path), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             out = [[], [], [], [], [], []]
             for key, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -20,7 +20,9 @@ def test_word_ids_are_the_tokenizers(tokenizer):
     odd = ["", " ", "it's DON'T 's", "Straße É́ éx à", "a b c\x1cd\x85e", "<|endoftext|> x<|startoftext|>y", "\x00\x7f~ 12345 3.14", "漢字かな 한국어", "ΣΑΣ σας ΟΔΟΣ", "İstanbul ǅ"]
     alphabet = "aAé'sS1 \t\ń 　<|>ﬁß漢"
     texts = odd + ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 40))) for _ in range(300)]
+    texts += ["".join(draw.choice("abcXYZÀÖØßéÿŸµ") for _ in range(draw.randint(1, 9))) + draw.choice(["", ".", "***", "!?", "&&&", "'s", "’s", "1"]) for _ in range(300)]
     ids = packing.WordIds(packing.tokenizer_path(), remembered=50)
+    assert ids.short
     for t in texts:
         assert np.frombuffer(ids(t.encode()), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
