@@ -18,8 +18,8 @@ from sluice.session import write_table
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a worker remembers; beyond it forgets all and starts anew.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers, and parts of words; beyond it forgets all and starts anew.
+REMEMBERED = 250_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -88,8 +88,9 @@ class WordIds:
         new = set(words).difference(known)
         if len(known) + len(new) > self.remembered:
             known.clear()
-            self.parts.clear()
             new = set(words)
+        if len(self.parts) > self.remembered:
+            self.parts.clear()
         rest = []
         for w in new:
             ids = self._split(w) if self.short else None
