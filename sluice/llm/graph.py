@@ -39,6 +39,27 @@ def _contract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": nodes[keep], "b": root[keep]})
 
 
+def shared_token_edges(members: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
+    """Edges (a, b) that connect all nodes which share a token.
+
+    ``members``: rows (a: node, b: token, linked: false), and edges found already (a, b: nodes, linked: true).
+    Rows meet by token and each task sends a star forest of its nodes only, so the tokens go no further.
+    """
+    members = write_table(members, "members")
+    alone = members.where("not linked")
+    tasks = 1 + alone.count() // edges_per_task
+
+    def stars(f: pd.DataFrame) -> pd.DataFrame:
+        node, token = f["a"].to_numpy(), f["b"].to_numpy()
+        by = np.argsort(token, kind="stable")
+        node, token = node[by], token[by]
+        same = token[1:] == token[:-1]
+        return next(_contract(iter([pd.DataFrame({"a": node[1:][same], "b": node[:-1][same]})])))
+
+    shares = alone.withColumn("_share", F.pmod(F.xxhash64("b"), F.lit(tasks)).cast("int"))
+    return members.where("linked").select("a", "b").union(shares.groupBy("_share").applyInPandas(stars, "a long, b long"))
+
+
 def connected_components(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
     """(node, root) for every node that has an edge to another node; root is the component's smallest node.
 
@@ -46,7 +67,7 @@ def connected_components(edges: DataFrame, edges_per_task: int = EDGES_PER_TASK)
     star forest; then rounds of large and small stars link the forests until no edge changes. Each
     round is written to the checkpoint folder; the driver gets one row of counts a round.
     """
-    edges = write_table(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    edges = write_table(edges.select("a", "b").where("a <> b"), "edges")
     n = edges.count()
     tasks = -(-n // edges_per_task)
     if not n:

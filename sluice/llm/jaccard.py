@@ -9,7 +9,7 @@ share ``min(L, L')`` tokens.
    drops the shingles of one class only and tells the others' number of classes.
 2. By class, the shared shingles are put in order. A class with too many unshared shingles has an empty
    prefix, so it cannot have a partner, and ends here.
-3. Classes that share a prefix shingle form clusters (connected components of classes and shingles).
+3. Classes that share a prefix shingle form clusters (their connected components).
    Candidates exist inside clusters only.
 4. Small clusters are joined many at a time, large ones block by block; a task emits at most one link
    per class (a spanning forest), never all pairs of a group.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm._packed import pack, runs, unpack
 from sluice.llm._text import U64, Words, blocks, mix64, table_bytes, windows
-from sluice.llm.graph import connected_components
+from sluice.llm.graph import connected_components, roots_of, shared_token_edges
 from sluice.session import write_table
 
 WIDTH, PERCENT = 4, 85
@@ -111,20 +111,23 @@ def _share(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """One range of shingles: those of two or more classes, with that number, by class."""
     if int(frame["bucket"].iloc[0]) >= buckets:
         return frame
-    tokens, kinds = [], []
+    tokens, present, places, held = [], [], [], 0
     for value in frame["packed"]:
-        t, present, inverse = unpack(value)
+        t, kinds, inverse = unpack(value)
         tokens.append(t)
-        kinds.append(present[inverse])
-    token, kind = np.concatenate(tokens), np.concatenate(kinds)
-    del tokens, kinds
+        present.append(kinds)
+        places.append(inverse + np.uint32(held))
+        held += len(kinds)
+    token, place, kinds = np.concatenate(tokens), np.concatenate(places), np.concatenate(present)
+    del tokens, present, places
     by = np.argsort(token)
-    token, kind = token[by], kind[by]
+    token = token[by]
     twin = np.zeros(len(token), dtype=bool)
     equal = token[1:] == token[:-1]
     twin[1:] |= equal
     twin[:-1] |= equal
-    token, kind = token[twin], kind[twin]
+    token, kind = token[twin], kinds[place[by[twin]]]
+    del by, place
     by = np.lexsort((kind, token))
     token, kind = token[by], kind[by]
     new = np.ones(len(token), dtype=bool)  # one entry for a class, whatever the blocks it came in
@@ -169,17 +172,26 @@ def _order(frame: pd.DataFrame, percent: int, buckets: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=columns).astype({"kind": "Int64"})
 
 
-def _prefix_edges(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """(class, shingle) for the shared shingles of every prefix that asks for one match."""
+def _prefix_members(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(class, shingle) for the shared shingles of every prefix that asks for one match; classes of one batch
+    that share a shingle are linked at once (class, class, true), and one of them keeps it: a hot shingle
+    sends one row a batch."""
     for batch in batches:
-        a, b = [], []
+        node, token = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for kind, n, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             t = np.frombuffer(tokens, np.int64)
             t = t[: prefix_length(n, 1, percent) - (n - len(t))]
-            a.append(np.full(len(t), kind, dtype=np.int64))
-            b.append(t)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            node.append(np.full(len(t), kind, dtype=np.int64))
+            token.append(t)
+        node, token = np.concatenate(node), np.concatenate(token)
+        by = np.argsort(token, kind="stable")
+        node, token = node[by], token[by]
+        again = np.concatenate([[False], token[1:] == token[:-1]]) if len(token) else np.empty(0, bool)
+        at = np.flatnonzero(again)
+        a, root = roots_of(node[at], node[at - 1])
+        a, root = a[a != root], root[a != root]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, node[~again]])), pa.array(np.concatenate([root, token[~again]])),
+                                          pa.array(np.arange(len(a) + int((~again).sum())) < len(a))], names=["a", "b", "linked"])
 
 
 def choose_level(n: int, often: np.ndarray, percent: int) -> tuple[int, int]:
@@ -268,12 +280,10 @@ def _join(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 def _links(classes: DataFrame, percent: int, join_tokens: int) -> DataFrame:
     """Spanning links between classes (columns a, b)."""
-    edges = classes.select("kind", "n", "tokens").mapInArrow(lambda it: _prefix_edges(it, percent), "a long, b long")
-    # a class and a shingle are both 64-bit numbers: odd and even keep them apart
-    cluster = connected_components(edges.select(F.shiftleft("a", 1).alias("a"), (F.shiftleft("b", 1) + 1).alias("b")))
+    members = classes.select("kind", "n", "tokens").mapInArrow(lambda it: _prefix_members(it, percent), "a long, b long, linked boolean")
+    cluster = connected_components(shared_token_edges(members))
     clusters = classes.select("kind", (F.octet_length("tokens") / 8).cast("long").alias("held")).join(
-        cluster.withColumnRenamed("node", "_n"), F.shiftleft("kind", 1) == F.col("_n"), "left").select(
-        "kind", "held", F.coalesce("root", F.shiftleft("kind", 1)).alias("cluster"))
+        cluster, F.col("kind") == F.col("node"), "left").select("kind", "held", F.coalesce("root", "kind").alias("cluster"))
     clusters = write_table(clusters, "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.sum("held").alias("total")).where("members > 1")
     total = sizes.agg(F.sum("total")).first()[0] or 0

@@ -80,22 +80,24 @@ def _count(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     key = int(frame["bucket"].iloc[0])
     if key >= buckets:
         return frame
-    hashes, docs, starts = [], [], []
+    hashes, ids, places, starts, held = [], [], [], [], 0
     for value in frame["packed"]:
         h, present, inverse, s = unpack(value)
         hashes.append(h)
-        docs.append(present[inverse])
+        ids.append(present)
+        places.append(inverse + np.uint32(held))
         starts.append(s)
-    h, doc, start = np.concatenate(hashes), np.concatenate(docs), np.concatenate(starts)
-    del hashes, docs, starts
+        held += len(present)
+    h, ids, place, start = np.concatenate(hashes), np.concatenate(ids), np.concatenate(places), np.concatenate(starts)
+    del hashes, places, starts
     by = np.argsort(h, kind="stable")
-    sorted_h = h[by]
+    h = h[by]
     twin = np.zeros(len(h), dtype=bool)
-    equal = sorted_h[1:] == sorted_h[:-1]
+    equal = h[1:] == h[:-1]
     twin[1:] |= equal
     twin[:-1] |= equal
     by = by[twin]
-    h, doc, start = h[by], doc[by], start[by]
+    h, doc, start = h[twin], ids[place[by]], start[by]
     by = np.lexsort((start, doc, h))
     h, doc, start = h[by], doc[by], start[by]
     border = runs(h)
