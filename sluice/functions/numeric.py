@@ -18,21 +18,22 @@ def safe_ratio_pct(n: Column, d: Column) -> Column:
 
 
 def idiv(a: Column, b: Column) -> Column:
-    """Exact integer division (SQL ``div``); no detour through doubles."""
-    return F.call_function("div", a.cast("long"), b.cast("long"))
+    """Exact integer division (SQL ``div``) in 38-digit decimals: products of counts do not overflow a long."""
+    return F.call_function("div", a.cast("decimal(38,0)"), b.cast("decimal(38,0)"))
 
 
 def round_ratio(num: Column, den: Column, scale: int) -> Column:
     """``round(num/den, scale)`` HALF_UP for non-negative integer columns; 0 when den <= 0."""
     p = 10 ** scale
-    q = idiv(num.cast("long") * (2 * p) + den.cast("long"), den.cast("long") * 2)
+    n, d = num.cast("decimal(28,0)"), den.cast("decimal(28,0)")
+    q = idiv(n * F.lit(2 * p).cast("decimal(10,0)") + d, d * 2)
     return F.when(den > 0, q.cast("double") / p).otherwise(F.lit(0.0))
 
 
 def round_ratio_sql(num: str, den: str, scale: int) -> str:
     p = 10 ** scale
-    return (f"CASE WHEN ({den}) > 0 THEN CAST((CAST({num} AS BIGINT) * {2 * p} + CAST({den} AS BIGINT)) "
-            f"// (CAST({den} AS BIGINT) * 2) AS DOUBLE) / {p} ELSE 0.0 END")
+    return (f"CASE WHEN ({den}) > 0 THEN CAST((CAST({num} AS HUGEINT) * {2 * p} + CAST({den} AS HUGEINT)) "
+            f"// (CAST({den} AS HUGEINT) * 2) AS DOUBLE) / {p} ELSE 0.0 END")
 
 
 def scaled(c: Column, in_scale: int) -> Column:

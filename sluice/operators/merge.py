@@ -56,12 +56,14 @@ def last_write_wins(rows: DataFrame, key: list[str], order_col: str = "created_a
 def upsert_results(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """INSERT ... ON CONFLICT (question_id, model_name) DO UPDATE answer, quality_score,
     response_time, created_at. Provider and cost tier keep their old values."""
-    new = last_write_wins(incoming.select(*RESULT_COLS), RESULT_KEY, "created_at", ["answer"])
-    o = existing.select(*RESULT_COLS).alias("o")
-    n = new.alias("n")
+    # a NULL key part is no conflict (UNIQUE treats NULLs as distinct): such rows are inserted as they are
+    whole = F.col("question_id").isNotNull() & F.col("model_name").isNotNull()
+    incoming = incoming.select(*RESULT_COLS)
+    new = last_write_wins(incoming.filter(whole), RESULT_KEY, "created_at", ["answer"]).unionByName(incoming.filter(~whole))
+    o = existing.select(*RESULT_COLS, F.lit(True).alias("_old")).alias("o")
+    n = new.withColumn("_new", F.lit(True)).alias("n")
     j = o.join(n, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in RESULT_KEY], "full_outer")
-    matched_new = F.col("n.question_id").isNotNull() | F.col("n.model_name").isNotNull()
-    has_old = F.col("o.model_name").isNotNull()
+    matched_new, has_old = F.col("n._new").isNotNull(), F.col("o._old").isNotNull()
 
     def pick_new(c: str) -> Column:
         return F.when(matched_new, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
@@ -90,30 +92,37 @@ def best_result_writeback(questions: DataFrame, best: DataFrame, failure_score:
     )
 
 
+#: Timestamps of a stored question; absent columns count as NULL.
+QUESTION_TIMES = ("created_at", "updated_at", "first_access", "last_access")
+
+
 def upsert_questions(existing: DataFrame, records: DataFrame, now: Column) -> DataFrame:
     """Batch form of the per-record question upsert.
 
     Records are grouped by the null-safe key (title, content): a matching key
     adds the record count to ``access_count`` on its first stored row (smallest
     id), takes the last non-empty answer and last non-null score, and touches
-    ``updated_at``; a new key is inserted once with ``access_count`` = count and
-    a fresh dense id after the current maximum.
+    ``updated_at`` and ``last_access``; a new key is inserted once with
+    ``access_count`` = count and a dense id after the current maximum, in order
+    of arrival (first ``seq``). All timestamp columns of stored rows stay.
     """
     key = ["question_title", "question_content"]
     seq = F.struct(F.col("seq"))
-    # group on the 16-byte null-safe pair key; the texts ride along once per key
+    for c in QUESTION_TIMES:
+        if c not in existing.columns:
+            existing = existing.withColumn(c, F.lit(None).cast("timestamp_ntz"))
+    # counts and last values on the 16-byte null-safe pair key: no text in this shuffle but the answers
     records = records.withColumn("_k", pair_key(F.col("question_title"), F.col("question_content")))
-    existing_k = existing.withColumn("_k", pair_key(F.col("question_title"), F.col("question_content")))
+    existing_k = existing.select("id", pair_key(F.col("question_title"), F.col("question_content")).alias("_k"))
     inc = records.groupBy("_k").agg(
-        F.first("question_title").alias("question_title"), F.first("question_content").alias("question_content"),
-        F.count(F.lit(1)).alias("n_records"),
+        F.count(F.lit(1)).alias("n_records"), F.min("seq").alias("first_seq"),
         F.max_by(F.col("llm_answer"), F.when(F.col("llm_answer").isNotNull() & (F.col("llm_answer") != ""), seq))
         .alias("new_answer"),
         F.max_by(F.col("quality_score"), F.when(F.col("quality_score").isNotNull(), seq)).alias("new_score"),
         F.min_by(F.col("original_answer"), seq).alias("new_original"),
     )
     first = existing_k.groupBy("_k").agg(F.min("id").alias("first_id"))
-    m = inc.join(first, "_k", "left").select(*key, "n_records", "new_answer", "new_score", "new_original", "first_id")
+    m = inc.join(first, "_k", "left")
 
     upd = m.filter(F.col("first_id").isNotNull()).select(
         F.col("first_id").alias("id"), "n_records", "new_answer", "new_score")
@@ -126,19 +135,24 @@ def upsert_questions(existing: DataFrame, records: DataFrame, now: Column) -> Da
         F.when(touched, conditional_overwrite_value(F.col("new_score"), F.col("quality_score")))
         .otherwise(F.col("quality_score")).alias("quality_score"),
         (F.col("access_count") + F.coalesce(F.col("n_records"), F.lit(0))).cast("int").alias("access_count"),
-        "original_class",
-        F.when(touched, now).alias("updated_at"),
+        "original_class", "created_at",
+        F.when(touched, now).otherwise(F.col("updated_at")).alias("updated_at"),
+        "first_access",
+        F.when(touched, now).otherwise(F.col("last_access")).alias("last_access"),
     )
 
+    # arrival order of the new keys: only (first_seq, key) is ranked, the texts join afterwards
     ins = m.filter(F.col("first_id").isNull())
+    ranked = global_dense_id(ins.select("first_seq", "_k"), ["first_seq"], id_col="rank").select("_k", "rank")
     max_id = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("max_id"))
-    ins = global_dense_id(ins, key, id_col="rank").crossJoin(max_id)  # max_id is one row
+    texts = records.select(F.col("seq").alias("first_seq"), "_k", *key)
+    ins = ins.join(ranked, "_k").join(texts, ["_k", "first_seq"]).crossJoin(max_id)  # max_id is one row
     inserted = ins.select(
         (F.col("max_id") + F.col("rank")).alias("id"), *key,
         F.col("new_original").alias("original_answer"),
         F.col("new_answer").alias("llm_answer"), F.col("new_score").alias("quality_score"),
         F.col("n_records").cast("int").alias("access_count"),
         F.lit(None).cast("int").alias("original_class"),
-        now.alias("updated_at"),
+        *[now.alias(c) for c in QUESTION_TIMES],
     )
     return updated.unionByName(inserted)

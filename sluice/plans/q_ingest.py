@@ -169,14 +169,14 @@ def idempotent_load(spark, sf):
 @register("batch_append_sink", Q + "SELECT * FROM questions")
 def batch_append_sink(spark, sf):
     path = scratch_path(spark, "append")
-    IN.batch_append_sink(B.questions(spark, sf), path, files=4)
+    IN.batch_append_sink(B.counted_questions(spark, sf), path, files=4)
     return spark.read.parquet(path)
 
 
 @register("load_row_limit", Q + "SELECT * FROM questions ORDER BY id LIMIT 5000")
 def load_row_limit(spark, sf):
     # the reference keeps the first 5,000 rows of its CSV: the limit is the feature
-    return IN.load_row_limit(B.questions(spark, sf), 5000, ["id"])
+    return IN.load_row_limit(B.counted_questions(spark, sf), 5000, ["id"])
 
 
 @register("load_reconcile", Q + """

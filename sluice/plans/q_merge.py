@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.functions.numeric import avg_rounded, avg_rounded_sql
+from sluice.functions.numeric import avg_rounded, avg_rounded_sql, round_ratio, round_ratio_sql, scaled
 from sluice.operators import merge as M
 from sluice.operators import scoring as SC
 from sluice.operators.sequence import global_dense_id
@@ -67,13 +67,22 @@ def best_result_writeback(spark, sf):
 
 @register("processing_summary", MR + "," + BEST_SQL + f"""
 SELECT count(b.question_id) AS processed, count(*) AS total,
-       coalesce({avg_rounded_sql('b.best_score', 2, 3)}, 0.0) AS avg_quality_score
-FROM qa LEFT JOIN best b ON b.question_id = qa.id""")
+       coalesce({avg_rounded_sql('b.best_score', 2, 3)}, 0.0) AS avg_quality_score,
+       coalesce(sum(t.cs), 0) / 100.0 AS seconds,
+       {round_ratio_sql('count(b.question_id) * 100', 'coalesce(sum(t.cs), 0)', 3)} AS questions_per_second
+FROM qa LEFT JOIN best b ON b.question_id = qa.id
+LEFT JOIN (SELECT question_id, CAST(sum(CAST(round(response_time * 100) AS BIGINT)) AS BIGINT) AS cs FROM mr GROUP BY question_id) t ON t.question_id = qa.id""")
 def processing_summary(spark, sf):
-    best = SC.best_model_per_question(B.model_results(spark, sf), models_dim(spark))
-    j = B.qa_pairs(spark, sf).join(best.withColumnRenamed("question_id", "id"), "id", "left")
-    return j.agg(F.count("best_model").alias("processed"), F.count(F.lit(1)).alias("total"),
-                 F.coalesce(avg_rounded(F.col("best_score"), 2, 3), F.lit(0.0)).alias("avg_quality_score"))
+    """Processed and total questions, mean best score, model seconds and questions per model second."""
+    results = B.model_results(spark, sf)
+    best = SC.best_model_per_question(results, models_dim(spark))
+    spent = results.groupBy(F.col("question_id").alias("id")).agg(F.sum(scaled(F.col("response_time"), 2)).alias("cs"))
+    j = B.qa_pairs(spark, sf).join(best.withColumnRenamed("question_id", "id"), "id", "left").join(spent, "id", "left")
+    g = j.agg(F.count("best_model").alias("processed"), F.count(F.lit(1)).alias("total"),
+              F.coalesce(avg_rounded(F.col("best_score"), 2, 3), F.lit(0.0)).alias("avg_quality_score"),
+              F.coalesce(F.sum("cs"), F.lit(0)).alias("cs"))
+    return g.select("processed", "total", "avg_quality_score", (F.col("cs") / 100.0).alias("seconds"),
+                    round_ratio(F.col("processed") * 100, F.col("cs"), 3).alias("questions_per_second"))
 
 
 MAX_REQUESTS = 10000  # the reference's default request limit
@@ -94,7 +103,7 @@ UPSERT_QUESTION_SQL = B.with_ctes(B.QUESTIONS_CTE, B.QA_CTE, B.RECORDS_CTE) + f"
   SELECT question_title, question_content, count(*) AS n_records,
          arg_max(llm_answer, seq) FILTER (WHERE llm_answer IS NOT NULL AND llm_answer <> '') AS new_answer,
          arg_max(quality_score, seq) FILTER (WHERE quality_score IS NOT NULL) AS new_score,
-         arg_min(original_answer, seq) AS new_original
+         arg_min(original_answer, seq) AS new_original, min(seq) AS first_seq
   FROM records GROUP BY question_title, question_content
 ), firsts AS (
   SELECT question_title, question_content, min(id) AS first_id FROM questions GROUP BY question_title, question_content
@@ -111,20 +120,26 @@ SELECT q.id, q.question_title, q.question_content, q.original_answer,
        CASE WHEN u.n_records IS NOT NULL THEN coalesce(u.new_score, q.quality_score) ELSE q.quality_score END AS quality_score,
        CAST(q.access_count + coalesce(u.n_records, 0) AS INTEGER) AS access_count,
        q.original_class,
-       CASE WHEN u.n_records IS NOT NULL THEN TIMESTAMP '{B.UPSERT_NOW}' END AS updated_at
+       TIMESTAMP '{B.STORED_AT}' AS created_at,
+       CASE WHEN u.n_records IS NOT NULL THEN TIMESTAMP '{B.UPSERT_NOW}' ELSE TIMESTAMP '{B.STORED_AT}' END AS updated_at,
+       TIMESTAMP '{B.STORED_AT}' AS first_access,
+       CASE WHEN u.n_records IS NOT NULL THEN TIMESTAMP '{B.UPSERT_NOW}' ELSE TIMESTAMP '{B.STORED_AT}' END AS last_access
 FROM questions q LEFT JOIN upd u USING (id)
 UNION ALL
 SELECT (SELECT coalesce(max(id), 0) FROM questions)
-         + row_number() OVER (ORDER BY question_title NULLS FIRST, question_content NULLS FIRST) AS id,
+         + row_number() OVER (ORDER BY first_seq) AS id,
        question_title, question_content, new_original, new_answer, new_score, CAST(n_records AS INTEGER),
-       CAST(NULL AS INTEGER), TIMESTAMP '{B.UPSERT_NOW}'
+       CAST(NULL AS INTEGER), TIMESTAMP '{B.UPSERT_NOW}', TIMESTAMP '{B.UPSERT_NOW}', TIMESTAMP '{B.UPSERT_NOW}', TIMESTAMP '{B.UPSERT_NOW}'
 FROM m WHERE first_id IS NULL"""
 
 
 @register("upsert_question", UPSERT_QUESTION_SQL)
 def upsert_question(spark, sf):
     now = F.lit(B.UPSERT_NOW).cast("timestamp_ntz")
-    return M.upsert_questions(B.questions(spark, sf), B.question_records(spark, sf), now)
+    stored = B.counted_questions(spark, sf)
+    for c in M.QUESTION_TIMES:
+        stored = stored.withColumn(c, F.lit(B.STORED_AT).cast("timestamp_ntz"))
+    return M.upsert_questions(stored, B.question_records(spark, sf), now)
 
 
 @register("surrogate_key", B.with_ctes(B.QUESTIONS_CTE) + """
@@ -140,7 +155,7 @@ def conditional_overwrite(spark, sf):
     return upsert_question(spark, sf).select("id", "llm_answer", "quality_score")
 
 
-@register("touch_updated_at", "SELECT id, updated_at FROM (" + UPSERT_QUESTION_SQL + ") WHERE updated_at IS NOT NULL")
+@register("touch_updated_at", "SELECT id, updated_at, created_at FROM (" + UPSERT_QUESTION_SQL + ")")
 def touch_updated_at(spark, sf):
-    """Rows changed by the upsert carry the (parameterised) update clock."""
-    return upsert_question(spark, sf).filter(F.col("updated_at").isNotNull()).select("id", "updated_at")
+    """Rows changed by the upsert carry the (parameterised) update clock, the others keep theirs."""
+    return upsert_question(spark, sf).select("id", "updated_at", "created_at")

@@ -206,7 +206,7 @@ SELECT id, coalesce(question_title, '') AS question_title, coalesce(question_con
 FROM questions""")
 def fill_nulls(spark, sf):
     # pandas fillna('') on the joined frame: only the string columns take ''
-    return B.questions(spark, sf).na.fill("")
+    return B.counted_questions(spark, sf).na.fill("")
 
 
 @register("filter_unprocessed", Q + "SELECT id FROM questions WHERE llm_answer IS NULL OR llm_answer = ''")

@@ -15,7 +15,7 @@ MR = B.with_ctes(B.QA_CTE, B.MR_CTE)
 
 @register("table_scan", Q + "SELECT * FROM questions")
 def table_scan(spark, sf):
-    return B.questions(spark, sf)
+    return B.counted_questions(spark, sf)
 
 
 @register("questions_summary", Q + f"""
@@ -26,7 +26,7 @@ SELECT COALESCE(original_class, -1) AS original_class,
        max(access_count) AS max_access_count
 FROM questions GROUP BY original_class""")
 def questions_summary(spark, sf):
-    return SM.questions_summary(B.questions(spark, sf))
+    return SM.questions_summary(B.counted_questions(spark, sf))
 
 
 @register("conditional_count", Q + """
@@ -53,7 +53,7 @@ SELECT count(*) AS total_questions,
         ORDER BY access_count DESC, id LIMIT 1) AS most_accessed_question
 FROM questions""")
 def questions_stats(spark, sf):
-    return SM.questions_stats(B.questions(spark, sf))
+    return SM.questions_stats(B.counted_questions(spark, sf))
 
 
 @register("mode_class", Q + """
@@ -67,7 +67,7 @@ def mode_class(spark, sf):
 SELECT question_title AS most_accessed_question FROM questions WHERE question_title IS NOT NULL
 ORDER BY access_count DESC, id LIMIT 1""")
 def top1_accessed(spark, sf):
-    return SM.top1_accessed(B.questions(spark, sf))
+    return SM.top1_accessed(B.counted_questions(spark, sf))
 
 
 MODEL_COMPARISON_SQL = f"""

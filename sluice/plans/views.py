@@ -56,12 +56,12 @@ FROM questions"""
 
 
 def register_views(spark: SparkSession, sf_dir: str) -> None:
-    B.questions(spark, sf_dir).createOrReplaceTempView("questions")
+    B.counted_questions(spark, sf_dir).createOrReplaceTempView("questions")
     B.model_results(spark, sf_dir).createOrReplaceTempView("multi_model_results")
     spark.sql(QUESTIONS_SUMMARY_VIEW)
     spark.sql(MODEL_COMPARISON_VIEW)
 
 
 def register_stats_function(spark: SparkSession, sf_dir: str) -> None:
-    B.questions(spark, sf_dir).createOrReplaceTempView("questions")
+    B.counted_questions(spark, sf_dir).createOrReplaceTempView("questions")
     spark.sql(STATS_FUNCTION)

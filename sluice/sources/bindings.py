@@ -25,28 +25,24 @@ RESULTS_CREATED_AT = "2024-01-01 00:00:00"
 INCOMING_CREATED_AT = "2024-02-01 00:00:00"
 
 
-DUP_BROADCAST_ROWS = 2_000_000  # ~50 MB of (16-byte key, count) rows
+def with_access_counts(q: DataFrame) -> DataFrame:
+    """``access_count``: rows per (title, content), on every row.
 
-
-def _access_counts(q: DataFrame) -> DataFrame:
-    """Rows per (title, content) attached to every row.
-
-    Counted on a 16-byte pair key (partial aggregation, no text in the
-    shuffle). Only keys seen more than once need a join; when their number is
-    below a checked bound they are broadcast and the question rows are not
-    shuffled at all, otherwise a regular (AQE-planned) join is used.
+    Counted on a 16-byte pair key (partial aggregation, no text in that
+    shuffle); only keys seen more than once are joined back, by a plain join
+    that the adaptive planner shapes. Nothing runs while the plan is built.
     """
     keyed = q.withColumn("_k", X.pair_key(F.col("question_title"), F.col("question_content")))
     dups = keyed.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1)
-    side = F.broadcast(dups) if dups.count() <= DUP_BROADCAST_ROWS else dups
-    out = keyed.join(side, "_k", "left")
+    out = keyed.join(dups, "_k", "left")
     return out.withColumn("access_count", F.coalesce(F.col("_n"), F.lit(1)).cast("int")).drop("_k", "_n")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question rows without ``access_count``: queries that do not read the texts never scan them."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
     labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality"])
-    q = docs.join(labels, on="doc_id", how="left").select(
+    return docs.join(labels, on="doc_id", how="left").select(
         F.col("doc_id").alias("id"),
         F.substring("text", 1, 60).alias("question_title"),
         F.expr("substr(text, 61)").alias("question_content"),
@@ -58,7 +54,11 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("lang") == "es", F.lit(None).cast("int"))
         .otherwise(F.expr("try_cast(regexp_replace(source, '[^0-9]', '') AS INT)")).alias("original_class"),
     )
-    return _access_counts(q).select(
+
+
+def counted_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``questions`` with ``access_count``, for the queries that use it."""
+    return with_access_counts(questions(spark, sf_dir)).select(
         "id", "question_title", "question_content", "original_answer", "llm_answer", "quality_score",
         "access_count", "original_class",
     )
@@ -81,22 +81,32 @@ questions AS (
 )"""
 
 
+def qa_id(conv: str = "conv_id", turn: str = "turn"):
+    """A question's key: conversation and turn. No two turns share one, however long a conversation is."""
+    return F.concat_ws(":", F.col(conv).cast("string"), F.col(turn).cast("string"))
+
+
 def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"])
-    nxt = next_in_group(conv, ["conv_id"], ["turn"], ["role", "text"])
-    return nxt.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
-        "conv_id",
-        "turn",
-        F.substring("text", 1, 60).alias("question_title"),
-        F.expr("substr(text, 61)").alias("question_content"),
-        F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("answer"),
-    )
+    # only keys and roles are sliced for the look-ahead; the next turn's text joins on its key
+    nxt = next_in_group(conv.select("conv_id", "turn", "role"), ["conv_id"], ["turn"], ["turn", "role"])
+    asked = nxt.filter(F.col("role") == "user").select(
+        "conv_id", "turn", F.when(F.col("next_role") == "assistant", F.col("next_turn")).alias("_next"))
+    texts = conv.select("conv_id", "turn", "text")
+    answers = texts.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("text").alias("answer"))
+    return (asked.join(texts, ["conv_id", "turn"])
+            .join(answers, (F.col("conv_id") == F.col("_conv")) & (F.col("_next") == F.col("_turn")), "left")
+            .select(
+                qa_id().alias("id"), "conv_id", "turn",
+                F.substring("text", 1, 60).alias("question_title"),
+                F.expr("substr(text, 61)").alias("question_content"),
+                "answer",
+            ))
 
 
 QA_CTE = """
 qa AS (
-  SELECT conv_id * 1000 + turn AS id, conv_id, turn,
+  SELECT conv_id || ':' || turn AS id, conv_id, turn,
          left(text, 60) AS question_title,
          substr(text, 61) AS question_content,
          CASE WHEN next_role = 'assistant' THEN next_text END AS answer
@@ -197,6 +207,7 @@ def with_ctes(*ctes: str) -> str:
 MODELS_CTE = "models AS (SELECT * FROM " + models_sql_values() + ")"
 
 UPSERT_NOW = "2024-03-01 00:00:00"
+STORED_AT = "2023-12-01 00:00:00"  # timestamps of the stored questions before the upsert
 
 
 def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,24 +217,30 @@ def question_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         "question_title", "question_content", "original_answer",
         F.concat(F.lit("updated:"), F.col("original_answer")).alias("llm_answer"),
         F.lit(None).cast("double").alias("quality_score"),
-        F.col("id").alias("seq"),
+        _seq(0, F.col("id")).alias("seq"),
     )
     qa = qa_pairs(spark, sf_dir).select(
         "question_title", "question_content", F.lit("qa").alias("original_answer"),
         F.col("answer").alias("llm_answer"),
         F.when(F.col("answer").isNotNull(), F.lit(2.0)).alias("quality_score"),
-        (F.col("id") + F.lit(10 ** 12)).alias("seq"),
+        _seq(1, F.col("conv_id"), F.col("turn")).alias("seq"),
     )
     return q.unionByName(qa)
 
 
+def _seq(source: int, *ids):
+    """Arrival order of a record as text: its source, then its ids, filled to 20 digits."""
+    return F.concat_ws(":", F.lit(str(source)), *[F.lpad(i.cast("string"), 20, "0") for i in ids])
+
+
 RECORDS_CTE = """
 records AS (
   SELECT question_title, question_content, original_answer, 'updated:' || original_answer AS llm_answer,
-         CAST(NULL AS DOUBLE) AS quality_score, id AS seq
+         CAST(NULL AS DOUBLE) AS quality_score, '0:' || lpad(CAST(id AS VARCHAR), 20, '0') AS seq
   FROM questions WHERE original_answer = 'en'
   UNION ALL
   SELECT question_title, question_content, 'qa' AS original_answer, answer AS llm_answer,
-         CASE WHEN answer IS NOT NULL THEN 2.0 END AS quality_score, id + 1000000000000 AS seq
+         CASE WHEN answer IS NOT NULL THEN 2.0 END AS quality_score,
+         '1:' || lpad(CAST(conv_id AS VARCHAR), 20, '0') || ':' || lpad(CAST(turn AS VARCHAR), 20, '0') AS seq
   FROM qa
 )"""

@@ -6,6 +6,7 @@ the helpers never assume a machine-local folder.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,10 +72,14 @@ def load_row_limit(df: DataFrame, n: int, order_cols: list[str]) -> DataFrame:
 
 
 def is_empty_target(spark: SparkSession, path: str) -> bool:
+    """Whether the target has no rows. Only a missing path counts as empty: any other failure is raised,
+    so that an unreadable target is never overwritten."""
     try:
         return spark.read.parquet(path).limit(1).isEmpty()
-    except Exception:  # noqa: BLE001 - a missing path is an empty target
-        return True
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return True
+        raise
 
 
 def idempotent_load(df: DataFrame, path: str) -> bool:
