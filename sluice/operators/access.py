@@ -7,19 +7,20 @@ is_error)`` with set-based Spark jobs:
 * ``sequence_log``   dense position per instance and the previous access of
                      the same key (skew-safe range scans, see ``sequence``)
 * ``ttl_hits_sliding`` hit iff the previous access is less than TTL ago
-* ``fixed_ttl_anchors`` expiry counted from the set; greedy anchors found by
-                     pointer doubling over an as-of "next access >= t + TTL"
+* ``fixed_ttl_anchors`` expiry counted from the set; slices walk from anchor to
+                     anchor and pass only the carried anchor on
 * ``reuse_distance`` distinct other keys since the previous access (true LRU
                      stack distance); 2-level block decomposition so no task
                      holds more than one block of an instance
 * ``hit_rate_curve`` hit rate for every cache size from one histogram
-* ``access_metrics`` per (policy, size) counters and rates
+* ``access_metrics`` per (policy, size) counters and rates; ``ttl_metrics`` per TTL
 
 Instances are separate caches (instance = event_type for the events table).
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions.numeric import round_ratio
 from sluice.functions.scoring import hash_bucket
-from sluice.operators.sequence import dense_position, neighbors_non_null, previous_in_group
+from sluice.operators.sequence import dense_position, previous_in_group, slice_count, sliced
 from sluice.session import cut_lineage
 
 INST, KEY = "instance", "key"
@@ -59,61 +60,100 @@ def ttl_hits_sliding(seq_log: DataFrame, ttl_seconds: float) -> DataFrame:
     return seq_log.withColumn("hit", F.coalesce(gap < F.lit(int(ttl_seconds * 1_000_000)), F.lit(False)))
 
 
-def fixed_ttl_anchors_multi(log: DataFrame, ttls_seconds: Sequence[float], max_rounds: int = 64,
-                            num_partitions: int | None = None) -> DataFrame:
+def _hops(t: list[int], i: int, ttl: int) -> list[int]:
+    """Indices of the anchors from index ``i`` on: each next one is the first at or after anchor + TTL."""
+    out = []
+    while i < len(t):
+        out.append(i)
+        i = bisect_left(t, t[i] + ttl, i + 1)
+    return out
+
+
+def _last_anchor(t: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where a run of accesses leads from every possible entry: (latest entry time, time of the last anchor)
+    for each group of entries with the same last anchor. An anchor before the run enters at the first access
+    at or after anchor + TTL, so only the accesses of the first TTL, and the one after, are entries."""
+    n = len(t)
+    nxt = np.searchsorted(t, t + ttl)
+    p = np.where(nxt < n, np.minimum(nxt, n - 1), np.arange(n))
+    while True:  # pointer doubling inside the run
+        q = p[p]
+        if np.array_equal(q, p):
+            break
+        p = q
+    entries = min(n, int(np.searchsorted(t, t[0] + ttl)) + 1)
+    last = t[p[:entries]]
+    ends = np.flatnonzero(np.append(last[1:] != last[:-1], True))
+    return t[ends], last[ends]
+
+
+def _slice_runs(pdf: pd.DataFrame) -> list[tuple[object, object, int, int]]:
+    """(instance, key, from, to) of the runs of a slice sorted by (instance, key, t, seq)."""
+    inst, key = pdf[INST].to_numpy(), pdf[KEY].to_numpy()
+    new = np.flatnonzero((inst[1:] != inst[:-1]) | (key[1:] != key[:-1])) + 1
+    at = [0, *new.tolist(), len(pdf)]
+    return [(inst[i], key[i], i, j) for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def fixed_ttl_anchors_multi(log: DataFrame, ttls_seconds: Sequence[float], num_partitions: int | None = None) -> DataFrame:
     """Fixed TTL (a hit does not renew) for several TTLs at once: returns
     ``(ttl_seconds, instance, key, seq)`` of the accesses that miss (the set /
     anchor accesses) under each TTL.
 
     anchor_1 = first access of a key, anchor_{k+1} = first access at or after
-    anchor_k + TTL. One range-sliced pass over probe rows (ts + TTL, one per
-    TTL) and point rows (the accesses) gives, per access, the previous access
-    and, per probe, ``nxt`` = the first access at or after ts + TTL. An access
-    whose gap is >= TTL (or the first one) starts a segment and is always an
-    anchor; inside a segment the anchors are the orbit of the start under
-    ``nxt``, expanded by doubling: after round k every chain is known up to
-    2^(k+1) steps and ``J_{k+1} = J_k o J_k``. The loop stops when no chain
-    grows. All joins are on the unique access id, so a hot key is spread over
-    all tasks.
+    anchor_k + TTL. Accesses are range sliced by (instance, key, time), so a hot
+    key is spread over slices by count. Each slice tells where its first and its
+    last key's run leads from any anchor carried in; per key these few steps are
+    composed in slice order; then every slice walks from anchor to anchor alone,
+    starting from its carried anchor.
     """
-    spark = log.sparkSession
-    ttl_df = F.broadcast(spark.createDataFrame([(float(t), int(t * 1_000_000)) for t in ttls_seconds],
-                                               "ttl_seconds double, ttl_us long"))  # a handful of rows
-    pts = log.select(INST, KEY, "seq", _us().alias("t"))
-    probes = pts.crossJoin(ttl_df).select(
-        INST, KEY, (F.col("t") + F.col("ttl_us")).alias("t"), F.lit(0).alias("kind"), F.col("seq").alias("src"),
-        F.lit(None).cast("long").alias("pt"), F.lit(None).cast("long").alias("pt_t"), "ttl_seconds")
-    points = pts.select(INST, KEY, "t", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("src"),
-                        F.col("seq").alias("pt"), F.col("t").alias("pt_t"), F.lit(None).cast("double").alias("ttl_seconds"))
-    u = probes.unionByName(points).withColumn("tie", F.coalesce("pt", "src"))
-    # a probe sorts before a point at the same instant: an access exactly TTL later misses;
-    # ttl_seconds orders probes of the same source and instant deterministically
-    nb = neighbors_non_null(u, [INST, KEY], ["t", "kind", "tie", "ttl_seconds"], prev_value="pt_t", prev_col="prev_t",
-                            next_value="pt", next_col="nxt", num_partitions=num_partitions)
-    nb = cut_lineage(nb.select(INST, KEY, "kind", "src", "pt", "t", "prev_t", "nxt", "ttl_seconds"))
-    starts = (nb.filter(F.col("kind") == 1).drop("ttl_seconds").crossJoin(ttl_df)
-              .filter(F.col("prev_t").isNull() | (F.col("t") - F.col("prev_t") >= F.col("ttl_us")))
-              .select("ttl_seconds", INST, KEY, F.col("pt").alias("seq")))
-    # jumps that stay inside their segment (a jump to a segment start is already an anchor)
-    jump = nb.filter((F.col("kind") == 0) & F.col("nxt").isNotNull()).select(
-        "ttl_seconds", INST, KEY, F.col("src").alias("seq"), F.col("nxt").alias("j"))
-    keys = ["ttl_seconds", INST, KEY]
-    jump = cut_lineage(jump.join(starts.withColumnRenamed("seq", "j"), keys + ["j"], "left_anti"))
-    anchors = starts
-    for k in range(max_rounds):
-        step = anchors.join(jump, keys + ["seq"], "inner").select(*keys, F.col("j").alias("seq"))
-        if step.isEmpty():
-            break
-        anchors = anchors.unionByName(step)
-        if k % 2 == 1:  # keep the plan from doubling: the anchor set is reused by the next round
-            anchors = cut_lineage(anchors)
-        a, b = jump.alias("a"), jump.alias("b")
-        cond = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in keys] + [F.col("a.j") == F.col("b.seq")]
-        jump = cut_lineage(a.join(b, cond, "inner").select(*[F.col(f"a.{c}").alias(c) for c in keys],
-                                                           F.col("a.seq").alias("seq"), F.col("b.j").alias("j")))
-    else:
-        raise RuntimeError("fixed_ttl_anchors did not converge")
-    return anchors
+    ttls = [(float(t), int(t * 1_000_000)) for t in ttls_seconds]
+    rows = log.select(INST, KEY, _us().alias("t"), "seq")
+    order = [INST, KEY, "t", "seq"]
+    s = sliced(rows, [INST, KEY], ["t", "seq"], slice_count(rows, num_partitions))
+    kinds = {f.name: f.dataType.simpleString() for f in s.schema.fields}
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        runs, t, pid, out = _slice_runs(pdf), pdf["t"].to_numpy(), int(pdf["_pid"].iloc[0]), []
+        for inst, key, i, j in {runs[0], runs[-1]}:  # other runs begin and end inside the slice
+            for n, (_, ttl) in enumerate(ttls):
+                entry, last = _last_anchor(t[i:j], ttl)
+                out.append((inst, key, pid, n, entry.tolist(), last.tolist()))
+        return pd.DataFrame(out, columns=[INST, KEY, "pid", "n", "entry", "last"])
+
+    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for n, f in pdf.sort_values("pid").groupby("n"):
+            anchor = None
+            for pid, entry, last in zip(f["pid"], f["entry"], f["last"], strict=True):
+                at = 0
+                if anchor is not None:
+                    out.append((int(pid), int(n), int(anchor)))
+                    at = int(np.searchsorted(entry, anchor + ttls[n][1]))
+                if at < len(last):
+                    anchor = int(last[at])
+        return pd.DataFrame(out, columns=["pid", "n", "anchor"])
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        before = dict(pdf["carry"].iloc[0] or {})
+        pdf = pdf.sort_values(order)
+        runs, t, seq = _slice_runs(pdf), pdf["t"].to_numpy(), pdf["seq"].to_numpy()
+        parts = []
+        for n, (seconds, ttl) in enumerate(ttls):
+            anchors: list[int] = []
+            for k, (_, _, i, j) in enumerate(runs):
+                run = t[i:j].tolist()
+                start = bisect_left(run, before[n] + ttl) if k == 0 and n in before else 0
+                anchors += [i + x for x in _hops(run, start, ttl)]
+            parts.append(pd.DataFrame({"ttl_seconds": seconds, INST: pdf[INST].to_numpy()[anchors], KEY: pdf[KEY].to_numpy()[anchors], "seq": seq[anchors]}))
+        return pd.concat(parts)
+
+    found = (s.groupBy("_pid").applyInPandas(steps, f"{INST} {kinds[INST]}, {KEY} {kinds[KEY]}, pid int, n int, entry array<long>, last array<long>")
+             .groupBy(INST, KEY).applyInPandas(carried, "pid int, n int, anchor long"))
+    carry = found.groupBy(F.col("pid").alias("_pid")).agg(F.map_from_entries(F.collect_list(F.struct("n", "anchor"))).alias("carry"))  # one entry a TTL
+    return s.join(carry, "_pid", "left").groupBy("_pid").applyInPandas(
+        walk, f"ttl_seconds double, {INST} {kinds[INST]}, {KEY} {kinds[KEY]}, seq {kinds['seq']}")
 
 
 def fixed_ttl_anchors(log: DataFrame, ttl_seconds: float, num_partitions: int | None = None) -> DataFrame:
@@ -131,32 +171,19 @@ def ttl_hits_fixed(log: DataFrame, ttl_seconds: float) -> DataFrame:
 # ---------------------------------------------------------------------------
 # reuse distance
 
-DENSE_COUNT_MAX = 2048  # groups up to this size are counted with one vectorised comparison matrix
-
-
-def _fenwick_count_less(order_vals: np.ndarray, query_vals: np.ndarray, add_vals: np.ndarray) -> np.ndarray:
-    """For i in order: #{j < i : add_vals[j] < query_vals[i]} (j before i in the given order)."""
-    m = len(order_vals)
-    if m <= DENSE_COUNT_MAX:
-        # lower triangle (j < i) of the comparison matrix, summed per row
-        less = add_vals[None, :] < query_vals[:, None]
-        return np.tril(less, k=-1).sum(axis=1).astype(np.int64)
-    allv = np.unique(np.concatenate([query_vals, add_vals]))
-    qr = np.searchsorted(allv, query_vals, side="left")   # number of distinct values < q
-    ar = np.searchsorted(allv, add_vals, side="left") + 1  # 1-based slot
-    size = len(allv) + 1
-    tree = np.zeros(size + 1, dtype=np.int64)
-    out = np.zeros(len(order_vals), dtype=np.int64)
-    for i in range(len(order_vals)):
-        k, s = int(qr[i]), 0
-        while k > 0:
-            s += tree[k]
-            k -= k & (-k)
-        out[i] = s
-        k = int(ar[i])
-        while k <= size:
-            tree[k] += 1
-            k += k & (-k)
+def smaller_before(v: np.ndarray) -> np.ndarray:
+    """For every i: #{j < i : v[j] < v[i]}. Values are ranked; from the highest bit of the ranks down, an
+    element with bit 1 counts the earlier ones of its group (equal higher bits) with bit 0."""
+    rank = np.unique(v, return_inverse=True)[1].astype(np.int64)
+    out, order = np.zeros(len(v), dtype=np.int64), np.arange(len(v))
+    for b in reversed(range(int(rank.max(initial=0)).bit_length())):
+        r = rank[order]
+        group, bit = r >> (b + 1), (r >> b) & 1
+        zeros = np.cumsum(1 - bit) - (1 - bit)
+        head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        base = np.repeat(zeros[head], np.diff(np.append(head, len(r))))
+        out[order] += np.where(bit == 1, zeros - base, 0)
+        order = order[np.argsort(r >> b, kind="stable")]
     return out
 
 
@@ -164,7 +191,7 @@ def _same_block_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     """Group = one position block of one instance: j earlier in the block with prev_j < p_i."""
     pdf = pdf.sort_values("pos")
     prev = pdf["prev"].to_numpy(np.int64)
-    cnt = _fenwick_count_less(pdf["pos"].to_numpy(), prev, prev)
+    cnt = smaller_before(prev)
     return pd.DataFrame({INST: pdf[INST].to_numpy(), "pos": pdf["pos"].to_numpy(), "b_res": cnt})
 
 
@@ -172,7 +199,7 @@ def _same_prev_block_counts(pdf: pd.DataFrame) -> pd.DataFrame:
     """Group = one prev-value block: j in an earlier position block with prev_j < p_i."""
     pdf = pdf.sort_values("prev")  # prev values are unique here (one successor per access)
     bi = pdf["bi"].to_numpy(np.int64)
-    cnt = _fenwick_count_less(pdf["prev"].to_numpy(), bi, bi)
+    cnt = smaller_before(bi)
     return pd.DataFrame({INST: pdf[INST].to_numpy(), "pos": pdf["pos"].to_numpy(), "c_res": cnt})
 
 
@@ -193,8 +220,8 @@ def reuse_distance(seq_log: DataFrame, block: int | None = None) -> DataFrame:
     Uses d_i = #{j < i : prev_j < p_i} - p_i (positions 1-based, prev 0 when
     cold). The count is split by position block bi and prev block bp:
     A = cells strictly below-left (dense prefix-sum grid), B = same position
-    block (Fenwick per block), C = same prev block in earlier position blocks
-    (Fenwick per prev block). Each pandas group holds at most ``block`` rows.
+    block (one pass per block), C = same prev block in earlier position blocks
+    (one pass per prev block). Each pandas group holds at most ``block`` rows.
     """
     s = seq_log.select(INST, KEY, "seq", "ts", "pos", F.coalesce(F.col("prev_pos"), F.lit(0)).alias("prev"))
     if block is None:
@@ -271,14 +298,15 @@ def hit_rate_curve_sampled(log: DataFrame, sizes: Sequence[int], modulus: int =
 # per-configuration metrics
 
 def access_flags(log: DataFrame, ttl_seconds: float) -> DataFrame:
-    """Per access: reuse distance (NULL when cold), sliding-TTL hit, fixed-TTL hit."""
+    """Per access: reuse distance (NULL when cold) and sliding-TTL hit, from one sequencing pass."""
     s = sequence_log(log)
     d = reuse_distance(s).select(INST, "pos", "reuse_distance")
-    fixed_miss = fixed_ttl_anchors(log, ttl_seconds).withColumn("fixed_miss", F.lit(True))
-    flags = ttl_hits_sliding(s, ttl_seconds).withColumnRenamed("hit", "sliding_hit")
-    flags = flags.join(d, [INST, "pos"], "left").join(fixed_miss, [INST, KEY, "seq"], "left")
-    return flags.select(INST, KEY, "seq", "ts", "op_ms", "is_error", "reuse_distance", "sliding_hit",
-                        F.col("fixed_miss").isNull().alias("fixed_hit"))
+    flags = ttl_hits_sliding(s, ttl_seconds).withColumnRenamed("hit", "sliding_hit").join(d, [INST, "pos"], "left")
+    return flags.select(INST, KEY, "seq", "ts", "op_ms", "is_error", "reuse_distance", "sliding_hit")
+
+
+#: Policies whose hits follow recency, so that one pass serves every size.
+SIZED_POLICIES = ("LRU", "TTL-LRU")
 
 
 def policy_hit(policy: str, size: int):
@@ -287,71 +315,83 @@ def policy_hit(policy: str, size: int):
     LRU      capacity only (no expiry): reuse distance < size
     TTL-LRU  capacity + sliding TTL: both hold (exact: sliding expiry follows
              recency order, so an unexpired key is never behind an expired one)
-    TTL      capacity + fixed TTL from the set
+
+    The policy TTL evicts the entry nearest to expiry, not the least recent one:
+    it has no size rule here and is reported by TTL (``ttl_metrics``).
     """
     within = F.coalesce(F.col("reuse_distance") < size, F.lit(False))
     if policy == "LRU":
         return within
     if policy == "TTL-LRU":
         return within & F.col("sliding_hit")
-    if policy == "TTL":
-        return within & F.col("fixed_hit")
     raise ValueError(policy)
 
 
+def _rates(g: DataFrame) -> DataFrame:
+    """Metric columns from counters."""
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return g.select(
+        "policy", F.col("cache_size").cast("int").alias("cache_size"), F.col("ttl_hours").cast("int").alias("ttl_hours"),
+        F.col("ops").cast("long").alias("total_operations"), F.col("hits").cast("long").alias("hits"), F.col("misses").cast("long").alias("misses"),
+        F.col("misses").cast("long").alias("sets"), F.col("evictions").cast("long").alias("evictions"),
+        round_ratio(F.col("hits") * 100, F.col("ops"), 2).alias("hit_rate_percent"),
+        round_ratio(F.col("misses") * 100, F.col("ops"), 2).alias("miss_rate_percent"),
+        F.when(F.col("evictions").isNotNull(), round_ratio(F.col("evictions") * 100, F.col("ops"), 2)).alias("eviction_rate_percent"),
+        round_ratio(F.coalesce(F.col("hit_ms"), F.lit(0)), F.col("hits") * 100, 2).alias("avg_hit_time_ms"),
+        round_ratio(F.coalesce(F.col("miss_ms"), F.lit(0)), F.col("misses") * 100, 2).alias("avg_miss_time_ms"),
+        round_ratio(F.col("hits") * 100, F.col("hits") + F.col("misses"), 2).alias("cache_efficiency"),
+        F.when(F.col("evictions").isNotNull(), round_ratio(F.col("hits") * 100, F.col("hits") + F.col("misses") + F.col("evictions"), 2))
+        .alias("efficiency_evict"),
+        F.coalesce((us("t1") - us("t0")) / 1e6, F.lit(0.0)).alias("runtime_seconds"),
+    )
+
+
 def access_metrics(flags: DataFrame, policies: Sequence[str], sizes: Sequence[int]) -> DataFrame:
     """Counters and rates per (policy, cache_size), one scan of the flags.
 
-    Each instance is its own cache. ``evictions`` follows the reference's
-    10 %-batch rule per instance: ceil((misses - C) / b) * b with
-    b = max(1, floor(0.1 C)) when misses > C; ``lru_evictions`` is the exact
-    single-entry LRU count misses - min(C, distinct keys).
+    Each instance is its own cache. ``evictions`` counts the entries pushed out
+    by capacity in recency order: per instance the accesses at a reuse distance
+    of the size or more (and cold ones) less the entries that stay, at most the
+    size; distinct keys are the cold accesses, so nothing is grouped by key.
     """
-    aggs = [F.count(F.lit(1)).alias("ops"), F.countDistinct(KEY).alias("keys"),
-            F.min("ts").alias("t0"), F.max("ts").alias("t1")]
     cfgs = [(p, int(c)) for p in policies for c in sizes]
     ms = F.round(F.col("op_ms") * 100).cast("long")
+    cold = F.col("reuse_distance").isNull()
+    aggs = [F.count(F.lit(1)).alias("ops"), F.count_if(cold).alias("keys"), F.min("ts").alias("t0"), F.max("ts").alias("t1")]
+    aggs += [F.count_if(~policy_hit("LRU", c)).alias(f"e{c}") for c in sorted({c for _, c in cfgs})]
     for i, (p, c) in enumerate(cfgs):
         h = policy_hit(p, c)
-        aggs += [F.count_if(h).alias(f"h{i}"), F.sum(F.when(h, ms)).alias(f"hm{i}"),
-                 F.sum(F.when(~h, ms)).alias(f"mm{i}")]
+        aggs += [F.count_if(h).alias(f"h{i}"), F.sum(F.when(h, ms)).alias(f"hm{i}"), F.sum(F.when(~h, ms)).alias(f"mm{i}")]
     per_inst = flags.groupBy(INST).agg(*aggs)
     rows = F.explode(F.array(*[
-        F.struct(F.lit(p).alias("policy"), F.lit(c).alias("cache_size"), F.col(f"h{i}").alias("hits"),
+        F.struct(F.lit(p).alias("policy"), F.lit(c).alias("cache_size"), F.col(f"h{i}").alias("hits"), F.col(f"e{c}").alias("pushed"),
                  F.col(f"hm{i}").alias("hit_ms"), F.col(f"mm{i}").alias("miss_ms"))
         for i, (p, c) in enumerate(cfgs)]))
-    long = per_inst.select(INST, "ops", "keys", "t0", "t1", rows.alias("r")).select(
-        INST, "ops", "keys", "t0", "t1", "r.*")
-    misses = F.col("ops") - F.col("hits")
-    b = F.greatest(F.lit(1), F.floor(F.col("cache_size") * 0.1)).cast("long")
-    long = long.withColumn("misses", misses).withColumn(
-        "evictions", F.when(F.col("misses") > F.col("cache_size"),
-                            F.ceil((F.col("misses") - F.col("cache_size")) / b) * b).otherwise(F.lit(0)).cast("long")
-    ).withColumn("lru_evictions", F.greatest(F.lit(0), F.col("misses") - F.least(F.col("cache_size"), F.col("keys"))))
+    long = per_inst.select("ops", "keys", "t0", "t1", rows.alias("r")).select("ops", "keys", "t0", "t1", "r.*")
     g = long.groupBy("policy", "cache_size").agg(
-        F.sum("ops").alias("total_operations"), F.sum("hits").alias("hits"), F.sum("misses").alias("misses"),
-        F.sum("evictions").alias("evictions"), F.sum("lru_evictions").alias("lru_evictions"),
-        F.sum("hit_ms").alias("hit_ms"), F.sum("miss_ms").alias("miss_ms"),
-        F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+        F.sum("ops").alias("ops"), F.sum("hits").alias("hits"), F.sum(F.col("ops") - F.col("hits")).alias("misses"),
+        F.sum(F.col("pushed") - F.least(F.col("cache_size"), F.col("keys"))).alias("evictions"),
+        F.sum("hit_ms").alias("hit_ms"), F.sum("miss_ms").alias("miss_ms"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
     # every configuration gets a row, also for an empty log (0 operations, 0 rates)
     grid = F.broadcast(flags.sparkSession.createDataFrame(cfgs, "policy string, cache_size int"))
-    g = grid.join(g, ["policy", "cache_size"], "left").fillna(
-        0, ["total_operations", "hits", "misses", "evictions", "lru_evictions"])
-    return g.select(
-        "policy", F.col("cache_size").cast("int").alias("cache_size"),
-        "total_operations", F.col("hits").cast("long").alias("hits"), F.col("misses").cast("long").alias("misses"),
-        F.col("misses").cast("long").alias("sets"), "evictions", F.col("lru_evictions").cast("long").alias("lru_evictions"),
-        round_ratio(F.col("hits") * 100, F.col("total_operations"), 2).alias("hit_rate_percent"),
-        round_ratio(F.col("misses") * 100, F.col("total_operations"), 2).alias("miss_rate_percent"),
-        round_ratio(F.col("evictions") * 100, F.col("total_operations"), 2).alias("eviction_rate_percent"),
-        round_ratio(F.coalesce(F.col("hit_ms"), F.lit(0)), F.col("hits") * 100, 2).alias("avg_hit_time_ms"),
-        round_ratio(F.coalesce(F.col("miss_ms"), F.lit(0)), F.col("misses") * 100, 2).alias("avg_miss_time_ms"),
-        round_ratio(F.col("hits") * 100, F.col("hits") + F.col("misses"), 2).alias("cache_efficiency"),
-        round_ratio(F.col("hits") * 100, F.col("hits") + F.col("misses") + F.col("evictions"), 2)
-        .alias("efficiency_evict"),
-        F.coalesce((F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1e6,
-                   F.lit(0.0)).alias("runtime_seconds"),
-    )
+    g = grid.join(g, ["policy", "cache_size"], "left").fillna(0, ["ops", "hits", "misses", "evictions"])
+    return _rates(g.withColumn("ttl_hours", F.lit(None).cast("int")))
+
+
+def ttl_metrics(log: DataFrame, ttl_hours: Sequence[int]) -> DataFrame:
+    """The same columns for the policy TTL (expiry counted from the set, no
+    capacity) per TTL: ``cache_size`` and evictions are NULL."""
+    miss = fixed_ttl_anchors_multi(log, [h * 3600 for h in ttl_hours])
+    ms = F.round(F.col("op_ms") * 100).cast("long")
+    missed = (miss.join(log.select(INST, KEY, "seq", "op_ms"), [INST, KEY, "seq"])
+              .groupBy("ttl_seconds").agg(F.count(F.lit(1)).alias("misses"), F.sum(ms).alias("miss_ms")))
+    total = log.agg(F.count(F.lit(1)).alias("ops"), F.sum(ms).alias("all_ms"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
+    grid = log.sparkSession.createDataFrame([(float(h * 3600), h) for h in ttl_hours], "ttl_seconds double, ttl_hours int")
+    g = F.broadcast(grid).join(missed, "ttl_seconds", "left").fillna(0, ["misses", "miss_ms"]).crossJoin(total)  # total is one row
+    return _rates(g.select(
+        F.lit("TTL").alias("policy"), F.lit(None).cast("int").alias("cache_size"), "ttl_hours", "ops",
+        (F.col("ops") - F.col("misses")).alias("hits"), "misses", F.lit(None).cast("long").alias("evictions"),
+        (F.coalesce("all_ms", F.lit(0)) - F.col("miss_ms")).alias("hit_ms"), "miss_ms", "t0", "t1"))
 
 
 def lookup_hit(log: DataFrame, snapshot_until) -> DataFrame:

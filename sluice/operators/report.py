@@ -9,17 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluice.functions.numeric import qps
+from sluice.functions.numeric import avg_rounded, qps
 from sluice.functions.predicates import config_label, config_parse_policy, config_parse_size
 from sluice.schemas import CACHE_SIZES, POLICIES
 
 # ---------------------------------------------------------------------------
 # Fixed values (report text of the reference, Spanish):
-REPORT_POLICY_HEADER = "POLÍTICA {policy}:"
-REPORT_SIZE_LINE = "  Tamaño {size}:"
 REPORT_LINES = [
     ("Hit Rate", "    Hit Rate: %.2f%%", "hit_rate_percent"),
     ("Miss Rate", "    Miss Rate: %.2f%%", "miss_rate_percent"),
@@ -62,8 +60,9 @@ def pivot_metric(metrics: DataFrame, metric: str, policies: Sequence[str] = POLI
     return metrics.groupBy("cache_size").pivot("policy", list(policies)).agg(F.first(metric))
 
 
-def mean_by_group(metrics: DataFrame, metric: str, by: Sequence[str]) -> DataFrame:
-    return metrics.groupBy(*by).agg(F.avg(metric).alias(f"mean_{metric}"))
+def mean_by_group(metrics: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Mean of two-decimal metrics per group, to four decimals (bar and line panels)."""
+    return metrics.groupBy(*by).agg(*[avg_rounded(F.col(c), 2, 4).alias(f"mean_{c}") for c in columns])
 
 
 def box_stats(metrics: DataFrame, metric: str = "miss_rate_percent") -> DataFrame:
@@ -74,10 +73,10 @@ def box_stats(metrics: DataFrame, metric: str = "miss_rate_percent") -> DataFram
                     F.round(F.col("q")[2], 6).alias("q3"), "hi")
 
 
-def distribution_hist(df: DataFrame, value: str, by: Sequence[str], lo: float, hi: float, buckets: int) -> DataFrame:
-    """Histogram (violin panel): equal-width buckets 1..n, 0 below, n+1 above."""
-    b = F.when(F.col(value) < lo, F.lit(0)).when(F.col(value) >= hi, F.lit(buckets + 1)).otherwise(
-        F.floor((F.col(value) - lo) * buckets / (hi - lo)).cast("int") + 1)
+def distribution_hist(df: DataFrame, value: str, by: Sequence[str], lo: Column, hi: Column, buckets: int) -> DataFrame:
+    """Histogram (violin panel): equal-width buckets 1..n over the values' own range [lo, hi]; the last
+    bucket holds hi, and all values if they are equal."""
+    b = F.when(hi > lo, F.least(F.floor((F.col(value) - lo) * buckets / (hi - lo)), F.lit(buckets - 1)).cast("int") + 1).otherwise(F.lit(buckets))
     return df.groupBy(*by, b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -124,10 +123,34 @@ def best_lines(metrics: DataFrame) -> DataFrame:
     )).alias("l")).select("l.line", "l.text")
 
 
-def write_report_text(metrics: DataFrame, path: str) -> None:
-    """``report_text_sink``: the small report as one UTF-8 text file."""
-    rows = report_rows(metrics).select("text")
-    rows.coalesce(1).write.mode("overwrite").text(path)
+#: Rule and headings of the report.
+RULE = "-" * 40
+BEST_HEADER = ["MEJORES CONFIGURACIONES:", RULE]
+
+
+def report_header(at: str) -> list[str]:
+    return ["ANÁLISIS DE RENDIMIENTO DEL CACHE", f"Fecha: {at}", "=" * 40, ""]
+
+
+def report_lines(metrics: DataFrame, at: str) -> DataFrame:
+    """The whole report in order (part, ordinal, line, text): header, a heading per policy, the lines of each
+    size, and the best configurations."""
+    spark = metrics.sparkSession
+    fixed = [(0, 0, i, t) for i, t in enumerate(report_header(at))] + [(2, 0, i - len(BEST_HEADER), t) for i, t in enumerate(BEST_HEADER)]
+    head = spark.createDataFrame(fixed, "part int, ordinal int, line int, text string")
+    rows = report_rows(metrics)
+    policies = rows.groupBy("policy").agg(F.min("ordinal").alias("ordinal")).select(
+        F.lit(1).alias("part"), "ordinal", F.explode(F.array(
+            F.struct(F.lit(-2).alias("line"), F.concat(F.lit("POLÍTICA "), F.col("policy"), F.lit(":")).alias("text")),
+            F.struct(F.lit(-1).alias("line"), F.lit(RULE).alias("text")))).alias("l")).select("part", "ordinal", "l.line", "l.text")
+    body = rows.select(F.lit(1).alias("part"), "ordinal", "line", "text")
+    best = best_lines(metrics).select(F.lit(2).alias("part"), F.lit(0).alias("ordinal"), "line", "text")
+    return head.unionByName(policies).unionByName(body).unionByName(best)
+
+
+def write_report_text(metrics: DataFrame, path: str, at: str) -> None:
+    """``report_text_sink``: the report (a line per policy, size and metric: bounded) as one UTF-8 text file."""
+    report_lines(metrics, at).coalesce(1).sortWithinPartitions("part", "ordinal", "line").select("text").write.mode("overwrite").text(path)
 
 
 def export_chart_data(metrics: DataFrame, path: str) -> None:

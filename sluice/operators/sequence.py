@@ -21,18 +21,13 @@ from sluice.session import cut_lineage
 SLICE_BYTES = 64 * 1024 * 1024
 
 
-def _n_parts(df: DataFrame, num_partitions: int | None) -> int:
-    """Number of range slices: one per ~64 MB of the optimizer's size estimate,
-    at most ``spark.sql.shuffle.partitions`` (the cap also bounds the per-slice
-    summaries of a hot group)."""
+def slice_count(df: DataFrame, num_partitions: int | None) -> int:
+    """Number of range slices: one per ~64 MB of the optimizer's size estimate, at most the session's
+    ``spark.sql.shuffle.partitions`` (estimates of joins are products, far too high)."""
     if num_partitions:
         return int(num_partitions)
-    cap = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - no estimate: use the cap
-        return cap
-    return max(1, min(cap, -(-size // SLICE_BYTES)))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SLICE_BYTES)))
 
 
 def sliced(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], n: int) -> DataFrame:
@@ -64,7 +59,7 @@ def sequence_within(
     tie-breaker), otherwise results are not deterministic.
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
-    n = _n_parts(df, num_partitions)
+    n = slice_count(df, num_partitions)
     r = sliced(df, group_cols, order_cols, n)
     slice_cols = group_cols + ["_pid"]
     w = Window.partitionBy(*slice_cols).orderBy(*[F.col(c) for c in order_cols])
@@ -139,72 +134,3 @@ def global_dense_id(df: DataFrame, order_cols: Sequence[str], id_col: str = "id"
     tmp = df.withColumn("_all", F.lit(0))
     out = dense_position(tmp, ["_all"], order_cols, pos_col=id_col, num_partitions=num_partitions)
     return out.drop("_all")
-
-
-def neighbors_non_null(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                       prev_value: str | None = None, prev_col: str | None = None,
-                       next_value: str | None = None, next_col: str | None = None,
-                       num_partitions: int | None = None) -> DataFrame:
-    """For every row: ``prev_value`` of the nearest earlier row (``prev_col``)
-    and ``next_value`` of the nearest later row (``next_col``) of the same
-    group where that value is not NULL.
-
-    One range-sliced pass computes both directions with incremental frames
-    (growing from the slice edge), then stitches slices through per-slice
-    first/last non-NULL values.
-    """
-    group_cols, order_cols = list(group_cols), list(order_cols)
-    n = _n_parts(df, num_partitions)
-    r = sliced(df, group_cols, order_cols, n)
-    slice_cols = group_cols + ["_pid"]
-    okey = F.struct(*[F.col(c) for c in order_cols])
-    aggs, carry = [], list(slice_cols)
-    if prev_value:
-        wa = (Window.partitionBy(*slice_cols).orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
-              .rowsBetween(Window.unboundedPreceding, -1))
-        r = r.withColumn(prev_col, F.last(F.col(prev_value), ignorenulls=True).over(wa))
-        aggs.append(F.max_by(F.col(prev_value), F.when(F.col(prev_value).isNotNull(), okey)).alias("_last"))
-        ws = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-        carry.append(F.last("_last", ignorenulls=True).over(ws).alias("_carry_prev"))
-    if next_value:
-        wd = (Window.partitionBy(*slice_cols).orderBy(*[F.col(c).desc_nulls_last() for c in order_cols])
-              .rowsBetween(Window.unboundedPreceding, -1))
-        r = r.withColumn(next_col, F.last(F.col(next_value), ignorenulls=True).over(wd))
-        aggs.append(F.min_by(F.col(next_value), F.when(F.col(next_value).isNotNull(), okey)).alias("_first"))
-        ws = Window.partitionBy(*group_cols).orderBy(F.col("_pid").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        carry.append(F.last("_first", ignorenulls=True).over(ws).alias("_carry_next"))
-    summ = r.groupBy(*slice_cols).agg(*aggs).select(*carry)
-    out = r.join(summ, on=slice_cols, how="left")
-    if prev_value:
-        out = out.withColumn(prev_col, F.coalesce(F.col(prev_col), F.col("_carry_prev")))
-    if next_value:
-        out = out.withColumn(next_col, F.coalesce(F.col(next_col), F.col("_carry_next")))
-    return out.drop(*[c for c in ("_pid", "_carry_prev", "_carry_next") if c in out.columns])
-
-
-def next_non_null(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], value_col: str,
-                  out_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Value of the first later row (same group) whose ``value_col`` is not NULL.
-
-    This is the as-of lookup primitive: union probe rows (NULL value) with point
-    rows and ask every probe for the first point after it. Computed on range
-    slices with an incremental (descending, growing) frame, then stitched across
-    slices through a per-slice summary.
-    """
-    group_cols, order_cols = list(group_cols), list(order_cols)
-    out_col = out_col or f"next_{value_col}"
-    n = _n_parts(df, num_partitions)
-    r = sliced(df, group_cols, order_cols, n)
-    slice_cols = group_cols + ["_pid"]
-    # descending order + frame ending one row before: the rows seen so far are
-    # the later rows, and last(ignorenulls) is the nearest one (O(n) frame)
-    wd = (Window.partitionBy(*slice_cols).orderBy(*[F.col(c).desc_nulls_last() for c in order_cols])
-          .rowsBetween(Window.unboundedPreceding, -1))
-    r = r.withColumn(out_col, F.last(F.col(value_col), ignorenulls=True).over(wd))
-    first_key = F.when(F.col(value_col).isNotNull(), F.struct(*[F.col(c) for c in order_cols]))
-    summ = r.groupBy(*slice_cols).agg(F.min_by(F.col(value_col), first_key).alias("_first"))
-    ws = Window.partitionBy(*group_cols).orderBy(F.col("_pid").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    summ = summ.select(*slice_cols, F.last("_first", ignorenulls=True).over(ws).alias("_carry"))
-    out = r.join(summ, on=slice_cols, how="left")
-    out = out.withColumn(out_col, F.coalesce(F.col(out_col), F.col("_carry")))
-    return out.drop("_pid", "_carry")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from sluice.functions import scoring as S
 from sluice.functions.numeric import round_ratio, round_ratio_sql
 from sluice.operators import access as A
+from sluice.operators.sequence import previous_in_group
 from sluice.plans.registry import register
-from sluice.schemas import CACHE_SIZES, DEFAULT_TTL_SECONDS, POLICIES
+from sluice.schemas import CACHE_SIZES, DEFAULT_TTL_SECONDS
 from sluice.sources import bindings as B
 
 TTL_HOURS = [6, 24, 72]
@@ -74,7 +75,7 @@ SELECT t.ttl_hours,
        count(CASE WHEN NOT (s.prev_ts IS NOT NULL AND epoch_us(s.ts) - epoch_us(s.prev_ts) < t.ttl_hours * 3600000000) THEN 1 END) AS misses
 FROM seql s CROSS JOIN {_ttl_values_sql(TTL_HOURS)} GROUP BY t.ttl_hours""")
 def ttl_hits_sliding(spark, sf):
-    s = A.sequence_log(B.access_log(spark, sf))
+    s = previous_in_group(B.access_log(spark, sf).select("instance", "key", "ts", "seq"), ["instance", "key"], ["ts", "seq"], ["ts"])
     gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prev_ts").cast("timestamp"))
     aggs = []
     for h in TTL_HOURS:
@@ -143,85 +144,78 @@ def hit_rate_curve_sampled(spark, sf):
     return A.hit_rate_curve_sampled(B.access_log(spark, sf), CURVE_SIZES, modulus=SAMPLE_P, threshold=SAMPLE_T)
 
 
-def access_metrics_parts(ttl_seconds: int = DEFAULT_TTL_SECONDS) -> tuple[str, str]:
-    """(CTE prefix ending with the ``g`` CTE, final SELECT over ``g``) of the metrics SQL."""
-    sql = access_metrics_sql(ttl_seconds)
-    cut = sql.rindex("\nSELECT policy, CAST(cache_size AS INTEGER)")
-    return sql[:cut], sql[cut:]
-
-
-def over_metrics_sql(query: str, ttl_seconds: int = DEFAULT_TTL_SECONDS) -> str:
-    """SQL that reads the 15-configuration metrics as the CTE ``cm``."""
-    prefix, final = access_metrics_parts(ttl_seconds)
-    return prefix + ",\ncm AS (" + final + ")\n" + query
-
-
-def access_metrics_sql(ttl_seconds: int = DEFAULT_TTL_SECONDS) -> str:
-    cfg = ", ".join(f"('{p}', {c})" for p in POLICIES for c in CACHE_SIZES)
-    hit = ("CASE WHEN f.reuse_distance IS NOT NULL AND f.reuse_distance < c.cache_size AND "
-           "(c.policy = 'LRU' OR (c.policy = 'TTL-LRU' AND f.sliding_hit) OR (c.policy = 'TTL' AND f.fixed_hit)) "
-           "THEN 1 ELSE 0 END")
-    return rec(B.EV_CTE, SEQ_CTES, anchors_ctes(ttl_seconds, "fa")) + f"""
-, flags AS (
-  SELECT s.instance, s.key, s.seq, s.ts, s.op_ms, rd.reuse_distance,
-         coalesce(epoch_us(s.ts) - epoch_us(s.prev_ts) < {int(ttl_seconds) * 1_000_000}, false) AS sliding_hit,
-         fa.seq IS NULL AS fixed_hit
-  FROM seql s LEFT JOIN rd ON rd.instance = s.instance AND rd.pos = s.pos
-  LEFT JOIN fa ON fa.instance = s.instance AND fa.key = s.key AND fa.seq = s.seq
-), per AS (
-  SELECT c.policy, c.cache_size, f.instance, count(*) AS ops, count(DISTINCT f.key) AS keys,
-         sum({hit}) AS hits,
-         sum(CASE WHEN {hit} = 1 THEN CAST(round(f.op_ms * 100) AS BIGINT) END) AS hit_ms,
-         sum(CASE WHEN {hit} = 0 THEN CAST(round(f.op_ms * 100) AS BIGINT) END) AS miss_ms,
-         min(f.ts) AS t0, max(f.ts) AS t1
-  FROM flags f CROSS JOIN (VALUES {cfg}) AS c(policy, cache_size)
-  GROUP BY c.policy, c.cache_size, f.instance
-), per2 AS (
-  SELECT *, ops - hits AS misses,
-         CASE WHEN ops - hits > cache_size
-              THEN CAST(ceil((ops - hits - cache_size) / greatest(1, floor(cache_size * 0.1))) * greatest(1, floor(cache_size * 0.1)) AS BIGINT)
-              ELSE 0 END AS evictions,
-         greatest(0, ops - hits - least(cache_size, keys)) AS lru_evictions
-  FROM per
-), g0 AS (
-  SELECT policy, cache_size, sum(ops) AS total_operations, sum(hits) AS hits, sum(misses) AS misses,
-         sum(evictions) AS evictions, sum(lru_evictions) AS lru_evictions, sum(hit_ms) AS hit_ms,
-         sum(miss_ms) AS miss_ms, min(t0) AS t0, max(t1) AS t1
-  FROM per2 GROUP BY policy, cache_size
-), g AS (
-  SELECT c.policy, c.cache_size, coalesce(total_operations, 0) AS total_operations, coalesce(hits, 0) AS hits,
-         coalesce(misses, 0) AS misses, coalesce(evictions, 0) AS evictions,
-         coalesce(lru_evictions, 0) AS lru_evictions, hit_ms, miss_ms, t0, t1
-  FROM (VALUES {cfg}) AS c(policy, cache_size) LEFT JOIN g0 USING (policy, cache_size)
-)
-SELECT policy, CAST(cache_size AS INTEGER) AS cache_size, CAST(total_operations AS BIGINT) AS total_operations,
-       CAST(hits AS BIGINT) AS hits, CAST(misses AS BIGINT) AS misses, CAST(misses AS BIGINT) AS sets,
-       CAST(evictions AS BIGINT) AS evictions, CAST(lru_evictions AS BIGINT) AS lru_evictions,
-       {round_ratio_sql('hits * 100', 'total_operations', 2)} AS hit_rate_percent,
-       {round_ratio_sql('misses * 100', 'total_operations', 2)} AS miss_rate_percent,
-       {round_ratio_sql('evictions * 100', 'total_operations', 2)} AS eviction_rate_percent,
+RATES_SQL = f"""
+SELECT policy, CAST(cache_size AS INTEGER) AS cache_size, CAST(ttl_hours AS INTEGER) AS ttl_hours,
+       CAST(ops AS BIGINT) AS total_operations, CAST(hits AS BIGINT) AS hits, CAST(misses AS BIGINT) AS misses,
+       CAST(misses AS BIGINT) AS sets, CAST(evictions AS BIGINT) AS evictions,
+       {round_ratio_sql('hits * 100', 'ops', 2)} AS hit_rate_percent,
+       {round_ratio_sql('misses * 100', 'ops', 2)} AS miss_rate_percent,
+       CASE WHEN evictions IS NOT NULL THEN {round_ratio_sql('evictions * 100', 'ops', 2)} END AS eviction_rate_percent,
        {round_ratio_sql('coalesce(hit_ms, 0)', 'hits * 100', 2)} AS avg_hit_time_ms,
        {round_ratio_sql('coalesce(miss_ms, 0)', 'misses * 100', 2)} AS avg_miss_time_ms,
        {round_ratio_sql('hits * 100', 'hits + misses', 2)} AS cache_efficiency,
-       {round_ratio_sql('hits * 100', 'hits + misses + evictions', 2)} AS efficiency_evict,
+       CASE WHEN evictions IS NOT NULL THEN {round_ratio_sql('hits * 100', 'hits + misses + evictions', 2)} END AS efficiency_evict,
        coalesce((epoch_us(t1) - epoch_us(t0)) / 1e6, 0.0) AS runtime_seconds
-FROM g"""
+FROM """
+
+
+def sized_sql(ttl_seconds: int = DEFAULT_TTL_SECONDS) -> str:
+    """The metrics of the sized policies: one branch per configuration, each with its own literal policy."""
+    hit = "(reuse_distance IS NOT NULL AND reuse_distance < {c})"
+    rules = {"LRU": hit, "TTL-LRU": "(" + hit + " AND sliding_hit)"}
+    branches = [f"""
+  SELECT concat('{p}', '') AS policy, {c} AS cache_size, instance, count(*) AS ops,
+         count(CASE WHEN reuse_distance IS NULL THEN 1 END) AS keys,
+         count(CASE WHEN {rules[p].format(c=c)} THEN 1 END) AS hits,
+         count(CASE WHEN NOT {hit.format(c=c)} THEN 1 END) AS pushed,
+         sum(CASE WHEN {rules[p].format(c=c)} THEN ms END) AS hit_ms,
+         sum(CASE WHEN NOT {rules[p].format(c=c)} THEN ms END) AS miss_ms, min(ts) AS t0, max(ts) AS t1
+  FROM flags GROUP BY instance""" for p in A.SIZED_POLICIES for c in CACHE_SIZES]
+    return B.with_ctes(B.EV_CTE, SEQ_CTES) + f"""
+, flags AS (
+  SELECT s.instance, s.ts, CAST(round(s.op_ms * 100) AS BIGINT) AS ms, rd.reuse_distance,
+         coalesce(epoch_us(s.ts) - epoch_us(s.prev_ts) < {int(ttl_seconds) * 1_000_000}, false) AS sliding_hit
+  FROM seql s LEFT JOIN rd ON rd.instance = s.instance AND rd.pos = s.pos
+), per AS ({' UNION ALL '.join(branches)}
+), sized AS (
+  SELECT policy, cache_size, CAST(NULL AS INTEGER) AS ttl_hours, sum(ops) AS ops, sum(hits) AS hits, sum(ops - hits) AS misses,
+         sum(pushed - least(cache_size, keys)) AS evictions, sum(hit_ms) AS hit_ms, sum(miss_ms) AS miss_ms, min(t0) AS t0, max(t1) AS t1
+  FROM per GROUP BY policy, cache_size
+)"""
+
+
+def over_metrics_sql(query: str, ttl_seconds: int = DEFAULT_TTL_SECONDS) -> str:
+    """SQL that reads the metrics of the sized configurations as the CTE ``cm``."""
+    return sized_sql(ttl_seconds) + ",\ncm AS (" + RATES_SQL + "sized)\n" + query
 
 
-ACCESS_METRICS_SQL = access_metrics_sql()
+def _ttl_sql() -> str:
+    branches = [f"SELECT {h} AS ttl_hours, count(*) AS misses, sum(ms) AS miss_ms FROM (SELECT CAST(round(ev.op_ms * 100) AS BIGINT) AS ms "
+                f"FROM a{h} JOIN ev USING (instance, key, seq))" for h in TTL_HOURS]
+    return rec(B.EV_CTE, *[anchors_ctes(h * 3600, f"a{h}") for h in TTL_HOURS]) + f"""
+, missed AS ({' UNION ALL '.join(branches)}),
+total AS (SELECT count(*) AS ops, sum(CAST(round(op_ms * 100) AS BIGINT)) AS all_ms, min(ts) AS t0, max(ts) AS t1 FROM ev),
+byttl AS (SELECT concat('TTL', '') AS policy, CAST(NULL AS INTEGER) AS cache_size, ttl_hours, ops, ops - misses AS hits, misses,
+                 CAST(NULL AS BIGINT) AS evictions, all_ms - miss_ms AS hit_ms, miss_ms, t0, t1 FROM missed, total)
+""" + RATES_SQL + "byttl"
 
 
 def config_metrics(spark, sf):
-    """The 15-configuration metrics frame derived from the events log."""
-    flags = A.access_flags(B.access_log(spark, sf), DEFAULT_TTL_SECONDS)
-    return A.access_metrics(flags, POLICIES, CACHE_SIZES)
+    """The metrics of the sized configurations (LRU and TTL-LRU by size) of the events log."""
+    return A.access_metrics(A.access_flags(B.access_log(spark, sf), DEFAULT_TTL_SECONDS), A.SIZED_POLICIES, CACHE_SIZES)
 
 
-@register("access_metrics", ACCESS_METRICS_SQL)
+@register("access_metrics", over_metrics_sql("SELECT * FROM cm"))
 def access_metrics(spark, sf):
     return config_metrics(spark, sf)
 
 
+@register("ttl_metrics", _ttl_sql())
+def ttl_metrics(spark, sf):
+    """The policy TTL by TTL: expiry counted from the set, no capacity."""
+    return A.ttl_metrics(B.access_log(spark, sf), TTL_HOURS)
+
+
 LOOKUP_SQL = EV + """
 , snap AS (SELECT DISTINCT instance, key FROM ev WHERE ts < (SELECT min(ts) FROM ev) + INTERVAL 7 DAY)
 SELECT e.instance, count(*) AS lookups, count(s.key) AS hits, count(*) - count(s.key) AS misses
@@ -234,12 +228,9 @@ GROUP BY e.instance"""
 def lookup_hit(spark, sf):
     log = B.access_log(spark, sf)
     cut = log.agg((F.min("ts") + F.expr("INTERVAL 7 DAYS")).alias("cut"))  # one row
-    tagged = log.crossJoin(cut)
-    snap = tagged.filter(F.col("ts") < F.col("cut")).select("instance", "key").distinct().withColumn("_in", F.lit(True))
-    later = tagged.filter(F.col("ts") >= F.col("cut"))
-    j = later.join(snap, ["instance", "key"], "left")
-    return j.groupBy("instance").agg(F.count(F.lit(1)).alias("lookups"), F.count("_in").alias("hits"),
-                                     F.count_if(F.col("_in").isNull()).alias("misses"))
+    j = A.lookup_hit(log.crossJoin(cut), F.col("cut"))
+    return j.groupBy("instance").agg(F.count(F.lit(1)).alias("lookups"), F.count_if("hit").alias("hits"),
+                                     F.count_if(~F.col("hit")).alias("misses"))
 
 
 @register("throughput", EV + """

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluice.functions.numeric import avg_rounded, avg_rounded_sql
+from sluice.functions.numeric import avg_rounded_sql
 from sluice.operators import report as R
+from sluice.operators.access import SIZED_POLICIES
 from sluice.plans.q_access import config_metrics, over_metrics_sql
 from sluice.plans.registry import register
 from sluice.schemas import CACHE_SIZES, POLICIES
@@ -50,22 +51,19 @@ def best_configs(spark, sf):
 
 
 @register("pivot_metric", over_metrics_sql("""
-SELECT cache_size, max(CASE WHEN policy = 'LRU' THEN evictions END) AS "LRU",
-       max(CASE WHEN policy = 'TTL' THEN evictions END) AS "TTL",
-       max(CASE WHEN policy = 'TTL-LRU' THEN evictions END) AS "TTL-LRU"
+SELECT cache_size, max(CASE WHEN policy = 'LRU' THEN hit_rate_percent END) AS "LRU",
+       max(CASE WHEN policy = 'TTL-LRU' THEN hit_rate_percent END) AS "TTL-LRU"
 FROM cm GROUP BY cache_size"""))
 def pivot_metric(spark, sf):
-    return R.pivot_metric(config_metrics(spark, sf), "evictions")
+    return R.pivot_metric(config_metrics(spark, sf), "hit_rate_percent", SIZED_POLICIES)
 
 
 @register("mean_by_group", over_metrics_sql(f"""
-SELECT policy, {avg_rounded_sql('hit_rate_percent', 2, 4)} AS mean_hit_rate,
-       {avg_rounded_sql('avg_hit_time_ms', 2, 4)} AS mean_hit_time_ms
-FROM cm GROUP BY policy"""))
+SELECT cache_size, policy, {avg_rounded_sql('hit_rate_percent', 2, 4)} AS mean_hit_rate_percent,
+       {avg_rounded_sql('avg_hit_time_ms', 2, 4)} AS mean_avg_hit_time_ms
+FROM cm GROUP BY cache_size, policy"""))
 def mean_by_group(spark, sf):
-    m = config_metrics(spark, sf)
-    return m.groupBy("policy").agg(avg_rounded(F.col("hit_rate_percent"), 2, 4).alias("mean_hit_rate"),
-                                   avg_rounded(F.col("avg_hit_time_ms"), 2, 4).alias("mean_hit_time_ms"))
+    return R.mean_by_group(config_metrics(spark, sf), ["hit_rate_percent", "avg_hit_time_ms"], ["cache_size", "policy"])
 
 
 @register("box_stats", over_metrics_sql("""
@@ -79,12 +77,13 @@ def box_stats(spark, sf):
 
 
 @register("distribution_hist", B.with_ctes(B.EV_CTE) + """
-SELECT instance, CASE WHEN op_ms < 0 THEN 0 WHEN op_ms >= 100 THEN 11
-                      ELSE CAST(floor((op_ms - 0) * 10 / (100 - 0)) AS INTEGER) + 1 END AS bucket,
-       count(*) AS n
-FROM ev GROUP BY 1, 2""")
+, r AS (SELECT min(op_ms) AS lo, max(op_ms) AS hi FROM ev)
+SELECT instance, CAST(least(floor((op_ms - lo) * 10 / (hi - lo)), 9) AS INTEGER) + 1 AS bucket, count(*) AS n
+FROM ev, r GROUP BY 1, 2""")
 def distribution_hist(spark, sf):
-    return R.distribution_hist(B.access_log(spark, sf), "op_ms", ["instance"], 0.0, 100.0, 10)
+    log = B.access_log(spark, sf)
+    span = log.agg(F.min("op_ms").alias("lo"), F.max("op_ms").alias("hi"))  # one row
+    return R.distribution_hist(log.crossJoin(span), "op_ms", ["instance"], F.col("lo"), F.col("hi"), 10)
 
 
 CHART_SQL = """
@@ -105,6 +104,8 @@ def scatter_points(spark, sf):
     return R.scatter_points(config_metrics(spark, sf))
 
 
+REPORT_AT = "2024-01-01 00:00:00"  # the report's clock, fixed for comparison
+
 REPORT_SQL = f"""
 SELECT grid.ordinal, cm.policy, cm.cache_size, l.line, l.text FROM cm JOIN {GRID_SQL} USING (policy, cache_size),
 LATERAL (SELECT * FROM (VALUES
@@ -123,10 +124,28 @@ def report_rows(spark, sf):
     return R.report_rows(config_metrics(spark, sf))
 
 
-@register("report_text_sink", over_metrics_sql(f"SELECT text FROM ({REPORT_SQL})"))
+def _values(lines: list[str]) -> str:
+    return " UNION ALL ".join("SELECT '" + x.replace("'", "''") + "' AS text" for x in lines)
+
+
+FULL_REPORT_SQL = over_metrics_sql(f"""
+, o AS (SELECT cm.*, grid.ordinal, cm.policy || '_size_' || CAST(cm.cache_size AS VARCHAR) AS label
+        FROM cm JOIN {GRID_SQL} USING (policy, cache_size))
+{_values(R.report_header(REPORT_AT))}
+UNION ALL SELECT 'POLÍTICA ' || policy || ':' FROM (SELECT DISTINCT policy FROM cm)
+UNION ALL SELECT '{R.RULE}' FROM (SELECT DISTINCT policy FROM cm)
+UNION ALL SELECT text FROM ({REPORT_SQL})
+UNION ALL {_values(R.BEST_HEADER)}
+UNION ALL SELECT printf('Mejor Hit Rate: %s (%.2f%%)', label, hit_rate_percent) FROM (SELECT * FROM o ORDER BY hit_rate_percent DESC, ordinal LIMIT 1)
+UNION ALL SELECT printf('Menores Evictions: %s (%d evictions)', label, evictions) FROM (SELECT * FROM o ORDER BY evictions, ordinal LIMIT 1)
+UNION ALL SELECT printf('Mejor Eficiencia: %s (%.2f%%)', label, cache_efficiency) FROM (SELECT * FROM o ORDER BY cache_efficiency DESC, ordinal LIMIT 1)""")
+
+
+@register("report_text_sink", FULL_REPORT_SQL)
 def report_text_sink(spark, sf):
+    """The whole report: header, policies with their sizes, best configurations."""
     path = scratch_path(spark, "report")
-    R.write_report_text(config_metrics(spark, sf), path)
+    R.write_report_text(config_metrics(spark, sf), path, REPORT_AT)
     return spark.read.text(path).select(F.col("value").alias("text"))
 
 

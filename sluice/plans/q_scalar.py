@@ -92,12 +92,15 @@ def score_input(spark, sf):
 
 @register("safe_ratio_pct", EV + f"""
 SELECT instance, count(*) AS ops, count(CASE WHEN is_error THEN 1 END) AS errors,
-       {N.round_ratio_sql('count(CASE WHEN is_error THEN 1 END) * 100', 'count(*)', 2)} AS error_pct
+       round(CASE WHEN count(*) > 0 THEN count(CASE WHEN is_error THEN 1 END) / count(*) * 100 ELSE 0.0 END, 6) AS error_pct,
+       round(CASE WHEN count(CASE WHEN is_error THEN 1 END) > 0 THEN count(*) / count(CASE WHEN is_error THEN 1 END) * 100 ELSE 0.0 END, 6) AS ops_per_error_pct
 FROM ev GROUP BY instance""")
 def safe_ratio_pct(spark, sf):
+    """Percentages that are 0 where the divisor is 0 (instances without errors)."""
     ev = B.access_log(spark, sf)
     g = ev.groupBy("instance").agg(F.count(F.lit(1)).alias("ops"), F.count_if("is_error").alias("errors"))
-    return g.select("instance", "ops", "errors", N.round_ratio(F.col("errors") * 100, F.col("ops"), 2).alias("error_pct"))
+    return g.select("instance", "ops", "errors", F.round(N.safe_ratio_pct(F.col("errors"), F.col("ops")), 6).alias("error_pct"),
+                    F.round(N.safe_ratio_pct(F.col("ops"), F.col("errors")), 6).alias("ops_per_error_pct"))
 
 
 @register("qps", EV + """
@@ -139,13 +142,13 @@ def text_truncate(spark, sf):
 
 @register("format_metric", EV + f"""
 SELECT instance, printf('%.2f%%', {N.round_ratio_sql('count(CASE WHEN is_error THEN 1 END) * 100', 'count(*)', 2)}) AS error_pct_text,
-       format('{{:,}}', count(*) * 1000) AS ops_text
+       format('{{:,}}', count(*)) AS ops_text
 FROM ev GROUP BY instance""")
 def format_metric(spark, sf):
     ev = B.access_log(spark, sf)
     g = ev.groupBy("instance").agg(F.count(F.lit(1)).alias("ops"), F.count_if("is_error").alias("errors"))
     return g.select("instance", N.format_pct(N.round_ratio(F.col("errors") * 100, F.col("ops"), 2)).alias("error_pct_text"),
-                    N.format_thousands(F.col("ops") * 1000).alias("ops_text"))
+                    N.format_thousands(F.col("ops")).alias("ops_text"))
 
 
 @register("json_decode", B.with_ctes(B.EV_CTE) + """
@@ -254,13 +257,26 @@ def null_safe_match(spark, sf):
     return j.select(q["id"], F.coalesce(rec["hit"], F.lit(False)).alias("matched"))
 
 
-@register("rating_bands", B.with_ctes(B.QA_CTE, B.MR_CTE) + """
-SELECT model_name,
-       CASE WHEN avg(quality_score) > 8.0 THEN 'high' ELSE 'standard' END AS quality_band,
-       CASE WHEN avg(response_time) * 1000 < 100.0 THEN 'optimal' ELSE 'slow' END AS latency_band
-FROM mr GROUP BY model_name""")
+@register("rating_bands", B.with_ctes(B.EV_CTE) + f"""
+, pk AS (SELECT instance, key, count(*) AS c FROM ev GROUP BY instance, key)
+, h AS (SELECT instance, {N.round_ratio_sql('(sum(c) - count(*)) * 100', 'sum(c)', 2)} AS hit_rate FROM pk GROUP BY instance)
+, l AS (SELECT instance, {N.avg_rounded_sql('op_ms', 2, 2)} AS latency_ms, {N.round_ratio_sql('count(CASE WHEN NOT is_error THEN 1 END) * 1000', 'count(*)', 2)} / 100 AS quality
+        FROM ev GROUP BY instance)
+SELECT instance, hit_rate, CASE WHEN hit_rate > 70.0 THEN 'excellent' ELSE 'needs_improvement' END AS hit_band,
+       latency_ms, CASE WHEN latency_ms < 100.0 THEN 'optimal' ELSE 'slow' END AS latency_band,
+       quality, CASE WHEN quality > 8.0 THEN 'high' ELSE 'standard' END AS quality_band
+FROM h JOIN l USING (instance)""")
 def rating_bands(spark, sf):
-    mr = B.model_results(spark, sf)
-    g = mr.groupBy("model_name").agg(F.avg("quality_score").alias("q"), F.avg("response_time").alias("t"))
-    return g.select("model_name", P.rating_band("quality", F.col("q")).alias("quality_band"),
-                    P.rating_band("latency_ms", F.col("t") * 1000).alias("latency_band"))
+    """Bands per cache instance: hit rate of an unbounded cache, mean operation time, and successful operations
+    on a scale of ten."""
+    log = B.access_log(spark, sf)
+    per_key = log.groupBy("instance", "key").agg(F.count(F.lit(1)).alias("c"))
+    hits = per_key.groupBy("instance").agg(F.sum("c").alias("ops"), F.count(F.lit(1)).alias("keys")).select(
+        "instance", N.round_ratio((F.col("ops") - F.col("keys")) * 100, F.col("ops"), 2).alias("hit_rate"))
+    rest = log.groupBy("instance").agg(
+        N.avg_rounded(F.col("op_ms"), 2, 2).alias("latency_ms"), F.count(F.lit(1)).alias("ops"), F.count_if(~F.col("is_error")).alias("good")).select(
+        "instance", "latency_ms", (N.round_ratio(F.col("good") * 1000, F.col("ops"), 2) / 100).alias("quality"))
+    j = hits.join(rest, "instance")
+    return j.select("instance", "hit_rate", P.rating_band("hit_rate", F.col("hit_rate")).alias("hit_band"),
+                    "latency_ms", P.rating_band("latency_ms", F.col("latency_ms")).alias("latency_band"),
+                    "quality", P.rating_band("quality", F.col("quality")).alias("quality_band"))

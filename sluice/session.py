@@ -23,21 +23,28 @@ BASE_CONF = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str = "sluice") -> SparkSession:
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "sluice") -> SparkSession:
     """Build (or reuse) a session with the base configuration.
 
-    On a cluster the master and resources come from spark-submit; locally
-    ``master`` defaults to ``local[$BENCH_CPUS or *]``.
+    Under spark-submit the master, memory and shuffle partitions are the
+    cluster's. Only a local session (no master given anywhere) gets
+    ``local[$BENCH_CPUS or *]``, 16 GB and as many shuffle partitions as asked
+    for (8).
     """
+    from pyspark import SparkConf
+
     builder = SparkSession.builder.appName(app)
-    if master is None and not os.environ.get("SPARK_MASTER"):
-        master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
-    if master:
-        builder = builder.master(master)
+    given = master or SparkConf().get("spark.master", None) or os.environ.get("SPARK_MASTER")
     for k, v in BASE_CONF.items():
         builder = builder.config(k, v)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    builder = builder.config("spark.driver.memory", os.environ.get("SLUICE_DRIVER_MEMORY", "16g"))
+    if not given or str(given).startswith("local"):
+        builder = builder.master(given or f"local[{os.environ.get('BENCH_CPUS', '*')}]")
+        builder = builder.config("spark.driver.memory", os.environ.get("SLUICE_DRIVER_MEMORY", "16g"))
+        shuffle_partitions = shuffle_partitions or 8
+    elif master:
+        builder = builder.master(master)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ship_package(spark)
