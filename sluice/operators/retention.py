@@ -78,23 +78,26 @@ def evict_candidates(snapshot: DataFrame, cap: int, min_one: bool = True) -> Dat
                                    F.col("policy")).alias("reason"))
 
 
-def recent_history(events: DataFrame, group_cols: list[str], order_col: str, k: int = 10,
-                   salt_buckets: int = 64) -> DataFrame:
-    """Last ``k`` events per group (top-k by ``order_col`` desc, ties by ``seq``).
+def eviction_events(distances: DataFrame, seq_log: DataFrame, size: int) -> DataFrame:
+    """Evictions of a least-recently-used cache of ``size`` keys per instance: every miss once the cache is
+    full pushes one key out. Columns of ``seq_log`` plus reason, evicted_count and size_before.
 
-    Two phases so a hot group never sits in one task: top-k inside
-    (group, salt) slices, then top-k over at most k * salt_buckets candidates.
+    ``distances`` has the reuse distance of re-accesses. The cache is full after the ``size``-th cold access,
+    found among the first ``size`` cold accesses of each instance.
     """
-    salt = F.pmod(F.xxhash64(F.col("seq")), F.lit(salt_buckets))
-    order = [F.col(order_col).desc(), F.col("seq").desc()]
-    w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order)
-    cand = events.withColumn("_salt", salt).withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= k)
-    w2 = Window.partitionBy(*group_cols).orderBy(*order)
-    top = cand.withColumn("recency_rank", F.row_number().over(w2)).filter(F.col("recency_rank") <= k)
-    return top.drop("_salt", "_r")
-
-
-def history_array(top: DataFrame, group_cols: list[str], fields: list[str]) -> DataFrame:
-    """The same history as one array per group (at most ``k`` elements)."""
-    g = top.groupBy(*group_cols).agg(F.sort_array(F.collect_list(F.struct("recency_rank", *fields))).alias("history"))
-    return g
+    s = seq_log.join(distances.select("instance", "pos", "reuse_distance"), ["instance", "pos"], "left")
+    first = Window.partitionBy("instance").orderBy("pos")  # a limit: tasks pass on at most ``size`` rows each
+    cold = s.filter(F.col("reuse_distance").isNull()).select("instance", "pos")
+    full = cold.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= size).groupBy("instance").agg(
+        F.max("pos").alias("_full"), F.count(F.lit(1)).alias("_keys")).filter(F.col("_keys") == size)
+    miss = s.filter(F.col("reuse_distance").isNull() | (F.col("reuse_distance") >= size))
+    return (miss.join(full, "instance").filter(F.col("pos") > F.col("_full"))
+            .withColumns({"reason": F.lit(REASONS["LRU"]), "evicted_count": F.lit(1), "size_before": F.lit(size)})
+            .drop("_full", "_keys", "reuse_distance"))
+
+
+def recent_history(events: DataFrame, group_cols: list[str], order_col: str, k: int = 10) -> DataFrame:
+    """Last ``k`` events per group (top-k by ``order_col`` desc, ties by ``seq``). Spark limits each task's
+    rows of a group to ``k`` before the shuffle, so a hot group sends at most ``k`` rows a task."""
+    w = Window.partitionBy(*group_cols).orderBy(F.col(order_col).desc(), F.col("seq").desc())
+    return events.withColumn("recency_rank", F.row_number().over(w)).filter(F.col("recency_rank") <= k)

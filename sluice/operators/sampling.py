@@ -1,9 +1,8 @@
 """Workload tables: uniform and weighted draws with replacement.
 
-Draws are reproducible: u = md5-hash(seed, row, draw) / 2^32, so the same
-draws come out of Spark and the SQL oracle. Every row of the item table
-spawns its own draws, so the number of draws grows with the table and the
-work is spread over all tasks. Items are addressed by a dense index built
+Draws are reproducible: u = md5-hash(seed, draw) / 2^32, so the same draws
+come out of Spark and the SQL oracle. Uniform draws have a given number;
+weighted ones are spawned by the rows of the item table. Items are addressed by a dense index built
 without a global window.
 """
 
@@ -36,14 +35,13 @@ def _draws(items: DataFrame, draws_per_item: int, id_col: str) -> DataFrame:
     return items.select(F.col(id_col).alias("src"), F.explode(F.sequence(F.lit(1), F.lit(draws_per_item))).alias("j"))
 
 
-def sample_with_replacement(items: DataFrame, draws_per_item: int = 10, seed: int = 42,
-                            id_col: str = "id") -> DataFrame:
-    """Exactly n * draws_per_item uniform draws (``random.choice`` in a loop)."""
+def sample_with_replacement(items: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:
+    """Exactly ``n`` uniform draws (``random.choice`` in a loop): draw number ``j`` and ``drawn_id``. No item, no draw."""
     idx = indexed(items.select(id_col), id_col)
-    n = items.agg(F.count(F.lit(1)).alias("n"))  # one row
-    d = _draws(items, draws_per_item, id_col).crossJoin(n)
-    d = d.withColumn("target", (F.floor(draw_u(seed, "src", "j") * F.col("n")) + 1).cast("long"))
-    return d.join(idx, d["target"] == idx["idx"], "inner").select("src", "j", F.col(id_col).alias("drawn_id"))
+    total = items.agg(F.count(F.lit(1)).alias("n"))  # one row
+    d = items.sparkSession.range(n).withColumnRenamed("id", "j").crossJoin(total)
+    d = d.withColumn("target", (F.floor(draw_u(seed, "j") * F.col("n")) + 1).cast("long"))
+    return d.join(idx, d["target"] == idx["idx"], "inner").select("j", F.col(id_col).alias("drawn_id"))
 
 
 def weighted_target(u: Column, n: Column) -> Column:

@@ -37,13 +37,13 @@ def _evict_sql(ttl_seconds: int, cap: int, min_one: bool) -> str:
   UNION ALL SELECT instance, key, 'TTL-LRU', {rem('last_access')} FROM base
 )
 , alive AS (SELECT * FROM snap WHERE ttl = -1 OR ttl > 0)
-, scored AS (SELECT *, CASE WHEN policy = 'TTL-LRU' THEN CASE WHEN ttl > 0 THEN ttl ELSE 999999 END
+, scored AS (SELECT *, CASE WHEN policy = 'TTL-LRU' THEN CASE WHEN ttl > 0 THEN ttl ELSE {RT.LAST_RESORT} END
                             WHEN policy = 'TTL' THEN CASE WHEN ttl > 0 THEN ttl END ELSE ttl END AS score FROM alive)
 , sizes AS (SELECT policy, instance, count(*) AS n FROM alive GROUP BY policy, instance)
 , ranked AS (SELECT s.*, row_number() OVER (PARTITION BY policy, instance ORDER BY score, key) AS rank
              FROM scored s WHERE score IS NOT NULL)
 SELECT r.policy, r.instance, r.key, r.ttl, r.score, r.rank, z.n AS cache_size_before,
-       CASE r.policy WHEN 'LRU' THEN 'LRU_POLICY' WHEN 'TTL' THEN 'TTL_POLICY' ELSE 'TTL_LRU_POLICY' END AS reason
+       CASE r.policy {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in RT.REASONS.items())} END AS reason
 FROM ranked r JOIN sizes z USING (policy, instance)
 WHERE r.rank <= CASE WHEN z.n >= {cap} THEN {k} ELSE 0 END"""
 
@@ -68,16 +68,24 @@ def evict_candidates_floor(spark, sf):
     return _evict(spark, sf, 86400, 5, False)
 
 
-@register("recent_history", B.with_ctes(B.EV_CTE, SEQ_CTES.split(",\nrd AS")[0]) + """
-SELECT instance, key, seq, ts, CAST(recency_rank AS INTEGER) AS recency_rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY instance ORDER BY ts DESC, seq DESC) AS recency_rank
-  FROM seql WHERE NOT coalesce(epoch_us(ts) - epoch_us(prev_ts) < 3600000000, false)
-) WHERE recency_rank <= 10""")
+HISTORY_SIZE = 10
+
+
+@register("recent_history", B.with_ctes(B.EV_CTE, SEQ_CTES) + f"""
+, d AS (SELECT s.*, rd.reuse_distance FROM seql s LEFT JOIN rd ON rd.instance = s.instance AND rd.pos = s.pos)
+, f AS (SELECT instance, max(pos) AS full_at FROM (
+    SELECT instance, pos, row_number() OVER (PARTITION BY instance ORDER BY pos) AS n FROM d WHERE reuse_distance IS NULL)
+  WHERE n <= {HISTORY_SIZE} GROUP BY instance HAVING count(*) = {HISTORY_SIZE})
+SELECT instance, key, seq, ts, '{RT.REASONS["LRU"]}' AS reason, 1 AS evicted_count, {HISTORY_SIZE} AS size_before,
+       CAST(recency_rank AS INTEGER) AS recency_rank FROM (
+  SELECT d.*, row_number() OVER (PARTITION BY d.instance ORDER BY ts DESC, seq DESC) AS recency_rank
+  FROM d JOIN f ON f.instance = d.instance AND d.pos > f.full_at
+  WHERE reuse_distance IS NULL OR reuse_distance >= {HISTORY_SIZE}) WHERE recency_rank <= 10""")
 def recent_history(spark, sf):
-    """The last 10 misses (set operations) per cache instance under TTL-LRU, 1 h TTL."""
-    s = A.ttl_hits_sliding(A.sequence_log(B.access_log(spark, sf)), 3600).filter(~F.col("hit"))
-    top = RT.recent_history(s, ["instance"], "ts", k=10)
-    return top.select("instance", "key", "seq", "ts", "recency_rank")
+    """The last 10 evictions of each cache instance of 10 keys."""
+    s = A.sequence_log(B.access_log(spark, sf))
+    top = RT.recent_history(RT.eviction_events(A.reuse_distance(s), s, HISTORY_SIZE), ["instance"], "ts", k=10)
+    return top.select("instance", "key", "seq", "ts", "reason", "evicted_count", "size_before", "recency_rank")
 
 
 # ---------------------------------------------------------------------------
@@ -92,9 +100,15 @@ t AS (SELECT d.src, d.j, {target} AS target FROM draws d CROSS JOIN nn)
 SELECT i.id AS drawn_id, count(*) AS times_drawn FROM t JOIN items i ON i.idx = t.target GROUP BY i.id"""
 
 
-@register("sample_with_replacement", _draw_sql(42, "CAST(floor(u * n) + 1 AS BIGINT)"))
+DRAWS = 10_000  # the default number of draws
+
+
+@register("sample_with_replacement", Q + f""", items AS (SELECT id, row_number() OVER (ORDER BY id) AS idx FROM questions),
+draws AS (SELECT CAST(floor(CAST(('0x' || substr(md5('42:' || j), 1, 8)) AS BIGINT) / 4294967296.0 * (SELECT count(*) FROM questions)) + 1 AS BIGINT) AS target
+          FROM (SELECT range AS j FROM range(0, {DRAWS})))
+SELECT i.id AS drawn_id, count(*) AS times_drawn FROM draws d JOIN items i ON i.idx = d.target GROUP BY i.id""")
 def sample_with_replacement(spark, sf):
-    d = SP.sample_with_replacement(B.questions(spark, sf).select("id"), 10, 42)
+    d = SP.sample_with_replacement(B.questions(spark, sf).select("id"), DRAWS, 42)
     return d.groupBy("drawn_id").agg(F.count(F.lit(1)).alias("times_drawn"))
 
 

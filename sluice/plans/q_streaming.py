@@ -29,40 +29,66 @@ FIXED_TTL = 6 * 3600
                   count(*) AS accesses
            FROM s GROUP BY instance, key, sid)
 SELECT instance, key, session_start, session_end, accesses, accesses - 1 AS hits, 1 AS misses
-FROM sess WHERE session_end <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR""")
+FROM sess""")
 def stream_residency(spark, sf):
+    """All sessions, open ones included: session windows know no update mode, so the query is complete."""
     out = ST.scratch(spark, "residency")
-    ST.run_to_parquet(ST.residency_sessions(ST.access_stream(spark, sf), RESIDENCY_TTL), out, "append")
-    df = spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
+    ST.run_to_parquet(ST.residency_sessions(ST.access_stream(spark, sf), RESIDENCY_TTL), out, "complete")
+    df = ST.latest_batch(spark, out)
     return df.select("instance", "key", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
                      F.col("session_end").cast("timestamp_ntz").alias("session_end"), "accesses", "hits", "misses")
 
 
-@register("stream_first_seen")
+SPLITS = 4
+
+
+def split_stream(spark, sf, columns=("event_id", "ts", "user_id", "event_type", "value")):
+    """The events as ``SPLITS`` folders of rising time, one micro-batch each (a log that arrives in parts)."""
+    ev = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").select(*columns)
+    span = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))  # one row
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    part = F.least(F.floor((us("ts") - us("lo")) * SPLITS / (us("hi") - us("lo") + 1)), F.lit(SPLITS - 1)).cast("int")
+    parts = ev.crossJoin(span).withColumn("part", part).drop("lo", "hi")
+    src = ST.scratch(spark, "split")
+    schema = ev.schema
+    for i in range(SPLITS):  # the file source takes older files first
+        parts.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    return stream.select(
+        F.col("event_type").alias("instance"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"),
+        F.col("event_id").alias("seq"), F.col("value").alias("op_ms"), (F.col("event_type") == "error").alias("is_error"))
+
+
+def _flags(spark, sf, name):
+    """Fixed-TTL flags of the log in several micro-batches."""
+    return ST.fixed_ttl_by_batch(split_stream(spark, sf), FIXED_TTL, ST.scratch(spark, name))
+
+
+FLAGS_SQL = rec(B.EV_CTE, anchors_ctes(FIXED_TTL, "fa")) + """
+, fl AS (SELECT e.*, fa.seq IS NULL AS hit
+  FROM ev e LEFT JOIN fa ON fa.instance = e.instance AND fa.key = e.key AND fa.seq = e.seq)
+"""
+
+
+@register("stream_first_seen", FLAGS_SQL + "SELECT instance, key, seq, ts FROM fl WHERE NOT hit")
 def stream_first_seen(spark, sf):
-    # which duplicate survives depends on micro-batch boundaries: rows-only check
-    out = ST.scratch(spark, "first-seen")
-    ST.run_to_parquet(ST.first_seen(ST.access_stream(spark, sf)), out, "append")
-    return spark.read.option("basePath", out).parquet(f"{out}/batch_id=*").drop("batch_id")
+    """The misses of the TTL rule as they arrive."""
+    seen = ST.first_seen(spark.read.parquet(_flags(spark, sf, "first-seen")))
+    return seen.select("instance", "key", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-@register("stream_fixed_ttl", rec(B.EV_CTE, anchors_ctes(FIXED_TTL, "fa")) + """
-SELECT e.instance, e.key, e.seq, fa.seq IS NULL AS hit
-FROM ev e LEFT JOIN fa ON fa.instance = e.instance AND fa.key = e.key AND fa.seq = e.seq""")
+@register("stream_fixed_ttl", FLAGS_SQL + "SELECT instance, key, seq, hit FROM fl")
 def stream_fixed_ttl(spark, sf):
+    """One micro-batch of the whole file: distributed anchors and a versioned state table."""
     out = ST.scratch(spark, "fixed-ttl")
-    ST.run_to_parquet(ST.fixed_ttl_flags(ST.access_stream(spark, sf), FIXED_TTL), out, "append")
-    return spark.read.option("basePath", out).parquet(f"{out}/batch_id=*").select("instance", "key", "seq", "hit")
+    flags = ST.fixed_ttl_by_batch(ST.access_stream(spark, sf, max_files_per_trigger=1), FIXED_TTL, out)
+    return spark.read.parquet(flags).select("instance", "key", "seq", "hit")
 
 
-@register("stream_fixed_ttl_batched", rec(B.EV_CTE, anchors_ctes(FIXED_TTL, "fa")) + """
-SELECT e.instance, e.key, e.seq, fa.seq IS NULL AS hit
-FROM ev e LEFT JOIN fa ON fa.instance = e.instance AND fa.key = e.key AND fa.seq = e.seq""")
+@register("stream_fixed_ttl_batched", FLAGS_SQL + "SELECT instance, key, seq, hit FROM fl")
 def stream_fixed_ttl_batched(spark, sf):
-    """Hot-key-safe form: per micro-batch distributed anchors + versioned state table."""
-    out = ST.scratch(spark, "fixed-ttl-batched")
-    flags = ST.fixed_ttl_by_batch(ST.access_stream(spark, sf), FIXED_TTL, out)
-    return spark.read.parquet(flags).select("instance", "key", "seq", "hit")
+    """The same over several micro-batches, with the state carried from one to the next."""
+    return spark.read.parquet(_flags(spark, sf, "fixed-ttl-batched")).select("instance", "key", "seq", "hit")
 
 
 @register("stream_access_counts", B.with_ctes(B.EV_CTE) + """
@@ -75,18 +101,22 @@ def stream_access_counts(spark, sf):
     return latest.select("instance", "key", "accesses", F.col("last_access").cast("timestamp_ntz").alias("last_access"))
 
 
-@register("stream_hit_metrics", B.with_ctes(B.EV_CTE) + """
+@register("stream_hit_metrics", FLAGS_SQL + """
 SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end,
-       count(*) AS ops, count(CASE WHEN is_error THEN 1 END) AS errors,
-       CAST(sum(CAST(round(op_ms * 100) AS BIGINT)) AS BIGINT) AS op_ms_e2
-FROM ev GROUP BY 1, 2
-HAVING time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM ev) - INTERVAL 1 HOUR""")
+       count(*) AS ops, count(CASE WHEN hit THEN 1 END) AS hits, count(CASE WHEN NOT hit THEN 1 END) AS misses,
+       count(CASE WHEN is_error THEN 1 END) AS errors,
+       CAST(sum(CASE WHEN hit THEN CAST(round(op_ms * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS hit_ms_e2,
+       CAST(sum(CASE WHEN hit THEN 0 ELSE CAST(round(op_ms * 100) AS BIGINT) END) AS BIGINT) AS miss_ms_e2
+FROM fl GROUP BY 1, 2""")
 def stream_hit_metrics(spark, sf):
+    """Hits and misses per day: one stream flags the accesses, a second one counts the flags."""
+    flags = _flags(spark, sf, "window-flags")
+    schema = spark.read.parquet(flags).schema
+    stream = spark.readStream.schema(schema).parquet(flags)
     out = ST.scratch(spark, "window")
-    ST.run_to_parquet(ST.window_metrics(ST.access_stream(spark, sf), "1 day"), out, "append")
-    df = spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
-    return df.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
-                     F.col("window_end").cast("timestamp_ntz").alias("window_end"), "ops", "errors", "op_ms_e2")
+    ST.run_to_parquet(ST.window_metrics(stream.drop("batch_id"), "1 day"), out, "update")
+    df = ST.latest_windows(spark.read.option("basePath", out).parquet(f"{out}/batch_id=*"))
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 
 @register("stream_upsert_results", B.with_ctes(B.QA_CTE, B.MR_CTE, B.INCOMING_CTE) + "," + UPSERT_RESULTS_SQL
@@ -99,4 +129,4 @@ def stream_upsert_results(spark, sf):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     out = ST.scratch(spark, "upsert")
     final = ST.upsert_sink(stream, B.model_results(spark, sf), out)
-    return spark.read.parquet(final)
+    return spark.read.parquet(*final)

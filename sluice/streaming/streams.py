@@ -4,11 +4,12 @@ The reference keeps cache state with TTLs, counters and an upsert sink; here
 they are streaming queries over the access log:
 
 * ``residency_sessions``  session windows (gap = TTL - 1 us): 1 miss + n-1 hits
-* ``first_seen``          dropDuplicatesWithinWatermark on the key
-* ``fixed_ttl_flags``     applyInPandasWithState: per key the current set time
+* ``fixed_ttl_by_batch``  hits and misses of the fixed TTL, each micro-batch as range slices
+* ``first_seen``          the misses of that rule: keys that are not cached
+* ``fixed_ttl_flags``     the same as keyed state (applyInPandasWithState), for logs without hot keys
 * ``access_counts``       running count / last access per key (update mode)
-* ``window_metrics``      tumbling-window counters with a watermark
-* ``upsert_sink``         foreachBatch -> keyed upsert into versioned folders
+* ``window_metrics``      hits, misses and times per tumbling window (update mode)
+* ``upsert_sink``         foreachBatch -> keyed upsert into hash buckets, versioned
 
 Sinks write parquet (``foreachBatch``, one folder per batch id, so a replayed
 batch overwrites itself) in the shared checkpoint folder; nothing is collected
@@ -79,9 +80,16 @@ def residency_sessions(stream: DataFrame, ttl_seconds: int) -> DataFrame:
                     "accesses", (F.col("accesses") - 1).alias("hits"), F.lit(1).alias("misses"))
 
 
-def first_seen(stream: DataFrame) -> DataFrame:
-    """Miss stream: the first access of a key within the watermark delay."""
-    return stream.withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["instance", "key"])
+def latest_batch(spark: SparkSession, out: str) -> DataFrame:
+    """The result of a query in complete mode: what its last micro-batch wrote."""
+    last = max(_versions(spark, out, "batch_id="))
+    return spark.read.parquet(f"{out}/batch_id={last}")
+
+
+def first_seen(flags: DataFrame) -> DataFrame:
+    """Miss stream: accesses of keys that are not cached, from the flags of ``fixed_ttl_by_batch``. A key
+    comes again once its entry has expired, whatever the micro-batches are."""
+    return flags.filter(~F.col("hit")).drop("hit")
 
 
 def _fixed_ttl_state_fn(ttl_us: int):
@@ -98,13 +106,11 @@ def _fixed_ttl_state_fn(ttl_us: int):
         seq_all = pdf["seq"].to_numpy()
         order = np.lexsort((seq_all, t_all))
         t_us, seq = t_all[order], seq_all[order]
-        hits = np.empty(len(t_us), dtype=bool)
-        for i in range(len(t_us)):
-            t = int(t_us[i])
-            if anchor is None or t - anchor >= ttl_us:
-                anchor, hits[i] = t, False
-            else:
-                hits[i] = True
+        hits = np.ones(len(t_us), dtype=bool)
+        i = 0 if anchor is None else int(np.searchsorted(t_us, anchor + ttl_us))
+        while i < len(t_us):  # from anchor to anchor
+            hits[i], anchor = False, int(t_us[i])
+            i = int(np.searchsorted(t_us, anchor + ttl_us))
         state.update((anchor,))
         # the entry expires ttl after its set; drop the state then
         state.setTimeoutTimestamp(anchor // 1000 + ttl_us // 1000)
@@ -130,8 +136,8 @@ def fixed_ttl_flags(stream: DataFrame, ttl_seconds: int) -> DataFrame:
 def fixed_ttl_by_batch(stream: DataFrame, ttl_seconds: int, out: str, prune_delay_seconds: int = 3600) -> str:
     """Fixed TTL with the state in a versioned table instead of the state store.
 
-    Each micro-batch runs the distributed ``fixed_ttl_anchors`` (range slices,
-    doubling; no key is ever one task) over its rows, seeded with the current
+    Each micro-batch runs the distributed ``fixed_ttl_anchors`` (range slices;
+    no key is ever one task) over its rows, seeded with the current
     set time of every key from state version ``v``; the new set times form
     version ``v + 1``. Rows older than their key's set time are hits (the entry
     is still cached). Entries whose TTL ran out before the batch's newest event
@@ -157,16 +163,17 @@ def fixed_ttl_by_batch(stream: DataFrame, ttl_seconds: int, out: str, prune_dela
         if done(target):
             return
         prev = spark.read.parquet(f"{out}/state/v{newest()}")
-        rows = batch.select("instance", "key", "ts", "seq").join(prev, ["instance", "key"], "left")
+        rows = batch.select("instance", "key", "ts", "seq", "op_ms", "is_error").join(prev, ["instance", "key"], "left")
         late = rows.filter(F.col("anchor_ts").isNotNull() & (F.col("ts") < F.col("anchor_ts")))
         fresh = rows.filter(F.col("anchor_ts").isNull() | (F.col("ts") >= F.col("anchor_ts")))
         seeds = (fresh.filter(F.col("anchor_ts").isNotNull()).select("instance", "key", "anchor_ts").distinct()
                  .select("instance", "key", F.col("anchor_ts").alias("ts"), F.lit(-1).cast("long").alias("seq")))
         log = fresh.select("instance", "key", "ts", "seq").unionByName(seeds)
         anchors = fixed_ttl_anchors(log, ttl_seconds).withColumn("_miss", F.lit(True))
+        more = ["instance", "key", "seq", "ts", "op_ms", "is_error"]
         flags = (fresh.join(anchors, ["instance", "key", "seq"], "left")
-                 .select("instance", "key", "seq", F.col("_miss").isNull().alias("hit"))
-                 .unionByName(late.select("instance", "key", "seq", F.lit(True).alias("hit"))))
+                 .select(*more, F.col("_miss").isNull().alias("hit"))
+                 .unionByName(late.select(*more, F.lit(True).alias("hit"))))
         flags.write.mode("overwrite").parquet(f"{out}/flags/batch_id={batch_id}")
         last = (anchors.join(log, ["instance", "key", "seq"]).groupBy("instance", "key")
                 .agg(F.max("ts").alias("anchor_ts")))
@@ -197,46 +204,70 @@ def latest_counts(updates: DataFrame) -> DataFrame:
                                                   F.max("last_access").alias("last_access"))
 
 
-def window_metrics(stream: DataFrame, window: str = "1 day") -> DataFrame:
-    """Operations, errors and op time per tumbling window; closed windows only."""
+def window_metrics(flags: DataFrame, window: str = "1 day") -> DataFrame:
+    """Operations, hits, misses, errors and operation times per tumbling window of a stream of flags, in
+    update mode: open windows are reported too, and again when they change."""
     w = F.window(F.col("ts"), window)
-    g = stream.withWatermark("ts", WATERMARK).groupBy(w.alias("w")).agg(
-        F.count(F.lit(1)).alias("ops"), F.count_if("is_error").alias("errors"),
-        F.sum(F.round(F.col("op_ms") * 100).cast("long")).alias("op_ms_e2"))
-    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "ops", "errors",
-                    "op_ms_e2")
+    ms = F.round(F.col("op_ms") * 100).cast("long")
+    g = flags.groupBy(w.alias("w")).agg(
+        F.count(F.lit(1)).alias("ops"), F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"),
+        F.count_if("is_error").alias("errors"), F.sum(F.when(F.col("hit"), ms).otherwise(0)).alias("hit_ms_e2"),
+        F.sum(F.when(F.col("hit"), 0).otherwise(ms)).alias("miss_ms_e2"))
+    return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "ops", "hits", "misses",
+                    "errors", "hit_ms_e2", "miss_ms_e2")
+
+
+def latest_windows(updates: DataFrame) -> DataFrame:
+    """Fold the update-mode rows of all batches: counts only grow, so the largest is the current one."""
+    values = [c for c in updates.columns if c not in ("window_start", "window_end", "batch_id")]
+    top = updates.groupBy("window_start", "window_end").agg(F.max_by(F.struct(*values), F.struct("ops", "batch_id")).alias("r"))
+    return top.select("window_start", "window_end", "r.*")
+
 
+#: Hash buckets of the upsert sink's table; a micro-batch rewrites the buckets that its keys touch.
+SINK_BUCKETS = 32
 
-def upsert_sink(results_stream: DataFrame, base: DataFrame, out: str) -> str:
+
+def upsert_sink(results_stream: DataFrame, base: DataFrame, out: str, buckets: int = SINK_BUCKETS) -> list[str]:
     """``INSERT ... ON CONFLICT`` as a streaming sink.
 
-    Version 0 is ``base``; micro-batch ``b`` reads the newest version, applies
-    ``upsert_results`` and writes version ``b + 1`` (never reading and writing
-    the same folder). A replayed batch finds its version and skips it.
-    Returns the folder of the newest version.
+    Version 0 is ``base`` in hash buckets of the key; micro-batch ``b`` reads
+    the newest version of the buckets it touches, applies ``upsert_results`` and
+    writes those buckets as version ``b + 1`` (never reading and writing the
+    same folder). A replayed batch finds its version and skips it. Returns the
+    newest folder of each bucket.
     """
     spark = results_stream.sparkSession
-    base.write.mode("overwrite").parquet(f"{out}/v0")
+    columns = base.columns
+    bucket = F.pmod(F.xxhash64("question_id"), F.lit(buckets)).cast("int")
 
-    def done(v: int) -> bool:
-        return _exists(spark, f"{out}/v{v}/_SUCCESS")
+    def put(df: DataFrame, version: int) -> None:
+        df.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/v{version}")
 
-    def newest() -> int:
-        return max(v for v in _versions(spark, out) if done(v))
+    def newest() -> dict[int, str]:
+        found = {}
+        for v in sorted(v for v in _versions(spark, out) if _exists(spark, f"{out}/v{v}/_SUCCESS")):
+            found |= {b: f"{out}/v{v}/bucket={b}" for b in _versions(spark, f"{out}/v{v}", "bucket=")}
+        return found
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         target = batch_id + 1
-        if done(target):
+        if _exists(spark, f"{out}/v{target}/_SUCCESS"):
             return
-        cur = spark.read.parquet(f"{out}/v{newest()}")
-        upsert_results(cur, batch).write.mode("overwrite").parquet(f"{out}/v{target}")
-
+        now = newest()
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
+        paths = [now[b] for b in touched if b in now]
+        stored = spark.read.schema(base.schema).parquet(*paths) if paths else spark.createDataFrame([], base.schema)
+        put(upsert_results(stored, batch), target)
+
+    if not _exists(spark, f"{out}/v0/_SUCCESS"):
+        put(base.select(*columns), 0)
     q = (results_stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{out}/_checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return f"{out}/v{newest()}"
+    return [p for _, p in sorted(newest().items())]
 
 
 def _fs(spark: SparkSession, path: str):
@@ -251,7 +282,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def _versions(spark: SparkSession, out: str) -> list[int]:
+def _versions(spark: SparkSession, out: str, prefix: str = "v") -> list[int]:
+    """Numbers of the sub-folders named prefix + number."""
     fs, p = _fs(spark, out)
     names = [st.getPath().getName() for st in fs.listStatus(p)]
-    return [int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit()]
+    return [int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit()]

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from sluice.functions import predicates as P
@@ -10,6 +12,7 @@ from sluice.operators import access as A
 from sluice.operators import retention as RT
 from sluice.operators import scoring as SC
 from sluice.operators import summaries as SM
+from sluice import schemas as S
 from sluice.schemas import models_dim
 
 
@@ -152,6 +155,66 @@ def test_reuse_distance_one_key_distinct_keys_and_tied_times(spark):
 
 def test_access_metrics_on_empty_log(spark):
     empty = spark.createDataFrame([], "instance string, key long, ts timestamp_ntz, seq long, op_ms double, is_error boolean")
-    m = A.access_metrics(A.access_flags(empty, 3600), ["LRU", "TTL"], [10, 100]).collect()
+    m = A.access_metrics(A.access_flags(empty, 3600), ["LRU", "TTL-LRU"], [10, 100]).collect()
     assert len(m) == 4
     assert all(r.total_operations == 0 and r.hit_rate_percent == 0.0 and r.evictions == 0 for r in m)
+
+
+def test_question_keys_of_long_conversations(spark, tmp_path):
+    from sluice.sources import bindings as B
+
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"text {c} {t}") for c, turns in ((1, 1003), (2, 4)) for t in range(turns)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    qa = B.qa_pairs(spark, str(tmp_path)).collect()
+    assert len({r.id for r in qa}) == len(qa) == 502 + 2
+    assert {r.id: r.answer for r in qa}["1:1000"] == "text 1 1001" and {r.id: r.answer for r in qa}["1:1002"] is None
+
+
+def test_upsert_keeps_rows_with_null_keys_apart(spark):
+    from sluice.operators import merge as M
+
+    schema = "question_id string, model_name string, model_provider string, answer string, quality_score double, response_time double, cost_tier string, created_at timestamp_ntz"
+    at = dt.datetime(2024, 1, 1)
+    row = lambda q, a: (q, "m", "p", a, 1.0, 1.0, "c", at)
+    old = spark.createDataFrame([row("1", "old"), row(None, "kept")], schema)
+    new = spark.createDataFrame([row("1", "new"), row(None, "a"), row(None, "b")], schema)
+    assert sorted((str(r.question_id), r.answer) for r in M.upsert_results(old, new).collect()) == [("1", "new"), ("None", "a"), ("None", "b"), ("None", "kept")]
+
+
+def test_question_upsert_keeps_timestamps_and_arrival_order(spark):
+    from sluice.operators import merge as M
+
+    t0, now = dt.datetime(2023, 1, 1), F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
+    old = spark.createDataFrame([(5, "a", "", None, "x", 1.0, 1, 7, t0, t0, t0, t0), (6, "b", None, None, None, None, 1, None, t0, t0, t0, t0)], S.QUESTIONS_SCHEMA)
+    rec = spark.createDataFrame([("z", "", "o", "n1", None, "1:02"), ("y", "", "o", "n2", None, "1:01"), ("b", None, "o", "", 2.0, "1:03")],
+                                "question_title string, question_content string, original_answer string, llm_answer string, quality_score double, seq string")
+    got = {r.question_title: r for r in M.upsert_questions(old, rec, now).collect()}
+    assert (got["y"].id, got["z"].id) == (7, 8)  # by arrival, not by title
+    assert got["a"].updated_at == got["a"].created_at == got["b"].created_at == t0
+    assert got["b"].updated_at.year == 2024 and got["b"].access_count == 2 and got["b"].quality_score == 2.0 and got["b"].llm_answer is None
+
+
+def test_unreadable_target_is_not_overwritten(spark, tmp_path):
+    from sluice.sources import ingest as IN
+
+    target = tmp_path / "target"
+    assert IN.is_empty_target(spark, str(target))
+    target.mkdir()
+    (target / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        IN.idempotent_load(spark.range(3), str(target))
+    assert (target / "part-0.parquet").read_bytes() == b"not parquet"
+
+
+def test_ratios_of_large_counts(spark):
+    from sluice.functions.numeric import round_ratio
+
+    df = spark.createDataFrame([(10**7 * 10**6, 3 * 10**12)], "n long, d long")
+    assert df.select(round_ratio(F.col("n"), F.col("d"), 6)).first()[0] == 3.333333
+
+
+def test_exact_number_of_draws(spark):
+    from sluice.operators import sampling as SP
+
+    assert SP.sample_with_replacement(spark.range(7), 1234).count() == 1234
+    assert SP.sample_with_replacement(spark.range(0), 10).count() == 0

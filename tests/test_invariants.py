@@ -79,11 +79,11 @@ def test_fixed_ttl_matches_sequential_replay(spark):
 def test_hits_misses_and_monotone_curve(spark):
     log = B.access_log(spark, SF0001)
     flags = A.access_flags(log, 3600)
-    m = A.access_metrics(flags, ["LRU", "TTL", "TTL-LRU"], [10, 100, 1000]).collect()
+    m = A.access_metrics(flags, ["LRU", "TTL-LRU"], [10, 100, 1000]).collect()
     for r in m:
         assert r.hits + r.misses == r.total_operations
     by = {(r.policy, r.cache_size): r.hits for r in m}
-    for p in ("LRU", "TTL", "TTL-LRU"):
+    for p in ("LRU", "TTL-LRU"):
         assert by[(p, 10)] <= by[(p, 100)] <= by[(p, 1000)]
         assert by[("LRU", 1000)] >= by[(p, 1000)]
     s = A.sequence_log(log)
@@ -126,3 +126,48 @@ def test_curve_by_instance_adds_up_to_global(spark):
     per = A.hit_rate_curve(s, d, sizes, by_instance=True).groupBy("cache_size").agg(
         F.sum("accesses").alias("a"), F.sum("hits").alias("h")).collect()
     assert {r.cache_size: (r.a, r.h) for r in per} == glob
+
+
+def _replay(rows, size, ttl_us=None):
+    """A least-recently-used cache replayed access by access: hits and evictions (keys pushed out)."""
+    cache, hits, evictions = {}, 0, 0
+    for key, t in rows:
+        if key in cache and (ttl_us is None or t - cache[key] < ttl_us):
+            hits += 1
+        elif key not in cache and len(cache) >= size:
+            del cache[min(cache, key=lambda k: order[k])]
+            evictions += 1
+        cache[key] = t
+        order[key] = order["next"] = order.get("next", 0) + 1
+    return hits, evictions
+
+
+order: dict = {}
+
+
+def test_metrics_equal_a_replay(spark):
+    import datetime as dt
+
+    rows, log = _hot_log(spark)
+    ttl = 3000
+    m = {(r.policy, r.cache_size): r for r in A.access_metrics(A.access_flags(log, ttl), A.SIZED_POLICIES, [1, 3, 10]).collect()}
+    epoch = dt.datetime(1970, 1, 1)
+    for size in (1, 3, 10):
+        for policy, limit in (("LRU", None), ("TTL-LRU", ttl * 1_000_000)):
+            hits = evictions = 0
+            for inst in {r[0] for r in rows}:
+                order.clear()
+                mine = [(r[1], (r[2] - epoch) // dt.timedelta(microseconds=1)) for r in sorted((r for r in rows if r[0] == inst), key=lambda r: (r[2], r[3]))]
+                h, e = _replay(mine, size, limit)
+                hits, evictions = hits + h, evictions + e
+            assert (m[policy, size].hits, m[policy, size].evictions) == (hits, evictions), (policy, size)
+
+
+def test_smaller_before_of_a_large_group():
+    import numpy as np
+
+    draw = np.random.default_rng(1)
+    for n, most in ((5000, 700), (5000, 10**9), (1, 5), (0, 5)):
+        v = draw.integers(0, most, n)
+        want = [int((v[:i] < v[i]).sum()) for i in range(n)]
+        assert A.smaller_before(v).tolist() == want

@@ -1,16 +1,17 @@
-"""Spark vs DuckDB on sf0.001 for a fast subset (the full set runs with SLUICE_FULL_ORACLE=1)."""
-
-import os
+"""Spark vs DuckDB on sf0.001: every registered query of the library, in one connection."""
 
 import pytest
 
-import __spark_entry__ as E
+from sluice.plans import registry
 from tests.conftest import SF0001
 
-FAST = ["questions_summary", "questions_stats", "model_comparison", "flagship", "content_key", "extract_keywords",
-        "upsert_results", "upsert_question", "best_model_per_question", "wide_model_results", "hit_rate_curve",
-        "ttl_hits_sliding", "reuse_distance", "csv_headerless_scan", "weighted_sample", "recent_history"]
-NAMES = sorted(E.oracle_sql()) if os.environ.get("SLUICE_FULL_ORACLE") else FAST
+registry.load_all()
+NAMES = sorted(registry.ORACLES)
+
+
+@pytest.fixture(scope="module")
+def con(duck):
+    return duck(SF0001)
 
 
 SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
@@ -26,15 +27,14 @@ def _norm(v):
 
 
 @pytest.mark.parametrize("name", NAMES)
-def test_matches_duckdb(spark, duck, name):
-    df = E.queries()[name](spark, SF0001)
+def test_matches_duckdb(spark, con, name):
+    df = registry.QUERIES[name](spark, SF0001)
     cols = df.columns
     got = sorted(tuple(_norm(r[c]) for c in sorted(cols)) for r in df.collect())
-    con = duck(SF0001)
-    res = con.execute(E.oracle_sql()[name])
+    res = con.execute(registry.ORACLES[name])
     dcols = [d[0] for d in res.description]
     assert sorted(dcols) == sorted(cols)
-    dtypes = dict(zip(dcols, [str(t) for t in con.sql(E.oracle_sql()[name]).types]))
+    dtypes = dict(zip(dcols, [str(t) for t in con.sql(registry.ORACLES[name]).types]))
     for f in df.schema.fields:
         st = f.dataType.simpleString()
         assert SPARK_TO_DUCK.get(st, st) == dtypes[f.name], (f.name, st, dtypes[f.name])

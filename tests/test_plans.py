@@ -31,12 +31,19 @@ def test_access_plans_have_no_single_partition_exchange(spark):
         assert "SinglePartition" not in _plan(df)
 
 
-def test_every_query_has_a_name_and_most_have_oracles():
+def test_every_query_has_an_oracle():
+    from sluice.plans import registry
+
+    registry.load_all()
+    assert set(registry.ORACLES) == set(registry.QUERIES)
+
+
+def test_no_texts_and_no_jobs_for_flags(spark):
+    """Queries without texts read none, and building plans runs nothing over the data."""
     import __spark_entry__ as E
 
-    q, o = E.queries(), E.oracle_sql()
-    assert set(o) <= set(q)
-    assert len(o) >= len(q) - 3
+    for name in ("processed_flag", "union_workload", "mode_class"):
+        assert "text:string" not in _plan(E.queries()[name](spark, SF0001))
 
 
 def test_entry_smoke(spark):

@@ -26,7 +26,7 @@ def test_upsert_sink_replay_is_idempotent(spark):
     second = ST.upsert_sink(stream(), base, out)
     assert first == second
     want = upsert_results(base, B.incoming_results(spark, SF0001))
-    got = spark.read.parquet(second)
+    got = spark.read.parquet(*second)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
@@ -40,13 +40,18 @@ def test_sampled_curve_tracks_exact_curve(spark):
         assert abs(exact[c] - approx[c]) < 12.0, (c, exact[c], approx[c])
 
 
-def test_window_metrics_closed_windows_only(spark):
-    out = ST.scratch(spark, "t-window")
-    ST.run_to_parquet(ST.window_metrics(ST.access_stream(spark, SF001), "1 day"), out)
-    got = spark.read.parquet(f"{out}/batch_id=*")
-    mx = B.access_log(spark, SF001).agg(F.max("ts")).first()[0]
-    assert got.count() == 29
-    assert got.filter(F.col("window_end").cast("timestamp_ntz") > F.lit(mx)).count() == 0
+def test_window_metrics_of_open_and_closed_windows(spark):
+    import __spark_entry__ as E
+
+    got = E.queries()["stream_hit_metrics"](spark, SF001).agg(F.count("*").alias("n"), F.sum("ops").alias("ops"), F.sum("misses").alias("misses")).first()
+    assert (got.n, got.ops, got.misses) == (30, 10000, 9017)  # the last, open day is there
+
+
+def test_sessions_include_open_ones(spark):
+    import __spark_entry__ as E
+
+    got = E.queries()["stream_residency"](spark, SF001)
+    assert got.count() == 8964 and got.agg(F.sum("hits")).first()[0] == 1036
 
 
 def test_fixed_ttl_by_batch_over_several_batches(spark):
@@ -70,7 +75,8 @@ def test_fixed_ttl_by_batch_over_several_batches(spark):
     schema = spark.read.parquet(src).schema
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
               .select(F.col("event_type").alias("instance"), F.col("user_id").alias("key"),
-                      F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq")))
+                      F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
+                      F.col("value").alias("op_ms"), F.lit(False).alias("is_error")))
     out = ST.scratch(spark, "t-fixed-batched")
     flags = spark.read.parquet(ST.fixed_ttl_by_batch(stream, 6 * 3600, out))
     assert flags.select("batch_id").distinct().count() == 4
