@@ -83,11 +83,12 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:k]
 
 
-def search_bucket(q_ids: np.ndarray, q_norms: np.ndarray, queries: np.ndarray, least: np.ndarray, ids: np.ndarray, norms: np.ndarray,
-                  vectors: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search_bucket(q_ids: np.ndarray, q_norms: np.ndarray, queries: np.ndarray, least: np.ndarray, at_least: np.ndarray, ids: np.ndarray,
+                  norms: np.ndarray, vectors: np.ndarray, k: int = K) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, vec_ids, scores) of a bucket's best ``k`` that reach the query's threshold ``least``.
 
-    ``norms`` fall; a score equal to the threshold stays, since a smaller vec_id may win the tie.
+    ``norms`` fall; a score equal to the threshold stays if its vec_id is at most ``at_least``, that of the
+    k-th best vector known: a larger one loses the tie.
     """
     slack = 1e-9
     longest = float(norms[0])
@@ -102,7 +103,7 @@ def search_bucket(q_ids: np.ndarray, q_norms: np.ndarray, queries: np.ndarray, l
         n = int(np.searchsorted(-norms, -need * (1 - slack) if need > 0 else np.inf, side="right"))
         scores = products(queries[group], vectors[:n])
         for j, q in enumerate(group):
-            yield from _take(q_ids[q], scores[j], ids[:n], least[q], k)
+            yield from _take(q_ids[q], scores[j], ids[:n], least[q], at_least[q], k)
     by_coordinate = np.flatnonzero((cosine > COORDINATE) & (cosine <= 1 + slack))
     if len(by_coordinate):
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -118,11 +119,11 @@ def search_bucket(q_ids: np.ndarray, q_norms: np.ndarray, queries: np.ndarray, l
             low, high = (-np.inf, np.inf) if len(unit) <= f else (low if x > -t else -np.inf, high if x < t else np.inf)
             at = np.flatnonzero((unit[f] >= low) & (unit[f] <= high)) if f < len(unit) else np.arange(len(ids))
             if len(at):
-                yield from _take(q_ids[q], products(queries[q : q + 1], vectors[at])[0], ids[at], least[q], k)
+                yield from _take(q_ids[q], products(queries[q : q + 1], vectors[at])[0], ids[at], least[q], at_least[q], k)
 
 
-def _take(q_id: int, scores: np.ndarray, ids: np.ndarray, least: float, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    keep = (scores >= least) & (ids != q_id)
+def _take(q_id: int, scores: np.ndarray, ids: np.ndarray, least: float, at_least: int, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    keep = ((scores > least) | ((scores == least) & (ids <= at_least))) & (ids != q_id)
     ids, scores = ids[keep], scores[keep]
     if len(ids):
         at = best(ids, scores, k)
@@ -171,18 +172,15 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20, bucket: int = BUCKET,
                 part = batch.slice(i, queries)
                 ids, norms = part.column(0).to_numpy(), part.column(2).to_numpy()
                 matrix = _matrix(part.column(1).to_pylist(), width)
-                found: list[list[np.ndarray]] = [[] for _ in ids]
-                for s_ids, _, s_matrix in shared.value:
-                    scores = products(matrix, s_matrix)
-                    for j in range(len(ids)):
-                        own = scores[j][s_ids != ids[j]]
-                        found[j].append(own if len(own) <= k else np.partition(own, len(own) - k)[-k:])
-                least = np.full(len(ids), -np.inf)
-                for j, f in enumerate(found):
-                    top = np.sort(np.concatenate(f)) if f else np.empty(0)
-                    if len(top) >= k:
-                        least[j] = top[-k]
-                yield pa.RecordBatch.from_arrays([pa.array([_packed(ids, matrix, norms, least)], pa.binary())], names=["packed"])
+                seed_ids = np.concatenate([x[0] for x in shared.value]) if shared.value else np.empty(0, np.int64)
+                scores = np.concatenate([products(matrix, x[2]) for x in shared.value], 1) if shared.value else np.empty((len(ids), 0))
+                least, at_least = np.full(len(ids), -np.inf), np.full(len(ids), np.iinfo(np.int64).max)
+                for j in range(len(ids)):
+                    other = seed_ids != ids[j]
+                    top = best(seed_ids[other], scores[j][other], k)
+                    if len(top) == k:
+                        least[j], at_least[j] = scores[j][other][top[-1]], seed_ids[other][top[-1]]
+                yield pa.RecordBatch.from_arrays([pa.array([_packed(ids, matrix, norms, least, at_least)], pa.binary())], names=["packed"])
 
     blocks = rows.where(F.col("vec_id") % every == 0).select("vec_id", "vec", "norm").mapInArrow(in_blocks, "packed binary")
     blocks = write_table(blocks, "query-blocks")
@@ -195,10 +193,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20, bucket: int = BUCKET,
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for asked_, packed in zip(batch.column(0), batch.column(1), strict=True):
-                q_ids, q_norms, q_matrix, least = _unpacked(asked_.as_py())
+                q_ids, q_norms, q_matrix, least, at_least = _unpacked(asked_.as_py())
                 ids, norms, matrix = _unpacked(packed.as_py())
                 who, what, score = [], [], []
-                for q, i, s in search_bucket(q_ids, q_norms, q_matrix.astype(np.int64), least, ids, norms, matrix, k):
+                for q, i, s in search_bucket(q_ids, q_norms, q_matrix.astype(np.int64), least, at_least, ids, norms, matrix, k):
                     who.append(np.full(len(i), q, dtype=np.int64))
                     what.append(i)
                     score.append(s)
