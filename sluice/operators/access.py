@@ -258,22 +258,17 @@ def reuse_distance(seq_log: DataFrame, block: int | None = None) -> DataFrame:
 
 def hit_rate_curve(seq_log: DataFrame, distances: DataFrame, sizes: Sequence[int],
                    by_instance: bool = False) -> DataFrame:
-    """LRU hit rate for every cache size at once: hits(C) = #{d < C}.
-
-    The size list is a small parameter (broadcast); the distance histogram is
-    aggregated before the non-equi join, so no access row is replicated.
-    """
-    spark = seq_log.sparkSession
+    """LRU hit rate for every cache size at once: hits(C) = #{d < C}."""
     g = [INST] if by_instance else []
+    sizes = [int(c) for c in sizes]
+    # the histogram is summed once into one row of counts (a group), a column a size; no row meets a list of sizes
     hist = distances.groupBy(*g, "reuse_distance").agg(F.count(F.lit(1)).alias("n"))
+    below = hist.groupBy(*g).agg(*[F.sum(F.when(F.col("reuse_distance") < c, F.col("n")).otherwise(0)).alias(f"h{c}") for c in sizes])
     total = seq_log.groupBy(*g).agg(F.count(F.lit(1)).alias("accesses"))
-    sz = spark.createDataFrame([(int(c),) for c in sizes], "cache_size int")
-    hits = (hist.crossJoin(F.broadcast(sz))
-            .groupBy(*g, "cache_size")
-            .agg(F.sum(F.when(F.col("reuse_distance") < F.col("cache_size"), F.col("n"))).alias("hits")))
+    joined = total.join(below, g, "left") if g else total.crossJoin(below)  # without groups both are one row
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("cache_size"), F.coalesce(F.col(f"h{c}"), F.lit(0)).alias("hits")) for c in sizes]))
     # every size gets a row, also for an empty log (0 accesses, 0 hits)
-    out = total.crossJoin(F.broadcast(sz)).join(hits, [*g, "cache_size"], "left")
-    out = out.fillna(0, ["hits"])
+    out = joined.select(*g, "accesses", rows.alias("r")).select(*g, F.col("r.cache_size").alias("cache_size"), "accesses", F.col("r.hits").alias("hits"))
     return out.select(*g, "cache_size", "accesses", F.col("hits").cast("long").alias("hits"),
                       round_ratio(F.col("hits") * 100, F.col("accesses"), 2).alias("hit_rate_percent"))
 

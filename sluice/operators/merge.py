@@ -35,11 +35,6 @@ def fk_join(results: DataFrame, questions: DataFrame) -> DataFrame:
     return results.join(questions.withColumnRenamed("id", "question_id"), "question_id", "inner")
 
 
-def orphan_results(results: DataFrame, questions: DataFrame) -> DataFrame:
-    """Result rows whose question does not exist (FK check)."""
-    return results.join(questions.select(F.col("id").alias("question_id")), "question_id", "left_anti")
-
-
 def distinct_ids(results: DataFrame) -> DataFrame:
     return results.select("question_id").distinct()
 

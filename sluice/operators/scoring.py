@@ -25,23 +25,6 @@ def model_fanout(questions: DataFrame, models: DataFrame) -> DataFrame:
     return questions.crossJoin(F.broadcast(models))
 
 
-def answer_with_models(questions: DataFrame, models: DataFrame) -> DataFrame:
-    """Fan out, generate the template answer and the hash score (long result form)."""
-    fan = model_fanout(questions, models)
-    topic = X.extract_topic(F.col("question_title"))
-    return fan.select(
-        F.col("id").alias("question_id"),
-        "model_name",
-        F.col("ordinal"),
-        F.col("provider").alias("model_provider"),
-        X.template_text(F.col("template"), topic).alias("answer"),
-        S.hash_score(S.score_input(F.col("question_title"), F.col("question_content")), F.col("model_name"),
-                     F.col("quality_lo"), F.col("quality_hi")).alias("quality_score"),
-        F.col("avg_response_time").alias("response_time"),
-        "cost_tier",
-    )
-
-
 def with_ordinal(results: DataFrame, models: DataFrame) -> DataFrame:
     if "ordinal" in results.columns:
         return results

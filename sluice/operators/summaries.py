@@ -48,21 +48,17 @@ def top1_accessed(q: DataFrame) -> DataFrame:
 
 
 def questions_stats(q: DataFrame) -> DataFrame:
-    """One row: total, processed, avg positive score, top class, most accessed title."""
-    base = q.agg(
+    """One row from one pass: total, processed, average positive score, most frequent class (ties: smallest),
+    most accessed title (ties: smallest id). Partial aggregates leave one row a task; the counts behind the
+    mode are one per class."""
+    titled = F.col("question_title").isNotNull()
+    return q.agg(
         F.count(F.lit(1)).alias("total_questions"),
         F.count_if(is_processed(F.col("llm_answer"))).alias("processed_questions"),
         avg_rounded(positive_only(F.col("quality_score")), 2, 3).alias("avg_quality_score"),
+        F.mode("original_class", deterministic=True).alias("top_class"),
+        F.max_by("question_title", F.when(titled, F.struct(F.col("access_count"), -F.col("id")))).alias("most_accessed_question"),
     )
-    # both sides of each cross join are single rows
-    return (base.crossJoin(mode_class(q).unionByName(_null_row(q, "top_class", "int")).agg(F.max("top_class").alias("top_class")))
-            .crossJoin(top1_accessed(q).unionByName(_null_row(q, "most_accessed_question", "string"))
-                       .agg(F.max("most_accessed_question").alias("most_accessed_question"))))
-
-
-def _null_row(q: DataFrame, name: str, dtype: str) -> DataFrame:
-    # a one-row frame so an empty input still yields one stats row
-    return q.sparkSession.range(1).select(F.lit(None).cast(dtype).alias(name))
 
 
 def model_comparison(mr: DataFrame, threshold: float = HIGH_QUALITY_THRESHOLD) -> DataFrame:

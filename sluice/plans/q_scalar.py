@@ -249,11 +249,11 @@ FROM questions q LEFT JOIN records r
   ON q.question_title IS NOT DISTINCT FROM r.question_title
  AND nullif(q.question_content, '') IS NOT DISTINCT FROM r.question_content""")
 def null_safe_match(spark, sf):
+    """Matches on (title, content) with NULL equal to NULL, by a 16-byte null-safe key instead of the texts."""
     q = B.questions(spark, sf).withColumn("question_content", F.nullif(F.col("question_content"), F.lit("")))
-    rec = (q.filter(F.col("llm_answer").isNotNull())
-           .select("question_title", "question_content").distinct()
-           .withColumn("hit", F.lit(True)))
-    j = q.join(rec, P.null_safe_match(q, rec, ["question_title", "question_content"]), "left")
+    q = q.select("id", "llm_answer", X.pair_key(F.col("question_title"), F.col("question_content")).alias("k"))
+    rec = q.filter(F.col("llm_answer").isNotNull()).select("k").distinct().withColumn("hit", F.lit(True))
+    j = q.join(rec, P.null_safe_match(q, rec, ["k"]), "left")
     return j.select(q["id"], F.coalesce(rec["hit"], F.lit(False)).alias("matched"))
 
 

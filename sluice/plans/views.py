@@ -1,67 +1,28 @@
-"""SQL surface: the summary views and the stats table function, in Spark SQL.
+"""SQL surface: the summary views and the stats table function.
 
-``register_views`` publishes the bound tables as temp views ``questions`` and
-``multi_model_results`` and defines ``questions_summary`` / ``model_comparison``
-on top; ``register_stats_function`` defines ``get_questions_stats()`` as a SQL
-table function. Rounded averages use exact integer arithmetic (HALF_UP).
+The views are the library's own frames under their SQL names, so Spark SQL and
+the DataFrame API give the same rows; the table function reads a one-row view.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from sluice.operators import summaries as SM
 from sluice.sources import bindings as B
 
 
-def _avg3(x: str, where: str | None = None) -> str:
-    v = x if where is None else f"CASE WHEN {where} THEN {x} END"
-    s = f"sum(CAST(round({v} * 100) AS BIGINT))"
-    n = f"count({v})"
-    return f"CASE WHEN {n} > 0 THEN CAST(({s} * 2000 + {n} * 100) div ({n} * 200) AS DOUBLE) / 1000 END"
-
-
-QUESTIONS_SUMMARY_VIEW = f"""
-CREATE OR REPLACE TEMP VIEW questions_summary AS
-SELECT COALESCE(original_class, -1) AS original_class,
-       COUNT(*) AS question_count,
-       COUNT(CASE WHEN llm_answer IS NOT NULL THEN 1 END) AS processed_count,
-       {_avg3('quality_score', 'quality_score > 0')} AS avg_score,
-       MAX(access_count) AS max_access_count
-FROM questions
-GROUP BY original_class"""
-
-MODEL_COMPARISON_VIEW = f"""
-CREATE OR REPLACE TEMP VIEW model_comparison AS
-SELECT model_name, model_provider, COUNT(*) AS total_answers,
-       {_avg3('quality_score')} AS avg_quality_score,
-       {_avg3('response_time')} AS avg_response_time,
-       cost_tier,
-       COUNT(CASE WHEN quality_score >= 2.5 THEN 1 END) AS high_quality_answers
-FROM multi_model_results
-GROUP BY model_name, model_provider, cost_tier"""
-
-STATS_FUNCTION = f"""
-CREATE OR REPLACE TEMPORARY FUNCTION get_questions_stats()
-RETURNS TABLE (total_questions BIGINT, processed_questions BIGINT, avg_quality_score DOUBLE,
-               top_class INT, most_accessed_question STRING)
-RETURN
-SELECT COUNT(*) AS total_questions,
-       COUNT(CASE WHEN llm_answer IS NOT NULL THEN 1 END) AS processed_questions,
-       {_avg3('quality_score', 'quality_score > 0')} AS avg_quality_score,
-       (SELECT original_class FROM questions WHERE original_class IS NOT NULL
-        GROUP BY original_class ORDER BY COUNT(*) DESC, original_class LIMIT 1) AS top_class,
-       (SELECT question_title FROM questions WHERE question_title IS NOT NULL
-        ORDER BY access_count DESC, id LIMIT 1) AS most_accessed_question
-FROM questions"""
-
-
 def register_views(spark: SparkSession, sf_dir: str) -> None:
-    B.counted_questions(spark, sf_dir).createOrReplaceTempView("questions")
-    B.model_results(spark, sf_dir).createOrReplaceTempView("multi_model_results")
-    spark.sql(QUESTIONS_SUMMARY_VIEW)
-    spark.sql(MODEL_COMPARISON_VIEW)
+    """Temp views ``questions``, ``multi_model_results``, ``questions_summary`` and ``model_comparison``."""
+    questions, results = B.counted_questions(spark, sf_dir), B.model_results(spark, sf_dir)
+    for name, df in (("questions", questions), ("multi_model_results", results),
+                     ("questions_summary", SM.questions_summary(questions)), ("model_comparison", SM.model_comparison(results))):
+        df.createOrReplaceTempView(name)
 
 
 def register_stats_function(spark: SparkSession, sf_dir: str) -> None:
-    B.counted_questions(spark, sf_dir).createOrReplaceTempView("questions")
-    spark.sql(STATS_FUNCTION)
+    """``get_questions_stats()``: the one stats row as a SQL table function."""
+    stats = SM.questions_stats(B.counted_questions(spark, sf_dir))
+    stats.createOrReplaceTempView("questions_stats")
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stats.schema.fields)
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION get_questions_stats() RETURNS TABLE ({columns}) RETURN SELECT * FROM questions_stats")

@@ -6,25 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# ---------------------------------------------------------------------------
-# Fixed values that must equal the reference for equal results.
-# Model catalogue, in catalogue order (ordinal 1..3):
-#   gpt-4o        OpenAI   128000  premium   0.05 s  quality 2.3-3.0  detailed
-#                 strengths: reasoning, coding, analysis, multimodal
-#   gpt-4o-mini   OpenAI   128000  economy   0.02 s  quality 2.0-2.8  concise
-#                 strengths: general, cost-effective, speed
-#   mistral-nemo  Mistral  128000  standard  0.03 s  quality 2.1-2.9  balanced
-#                 strengths: multilingual, reasoning, cost-effective
-# Default quality range for unknown models: 2.0-2.8.
-# Answer templates by response style ({topic} is replaced):
-#   detailed: "Respecto a {topic}, es importante considerar varios aspectos fundamentales. Esta pregunta involucra elementos técnicos específicos que requieren análisis detallado y consideración de múltiples variables para una comprensión completa."
-#   concise:  "En relación con {topic}, la respuesta implica factores específicos que deben evaluarse según el contexto y los objetivos planteados."
-#   balanced: "Sobre {topic}, podemos explicar que involucra varios conceptos importantes que se interrelacionan de manera específica según las circunstancias."
-# Fallback topic: "tema". Default answer when none: "Respuesta predeterminada".
-# Cache policies: LRU, TTL, TTL-LRU. Cache sizes: 10, 100, 500, 1000, 2000. TTL: 3600 s.
-# High-quality threshold: 2.5. Failure score: 1.0. Default cached score: 2.0.
-# ---------------------------------------------------------------------------
-
+# Fixed values that must equal the reference for equal results: model catalogue with its answer templates,
+# policies, sizes, thresholds and defaults.
 TEMPLATE_DETAILED = (
     "Respecto a {topic}, es importante considerar varios aspectos fundamentales. Esta pregunta involucra "
     "elementos técnicos específicos que requieren análisis detallado y consideración de múltiples variables "
