@@ -195,7 +195,7 @@ def fit(docs: DataFrame, rows: int = ROWS, text: str = "text", lang: str = "lang
 
     chosen = F.broadcast(sample)  # at most rows * LANGUAGES ids
     held = (known.select(F.col(lang).alias("_lang"), F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text"))
-            .join(chosen, ["_lang", "_id"]).mapInArrow(windows, "lang string, part binary").collect())
+            .join(chosen, ["_lang", "_id"]).groupBy("_lang", "_id").agg(F.max("_text")).mapInArrow(windows, "lang string, part binary").collect())
     held = sorted((r["lang"], bytes(r["part"])) for r in held if r["part"])
     return train([p for _, p in held], [n for n, _ in held], **options) if held else None
 
