@@ -92,7 +92,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return sc.getCheckpointDir() or conf_dir
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder before running sluice jobs on a cluster")
     local = tempfile.mkdtemp(prefix="sluice-ckpt-")
     sc.setCheckpointDir(local)
