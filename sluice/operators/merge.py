@@ -26,6 +26,12 @@ def anti_unprocessed(questions: DataFrame, results: DataFrame) -> DataFrame:
     return questions.join(results.select(F.col("question_id").alias("id")), "id", "left_anti")
 
 
+def limit_requests(todo: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` ids of the questions to do, with how many there are."""
+    total = todo.agg(F.count(F.lit(1)).alias("total_available"))
+    return todo.select("id").orderBy("id").limit(n).crossJoin(total)  # total is one row
+
+
 def semi_processed(questions: DataFrame, results: DataFrame) -> DataFrame:
     """Questions with at least one result row (one set-based semi join, no N+1)."""
     return questions.join(results.select(F.col("question_id").alias("id")), "id", "left_semi")

@@ -127,6 +127,13 @@ def hit_rate_curve(spark, sf):
     return A.hit_rate_curve(s, A.reuse_distance(s), CURVE_SIZES)
 
 
+@register("hit_rate_curve_orders", _curve_sql(CURVE_SIZES).replace(B.EV_CTE.strip(), B.ORDERS_CTE.strip()))
+def hit_rate_curve_orders(spark, sf):
+    """The curve of a log with more keys than the middle sizes."""
+    s = A.sequence_log(B.orders_log(spark, sf))
+    return A.hit_rate_curve(s, A.reuse_distance(s), CURVE_SIZES)
+
+
 SAMPLE_P, SAMPLE_T = 100, 50
 
 

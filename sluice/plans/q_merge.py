@@ -94,8 +94,7 @@ SELECT id, CAST(count(*) OVER () AS BIGINT) AS total_available FROM (
 ) ORDER BY id LIMIT {MAX_REQUESTS}""")
 def limit_requests(spark, sf):
     todo = M.anti_unprocessed(B.qa_pairs(spark, sf), B.model_results(spark, sf)).select("id")
-    total = todo.agg(F.count(F.lit(1)).alias("total_available"))
-    return todo.orderBy("id").limit(MAX_REQUESTS).crossJoin(total)  # total is one row
+    return M.limit_requests(todo, MAX_REQUESTS)
 
 
 UPSERT_QUESTION_SQL = B.with_ctes(B.QUESTIONS_CTE, B.QA_CTE, B.RECORDS_CTE) + f"""

@@ -200,6 +200,25 @@ ev AS (
 )"""
 
 
+def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as a second look-up log: instance = order status, key = customer. It has more keys than
+    the middle cache sizes, so the sizes differ."""
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_totalprice"])
+    return o.select(
+        F.col("o_orderstatus").alias("instance"), F.col("o_custkey").alias("key"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_orderkey").alias("seq"),
+        F.col("o_totalprice").cast("double").alias("op_ms"), F.lit(False).alias("is_error"),
+    )
+
+
+ORDERS_CTE = """
+ev AS (
+  SELECT o_orderstatus AS instance, o_custkey AS key, CAST(o_orderdate AS TIMESTAMP) AS ts, o_orderkey AS seq,
+         CAST(o_totalprice AS DOUBLE) AS op_ms, false AS is_error
+  FROM orders
+)"""
+
+
 def with_ctes(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip() for c in ctes) + "\n"
 

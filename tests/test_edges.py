@@ -218,3 +218,12 @@ def test_exact_number_of_draws(spark):
 
     assert SP.sample_with_replacement(spark.range(7), 1234).count() == 1234
     assert SP.sample_with_replacement(spark.range(0), 10).count() == 0
+
+
+def test_limits_that_bind(spark):
+    from sluice.operators import merge as M
+    from sluice.sources import ingest as IN
+
+    assert [r.id for r in IN.load_row_limit(spark.range(100).repartition(7), 3, ["id"]).orderBy("id").collect()] == [0, 1, 2]
+    todo = M.anti_unprocessed(spark.range(10), spark.createDataFrame([(2,), (None,)], "question_id long"))
+    assert M.limit_requests(todo, 4).collect() == [(0, 9), (1, 9), (3, 9), (4, 9)]
