@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -74,6 +75,7 @@ def parse(source: str) -> Page:
     """A tolerant parser: one pass over tags; unknown, unclosed and misnested elements never fail."""
     page = Page()
     stack: list[int] = []
+    opened: dict[str, int] = {}
     owners: list[int] = []  # beside the stack: the nearest block element, or the outermost element
     links = 0
     pending: list[str] = []
@@ -110,6 +112,7 @@ def parse(source: str) -> Page:
         page.keep.append(keep)
         page.chars.append(0)
         page.link_chars.append(0)
+        opened[tag] = opened.get(tag, 0) + 1
         stack.append(node)
         owners.append(node if tag in BLOCK or not owners else owners[-1])
 
@@ -117,7 +120,9 @@ def parse(source: str) -> Page:
         nonlocal links
         while len(stack) > at:
             owners.pop()
-            if page.tag[stack.pop()] == "a":
+            tag = page.tag[stack.pop()]
+            opened[tag] -= 1
+            if tag == "a":
                 links -= 1
 
     def text(part: str) -> None:
@@ -149,15 +154,14 @@ def parse(source: str) -> Page:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if page.tag[stack[i]] == tag:
-                    if tag in BLOCK or any(page.tag[n] in BLOCK for n in stack[i:]):
-                        flush()
-                    close(i)
-                    break
-            else:
+            if not opened.get(tag):
                 if tag in BLOCK:
                     flush()
+                continue
+            i = next(i for i in range(len(stack) - 1, -1, -1) if page.tag[stack[i]] == tag)
+            if tag in BLOCK or any(page.tag[n] in BLOCK for n in stack[i:]):
+                flush()
+            close(i)
             continue
         if tag == "br":
             text(" ")
@@ -168,16 +172,15 @@ def parse(source: str) -> Page:
             continue
         if tag in BLOCK:
             flush()
-            i = next((i for i in range(len(stack) - 1, -1, -1) if page.tag[stack[i]] == "p"), None)
-            if i is not None and not any(page.tag[n] in BLOCK for n in stack[i + 1 :]):
-                close(i)  # a block ends an open paragraph
+            if owners and page.tag[owners[-1]] == "p":  # a block ends an open paragraph
+                close(bisect_left(stack, owners[-1]))  # elements are numbered in page order, so the stack rises
         for i in range(len(stack) - 1, -1, -1):
-            if page.tag[stack[i]] in CLOSES.get(tag, ()):
+            if tag not in CLOSES or page.tag[stack[i]] in BORDERS or not any(opened.get(t) for t in CLOSES[tag]):
+                break
+            if page.tag[stack[i]] in CLOSES[tag]:
                 close(i)
                 if tag not in ("tr", "tbody", "tfoot", "td", "th"):
                     break
-            elif page.tag[stack[i]] in BORDERS or tag not in CLOSES:
-                break
         if tag in VOID:
             continue
         open_(tag, m[3])

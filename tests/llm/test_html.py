@@ -62,6 +62,13 @@ def test_clutter_goes(model):
     assert H.texts([PAGE], model) == ["Head & line\n\nFirst part of it.\n\nTiny.\n\none\n\ntwo <3\n\nLast one"]
 
 
+def test_deep_pages(model):
+    deep = "<article>" + "<div>" * 3000 + "<p>x</p>" + "</i>" * 20_000 + "</div>" * 3000 + "<td>" * 2000
+    assert H.texts([deep, "<div>" * 2000 + "<li>" * 2000], model)[0] in ("x", "")
+    page = H.parse("<p>a <b>b<p>c</b> d<ul><li>e<li>f</ul></p>g")
+    assert [t for _, t in page.blocks] == ["a b", "c d", "e", "f", "g"]
+
+
 def test_odd_pages(spark, model):
     schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     long = "<article>" + "".join(f"<p>w{i} text</p>" for i in range(20_000)) + "</article>"
