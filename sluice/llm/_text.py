@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Odd multipliers of the two rolling polynomials modulo 2**64 (3 modulo 8: swaps lose one bit at most).
@@ -104,7 +105,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text_column: str, limit: int) -> I
         columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         if not batch.num_rows:
             continue
-        sizes = np.array([len(x) if x is not None else 0 for x in columns[text_column].to_pylist()], dtype=np.int64)
+        sizes = pc.fill_null(pc.binary_length(columns[text_column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         i = 0
         while i < batch.num_rows:
             j, total = i + 1, int(sizes[i])
