@@ -23,7 +23,7 @@ from sluice.session import write_table
 K = 20
 #: Vectors of a bucket, queries of a block, and buckets that meet in one task's group.
 BUCKET, QUERIES, TOGETHER = 4096, 512, 8
-#: Buckets of the longest vectors that give every query its first threshold.
+#: Full buckets of the longest vectors that give every query its first threshold.
 SEEDS = 2
 #: From this local cosine threshold on a bucket is pruned by coordinate, below by length.
 COORDINATE = 0.5
@@ -162,8 +162,10 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20, bucket: int = BUCKET,
 
     buckets = write_table(sorted_.select("vec_id", "vec", "norm").mapInArrow(in_buckets, "longest double, packed binary")
                           .withColumn("bucket", F.monotonically_increasing_id()), "buckets")
-    # 2. first thresholds from the longest vectors: seeds * bucket vectors at most
-    first = [_unpacked(r["packed"]) for r in buckets.orderBy(F.desc("longest"), "bucket").limit(seeds).collect()]
+    # 2. first thresholds from the longest vectors, about seeds * bucket of them
+    count = buckets.count()
+    enough = -(-seeds * bucket * count // max(n, 1))  # buckets may hold fewer vectors than they could
+    first = [_unpacked(r["packed"]) for r in buckets.orderBy(F.desc("longest"), "bucket").limit(enough).collect()]
     shared = spark.sparkContext.broadcast(first)
 
     def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +187,6 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20, bucket: int = BUCKET,
     blocks = rows.where(F.col("vec_id") % every == 0).select("vec_id", "vec", "norm").mapInArrow(in_blocks, "packed binary")
     blocks = write_table(blocks, "query-blocks")
     # 3. every block of queries meets every bucket, TOGETHER buckets in a group
-    count = buckets.count()
     groups = max(1, -(-count // TOGETHER))
     numbered = buckets.withColumn("grp", F.pmod(F.xxhash64("bucket"), F.lit(groups)).cast("int"))
     asked = blocks.select(F.col("packed").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
