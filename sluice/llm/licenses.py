@@ -1,16 +1,17 @@
 """License scans by conditional compression.
 
-A candidate block is compressed alone and with each template as a raw zstandard dictionary. The more of a
-template's wording a block holds, the smaller the second result. Templates are ranked by that reduction,
-and the best ones are confirmed by their exact wording differences with the block.
+A candidate block is taken in overlapping windows of bounded length. A window is compressed alone and with
+templates as raw zstandard dictionaries. The more of a template's wording a window holds, the smaller the second
+result. Templates are ranked by that reduction and confirmed by their exact wording differences with the window.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from difflib import SequenceMatcher
+from collections.abc import Iterable, Iterator
+from math import ceil
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +74,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 CUE = r"(?i)licen[sc]|permission|redistribut|warrant|public domain|all rights reserved|copyright"
 #: Compression level; templates that are confirmed, at least (ties go on); share of a template's words that may differ.
 LEVEL, CONFIRM, DIFFER = 3, 3, 0.2
+#: Words of a window, in lengths of the longest notice; differences that no match may have.
+WINDOW, FAR = 4, 1 << 20
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
@@ -82,6 +85,11 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def reach_of(templates: dict[str, tuple[str, ...]]) -> int:
+    """Words of the longest notice, with all the differences that it may have."""
+    return ceil(max((len(words_of(t)) for texts in templates.values() for t in texts), default=1) * (1 + DIFFER))
+
+
 def candidate_blocks(text: str) -> list[tuple[int, str]]:
     """(character offset, block): runs of lines that each hold a cue word, with the lines between two cues that
     are at most one line apart."""
@@ -104,6 +112,12 @@ def candidate_blocks(text: str) -> list[tuple[int, str]]:
     return out
 
 
+def located(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """Words of a text and their places (first character, end)."""
+    where = [m.span() for m in _WORD.finditer(text)]
+    return [text[a:b].lower() for a, b in where], where
+
+
 class Scanner:
     """Templates as compressors with a raw dictionary each."""
 
@@ -117,59 +131,115 @@ class Scanner:
             for k, t in enumerate(texts):
                 raw = zstd.ZstdCompressionDict(t.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
                 self.templates.append((name, k, words_of(t), zstd.ZstdCompressor(level=level, dict_data=raw, **options)))
+        self.reach = reach_of(templates)
         self.known: dict[str, list[dict]] = {}
 
-    def reductions(self, block: str) -> tuple[int, list[int]]:
-        """Size of the block compressed alone, and bytes saved by each template."""
+    def reductions(self, block: str, which: Iterable[int] | None = None) -> tuple[int, dict[int, int]]:
+        """Size of the block compressed alone, and bytes saved by each template (of those in ``which``)."""
         data = block.encode()
         alone = len(self.plain.compress(data))
-        return alone, [alone - len(c.compress(data)) for *_, c in self.templates]
+        return alone, {i: alone - len(self.templates[i][3].compress(data)) for i in (range(len(self.templates)) if which is None else which)}
 
     def __call__(self, block: str) -> list[dict]:
-        """Confirmed notices of a block, best reduction first; the first is the winner. A notice inside the
-        words of a better one does not count again. Blocks seen before are remembered (up to 20,000)."""
+        """Confirmed notices of a block with their first character in it (``at``); those of the fewest
+        differences first, of equally many the best reduction; the first is the winner. A notice inside the words
+        of a better one does not count again. Blocks seen before are remembered (up to 2,000)."""
         if block in self.known:
             return self.known[block]
-        alone, saved = self.reductions(block)
-        order = sorted(range(len(saved)), key=lambda i: (-saved[i], i))
-        words = words_of(block)
-        found: list[dict] = []
-        taken: list[tuple[int, int]] = []
-        least = saved[order[min(CONFIRM, len(order)) - 1]]
-        for i in order:
-            # of what saves less than the best few, only templates whose words could still all be there
-            if saved[i] <= 0 or (saved[i] < least and not set(self.templates[i][2]) <= set(words)):
-                continue
-            name, k, wanted, _ = self.templates[i]
-            span, missing, extra = differences(wanted, words)
-            if len(missing) + len(extra) > DIFFER * len(wanted) or any(a < span[1] and span[0] < b for a, b in taken):
-                continue
-            taken.append(span)
-            found.append({"license": name, "template": k, "size_alone": alone, "saved": saved[i], "missing": missing, "extra": extra, "exact": not missing and not extra})
-        # the exact wording decides between notices of equal reduction
-        found.sort(key=lambda x: (len(x["missing"]) + len(x["extra"]), -x["saved"]))
-        if len(self.known) >= 20_000:
+        words, where = located(block)
+        # a notice is at most ``reach`` words long, so windows that share as many hold each one whole
+        size = WINDOW * self.reach
+        found = [n for a in range(0, max(len(words) - self.reach, 1), size - self.reach) for n in self.window(block, words[a : a + size], where[a : a + size])]
+        found.sort(key=lambda n: (-n["score"], -n["saved"], n["at"]))
+        kept: list[dict] = []
+        for n in found:
+            if not any(n["at"] < x["end"] and x["at"] < n["end"] for x in kept):
+                kept.append(n)
+        kept.sort(key=lambda x: (len(x["missing"]) + len(x["extra"]), -x["saved"], x["at"]))
+        kept = [{k: v for k, v in n.items() if k not in ("score", "end")} for n in kept]
+        if len(self.known) >= 2_000:
             self.known.clear()
-        self.known[block] = found
+        self.known[block] = kept
+        return kept
+
+    def window(self, block: str, words: list[str], where: list[tuple[int, int]]) -> list[dict]:
+        """Notices of a part of a block: the template of the best reduction first (or one of a better wording at
+        its place), then again on what is left without its words."""
+        left: list[str | None] = list(words)
+        matches = {i: m for i in self.possible(block, words, where) if (m := differences(self.templates[i][2], left))}
+        found = []
+        while matches:
+            rest = " ".join(block[a:b] for a, b in pieces(left, where))
+            alone, saved = self.reductions(rest, matches)
+            (low, high), *_ = matches[min(matches, key=lambda i: (-saved[i], i))]
+            i = max((i for i, m in matches.items() if m[0][0] < high and low < m[0][1]), key=lambda i: (self.score(i, matches[i]), saved[i], -i))
+            (low, high), missing, extra = matches[i]
+            found.append({"at": where[low][0], "end": where[high - 1][1], "license": self.templates[i][0], "template": self.templates[i][1], "size_alone": alone, "saved": saved[i],
+                          "missing": missing, "extra": extra, "exact": not missing and not extra, "score": self.score(i, matches[i])})
+            left[low:high] = [None] * (high - low)
+            again = [i for i, m in matches.items() if m[0][0] < high and low < m[0][1]]
+            for i in again:
+                if (m := differences(self.templates[i][2], left)) is None:
+                    del matches[i]
+                else:
+                    matches[i] = m
         return found
 
+    def possible(self, block: str, words: list[str], where: list[tuple[int, int]]) -> list[int]:
+        """Templates to compare: the best few by reduction, and those whose words are all there."""
+        _, saved = self.reductions(block[where[0][0] : where[-1][1]]) if words else (0, {})
+        least = sorted(saved.values(), reverse=True)[: CONFIRM][-1] if saved else 0
+        have = set(words)
+        return [i for i, n in saved.items() if n >= least or set(self.templates[i][2]) <= have]
+
+    def score(self, i: int, match: tuple) -> int:
+        """Template words found, less the differences."""
+        _, missing, extra = match
+        return len(self.templates[i][2]) - 2 * len(missing) - len(extra)
 
-def differences(wanted: list[str], words: list[str]) -> tuple[tuple[int, int], list[str], list[str]]:
-    """Where a template's words lie in a block's (first and last match), its words that are missing, and
-    block words in between that the template lacks."""
-    match = [m for m in SequenceMatcher(None, wanted, words, autojunk=False).get_matching_blocks() if m.size]
-    if not match:
-        return (0, 0), list(wanted), []
-    # around the longest run of equal words; matches farther off than the template is long are chance
-    core = max(match, key=lambda m: m.size)
-    low, high = core.b - core.a - 2, core.b - core.a + len(wanted) + 2
-    match = [m for m in match if low <= m.b and m.b + m.size <= high]
-    span = (match[0].b, match[-1].b + match[-1].size)
-    have, inside = set(), set()
-    for m in match:
-        have.update(range(m.a, m.a + m.size))
-        inside.update(range(m.b, m.b + m.size))
-    return span, [w for i, w in enumerate(wanted) if i not in have], [words[i] for i in range(*span) if i not in inside]
+
+def pieces(left: list[str | None], where: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Places of the runs of words that are not taken."""
+    out: list[tuple[int, int]] = []
+    run = False
+    for w, (a, b) in zip(left, where, strict=True):
+        if w is not None:
+            out[-1:] = [(out[-1][0], b)] if run else [*out[-1:], (a, b)]
+        run = w is not None
+    return out
+
+
+def differences(wanted: list[str], words: list[str | None]) -> tuple[tuple[int, int], list[str], list[str]] | None:
+    """Where a template fits best among the words (first and last equal word): the place, its words that are missing
+    there, and words in between that the template lacks. None if more than ``DIFFER`` of its words differ at
+    every place. Words that are None are taken, and no place holds one.
+
+    Exact: the least number of differences over all places and alignments, row by row of the template.
+    """
+    number = {w: k for k, w in enumerate(dict.fromkeys(wanted))}
+    at = np.array([number.get(w, -1) for w in words], dtype=np.int64)
+    cost = np.concatenate([[0], np.cumsum([FAR if w is None else 1 for w in words])]).astype(np.int64)
+    table = np.zeros((len(wanted) + 1, len(words) + 1), dtype=np.int64)
+    for i, w in enumerate(wanted, 1):
+        row = table[i - 1] + 1
+        equal = np.flatnonzero(at == number[w])
+        row[equal + 1] = np.minimum(row[equal + 1], table[i - 1][equal])
+        table[i] = np.minimum.accumulate(row - cost) + cost
+    j = int(table[-1].argmin())
+    if table[-1][j] > DIFFER * len(wanted):
+        return None
+    i, matched, missing, extra = len(wanted), [], [], []
+    while i:
+        if j and at[j - 1] == number[wanted[i - 1]] and table[i, j] == table[i - 1, j - 1]:
+            i, j = i - 1, j - 1
+            matched.append(j)
+        elif table[i, j] == table[i - 1, j] + 1:
+            i -= 1
+            missing.append(wanted[i])
+        else:
+            j -= 1
+            extra.append(words[j])
+    return (matched[-1], matched[0] + 1), missing[::-1], extra[::-1]
 
 
 NOTICES = ("array<struct<at:long,license:string,template:int,size_alone:long,saved:long,missing:array<string>,extra:array<string>,exact:boolean>>")
@@ -177,8 +247,8 @@ NOTICES = ("array<struct<at:long,license:string,template:int,size_alone:long,sav
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """License notices of every document: doc_id, licenses (names, sorted), n_blocks (candidate blocks) and notices
-    (block offset, license, template number, compressed size of the block alone, bytes saved by the template,
-    template words missing, other words in between, and whether the wording is exact).
+    (offset of its first character, license, template number, compressed size alone of what was left of the window,
+    bytes saved by the template, template words missing, other words in between, and whether the wording is exact).
 
     One row per input row; null and empty texts and texts without a cue have empty arrays. Whole texts are
     searched; a text without a cue word never leaves the JVM. Repeated rows are scanned each.
@@ -193,7 +263,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, t
             names, counts, notices = [], [], []
             for body in batch.column(1).to_pylist():
                 blocks = candidate_blocks(body) if body else []
-                found = [{"at": at, **n} for at, block in blocks for n in scanner(block)]
+                found = [{**n, "at": at + n["at"]} for at, block in blocks for n in scanner(block)]
                 names.append(sorted({n["license"] for n in found}))
                 counts.append(len(blocks))
                 notices.append(found)

@@ -38,3 +38,17 @@ def test_against_all_templates_compared_plainly(spark):
 
 def test_empty(make_docs):
     assert licenses.scan(make_docs([])).count() == 0
+
+
+def test_notice_inside_a_very_long_line(make_docs):
+    import random
+
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9))) for _ in range(3000)]
+    line = [draw.choice(words) for _ in range(20_000)]
+    notices = {"MIT": "Released under the MIT License.", "CC-BY-4.0": "Licensed under CC BY 4.0.", "ISC": licenses.TEMPLATES["ISC"][0]}
+    for k, (name, notice) in enumerate(notices.items()):
+        text = " ".join([*line[:9_000], notice, *line[9_000:]])
+        found = licenses.scan(make_docs([(k, text)])).collect()[0]
+        assert found["licenses"] == [name] and len(found["notices"]) == 1 and found["notices"][0]["exact"]
+        assert found["notices"][0]["at"] == text.index(notice)
