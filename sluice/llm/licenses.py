@@ -8,6 +8,7 @@ result. Templates are ranked by that reduction and confirmed by their exact word
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from math import ceil
 
@@ -70,8 +71,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     "All-Rights-Reserved": ("All rights reserved.",),
 }
-#: A line that may hold a notice: it has a word that every notice above has one of.
-CUE = r"(?i)licen[sc]|permission|redistribut|warrant|public domain|all rights reserved|copyright"
+#: Words of which every notice above has one, also when they are wrapped.
+CUE = r"(?i)licen[sc]|permission|redistribut|warrant|public[\W_]+domain|all[\W_]+rights[\W_]+reserved|copyright"
 #: Compression level; templates that are confirmed, at least (ties go on); share of a template's words that may differ.
 LEVEL, CONFIRM, DIFFER = 3, 3, 0.2
 #: Words of a window, in lengths of the longest notice; differences that no match may have.
@@ -90,26 +91,20 @@ def reach_of(templates: dict[str, tuple[str, ...]]) -> int:
     return ceil(max((len(words_of(t)) for texts in templates.values() for t in texts), default=1) * (1 + DIFFER))
 
 
-def candidate_blocks(text: str) -> list[tuple[int, str]]:
-    """(character offset, block): runs of lines that each hold a cue word, with the lines between two cues that
-    are at most one line apart."""
-    out, at, run = [], 0, None
-    gap = 0
-    cue = re.compile(CUE)
-    lines = text.split("\n")
-    for line in lines:
-        end = at + len(line)
-        if cue.search(line):
-            run, gap = ((run[0] if run else at), end), 0
-        elif run:
-            gap += 1
-            if gap > 1:
-                out.append((run[0], text[run[0] : run[1]]))
-                run = None
-        at = end + 1
-    if run:
-        out.append((run[0], text[run[0] : run[1]]))
-    return out
+def candidate_blocks(text: str, reach: int | None = None) -> list[tuple[int, str]]:
+    """(character offset, block): ``reach`` words (the longest notice) on both sides of every cue, whatever the
+    lines; what overlaps or touches is one block."""
+    reach = reach_of(TEMPLATES) if reach is None else reach
+    where = [m.span() for m in _WORD.finditer(text)]
+    starts = [a for a, _ in where]
+    runs: list[list[int]] = []
+    for m in re.finditer(CUE, text):
+        low, high = max(bisect_right(starts, m.start()) - 1 - reach, 0), min(bisect_left(starts, m.end()) + reach, len(where))
+        if runs and low <= runs[-1][1]:
+            runs[-1][1] = high
+        else:
+            runs.append([low, high])
+    return [(where[low][0], text[where[low][0] : where[high - 1][1]]) for low, high in runs]
 
 
 def located(text: str) -> tuple[list[str], list[tuple[int, int]]]:
@@ -262,7 +257,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, t
         for batch in batches:
             names, counts, notices = [], [], []
             for body in batch.column(1).to_pylist():
-                blocks = candidate_blocks(body) if body else []
+                blocks = candidate_blocks(body, scanner.reach) if body else []
                 found = [{**n, "at": at + n["at"]} for at, block in blocks for n in scanner(block)]
                 names.append(sorted({n["license"] for n in found}))
                 counts.append(len(blocks))

@@ -52,3 +52,55 @@ def test_notice_inside_a_very_long_line(make_docs):
         found = licenses.scan(make_docs([(k, text)])).collect()[0]
         assert found["licenses"] == [name] and len(found["notices"]) == 1 and found["notices"][0]["exact"]
         assert found["notices"][0]["at"] == text.index(notice)
+
+
+def test_notices_wrapped_in_lines():
+    """Every notice, wrapped at 40 to 80 columns and as a comment, with text around it."""
+    import textwrap
+
+    scanner = licenses.Scanner()
+    around = ("one two three four five " * 40).strip()
+    for name, texts in licenses.TEMPLATES.items():
+        for k, t in enumerate(texts):
+            for columns, mark in ((40, ""), (70, " * "), (80, "# ")):
+                text = "\n".join(mark + line for line in textwrap.wrap(around, columns) + textwrap.wrap(t, columns, break_on_hyphens=False, break_long_words=False) + textwrap.wrap(around, columns))
+                found = [n for _, block in licenses.candidate_blocks(text) for n in scanner(block)]
+                assert [(n["license"], n["template"], n["exact"]) for n in found] == [(name, k, True)], (t, columns)
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License."""
+
+
+def test_canonical_files(make_docs):
+    rows = [(1, MIT), (2, APACHE)]
+    got = {r["doc_id"]: r for r in licenses.scan(make_docs(rows)).collect()}
+    for i, name, templates in ((1, "MIT", {2, 3}), (2, "Apache-2.0", {1, 2})):
+        assert got[i]["licenses"] == [name] and {n["template"] for n in got[i]["notices"]} == templates
+        assert all(n["exact"] for n in got[i]["notices"])
