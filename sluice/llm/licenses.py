@@ -1,14 +1,16 @@
 """License scans by conditional compression.
 
 A candidate block is taken in overlapping windows of bounded length. A window is compressed alone and with
-templates as raw zstandard dictionaries. The more of a template's wording a window holds, the smaller the second
-result. Templates are ranked by that reduction and confirmed by their exact wording differences with the window.
+each template that can be there as a raw zstandard dictionary. The more of a template's wording a window holds, the
+smaller the second result. Templates are ranked by that reduction and confirmed by their exact wording differences
+with the window; after each confirmed notice, what is left is ranked again.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from math import ceil
 
@@ -73,8 +75,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 }
 #: Words of which every notice above has one, also when they are wrapped.
 CUE = r"(?i)licen[sc]|permission|redistribut|warrant|public[\W_]+domain|all[\W_]+rights[\W_]+reserved|copyright"
-#: Compression level; templates that are confirmed, at least (ties go on); share of a template's words that may differ.
-LEVEL, CONFIRM, DIFFER = 3, 3, 0.2
+#: Compression level; share of a template's words that may differ.
+LEVEL, DIFFER = 3, 0.2
 #: Words of a window, in lengths of the longest notice; differences that no match may have.
 WINDOW, FAR = 4, 1 << 20
 
@@ -126,6 +128,7 @@ class Scanner:
             for k, t in enumerate(texts):
                 raw = zstd.ZstdCompressionDict(t.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
                 self.templates.append((name, k, words_of(t), zstd.ZstdCompressor(level=level, dict_data=raw, **options)))
+        self.counts = [Counter(t[2]) for t in self.templates]
         self.reach = reach_of(templates)
         self.known: dict[str, list[dict]] = {}
 
@@ -161,7 +164,7 @@ class Scanner:
         """Notices of a part of a block: the template of the best reduction first (or one of a better wording at
         its place), then again on what is left without its words."""
         left: list[str | None] = list(words)
-        matches = {i: m for i in self.possible(block, words, where) if (m := differences(self.templates[i][2], left))}
+        matches = {i: m for i in self.possible(words) if (m := differences(self.templates[i][2], left))}
         found = []
         while matches:
             rest = " ".join(block[a:b] for a, b in pieces(left, where))
@@ -180,12 +183,11 @@ class Scanner:
                     matches[i] = m
         return found
 
-    def possible(self, block: str, words: list[str], where: list[tuple[int, int]]) -> list[int]:
-        """Templates to compare: the best few by reduction, and those whose words are all there."""
-        _, saved = self.reductions(block[where[0][0] : where[-1][1]]) if words else (0, {})
-        least = sorted(saved.values(), reverse=True)[: CONFIRM][-1] if saved else 0
-        have = set(words)
-        return [i for i, n in saved.items() if n >= least or set(self.templates[i][2]) <= have]
+    def possible(self, words: list[str]) -> list[int]:
+        """Templates that can be confirmed: all but ``DIFFER`` of their words are there, counted as often as they
+        occur."""
+        have = Counter(words)
+        return [i for i, (*_, wanted, _) in enumerate(self.templates) if sum(min(n, have[w]) for w, n in self.counts[i].items()) >= (1 - DIFFER) * len(wanted) - 1e-9]
 
     def score(self, i: int, match: tuple) -> int:
         """Template words found, less the differences."""

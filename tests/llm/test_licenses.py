@@ -104,3 +104,11 @@ def test_canonical_files(make_docs):
     for i, name, templates in ((1, "MIT", {2, 3}), (2, "Apache-2.0", {1, 2})):
         assert got[i]["licenses"] == [name] and {n["template"] for n in got[i]["notices"]} == templates
         assert all(n["exact"] for n in got[i]["notices"])
+
+
+def test_other_notices_beside_sister_licences():
+    gpl, cc = "This work is licensed under the GNU General Public License, version 3.", "This work is licensed under a Creative Commons Attribution 4.0 License."
+    found = licenses.Scanner()(gpl + "\n" + cc)
+    assert [(n["license"], n["missing"], n["extra"]) for n in found] == [("GPL-3.0", [], []), ("CC-BY-4.0", ["international"], [])]
+    many = [f"{t} Filler words here." for texts in licenses.TEMPLATES.values() for t in texts] * 3
+    assert len(licenses.Scanner()(" ".join(many))) == len(many)
