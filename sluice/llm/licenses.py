@@ -47,17 +47,39 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
+    "LGPL-2.0": (
+        "This work is licensed under the GNU Library General Public License, version 2.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General "
+        "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     "MPL-2.0": (
         "Licensed under the Mozilla Public License, Version 2.0.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not "
         "distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
-    "BSD-3-Clause": (
-        "Licensed under the BSD 3-Clause License.",
+    # the clause that opens both BSD licences; scan() gives it to BSD-3-Clause where that one's own clause follows
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
         "following conditions are met:",
+    ),
+    "BSD-3-Clause": (
+        "Licensed under the BSD 3-Clause License.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
         "products derived from this software without specific prior written permission.",
     ),
@@ -70,6 +92,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
     "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     "All-Rights-Reserved": ("All rights reserved.",),
 }
@@ -79,8 +103,14 @@ CUE = r"(?i)licen[sc]|permission|redistribut|warrant|public[\W_]+domain|all[\W_]
 LEVEL, DIFFER = 3, 0.2
 #: Words of a window, in lengths of the longest notice; differences that no match may have.
 WINDOW, FAR = 4, 1 << 20
+#: Words that tell licences apart, beside version numbers: a match neither lacks nor adds one.
+NAMES = frozenset("mit apache mozilla bsd cc0 affero lesser gnu-library 2-clause 3-clause 4-clause sharealike noncommercial noderivatives noderivs "
+                  "cc-by by-sa by-nc by-nd by-nc-sa by-nc-nd".split())
+#: (licence, template) of a clause that a larger licence shares, and the larger one's own (licence, template) after it.
+SHARED = {("BSD-2-Clause", 1): ("BSD-3-Clause", 1)}
 
 _WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
+_VERSION = re.compile(r"v?([0-9]+(?:\.[0-9]+)*?)(?:\.0)*")
 
 
 def words_of(text: str) -> list[str]:
@@ -115,6 +145,24 @@ def located(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     return [text[a:b].lower() for a, b in where], where
 
 
+def forms(words: list[str]) -> list[str]:
+    """Words as they are compared: versions without v and trailing zeros (2.0 is 2), and 'library' of 'GNU Library' and 'by'
+    of 'CC BY' apart from the common words."""
+    out = []
+    for before, w in zip(["", *words], words, strict=False):
+        if w in ("library", "by") and before == {"library": "gnu", "by": "cc"}[w]:
+            w = f"{before}-{w}"
+        elif m := _VERSION.fullmatch(w):
+            w = m[1]
+        out.append(w)
+    return out
+
+
+def telling(words: list[str]) -> list[bool]:
+    """Which words (as compared) say which licence it is: names, and numbers after the word version."""
+    return [w in NAMES or w.startswith("attribution") or (before in ("version", "v") and w[:1].isdigit()) for before, w in zip(["", *words], words, strict=False)]
+
+
 class Scanner:
     """Templates as compressors with a raw dictionary each."""
 
@@ -128,7 +176,7 @@ class Scanner:
             for k, t in enumerate(texts):
                 raw = zstd.ZstdCompressionDict(t.encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
                 self.templates.append((name, k, words_of(t), zstd.ZstdCompressor(level=level, dict_data=raw, **options)))
-        self.counts = [Counter(t[2]) for t in self.templates]
+        self.counts = [Counter(forms(t[2])) for t in self.templates]
         self.reach = reach_of(templates)
         self.known: dict[str, list[dict]] = {}
 
@@ -186,7 +234,7 @@ class Scanner:
     def possible(self, words: list[str]) -> list[int]:
         """Templates that can be confirmed: all but ``DIFFER`` of their words are there, counted as often as they
         occur."""
-        have = Counter(words)
+        have = Counter(forms(words))
         return [i for i, (*_, wanted, _) in enumerate(self.templates) if sum(min(n, have[w]) for w, n in self.counts[i].items()) >= (1 - DIFFER) * len(wanted) - 1e-9]
 
     def score(self, i: int, match: tuple) -> int:
@@ -208,17 +256,20 @@ def pieces(left: list[str | None], where: list[tuple[int, int]]) -> list[tuple[i
 
 def differences(wanted: list[str], words: list[str | None]) -> tuple[tuple[int, int], list[str], list[str]] | None:
     """Where a template fits best among the words (first and last equal word): the place, its words that are missing
-    there, and words in between that the template lacks. None if more than ``DIFFER`` of its words differ at
-    every place. Words that are None are taken, and no place holds one.
+    there, and words in between that the template lacks. None if at every place more than ``DIFFER`` of its words
+    differ, or one that tells licences apart. Words that are None are taken, and no place holds one.
 
     Exact: the least number of differences over all places and alignments, row by row of the template.
     """
-    number = {w: k for k, w in enumerate(dict.fromkeys(wanted))}
-    at = np.array([number.get(w, -1) for w in words], dtype=np.int64)
-    cost = np.concatenate([[0], np.cumsum([FAR if w is None else 1 for w in words])]).astype(np.int64)
+    names, have = forms(wanted), forms([w or "" for w in words])
+    number = {w: k for k, w in enumerate(dict.fromkeys(names))}
+    at = np.array([-1 if w is None else number.get(f, -1) for w, f in zip(words, have, strict=True)], dtype=np.int64)
+    cost = np.concatenate([[0], np.cumsum([FAR if w is None or t else 1 for w, t in zip(words, telling(have), strict=True)])]).astype(np.int64)
+    # any number of a template is its version
+    lack = [FAR if t or w[:1].isdigit() else 1 for w, t in zip(names, telling(names), strict=True)]
     table = np.zeros((len(wanted) + 1, len(words) + 1), dtype=np.int64)
-    for i, w in enumerate(wanted, 1):
-        row = table[i - 1] + 1
+    for i, w in enumerate(names, 1):
+        row = table[i - 1] + lack[i - 1]
         equal = np.flatnonzero(at == number[w])
         row[equal + 1] = np.minimum(row[equal + 1], table[i - 1][equal])
         table[i] = np.minimum.accumulate(row - cost) + cost
@@ -227,10 +278,10 @@ def differences(wanted: list[str], words: list[str | None]) -> tuple[tuple[int,
         return None
     i, matched, missing, extra = len(wanted), [], [], []
     while i:
-        if j and at[j - 1] == number[wanted[i - 1]] and table[i, j] == table[i - 1, j - 1]:
+        if j and at[j - 1] == number[names[i - 1]] and table[i, j] == table[i - 1, j - 1]:
             i, j = i - 1, j - 1
             matched.append(j)
-        elif table[i, j] == table[i - 1, j] + 1:
+        elif table[i, j] == table[i - 1, j] + lack[i - 1]:
             i -= 1
             missing.append(wanted[i])
         else:
@@ -239,6 +290,22 @@ def differences(wanted: list[str], words: list[str | None]) -> tuple[tuple[int,
     return (matched[-1], matched[0] + 1), missing[::-1], extra[::-1]
 
 
+def whole_licences(found: list[dict]) -> list[dict]:
+    """Notices of a text, a shared clause under the larger licence where that one's own clause comes before the next
+    shared one."""
+    larger = {}
+    own = None
+    for i in sorted(range(len(found)), key=lambda i: -found[i]["at"]):
+        key = (found[i]["license"], found[i]["template"])
+        if key in SHARED.values():
+            own = key
+        elif key in SHARED:
+            if own == SHARED[key]:
+                larger[i] = own[0]
+            own = None
+    return [{**n, "license": larger.get(i, n["license"])} for i, n in enumerate(found)]
+
+
 NOTICES = ("array<struct<at:long,license:string,template:int,size_alone:long,saved:long,missing:array<string>,extra:array<string>,exact:boolean>>")
 
 
@@ -246,6 +313,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, t
     """License notices of every document: doc_id, licenses (names, sorted), n_blocks (candidate blocks) and notices
     (offset of its first character, license, template number, compressed size alone of what was left of the window,
     bytes saved by the template, template words missing, other words in between, and whether the wording is exact).
+    A clause that two licences share is numbered as the smaller one's template under either name.
 
     One row per input row; null and empty texts and texts without a cue have empty arrays. Whole texts are
     searched; a text without a cue word never leaves the JVM. Repeated rows are scanned each.
@@ -260,7 +328,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, t
             names, counts, notices = [], [], []
             for body in batch.column(1).to_pylist():
                 blocks = candidate_blocks(body, scanner.reach) if body else []
-                found = [{**n, "at": at + n["at"]} for at, block in blocks for n in scanner(block)]
+                found = whole_licences([{**n, "at": at + n["at"]} for at, block in blocks for n in scanner(block)])
                 names.append(sorted({n["license"] for n in found}))
                 counts.append(len(blocks))
                 notices.append(found)

@@ -112,3 +112,37 @@ def test_other_notices_beside_sister_licences():
     assert [(n["license"], n["missing"], n["extra"]) for n in found] == [("GPL-3.0", [], []), ("CC-BY-4.0", ["international"], [])]
     many = [f"{t} Filler words here." for texts in licenses.TEMPLATES.values() for t in texts] * 3
     assert len(licenses.Scanner()(" ".join(many))) == len(many)
+
+
+HEADER = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the {name} as published
+    by the Free Software Foundation, either version {version} of the License, or
+    (at your option) any later version."""
+BSD_2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD_2 + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_sister_licences_are_told_apart(make_docs):
+    gnu = [("GNU General Public License", "2", "GPL-2.0"), ("GNU General Public License", "3", "GPL-3.0"), ("GNU Lesser General Public License", "2.1", "LGPL-2.1"),
+           ("GNU Lesser General Public License", "3", "LGPL-3.0"), ("GNU Affero General Public License", "3", "AGPL-3.0"), ("GNU Library General Public License", "2", "LGPL-2.0"),
+           ("GNU Lesser General Public License", "3.0", "LGPL-3.0")]
+    rows = [(k, HEADER.format(name=n, version=v), [w]) for k, (n, v, w) in enumerate(gnu)]
+    rows += [(k + 10, " ".join(t.split()), w) for k, t, w in rows]
+    rows += [(30, BSD_2, ["BSD-2-Clause"]), (31, BSD_3, ["BSD-3-Clause"]), (32, BSD_2 + BSD_3, ["BSD-2-Clause", "BSD-3-Clause"]), (33, BSD_3 + BSD_2, ["BSD-2-Clause", "BSD-3-Clause"]),
+             (34, "Licensed under CC BY 3.0.", []), (35, "Licensed under the License.", []), (36, "Licensed under the Apache License, Version 1.1.", []),
+             (37, "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 License.", ["CC-BY-ND-4.0"]), (38, HEADER.format(name="GNU Affero General Public License", version="1"), [])]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan(make_docs([(k, t) for k, t, _ in rows])).collect()}
+    assert got == {k: w for k, _, w in rows}
