@@ -59,3 +59,20 @@ def test_stages_on_odd_rows(spark, make_docs, odd_rows):
         assert after.columns == docs.columns and after.count() > 0
         assert stage(spark, make_docs([]), SF).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= len(odd_rows)
+
+
+def test_near_duplicates_of_five_words_and_four_fifths(spark, make_docs):
+    """Pairs around the border, against a plain comparison of word 5-grams at 0.8."""
+    rows, n = [], 200
+    for k, (edits, tail) in enumerate([(4, 0), (5, 0), (0, 30), (0, 43), (0, 44), (0, 60), (1, 25)]):
+        text = [f"w{k}x{i}" for i in range(n)]
+        other = text[:]
+        for e in range(edits):
+            other[10 + e * n // 6] = f"edit{e}"
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other + [f"more{k}x{i}" for i in range(tail)]))]
+    fives = [brute.shingles(t, 5) for _, t in rows]
+    plain = {2 * k + 1 for k in range(len(rows) // 2) if 100 * len(fives[2 * k] & fives[2 * k + 1]) >= 80 * len(fives[2 * k] | fives[2 * k + 1])}
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, make_docs(rows), SF).collect()}
+    assert kept == {i for i, _ in rows} - plain and 0 < len(plain) < len(rows) // 2
+    # some of them only at this width and similarity
+    assert plain - {i for i, _, c in brute.components(rows) if i != c}
