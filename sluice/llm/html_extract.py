@@ -21,7 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math select object".split())
+#: Elements of raw text (an unclosed one runs to the end of the page, as in HTML), and elements whose inside is never content.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+HIDDEN = frozenset("svg select template noscript".split())
+#: An opening tag of these ends an open svg, unless in its foreignObject.
+BREAKOUT = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr li menu ol p pre table ul".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
@@ -55,6 +59,8 @@ PAGES, STEPS = 100, 80
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _PART = re.compile(r"[a-z]+")
+_HIDDEN = re.compile(rf"<(?:{'|'.join(sorted(HIDDEN))})\b", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*>", re.I) for tag in RAW}
 
 
 @dataclass
@@ -71,13 +77,45 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
+def tokens(source: str) -> Iterator[tuple[str, str, str, str, int]]:
+    """Text before a tag, "/" if it closes, its name, its attributes, its place. Comments and the like have no
+    name; raw text is left out; the last text may have no tag."""
+    at, end = 0, len(source)
+    while at < end:
+        m = _TOKEN.search(source, at)
+        if not m:
+            yield source[at:], "", "", "", end
+            return
+        before, at, tag = source[at : m.start()], m.end(), (m[2] or "").lower()
+        if tag in RAW and not m[1] and not m[3].endswith("/"):
+            raw = _RAW_END[tag].search(source, at)
+            at = raw.end() if raw else end
+        yield before, m[1] or "", tag, m[3] or "", m.start()
+
+
+def closed(source: str) -> set[int]:
+    """Places of the opening tags of hidden elements that have a closing tag."""
+    if not _HIDDEN.search(source):
+        return set()
+    waiting: dict[str, list[int]] = {tag: [] for tag in HIDDEN}
+    out = set()
+    for _, end, tag, attributes, place in tokens(source):
+        if tag in HIDDEN:
+            if not end and not attributes.endswith("/"):
+                waiting[tag].append(place)
+            elif end and waiting[tag]:
+                out.add(waiting[tag].pop())
+    return out
+
+
 def parse(source: str) -> Page:
-    """A tolerant parser: one pass over tags; unknown, unclosed and misnested elements never fail."""
+    """A tolerant parser: one pass over tags; unknown, unclosed and misnested elements never fail. The text of
+    hidden elements is left out; one without a closing tag hides nothing."""
     page = Page()
     stack: list[int] = []
     opened: dict[str, int] = {}
     owners: list[int] = []  # beside the stack: the nearest block element, or the outermost element
-    links = 0
+    links = hidden = 0
     pending: list[str] = []
     owner = -1
 
@@ -117,17 +155,18 @@ def parse(source: str) -> Page:
         owners.append(node if tag in BLOCK or not owners else owners[-1])
 
     def close(at: int) -> None:
-        nonlocal links
+        nonlocal links, hidden
         while len(stack) > at:
             owners.pop()
             tag = page.tag[stack.pop()]
             opened[tag] -= 1
             if tag == "a":
                 links -= 1
+            hidden -= tag in HIDDEN
 
     def text(part: str) -> None:
         nonlocal owner
-        if not part:
+        if not part or hidden:
             return
         if not pending:
             owner = owners[-1] if owners else -1
@@ -138,22 +177,12 @@ def parse(source: str) -> Page:
             if links:
                 page.link_chars[stack[-1]] += n
 
-    at, end = 0, len(source)
-    raw = None
-    while at < end:
-        if raw:  # text of scripts, styles and the like is never content
-            m = re.compile(rf"</{re.escape(raw)}\s*[^>]*>", re.I).search(source, at)
-            at, raw = (m.end() if m else end), None
-            continue
-        m = _TOKEN.search(source, at)
-        text(source[at : m.start() if m else end])
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+    hides = closed(source)
+    for before, end, tag, attributes, place in tokens(source):
+        text(before)
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        if end:
             if not opened.get(tag):
                 if tag in BLOCK:
                     flush()
@@ -166,10 +195,10 @@ def parse(source: str) -> Page:
         if tag == "br":
             text(" ")
             continue
-        if tag in RAW:
-            if not m[3].endswith("/"):
-                raw = tag
+        if tag in RAW or (tag in HIDDEN and place not in hides):
             continue
+        if tag in BREAKOUT and opened.get("svg") and not opened.get("foreignobject"):
+            close(next(i for i, n in enumerate(stack) if page.tag[n] == "svg"))
         if tag in BLOCK:
             flush()
             if owners and page.tag[owners[-1]] == "p":  # a block ends an open paragraph
@@ -181,10 +210,11 @@ def parse(source: str) -> Page:
                 close(i)
                 if tag not in ("tr", "tbody", "tfoot", "td", "th"):
                     break
-        if tag in VOID:
+        if tag in VOID or (attributes.endswith("/") and (hidden or opened.get("math"))):
             continue
-        open_(tag, m[3])
+        open_(tag, attributes)
         links += tag == "a"
+        hidden += tag in HIDDEN
     flush()
     return page
 

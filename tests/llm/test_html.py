@@ -79,3 +79,23 @@ def test_odd_pages(spark, model):
     by = {r["page_id"]: r["text"] for r in got}
     assert by[1] == by[2] == "" and by[3] == "x" and by[4].count("\n\n") == 19_999
     assert H.extract(spark.createDataFrame([], schema), model).count() == 0
+
+
+def test_unclosed_elements_hide_nothing(model):
+    article = "<article><h1>Head of it</h1><p>First part of the text.</p>{}<p>Second part of the text, a longer one.</p></article>"
+    whole = "Head of it\n\nFirst part of the text.\n\nSecond part of the text, a longer one."
+    for tag in ("svg", "math", "select", "object", "template", "noscript"):
+        for page in (f"<div><{tag}>" + article.format("") + "</div>", article.format(f"<{tag}>"), article.format(f"<{tag}>") + f"<div><{tag}></{tag}></div>"):
+            assert H.texts([f"<html><body>{page}</body></html>"], model) == [whole], page
+    assert H.texts([article.format("<svg><path d='x'/><g>") + "</svg>"], model) == [whole]
+
+
+def test_math_and_objects_are_text(model):
+    def article(inside):
+        return H.texts([f"<html><body><article><h1>Head of it</h1><p>The sum {inside} is known to all of us.</p><p>Second part of the text.</p></article></body></html>"], model)[0].split("\n\n")[1]
+
+    assert article("<math><mi>x</mi><mspace/><mo>+</mo><mn>1</mn></math>") == "The sum x+1 is known to all of us."
+    assert article("<object data=a.pdf><param name=b>of <b>this</b> file</object>") == "The sum of this file is known to all of us."
+    for hidden in ("<svg><title>T</title><path d='M0'/><text>label</text><svg><text>inner</text></svg><text>after</text></svg>", "<select><option>one<option>two</select>",
+                   "<template><b>copy</b></template>", "<noscript><img src=x>No script</noscript>", "<svg/>"):
+        assert article(hidden) == "The sum is known to all of us.", hidden
