@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 8
 #: Bounds of the training sample: rows of a language (those of the smallest hash of doc_id), windows of a
-#: row, and languages (the most frequent ones of the labelled rows).
-ROWS, WINDOWS, LANGUAGES = 600, 6, 64
+#: row, and rows of all languages (shared evenly, but one row of each language at least).
+ROWS, WINDOWS, TOTAL = 600, 6, 38_400
 #: Windows scored at once.
 BATCH = 256
 UNKNOWN = "und"
@@ -83,9 +83,9 @@ def train(parts: list[bytes], labels: list[str], window: int = WINDOW, widths: t
     """A network fitted by Adam to labelled windows."""
     languages = sorted(set(labels))
     draw = np.random.default_rng(seed)
-    target = [languages.index(label) for label in labels]
+    number = {name: k for k, name in enumerate(languages)}
+    target = np.array([number[label] for label in labels])
     x, _, _ = cut(parts, window)
-    y = np.eye(len(languages), dtype=np.float32)[target]
     net = Network(languages, [draw.normal(0, 0.3, (w, 257, filters)).astype(np.float32) for w in widths],
                   draw.normal(0, 0.2, (len(widths) * filters, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32))
     weights = [*net.filters, net.dense, net.bias]
@@ -97,7 +97,9 @@ def train(parts: list[bytes], labels: list[str], window: int = WINDOW, widths: t
             rows = order[i : i + 64]
             b = x[rows]
             pooled, places = _responses(net, b)
-            error = (_softmax(pooled @ net.dense + net.bias) - y[rows]) / len(rows)
+            error = _softmax(pooled @ net.dense + net.bias)
+            error[np.arange(len(rows)), target[rows]] -= 1
+            error /= len(rows)
             back = (error @ net.dense.T) * (pooled > 0)
             gradient = []
             for j, (f, at) in enumerate(zip(net.filters, places, strict=True)):
@@ -175,14 +177,15 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, rows: int = ROWS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", **options) -> Network | None:
-    """A network learned from a bounded sample of the rows with a language that are not held out: of at most
-    ``LANGUAGES`` languages ``rows`` rows each, of a row ``WINDOWS`` windows. None if there is no such row."""
+def fit(docs: DataFrame, rows: int = ROWS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", total: int = TOTAL, **options) -> Network | None:
+    """A network learned from a bounded sample of the rows with a language that are not held out: ``rows`` rows of
+    every language, fewer each if these are more than ``total``, of a row ``WINDOWS`` windows. None if there is no
+    such row."""
     known = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id)) & F.col(doc_id).isNotNull())
     named = known.select(F.col(lang).alias("_lang"), F.col(doc_id).alias("_id"), F.xxhash64(F.lit(11), F.col(doc_id)).alias("_hash"))
-    often = [r["_lang"] for r in named.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "_lang").limit(LANGUAGES).collect()]
+    each = min(rows, max(total // max(named.select("_lang").distinct().count(), 1), 1))
     first = Window.partitionBy("_lang").orderBy("_hash", "_id")
-    sample = named.where(F.col("_lang").isin(often)).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= rows).select("_lang", "_id").distinct()
+    sample = named.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= each).select("_lang", "_id").distinct()
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,7 +196,7 @@ def fit(docs: DataFrame, rows: int = ROWS, text: str = "text", lang: str = "lang
                     parts.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["lang", "part"])
 
-    chosen = F.broadcast(sample)  # at most rows * LANGUAGES ids
+    chosen = F.broadcast(sample)  # at most ``total`` ids, or one of each language
     held = (known.select(F.col(lang).alias("_lang"), F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text"))
             .join(chosen, ["_lang", "_id"]).groupBy("_lang", "_id").agg(F.max("_text")).mapInArrow(windows, "lang string, part binary").collect())
     held = sorted((r["lang"], bytes(r["part"])) for r in held if r["part"])

@@ -53,3 +53,14 @@ def test_nothing_to_learn(make_docs):
 def test_held_out_rows_are_not_learned(make_docs):
     rows = [(i, "zzz yyy", "xx" if zlib.crc32(str(i).encode()) % 4 == 2 else "en", "s") for i in range(40)]
     assert langid.fit(make_docs(rows)).languages == ["en"]
+
+
+def test_every_language_is_a_class(make_docs, monkeypatch):
+    names = [f"l{k:02d}" for k in range(70)]
+    docs = make_docs([(k * 12 + i, f"{name} words {name} of {name} here {name}", name, "s") for k, name in enumerate(names) for i in range(12)])
+    assert langid.fit(docs, epochs=1).languages == names
+    sizes = []
+    monkeypatch.setattr(langid, "train", lambda parts, labels, **_: sizes.append((len(parts), sorted(set(labels)))))
+    langid.fit(docs, total=140)
+    langid.fit(docs, total=10)
+    assert sizes == [(140, names), (70, names)]
