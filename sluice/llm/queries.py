@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: thin, each over its whole table, with production parameters."""
+"""Registered queries of the operators: thin, each over its whole table, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import html_extract, jaccard, langid, licenses, mixing, packing, quality, sharding, substring, topk
+from sluice.llm import codes, html_extract, jaccard, langid, licenses, mixing, packing, quality, sharding, substring, topk
 from sluice.plans.registry import ensure_utc
 from sluice.session import ship_package
 from sluice.sources.tables import read_table
@@ -101,6 +101,35 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scores) WHERE r <= 20
 """
 
+def _op12_sql(rounds: int = 2) -> str:
+    """Lloyd rounds over (part position, entry) in plain SQL."""
+    ctes = ["""
+vectors AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+parts AS (SELECT id, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] AS x FROM vectors CROSS JOIN range(0, 16) AS t(p)),
+book0 AS (SELECT p, id - 1 AS e, x AS c FROM parts WHERE id <= 64)"""]
+    for r in range(rounds + 1):
+        ctes.append(f"""
+near{r} AS (SELECT id, p, e, d FROM (
+  SELECT a.id, a.p, b.e, CAST(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - b.c[i]) * (a.x[i] - b.c[i]))) AS BIGINT) AS d
+  FROM parts a JOIN book{r} b ON a.p = b.p) QUALIFY row_number() OVER (PARTITION BY id, p ORDER BY d, e) = 1)""")
+        if r < rounds:
+            ctes.append(f"""
+mean{r} AS (SELECT p, e, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS c FROM (
+  SELECT k.p, k.e, i, CAST(sum(q.x[i]) AS DOUBLE) AS s, count(*) AS n
+  FROM near{r} k JOIN parts q ON q.id = k.id AND q.p = k.p CROSS JOIN range(1, 65) AS u(i) WHERE i <= len(q.x) GROUP BY ALL) GROUP BY p, e),
+book{r + 1} AS (SELECT b.p, b.e, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN mean{r} m ON b.p = m.p AND b.e = m.e)""")
+    last = f"near{rounds}"
+    return "WITH " + ",".join(ctes) + f""",
+coded AS (SELECT id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM {last} GROUP BY id),
+labels_ AS (SELECT v.label, CAST(sum(c.error) AS BIGINT) AS label_error FROM vectors v JOIN coded c USING (id) GROUP BY v.label),
+flat AS (SELECT p, e, i, c[i] AS x FROM book{rounds} CROSS JOIN range(1, 65) AS u(i) WHERE i <= len(c)),
+digest AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, e, i)) AS codebooks_sha256 FROM flat)
+SELECT v.vec_id, c.code, c.error, l.label_error, g.codebooks_sha256
+FROM vectors v JOIN coded c USING (id) JOIN labels_ l ON l.label IS NOT DISTINCT FROM v.label CROSS JOIN digest g"""
+
 
 @query(OP3_SQL)
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,3 +182,10 @@ def op10_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes, equal texts together."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     return sharding.shard_documents(docs).withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query(_op12_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes, errors and the codebooks' hash of all vectors."""
+    vectors = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
+    return codes.compress(vectors).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
