@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import codes, html_extract, jaccard, langid, licenses, mixing, packing, quality, sharding, substring, topk
+from sluice.llm import codes, html_extract, jaccard, langid, licenses, mixing, packing, quality, ranking, sharding, substring, topk
 from sluice.plans.registry import ensure_utc
 from sluice.session import ship_package
 from sluice.sources.tables import read_table
@@ -131,6 +131,26 @@ SELECT v.vec_id, c.code, c.error, l.label_error, g.codebooks_sha256
 FROM vectors v JOIN coded c USING (id) JOIN labels_ l ON l.label IS NOT DISTINCT FROM v.label CROSS JOIN digest g"""
 
 
+OP11_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS d, doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+tfs AS (SELECT d, any_value(doc_id) AS doc_id, t, count(*) AS tf FROM words GROUP BY d, t),
+lens AS (SELECT d, count(*) AS n FROM words GROUP BY d),
+stats AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS ll FROM lens),
+dfs AS (SELECT t, count(*) AS df FROM tfs GROUP BY t),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+weights AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * nn + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS w FROM dfs, stats),
+scores AS (
+  SELECT a.item_id, f.d, any_value(f.doc_id) AS doc_id,
+         CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 20 * (100 - 50 + (50 * l.n * s.nn) // s.ll)))) AS BIGINT) AS score
+  FROM asked a JOIN tfs f USING (t) JOIN weights w USING (t) JOIN lens l ON l.d = f.d CROSS JOIN stats s GROUP BY a.item_id, f.d)
+SELECT item_id, CAST(r AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scores WHERE score > 0) WHERE r <= 50
+"""
+
+
 @query(OP3_SQL)
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
@@ -184,6 +204,13 @@ def op10_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(docs).withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+@query(OP11_SQL)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return ranking.ranked_search(docs, read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
 @query(_op12_sql())
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes, errors and the codebooks' hash of all vectors."""
