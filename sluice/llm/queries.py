@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import codes, html_extract, jaccard, langid, licenses, mixing, packing, quality, ranking, sharding, substring, topk
+from sluice.llm import codes, cutting_stock, html_extract, jaccard, langid, licenses, mixing, packing, quality, ranking, sharding, substring, topk
 from sluice.plans.registry import ensure_utc
 from sluice.session import ship_package
 from sluice.sources.tables import read_table
@@ -216,3 +216,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes, errors and the codebooks' hash of all vectors."""
     vectors = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     return codes.compress(vectors).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+@query()
+def op13_cutting_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 token ids, or a power of two, without padding."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return cutting_stock.pack_documents(docs).drop("ids")
