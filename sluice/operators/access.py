@@ -10,8 +10,9 @@ is_error)`` with set-based Spark jobs:
 * ``fixed_ttl_anchors`` expiry counted from the set; slices walk from anchor to
                      anchor and pass only the carried anchor on
 * ``reuse_distance`` distinct other keys since the previous access (true LRU
-                     stack distance); 2-level block decomposition so no task
-                     holds more than one block of an instance
+                     stack distance), a dominance count (see ``dominance``)
+* ``access_flags``   reuse distance, sliding-TTL hit, and for accesses whose entry
+                     expires unread the distinct keys until then
 * ``hit_rate_curve`` hit rate for every cache size from one histogram
 * ``access_metrics`` per (policy, size) counters and rates; ``ttl_metrics`` per TTL
 
@@ -25,13 +26,14 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.numeric import round_ratio
 from sluice.functions.scoring import hash_bucket
-from sluice.operators.sequence import dense_position, previous_in_group, slice_count, sliced
-from sluice.session import cut_lineage
+from sluice.operators.dominance import BLOCK, CHUNK, FANOUT, dominance_counts
+from sluice.operators.sequence import dense_position, sequence_within, slice_count, stored_slices
+from sluice.session import cut_lineage, write_table
 
 INST, KEY = "instance", "key"
 
@@ -46,11 +48,12 @@ def access_count_agg(log: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("accesses"), F.min("ts").alias("first_access"), F.max("ts").alias("last_access"))
 
 
-def sequence_log(log: DataFrame, checkpoint: bool = True, num_partitions: int | None = None) -> DataFrame:
+def sequence_log(log: DataFrame, checkpoint: bool = True, num_partitions: int | None = None, following: bool = False) -> DataFrame:
     """Add ``pos`` (1-based order per instance by (ts, seq)), ``prev_pos`` and
-    ``prev_ts`` (previous access of the same key, NULL when cold)."""
+    ``prev_ts`` (previous access of the same key, NULL when cold), and with
+    ``following`` ``next_ts`` (next access of the key, NULL when there is none)."""
     s = dense_position(log, [INST], ["ts", "seq"], "pos", num_partitions=num_partitions)
-    s = previous_in_group(s, [INST, KEY], ["pos"], ["pos", "ts"], num_partitions=num_partitions)
+    s = sequence_within(s, [INST, KEY], ["pos"], ["pos", "ts"], ["ts"] if following else [], num_partitions=num_partitions)
     return cut_lineage(s) if checkpoint else s
 
 
@@ -60,7 +63,7 @@ def ttl_hits_sliding(seq_log: DataFrame, ttl_seconds: float) -> DataFrame:
     return seq_log.withColumn("hit", F.coalesce(gap < F.lit(int(ttl_seconds * 1_000_000)), F.lit(False)))
 
 
-def _hops(t: list[int], i: int, ttl: int) -> list[int]:
+def _hops(t: Sequence[int], i: int, ttl: int) -> list[int]:
     """Indices of the anchors from index ``i`` on: each next one is the first at or after anchor + TTL."""
     out = []
     while i < len(t):
@@ -69,7 +72,7 @@ def _hops(t: list[int], i: int, ttl: int) -> list[int]:
     return out
 
 
-def _last_anchor(t: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
+def _exits(t: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
     """Where a run of accesses leads from every possible entry: (latest entry time, time of the last anchor)
     for each group of entries with the same last anchor. An anchor before the run enters at the first access
     at or after anchor + TTL, so only the accesses of the first TTL, and the one after, are entries."""
@@ -87,6 +90,22 @@ def _last_anchor(t: np.ndarray, ttl: int) -> tuple[np.ndarray, np.ndarray]:
     return t[ends], last[ends]
 
 
+def _passage(t: np.ndarray, ttl: int, most: int) -> tuple[int, int, int, list[int] | None, list[int] | None]:
+    """What the other slices need of a run: first and last time, the last anchor if its first access is one, and,
+    if at most ``most`` accesses can be entered at, where each leads. A denser run is asked later, once the one
+    anchor that reaches it is known."""
+    first, last = int(t[0]), int(t[-1])
+    fresh = int(t[_hops(t, 0, ttl)[-1]])
+    if first + ttl <= last and int(np.searchsorted(t, t[0] + ttl)) < most or len(t) <= most:
+        entry, leave = _exits(t, ttl)
+        return first, last, fresh, entry.tolist(), leave.tolist()
+    return first, last, fresh, None, None
+
+
+#: Accesses of a run that other slices hear of; a run with more in one TTL is asked by its anchor instead.
+MAX_ENTRIES = 1024
+
+
 def _slice_runs(pdf: pd.DataFrame) -> list[tuple[object, object, int, int]]:
     """(instance, key, from, to) of the runs of a slice sorted by (instance, key, t, seq)."""
     inst, key = pdf[INST].to_numpy(), pdf[KEY].to_numpy()
@@ -95,63 +114,108 @@ def _slice_runs(pdf: pd.DataFrame) -> list[tuple[object, object, int, int]]:
     return [(inst[i], key[i], i, j) for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def fixed_ttl_anchors_multi(log: DataFrame, ttls_seconds: Sequence[float], num_partitions: int | None = None) -> DataFrame:
+def _passages(slices: DataFrame, ttls: Sequence[int], most: int) -> DataFrame:
+    """Of each slice's first and last run (others begin and end inside the slice), by TTL: see ``_passage``."""
+    kinds = {f.name: f.dataType.simpleString() for f in slices.schema.fields}
+
+    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([INST, KEY, "t", "seq"])
+        runs, t, pid, out = _slice_runs(pdf), pdf["t"].to_numpy(), int(pdf["_pid"].iloc[0]), []
+        for inst, key, i, j in {runs[0], runs[-1]}:
+            for n, ttl in enumerate(ttls):
+                out.append((inst, key, pid, n, *_passage(t[i:j], ttl, most)))
+        return pd.DataFrame(out, columns=[INST, KEY, "pid", "n", "first", "last", "fresh", "entry", "leave"])
+
+    return slices.groupBy("_pid").applyInPandas(
+        steps, f"{INST} {kinds[INST]}, {KEY} {kinds[KEY]}, pid int, n int, first long, last long, fresh long, entry array<long>, leave array<long>")
+
+
+def _carried(passages: DataFrame, ttls: Sequence[int], told: dict[tuple[int, int], int]) -> DataFrame:
+    """(pid, n, anchor, open): the anchor that reaches each slice of a key that spans several, in slice order. Where
+    it enters a dense run whose exit is not in ``told`` yet, the row is open and the chain stops there."""
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for n, f in pdf.sort_values("pid").groupby("n"):
+            anchor, ttl = None, ttls[n]
+            for pid, first, last, fresh, entry, leave in zip(f["pid"], f["first"], f["last"], f["fresh"], f["entry"], f["leave"], strict=True):
+                if anchor is None or anchor + ttl <= first:
+                    if anchor is not None:
+                        out.append((int(pid), int(n), int(anchor), False))
+                    anchor = fresh
+                    continue
+                need = entry is None and anchor + ttl <= last and (int(pid), int(n)) not in told
+                out.append((int(pid), int(n), int(anchor), need))
+                if need:
+                    break
+                if anchor + ttl <= last:
+                    anchor = told[int(pid), int(n)] if entry is None else leave[int(np.searchsorted(entry, anchor + ttl))]
+        return pd.DataFrame(out, columns=["pid", "n", "anchor", "open"])
+
+    return passages.groupBy(INST, KEY).applyInPandas(follow, "pid int, n int, anchor long, open boolean")
+
+
+def _answers(ttls: Sequence[int], asked: dict[tuple[int, int], int]):
+    """Of an asked slice: the last anchor of the chain that enters its first run (where a carried anchor goes)."""
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([INST, KEY, "t", "seq"])
+        pid, out = int(pdf["_pid"].iloc[0]), []
+        t = pdf["t"].to_numpy()[: _slice_runs(pdf)[0][3]]
+        for n, ttl in enumerate(ttls):
+            if (pid, n) in asked:
+                out.append((pid, n, int(t[_hops(t, int(np.searchsorted(t, asked[pid, n] + ttl)), ttl)[-1]])))
+        return pd.DataFrame(out, columns=["pid", "n", "anchor"])
+
+    return answer
+
+
+def fixed_ttl_anchors_multi(log: DataFrame, ttls_seconds: Sequence[float], num_partitions: int | None = None, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """Fixed TTL (a hit does not renew) for several TTLs at once: returns
     ``(ttl_seconds, instance, key, seq)`` of the accesses that miss (the set /
     anchor accesses) under each TTL.
 
     anchor_1 = first access of a key, anchor_{k+1} = first access at or after
     anchor_k + TTL. Accesses are range sliced by (instance, key, time), so a hot
-    key is spread over slices by count. Each slice tells where its first and its
-    last key's run leads from any anchor carried in; per key these few steps are
-    composed in slice order; then every slice walks from anchor to anchor alone,
-    starting from its carried anchor.
+    key is spread over slices by count. A slice's summary has its first and last
+    time and at most ``max_entries`` exits: within one TTL a chain has one
+    anchor, so a denser slice need not list its accesses. It is asked "which is
+    the first access at or after x, and where does it lead" once x is known.
+    Chains of all keys and TTLs advance together; a round reads only the slices
+    that are asked. At last every slice walks from anchor to anchor alone,
+    starting from the anchor carried to it.
     """
-    ttls = [(float(t), int(t * 1_000_000)) for t in ttls_seconds]
+    seconds = [float(t) for t in ttls_seconds]
+    ttls = [int(t * 1_000_000) for t in seconds]
     rows = log.select(INST, KEY, _us().alias("t"), "seq")
     order = [INST, KEY, "t", "seq"]
-    s = sliced(rows, [INST, KEY], ["t", "seq"], slice_count(rows, num_partitions))
+    s = stored_slices(rows, [INST, KEY], ["t", "seq"], slice_count(rows, num_partitions))
     kinds = {f.name: f.dataType.simpleString() for f in s.schema.fields}
+    passages = write_table(_passages(s, ttls, max_entries), "passages")
+    told: dict[tuple[int, int], int] = {}  # at most one exit for each slice and TTL
+    while True:
+        chain = write_table(_carried(passages, ttls, told), "chains")
+        asked = {(r["pid"], r["n"]): r["anchor"] for r in chain.where("open").collect()}  # at most one a slice and TTL
+        if not asked:
+            break
 
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        runs, t, pid, out = _slice_runs(pdf), pdf["t"].to_numpy(), int(pdf["_pid"].iloc[0]), []
-        for inst, key, i, j in {runs[0], runs[-1]}:  # other runs begin and end inside the slice
-            for n, (_, ttl) in enumerate(ttls):
-                entry, last = _last_anchor(t[i:j], ttl)
-                out.append((inst, key, pid, n, entry.tolist(), last.tolist()))
-        return pd.DataFrame(out, columns=[INST, KEY, "pid", "n", "entry", "last"])
-
-    def carried(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for n, f in pdf.sort_values("pid").groupby("n"):
-            anchor = None
-            for pid, entry, last in zip(f["pid"], f["entry"], f["last"], strict=True):
-                at = 0
-                if anchor is not None:
-                    out.append((int(pid), int(n), int(anchor)))
-                    at = int(np.searchsorted(entry, anchor + ttls[n][1]))
-                if at < len(last):
-                    anchor = int(last[at])
-        return pd.DataFrame(out, columns=["pid", "n", "anchor"])
+        pids = sorted({p for p, _ in asked})
+        for r in s.where(F.col("_pid").isin(pids)).groupBy("_pid").applyInPandas(_answers(ttls, asked), "pid int, n int, anchor long").collect():
+            told[r["pid"], r["n"]] = r["anchor"]
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         before = dict(pdf["carry"].iloc[0] or {})
         pdf = pdf.sort_values(order)
         runs, t, seq = _slice_runs(pdf), pdf["t"].to_numpy(), pdf["seq"].to_numpy()
         parts = []
-        for n, (seconds, ttl) in enumerate(ttls):
+        for n, ttl in enumerate(ttls):
             anchors: list[int] = []
             for k, (_, _, i, j) in enumerate(runs):
-                run = t[i:j].tolist()
-                start = bisect_left(run, before[n] + ttl) if k == 0 and n in before else 0
+                run = t[i:j]
+                start = int(np.searchsorted(run, before[n] + ttl)) if k == 0 and n in before else 0
                 anchors += [i + x for x in _hops(run, start, ttl)]
-            parts.append(pd.DataFrame({"ttl_seconds": seconds, INST: pdf[INST].to_numpy()[anchors], KEY: pdf[KEY].to_numpy()[anchors], "seq": seq[anchors]}))
+            parts.append(pd.DataFrame({"ttl_seconds": seconds[n], INST: pdf[INST].to_numpy()[anchors], KEY: pdf[KEY].to_numpy()[anchors], "seq": seq[anchors]}))
         return pd.concat(parts)
 
-    found = (s.groupBy("_pid").applyInPandas(steps, f"{INST} {kinds[INST]}, {KEY} {kinds[KEY]}, pid int, n int, entry array<long>, last array<long>")
-             .groupBy(INST, KEY).applyInPandas(carried, "pid int, n int, anchor long"))
-    carry = found.groupBy(F.col("pid").alias("_pid")).agg(F.map_from_entries(F.collect_list(F.struct("n", "anchor"))).alias("carry"))  # one entry a TTL
+    carry = chain.groupBy(F.col("pid").alias("_pid")).agg(F.map_from_entries(F.collect_list(F.struct("n", "anchor"))).alias("carry"))  # one entry a TTL
     return s.join(carry, "_pid", "left").groupBy("_pid").applyInPandas(
         walk, f"ttl_seconds double, {INST} {kinds[INST]}, {KEY} {kinds[KEY]}, seq {kinds['seq']}")
 
@@ -171,89 +235,29 @@ def ttl_hits_fixed(log: DataFrame, ttl_seconds: float) -> DataFrame:
 # ---------------------------------------------------------------------------
 # reuse distance
 
-def smaller_before(v: np.ndarray) -> np.ndarray:
-    """For every i: #{j < i : v[j] < v[i]}. Values are ranked; from the highest bit of the ranks down, an
-    element with bit 1 counts the earlier ones of its group (equal higher bits) with bit 0."""
-    rank = np.unique(v, return_inverse=True)[1].astype(np.int64)
-    out, order = np.zeros(len(v), dtype=np.int64), np.arange(len(v))
-    for b in reversed(range(int(rank.max(initial=0)).bit_length())):
-        r = rank[order]
-        group, bit = r >> (b + 1), (r >> b) & 1
-        zeros = np.cumsum(1 - bit) - (1 - bit)
-        head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-        base = np.repeat(zeros[head], np.diff(np.append(head, len(r))))
-        out[order] += np.where(bit == 1, zeros - base, 0)
-        order = order[np.argsort(r >> b, kind="stable")]
-    return out
-
-
-def _same_block_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Group = one position block of one instance: j earlier in the block with prev_j < p_i."""
-    pdf = pdf.sort_values("pos")
-    prev = pdf["prev"].to_numpy(np.int64)
-    cnt = smaller_before(prev)
-    return pd.DataFrame({INST: pdf[INST].to_numpy(), "pos": pdf["pos"].to_numpy(), "b_res": cnt})
-
+def _reuse_queries(s: DataFrame) -> DataFrame:
+    """For every re-access i of the previous access p: the accesses up to i - 1 whose key was last seen at p or before."""
+    return s.where("prev > 0").select(INST, F.col("pos").alias("id"), F.lit(0).alias("tag"), (F.col("pos") - 1).alias("x"), F.col("prev").alias("y"))
 
-def _same_prev_block_counts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Group = one prev-value block: j in an earlier position block with prev_j < p_i."""
-    pdf = pdf.sort_values("prev")  # prev values are unique here (one successor per access)
-    bi = pdf["bi"].to_numpy(np.int64)
-    cnt = smaller_before(bi)
-    return pd.DataFrame({INST: pdf[INST].to_numpy(), "pos": pdf["pos"].to_numpy(), "c_res": cnt})
 
+def _numbered(seq_log: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The log with ``prev`` (0 when cold), its points for ``dominance_counts``, and the longest instance."""
+    s = seq_log.withColumn("prev", F.coalesce(F.col("prev_pos"), F.lit(0)).cast("long"))
+    return s, s.select(INST, F.col("pos").alias("x"), F.col("prev").alias("y")), int(s.agg(F.max("pos")).first()[0] or 0)
 
-MAX_BLOCK = 1 << 22  # rows of one pandas group; beyond ~1e10 accesses the grid grows instead
 
-
-def choose_block(n_max: int) -> int:
-    """Block size ~ n^(2/3): groups of <= B rows and a grid of ~(n/B)^2 cells,
-    with B capped so one task never holds more than ``MAX_BLOCK`` rows."""
-    b = max(64, int(round(n_max ** (2.0 / 3.0))))
-    return min(1 << (b - 1).bit_length(), MAX_BLOCK)
-
-
-def reuse_distance(seq_log: DataFrame, block: int | None = None) -> DataFrame:
+def reuse_distance(seq_log: DataFrame, block: int = BLOCK, fanout: int = FANOUT, chunk: int = CHUNK) -> DataFrame:
     """Stack (reuse) distance of every re-access: distinct other keys of the same
     instance accessed strictly between the previous and the current access.
 
-    Uses d_i = #{j < i : prev_j < p_i} - p_i (positions 1-based, prev 0 when
-    cold). The count is split by position block bi and prev block bp:
-    A = cells strictly below-left (dense prefix-sum grid), B = same position
-    block (one pass per block), C = same prev block in earlier position blocks
-    (one pass per prev block). Each pandas group holds at most ``block`` rows.
+    d_i = #{j < i : prev_j <= p_i} - p_i (positions 1-based, prev 0 when cold): every key seen in between
+    counts once, by its first access after p_i. The counts come from ``dominance_counts``, whose pandas
+    groups are bounded for instances of any length.
     """
-    s = seq_log.select(INST, KEY, "seq", "ts", "pos", F.coalesce(F.col("prev_pos"), F.lit(0)).alias("prev"))
-    if block is None:
-        n_max = s.agg(F.max("pos")).first()[0] or 1
-        block = choose_block(int(n_max))
-    B = int(block)
-    s = s.withColumn("bi", F.floor((F.col("pos") - 1) / B).cast("long")).withColumn(
-        "bp", F.when(F.col("prev") == 0, F.lit(-1)).otherwise(F.floor((F.col("prev") - 1) / B)).cast("long"))
-
-    # A: dense grid of counts per (instance, bi, bp), strict 2-D prefix sums
-    counts = s.groupBy(INST, "bi", "bp").agg(F.count(F.lit(1)).alias("c"))
-    dims = s.groupBy(INST).agg(F.max("bi").alias("mbi"))
-    grid = (dims.select(INST, F.explode(F.sequence(F.lit(0), F.col("mbi"))).alias("bi"), "mbi")
-            .select(INST, "bi", F.explode(F.sequence(F.lit(-1), F.col("mbi"))).alias("bp")))
-    grid = grid.join(counts, [INST, "bi", "bp"], "left").fillna(0, ["c"])
-    row_w = Window.partitionBy(INST, "bi").orderBy("bp").rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.withColumn("r", F.coalesce(F.sum("c").over(row_w), F.lit(0)))
-    col_w = Window.partitionBy(INST, "bp").orderBy("bi").rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.select(INST, "bi", "bp", F.coalesce(F.sum("r").over(col_w), F.lit(0)).alias("a_cnt"))
-
-    itype = s.schema[INST].dataType.simpleString()
-    b_part = s.select(INST, "pos", "prev", "bi").groupBy(INST, "bi").applyInPandas(
-        _same_block_counts, f"{INST} {itype}, pos long, b_res long")
-    c_part = (s.filter(F.col("prev") > 0).select(INST, "pos", "prev", "bi", "bp")
-              .groupBy(INST, "bp").applyInPandas(_same_prev_block_counts, f"{INST} {itype}, pos long, c_res long"))
-
-    q = s.filter(F.col("prev") > 0)
-    q = q.join(grid, [INST, "bi", "bp"], "left")
-    q = q.join(b_part, [INST, "pos"], "left").join(c_part, [INST, "pos"], "left")
-    d = (F.coalesce("a_cnt", F.lit(0)) + F.coalesce("b_res", F.lit(0)) + F.coalesce("c_res", F.lit(0))
-         - F.col("prev"))
-    return q.select(INST, KEY, "seq", "ts", "pos", F.col("prev").alias("prev_pos"), d.alias("reuse_distance"))
+    s, points, n = _numbered(seq_log)
+    found = dominance_counts(points, _reuse_queries(s), n, block, fanout, chunk).select(INST, F.col("id").alias("pos"), "n")
+    q = s.where("prev > 0").join(found, [INST, "pos"])
+    return q.select(INST, KEY, "seq", "ts", "pos", F.col("prev").alias("prev_pos"), (F.col("n") - F.col("prev")).alias("reuse_distance"))
 
 
 def hit_rate_curve(seq_log: DataFrame, distances: DataFrame, sizes: Sequence[int],
@@ -292,12 +296,37 @@ def hit_rate_curve_sampled(log: DataFrame, sizes: Sequence[int], modulus: int =
 # ---------------------------------------------------------------------------
 # per-configuration metrics
 
-def access_flags(log: DataFrame, ttl_seconds: float) -> DataFrame:
-    """Per access: reuse distance (NULL when cold) and sliding-TTL hit, from one sequencing pass."""
-    s = sequence_log(log)
-    d = reuse_distance(s).select(INST, "pos", "reuse_distance")
-    flags = ttl_hits_sliding(s, ttl_seconds).withColumnRenamed("hit", "sliding_hit").join(d, [INST, "pos"], "left")
-    return flags.select(INST, KEY, "seq", "ts", "op_ms", "is_error", "reuse_distance", "sliding_hit")
+def last_before(seq_log: DataFrame, seconds: float, num_partitions: int | None = None) -> DataFrame:
+    """(instance, pos, last_pos): the last position of the instance with a time before ``ts`` + ``seconds``.
+
+    Every access probes its own end: the number of accesses before a probe is its place in the order of all
+    accesses and probes by time, less the probes up to it, which are in the order of the positions.
+    """
+    t = _us("ts")
+    access = seq_log.select(INST, t.alias("t"), F.lit(1).alias("access"), "pos")
+    probe = seq_log.select(INST, (t + int(seconds * 1_000_000)).alias("t"), F.lit(0).alias("access"), "pos")
+    ranked = dense_position(access.unionByName(probe), [INST], ["t", "access", "pos"], "place", num_partitions=num_partitions)
+    return ranked.where("access = 0").select(INST, "pos", (F.col("place") - F.col("pos")).alias("last_pos"))
+
+
+def access_flags(log: DataFrame, ttl_seconds: float, block: int = BLOCK, fanout: int = FANOUT, chunk: int = CHUNK) -> DataFrame:
+    """Per access: reuse distance (NULL when cold), sliding-TTL hit, and ``unread_distance``: if the key does not
+    come again within the TTL, the distinct other keys accessed before the entry expires (or the log ends), else NULL.
+
+    Both counts are one run of ``dominance_counts``: the keys after access i up to position h are the
+    accesses up to h whose previous access is at i or before, less i.
+    """
+    s, points, n = _numbered(cut_lineage(sequence_log(log, checkpoint=False, following=True)))
+    ttl = int(ttl_seconds * 1_000_000)
+    unread = s.where(F.col("next_ts").isNull() | (_us("next_ts") - _us("ts") >= ttl)).select(INST, "pos")
+    forward = unread.join(last_before(s, ttl_seconds), [INST, "pos"]).select(
+        INST, F.col("pos").alias("id"), F.lit(1).alias("tag"), F.col("last_pos").alias("x"), F.col("pos").alias("y"))
+    found = dominance_counts(points, _reuse_queries(s).unionByName(forward), n, block, fanout, chunk)
+    both = found.groupBy(INST, F.col("id").alias("pos")).agg(F.max(F.when(F.col("tag") == 0, F.col("n"))).alias("_back"),
+                                                             F.max(F.when(F.col("tag") == 1, F.col("n"))).alias("_ahead"))
+    flags = ttl_hits_sliding(s, ttl_seconds).withColumnRenamed("hit", "sliding_hit").join(both, [INST, "pos"], "left")
+    return flags.select(INST, KEY, "seq", "ts", "op_ms", "is_error", (F.col("_back") - F.col("prev")).alias("reuse_distance"), "sliding_hit",
+                        (F.col("_ahead") - F.col("pos")).alias("unread_distance"))
 
 
 #: Policies whose hits follow recency, so that one pass serves every size.
@@ -345,27 +374,34 @@ def access_metrics(flags: DataFrame, policies: Sequence[str], sizes: Sequence[in
     """Counters and rates per (policy, cache_size), one scan of the flags.
 
     Each instance is its own cache. ``evictions`` counts the entries pushed out
-    by capacity in recency order: per instance the accesses at a reuse distance
-    of the size or more (and cold ones) less the entries that stay, at most the
-    size; distinct keys are the cold accesses, so nothing is grouped by key.
+    by capacity in recency order. LRU has no expiry: per instance the accesses
+    at a reuse distance of the size or more (and cold ones) less the entries
+    that stay, at most the size; distinct keys are the cold accesses, so nothing
+    is grouped by key. TTL-LRU: an entry is pushed out if as many distinct other
+    keys as the size come before it is read again and before it expires;
+    expired entries leave by themselves.
     """
     cfgs = [(p, int(c)) for p in policies for c in sizes]
     ms = F.round(F.col("op_ms") * 100).cast("long")
     cold = F.col("reuse_distance").isNull()
-    aggs = [F.count(F.lit(1)).alias("ops"), F.count_if(cold).alias("keys"), F.min("ts").alias("t0"), F.max("ts").alias("t1")]
-    aggs += [F.count_if(~policy_hit("LRU", c)).alias(f"e{c}") for c in sorted({c for _, c in cfgs})]
+    aggs = [F.count(F.lit(1)).alias("ops"), F.min("ts").alias("t0"), F.max("ts").alias("t1")]
     for i, (p, c) in enumerate(cfgs):
         h = policy_hit(p, c)
-        aggs += [F.count_if(h).alias(f"h{i}"), F.sum(F.when(h, ms)).alias(f"hm{i}"), F.sum(F.when(~h, ms)).alias(f"mm{i}")]
+        if p == "LRU":
+            out = F.count_if(~policy_hit("LRU", c)) - F.least(F.lit(c), F.count_if(cold))
+        else:
+            # the entry that this access finds pushed out, and the one it leaves
+            out = F.count_if(F.col("sliding_hit") & (F.col("reuse_distance") >= c)) + F.count_if(F.col("unread_distance") >= c)
+        aggs += [out.alias(f"e{i}"), F.count_if(h).alias(f"h{i}"), F.sum(F.when(h, ms)).alias(f"hm{i}"), F.sum(F.when(~h, ms)).alias(f"mm{i}")]
     per_inst = flags.groupBy(INST).agg(*aggs)
     rows = F.explode(F.array(*[
-        F.struct(F.lit(p).alias("policy"), F.lit(c).alias("cache_size"), F.col(f"h{i}").alias("hits"), F.col(f"e{c}").alias("pushed"),
+        F.struct(F.lit(p).alias("policy"), F.lit(c).alias("cache_size"), F.col(f"h{i}").alias("hits"), F.col(f"e{i}").alias("evictions"),
                  F.col(f"hm{i}").alias("hit_ms"), F.col(f"mm{i}").alias("miss_ms"))
         for i, (p, c) in enumerate(cfgs)]))
-    long = per_inst.select("ops", "keys", "t0", "t1", rows.alias("r")).select("ops", "keys", "t0", "t1", "r.*")
+    long = per_inst.select("ops", "t0", "t1", rows.alias("r")).select("ops", "t0", "t1", "r.*")
     g = long.groupBy("policy", "cache_size").agg(
         F.sum("ops").alias("ops"), F.sum("hits").alias("hits"), F.sum(F.col("ops") - F.col("hits")).alias("misses"),
-        F.sum(F.col("pushed") - F.least(F.col("cache_size"), F.col("keys"))).alias("evictions"),
+        F.sum("evictions").alias("evictions"),
         F.sum("hit_ms").alias("hit_ms"), F.sum("miss_ms").alias("miss_ms"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
     # every configuration gets a row, also for an empty log (0 operations, 0 rates)
     grid = F.broadcast(flags.sparkSession.createDataFrame(cfgs, "policy string, cache_size int"))

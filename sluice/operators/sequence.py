@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.session import cut_lineage
+from sluice.session import cut_lineage, scratch_path
 
 
 SLICE_BYTES = 64 * 1024 * 1024
@@ -43,6 +43,16 @@ def sliced(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
     return cut_lineage(df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id()))
 
 
+def stored_slices(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str], n: int) -> DataFrame:
+    """The slices of ``sliced`` as a table with a folder a slice: a read that names slices opens no other."""
+    spark = df.sparkSession
+    keys = [F.col(c).asc_nulls_first() for c in list(group_cols) + list(order_cols)]
+    tagged = df.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    path = scratch_path(spark, "slices")
+    tagged.write.partitionBy("_pid").parquet(path)
+    return spark.read.schema(tagged.schema).parquet(path)
+
+
 def sequence_within(
     df: DataFrame,
     group_cols: Sequence[str],

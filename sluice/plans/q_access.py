@@ -167,26 +167,38 @@ FROM """
 
 
 def sized_sql(ttl_seconds: int = DEFAULT_TTL_SECONDS) -> str:
-    """The metrics of the sized policies: one branch per configuration, each with its own literal policy."""
+    """The metrics of the sized policies: one branch per configuration, each with its own literal policy.
+
+    Evictions by definition: entries with as many distinct other keys as the size accessed after them, before their
+    key comes again and, with a TTL, before they expire."""
+    us = int(ttl_seconds) * 1_000_000
     hit = "(reuse_distance IS NOT NULL AND reuse_distance < {c})"
     rules = {"LRU": hit, "TTL-LRU": "(" + hit + " AND sliding_hit)"}
+    pushed = {"LRU": "until_next", "TTL-LRU": "until_expiry"}
     branches = [f"""
   SELECT concat('{p}', '') AS policy, {c} AS cache_size, instance, count(*) AS ops,
-         count(CASE WHEN reuse_distance IS NULL THEN 1 END) AS keys,
          count(CASE WHEN {rules[p].format(c=c)} THEN 1 END) AS hits,
-         count(CASE WHEN NOT {hit.format(c=c)} THEN 1 END) AS pushed,
+         count(CASE WHEN {pushed[p]} >= {c} THEN 1 END) AS evictions,
          sum(CASE WHEN {rules[p].format(c=c)} THEN ms END) AS hit_ms,
          sum(CASE WHEN NOT {rules[p].format(c=c)} THEN ms END) AS miss_ms, min(ts) AS t0, max(ts) AS t1
   FROM flags GROUP BY instance""" for p in A.SIZED_POLICIES for c in CACHE_SIZES]
     return B.with_ctes(B.EV_CTE, SEQ_CTES) + f"""
+, seqn AS (SELECT *, lead(pos) OVER (PARTITION BY instance, key ORDER BY pos) AS next_pos FROM seqd)
+, later AS (
+  SELECT a.instance, a.pos, count(DISTINCT b.key) AS until_next,
+         count(DISTINCT CASE WHEN epoch_us(b.ts) - epoch_us(a.ts) < {us} THEN b.key END) AS until_expiry
+  FROM seqn a JOIN seqd b ON b.instance = a.instance AND b.pos > a.pos AND (a.next_pos IS NULL OR b.pos < a.next_pos)
+  GROUP BY a.instance, a.pos)
 , flags AS (
   SELECT s.instance, s.ts, CAST(round(s.op_ms * 100) AS BIGINT) AS ms, rd.reuse_distance,
-         coalesce(epoch_us(s.ts) - epoch_us(s.prev_ts) < {int(ttl_seconds) * 1_000_000}, false) AS sliding_hit
+         coalesce(epoch_us(s.ts) - epoch_us(s.prev_ts) < {us}, false) AS sliding_hit,
+         coalesce(later.until_next, 0) AS until_next, coalesce(later.until_expiry, 0) AS until_expiry
   FROM seql s LEFT JOIN rd ON rd.instance = s.instance AND rd.pos = s.pos
+  LEFT JOIN later ON later.instance = s.instance AND later.pos = s.pos
 ), per AS ({' UNION ALL '.join(branches)}
 ), sized AS (
   SELECT policy, cache_size, CAST(NULL AS INTEGER) AS ttl_hours, sum(ops) AS ops, sum(hits) AS hits, sum(ops - hits) AS misses,
-         sum(pushed - least(cache_size, keys)) AS evictions, sum(hit_ms) AS hit_ms, sum(miss_ms) AS miss_ms, min(t0) AS t0, max(t1) AS t1
+         sum(evictions) AS evictions, sum(hit_ms) AS hit_ms, sum(miss_ms) AS miss_ms, min(t0) AS t0, max(t1) AS t1
   FROM per GROUP BY policy, cache_size
 )"""
 

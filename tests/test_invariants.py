@@ -129,10 +129,14 @@ def test_curve_by_instance_adds_up_to_global(spark):
 
 
 def _replay(rows, size, ttl_us=None):
-    """A least-recently-used cache replayed access by access: hits and evictions (keys pushed out)."""
+    """A least-recently-used cache replayed access by access: hits and evictions (keys pushed out). Expired
+    entries leave before each access."""
     cache, hits, evictions = {}, 0, 0
     for key, t in rows:
-        if key in cache and (ttl_us is None or t - cache[key] < ttl_us):
+        if ttl_us is not None:
+            for gone in [k for k, at in cache.items() if t - at >= ttl_us]:
+                del cache[gone]
+        if key in cache:
             hits += 1
         elif key not in cache and len(cache) >= size:
             del cache[min(cache, key=lambda k: order[k])]
@@ -166,8 +170,69 @@ def test_metrics_equal_a_replay(spark):
 def test_smaller_before_of_a_large_group():
     import numpy as np
 
+    from sluice.operators.dominance import weighted_smaller_before
+
     draw = np.random.default_rng(1)
     for n, most in ((5000, 700), (5000, 10**9), (1, 5), (0, 5)):
-        v = draw.integers(0, most, n)
-        want = [int((v[:i] < v[i]).sum()) for i in range(n)]
-        assert A.smaller_before(v).tolist() == want
+        v, w = draw.integers(0, most, n), draw.integers(0, 3, n)
+        want = [int(w[:i][v[:i] < v[i]].sum()) for i in range(n)]
+        assert weighted_smaller_before(v, w).tolist() == want
+
+
+def test_dominance_counts_over_three_levels(spark):
+    import numpy as np
+
+    from sluice.operators import dominance as D
+
+    draw = np.random.default_rng(2)
+    points, queries, want = [], [], {}
+    for inst, n in (("a", 500), ("b", 37), ("c", 1)):
+        # previous positions: unique values above 0, many zeros, a run of neighbours
+        prev = [0] * n
+        free = list(range(1, n))
+        draw.shuffle(free)
+        for i in range(2, n + 1):
+            back = [p for p in (i - 1, free[i % len(free)] if free else 0) if 0 < p < i and p not in prev]
+            if back and draw.random() < 0.7:
+                prev[i - 1] = back[0]
+        points += [(inst, i + 1, int(p)) for i, p in enumerate(prev)]
+        for k in range(300):
+            x, y = int(draw.integers(-1, n + 1)), int(draw.integers(-1, n + 1))
+            queries.append((inst, k, k % 2, x, y))
+            want[inst, k, k % 2] = sum(1 for i, p in enumerate(prev) if i + 1 <= x and p <= y)
+    p = spark.createDataFrame(points, "instance string, x long, y long")
+    q = spark.createDataFrame(queries, "instance string, id long, tag int, x long, y long")
+    assert D.levels_of(500, 8, 4) == 3
+    for block, fanout, chunk in ((8, 4, 16), (4, 8, 3), (1 << 17, 256, 1 << 16)):
+        got = {(r.instance, r.id, r.tag): r.n for r in D.dominance_counts(p, q, 500, block, fanout, chunk).collect()}
+        assert got == want, (block, fanout, chunk)
+
+
+def test_dense_key_has_a_bounded_summary(spark):
+    """A million accesses of one key within one TTL: no slice lists its accesses, and the one anchor is found."""
+    import datetime as dt
+
+    n = 1_000_000
+    log = spark.range(n).select(F.lit("hot").alias("instance"), F.lit(1).cast("long").alias("key"),
+                                (F.lit(dt.datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") / 1000)).alias("ts"), F.col("id").alias("seq"))
+    from sluice.operators.sequence import stored_slices
+
+    rows = log.select("instance", "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "seq")
+    slices = stored_slices(rows, ["instance", "key"], ["t", "seq"], 8)
+    found = A._passages(slices, [3600 * 1_000_000, 100 * 1_000_000], A.MAX_ENTRIES)
+    assert found.agg(F.max(F.size(F.coalesce("entry", F.array().cast("array<long>")))), F.count(F.lit(1))).first()[:] == (0, 16)
+    assert [r.seq for r in A.fixed_ttl_anchors(log, 3600, num_partitions=8).collect()] == [0]
+    # 100 s: ten anchors, each in a slice that is asked for it
+    assert sorted(r.seq for r in A.fixed_ttl_anchors(log, 100, num_partitions=8).collect()) == list(range(0, n, 100_000))
+
+
+def test_dense_slices_are_asked(spark):
+    rows, log = _hot_log(spark)
+    ttl, want, anchor = 3000, set(), {}
+    for r in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3])):
+        k, t = (r[0], r[1]), r[2]
+        if k not in anchor or (t - anchor[k]).total_seconds() >= ttl:
+            anchor[k] = t
+            want.add(r[3])
+    for most in (0, 1, 3, 1000):
+        assert {r.seq for r in A.fixed_ttl_anchors_multi(log, [ttl], num_partitions=17, max_entries=most).collect()} == want, most
