@@ -31,37 +31,40 @@ FIXED_TTL = 6 * 3600
 SELECT instance, key, session_start, session_end, accesses, accesses - 1 AS hits, 1 AS misses
 FROM sess""")
 def stream_residency(spark, sf):
-    """All sessions, open ones included: session windows know no update mode, so the query is complete."""
+    """All sessions, open ones included, from a log that arrives in parts."""
+    stream, arrive = split_stream(spark, sf)
     out = ST.scratch(spark, "residency")
-    ST.run_to_parquet(ST.residency_sessions(ST.access_stream(spark, sf), RESIDENCY_TTL), out, "complete")
-    df = ST.latest_batch(spark, out)
-    return df.select("instance", "key", F.col("session_start").cast("timestamp_ntz").alias("session_start"),
-                     F.col("session_end").cast("timestamp_ntz").alias("session_end"), "accesses", "hits", "misses")
+    with ST.keyed_state(spark):
+        ST.run_in_parts(ST.residency_sessions(stream, RESIDENCY_TTL), out, arrive, "update")
+    return ST.latest_sessions(spark.read.option("basePath", out).parquet(f"{out}/batch_id=*"), RESIDENCY_TTL).drop("closed")
 
 
 SPLITS = 4
 
 
-def split_stream(spark, sf, columns=("event_id", "ts", "user_id", "event_type", "value")):
-    """The events as ``SPLITS`` folders of rising time, one micro-batch each (a log that arrives in parts)."""
-    ev = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").select(*columns)
+def split_stream(spark, sf):
+    """The events as a log that arrives in ``SPLITS`` parts of rising time: the stream, and the steps that let one
+    part after the other arrive in its folder."""
+    ev = spark.read.parquet(f"{sf.rstrip('/')}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
     span = ev.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))  # one row
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     part = F.least(F.floor((us("ts") - us("lo")) * SPLITS / (us("hi") - us("lo") + 1)), F.lit(SPLITS - 1)).cast("int")
-    parts = ev.crossJoin(span).withColumn("part", part).drop("lo", "hi")
-    src = ST.scratch(spark, "split")
-    schema = ev.schema
-    for i in range(SPLITS):  # the file source takes older files first
-        parts.filter(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-    return stream.select(
+    held, src = ST.scratch(spark, "held"), ST.scratch(spark, "arrived")
+    ev.crossJoin(span).withColumn("part", part).drop("lo", "hi").write.partitionBy("part").parquet(held)
+    stream = spark.readStream.schema(ev.schema).parquet(src + "/part=*")
+    log = stream.select(
         F.col("event_type").alias("instance"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"), F.col("value").alias("op_ms"), (F.col("event_type") == "error").alias("is_error"))
+    return log, [lambda i=i: ST.move_path(spark, f"{held}/part={i}", f"{src}/part={i}") for i in range(SPLITS)]
 
 
 def _flags(spark, sf, name):
-    """Fixed-TTL flags of the log in several micro-batches."""
-    return ST.fixed_ttl_by_batch(split_stream(spark, sf), FIXED_TTL, ST.scratch(spark, name))
+    """Fixed-TTL flags of a log that arrives in parts, from keyed state."""
+    stream, arrive = split_stream(spark, sf)
+    out = ST.scratch(spark, name)
+    with ST.keyed_state(spark):
+        ST.run_in_parts(ST.fixed_ttl_flags(stream, FIXED_TTL), out, arrive)
+    return spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
 
 
 FLAGS_SQL = rec(B.EV_CTE, anchors_ctes(FIXED_TTL, "fa")) + """
@@ -73,22 +76,22 @@ FLAGS_SQL = rec(B.EV_CTE, anchors_ctes(FIXED_TTL, "fa")) + """
 @register("stream_first_seen", FLAGS_SQL + "SELECT instance, key, seq, ts FROM fl WHERE NOT hit")
 def stream_first_seen(spark, sf):
     """The misses of the TTL rule as they arrive."""
-    seen = ST.first_seen(spark.read.parquet(_flags(spark, sf, "first-seen")))
+    seen = ST.first_seen(_flags(spark, sf, "first-seen"))
     return seen.select("instance", "key", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @register("stream_fixed_ttl", FLAGS_SQL + "SELECT instance, key, seq, hit FROM fl")
 def stream_fixed_ttl(spark, sf):
-    """One micro-batch of the whole file: distributed anchors and a versioned state table."""
-    out = ST.scratch(spark, "fixed-ttl")
-    flags = ST.fixed_ttl_by_batch(ST.access_stream(spark, sf, max_files_per_trigger=1), FIXED_TTL, out)
-    return spark.read.parquet(flags).select("instance", "key", "seq", "hit")
+    """Keyed state with timers over several micro-batches and restarts."""
+    return _flags(spark, sf, "fixed-ttl").select("instance", "key", "seq", "hit")
 
 
 @register("stream_fixed_ttl_batched", FLAGS_SQL + "SELECT instance, key, seq, hit FROM fl")
 def stream_fixed_ttl_batched(spark, sf):
-    """The same over several micro-batches, with the state carried from one to the next."""
-    return spark.read.parquet(_flags(spark, sf, "fixed-ttl-batched")).select("instance", "key", "seq", "hit")
+    """Each micro-batch as range slices, with the state in tables of changes."""
+    stream, arrive = split_stream(spark, sf)
+    flags = ST.fixed_ttl_by_batch(stream, FIXED_TTL, ST.scratch(spark, "fixed-ttl-batched"), arrive)
+    return spark.read.parquet(flags).select("instance", "key", "seq", "hit")
 
 
 @register("stream_access_counts", B.with_ctes(B.EV_CTE) + """
@@ -109,13 +112,12 @@ SELECT time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 D
        CAST(sum(CASE WHEN hit THEN 0 ELSE CAST(round(op_ms * 100) AS BIGINT) END) AS BIGINT) AS miss_ms_e2
 FROM fl GROUP BY 1, 2""")
 def stream_hit_metrics(spark, sf):
-    """Hits and misses per day: one stream flags the accesses, a second one counts the flags."""
-    flags = _flags(spark, sf, "window-flags")
-    schema = spark.read.parquet(flags).schema
-    stream = spark.readStream.schema(schema).parquet(flags)
+    """Hits and misses per day: every micro-batch of flags is counted, and the counts of its windows are added up."""
+    stream, arrive = split_stream(spark, sf)
     out = ST.scratch(spark, "window")
-    ST.run_to_parquet(ST.window_metrics(stream.drop("batch_id"), "1 day"), out, "update")
-    df = ST.latest_windows(spark.read.option("basePath", out).parquet(f"{out}/batch_id=*"))
+    with ST.keyed_state(spark):
+        ST.run_in_parts(ST.fixed_ttl_flags(stream, FIXED_TTL), out, arrive, "append", lambda b: ST.window_metrics(b, "1 day"))
+    df = ST.added_windows(spark.read.option("basePath", out).parquet(f"{out}/batch_id=*"))
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 

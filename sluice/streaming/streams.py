@@ -3,12 +3,14 @@
 The reference keeps cache state with TTLs, counters and an upsert sink; here
 they are streaming queries over the access log:
 
-* ``residency_sessions``  session windows (gap = TTL - 1 us): 1 miss + n-1 hits
-* ``fixed_ttl_by_batch``  hits and misses of the fixed TTL, each micro-batch as range slices
+* ``residency_sessions``  sessions (gap < TTL: 1 miss + n-1 hits) as keyed state with timers: closed ones
+                          are reported once and forgotten, open ones when they change
+* ``fixed_ttl_flags``     hits and misses of the fixed TTL as keyed state with timers
+* ``fixed_ttl_by_batch``  the same with each micro-batch as range slices, for keys too hot for one task;
+                          the state is a table of the changes of each batch
 * ``first_seen``          the misses of that rule: keys that are not cached
-* ``fixed_ttl_flags``     the same as keyed state (applyInPandasWithState), for logs without hot keys
 * ``access_counts``       running count / last access per key (update mode)
-* ``window_metrics``      hits, misses and times per tumbling window (update mode)
+* ``window_metrics``      hits, misses and times per tumbling window
 * ``upsert_sink``         foreachBatch -> keyed upsert into hash buckets, versioned
 
 Sinks write parquet (``foreachBatch``, one folder per batch id, so a replayed
@@ -19,16 +21,17 @@ stream casts it to TIMESTAMP first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from sluice.operators.merge import upsert_results
-from sluice.session import scratch_path
+from sluice.session import remove_path, scratch_path, write_table
 from sluice.sources.tables import table_path
 
 WATERMARK = "1 hour"
@@ -55,12 +58,12 @@ def access_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int |
     )
 
 
-def run_to_parquet(df: DataFrame, out: str, mode: str = "append") -> None:
+def run_to_parquet(df: DataFrame, out: str, mode: str = "append", each: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Run a streaming query to completion (availableNow) with a parquet
-    foreachBatch sink: batch ``b`` lands in ``out/batch_id=b`` (idempotent)."""
+    foreachBatch sink: batch ``b``, or what ``each`` makes of it, lands in ``out/batch_id=b`` (idempotent)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        (each(batch) if each else batch).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     q = (df.writeStream.outputMode(mode).foreachBatch(write)
          .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
@@ -69,21 +72,115 @@ def run_to_parquet(df: DataFrame, out: str, mode: str = "append") -> None:
         raise q.exception()
 
 
+def run_in_parts(df: DataFrame, out: str, arrive: list[Callable[[], None]], mode: str = "append",
+                 each: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """``run_to_parquet`` once for each part of a log that arrives in parts: every run is the same query, started
+    again from its checkpoint, and sees the files that are new."""
+    for step in arrive:
+        step()
+        run_to_parquet(df, out, mode, each)
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Stateful processors need the RocksDB state store; the session's own setting comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def _times(rows: Iterator[pd.DataFrame], *columns: str) -> tuple[np.ndarray, pd.DataFrame]:
+    """Microseconds and the given columns of a key's rows of one micro-batch, in the order of (ts, seq)."""
+    parts = list(rows)
+    pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    ts = pd.to_datetime(pdf["ts"], utc=True).dt.tz_localize(None).to_numpy(dtype="datetime64[us]").astype(np.int64)
+    order = np.lexsort((pdf["seq"].to_numpy(), ts)) if "seq" in pdf else np.argsort(ts, kind="stable")
+    return ts[order], pdf.iloc[order][list(columns)]
+
+
+def merge_sessions(start: np.ndarray, last: np.ndarray, count: np.ndarray, ttl_us: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of accesses joined where one begins less than the TTL after an earlier one's last access."""
+    by = np.argsort(start, kind="stable")
+    start, last, count = start[by], last[by], count[by]
+    reach = np.maximum.accumulate(last)
+    new = np.flatnonzero(np.append(True, start[1:] - reach[:-1] >= ttl_us))
+    return start[new], np.maximum.reduceat(last, new), np.add.reduceat(count, new)
+
+
+class Sessions(StatefulProcessor):
+    """Sessions of one key. State: start, last access and number of accesses of its open sessions (more than one
+    only while the watermark still allows rows between them). A session closes when the watermark has passed its
+    last access by the TTL: its timer reports it and drops it."""
+
+    def __init__(self, ttl_us: int):
+        self.ttl_us = ttl_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "start array<long>, last array<long>, n array<long>")
+
+    def _held(self) -> list[np.ndarray]:
+        return [np.array(x, dtype=np.int64) for x in self.open.get()] if self.open.exists() else [np.empty(0, np.int64)] * 3
+
+    def _rows(self, key: tuple, start: np.ndarray, last: np.ndarray, n: np.ndarray, closed: bool) -> pd.DataFrame:
+        return pd.DataFrame({"instance": np.repeat(key[0], len(start)), "key": np.repeat(key[1], len(start)), "start_us": start, "last_us": last,
+                             "accesses": n, "closed": np.repeat(closed, len(start))})
+
+    def _closing(self, last: np.ndarray) -> np.ndarray:
+        """Milliseconds of the watermark at which a session can get no more rows."""
+        return -(-(last + self.ttl_us) // 1000)
+
+    def _keep(self, start: np.ndarray, last: np.ndarray, n: np.ndarray) -> None:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if len(start):
+            self.open.update((start.tolist(), last.tolist(), n.tolist()))
+            self.handle.registerTimer(int(self._closing(last).min()))
+        else:
+            self.open.clear()
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        ts, _ = _times(rows)
+        start, last, n = self._held()
+        held = merge_sessions(np.concatenate([start, ts]), np.concatenate([last, ts]), np.concatenate([n, np.ones(len(ts), np.int64)]), self.ttl_us)
+        self._keep(*held)
+        yield self._rows(key, *held, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        start, last, n = self._held()
+        done = self._closing(last) <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        self._keep(start[~done], last[~done], n[~done])
+        yield self._rows(key, start[done], last[done], n[done], True)
+
+    def close(self) -> None:
+        pass
+
+
 def residency_sessions(stream: DataFrame, ttl_seconds: int) -> DataFrame:
-    """A key stays cached while accesses are closer than the TTL. Spark merges a
-    gap equal to the session gap, the cache expires it: the gap is TTL - 1 us."""
-    gap = f"{ttl_seconds * 1_000_000 - 1} microseconds"
-    sw = F.session_window(F.col("ts"), gap)
-    g = stream.withWatermark("ts", WATERMARK).groupBy("instance", "key", sw.alias("s")).agg(
-        F.count(F.lit(1)).alias("accesses"))
-    return g.select("instance", "key", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"),
-                    "accesses", (F.col("accesses") - 1).alias("hits"), F.lit(1).alias("misses"))
+    """A key stays cached while accesses are closer than the TTL: instance, key, start_us, last_us, accesses,
+    closed. A session is reported with closed = false whenever it changes and once with closed = true, when
+    the state forgets it; ``latest_sessions`` folds these rows. Run under ``keyed_state``, in update mode."""
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in ("instance", "key")}
+    return (stream.select("instance", "key", "ts").withWatermark("ts", WATERMARK).groupBy("instance", "key").transformWithStateInPandas(
+        Sessions(ttl_seconds * 1_000_000), f"instance {kinds['instance']}, key {kinds['key']}, start_us long, last_us long, accesses long, closed boolean", "Update", "EventTime"))
 
 
-def latest_batch(spark: SparkSession, out: str) -> DataFrame:
-    """The result of a query in complete mode: what its last micro-batch wrote."""
-    last = max(_versions(spark, out, "batch_id="))
-    return spark.read.parquet(f"{out}/batch_id={last}")
+def latest_sessions(updates: DataFrame, ttl_seconds: int) -> DataFrame:
+    """Every session once, open ones as they stand. Reports of one session share accesses: of the reports of a key
+    the longest that holds each last access stays (sessions only grow, and merge with their neighbours)."""
+    ttl_us = ttl_seconds * 1_000_000
+    g = updates.groupBy("instance", "key", "start_us").agg(F.max_by(F.struct("last_us", "accesses", "closed"), F.struct("last_us", "accesses", "closed")).alias("r"))
+    # an earlier report of a session that merged with an older one lies inside it
+    w = Window.partitionBy("instance", "key").orderBy("start_us").rowsBetween(Window.unboundedPreceding, -1)
+    g = g.select("instance", "key", "start_us", "r.*").withColumn("_reach", F.max("last_us").over(w))
+    g = g.where(F.col("_reach").isNull() | (F.col("start_us") - F.col("_reach") >= ttl_us))
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return g.select("instance", "key", at(F.col("start_us")).alias("session_start"), at(F.col("last_us") + (ttl_us - 1)).alias("session_end"),
+                    "accesses", (F.col("accesses") - 1).alias("hits"), F.lit(1).alias("misses"), "closed")
 
 
 def first_seen(flags: DataFrame) -> DataFrame:
@@ -92,103 +189,113 @@ def first_seen(flags: DataFrame) -> DataFrame:
     return flags.filter(~F.col("hit")).drop("hit")
 
 
-def _fixed_ttl_state_fn(ttl_us: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        anchor = state.get[0] if state.exists else None
-        parts = list(pdfs)
-        if not parts:
-            return
-        pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-        t_all = pdf["ts"].to_numpy(dtype="datetime64[us]").astype(np.int64)
-        seq_all = pdf["seq"].to_numpy()
-        order = np.lexsort((seq_all, t_all))
-        t_us, seq = t_all[order], seq_all[order]
-        hits = np.ones(len(t_us), dtype=bool)
-        i = 0 if anchor is None else int(np.searchsorted(t_us, anchor + ttl_us))
-        while i < len(t_us):  # from anchor to anchor
-            hits[i], anchor = False, int(t_us[i])
-            i = int(np.searchsorted(t_us, anchor + ttl_us))
-        state.update((anchor,))
-        # the entry expires ttl after its set; drop the state then
-        state.setTimeoutTimestamp(anchor // 1000 + ttl_us // 1000)
-        yield pd.DataFrame({"instance": np.repeat(key[0], len(seq)), "key": np.repeat(key[1], len(seq)),
-                            "seq": seq, "hit": hits})
-    return fn
+class FixedTtl(StatefulProcessor):
+    """Cache entry of one key. State: the set time of its entry; a hit does not renew it. A timer at set time + TTL
+    drops it once the watermark is there: any later access misses anyway."""
+
+    def __init__(self, ttl_us: int, columns: list[str]):
+        self.ttl_us, self.columns = ttl_us, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.anchor = handle.getValueState("anchor", "anchor_us long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        ts, rest = _times(rows, *self.columns)
+        held = int(self.anchor.get()[0]) if self.anchor.exists() else None
+        hits = np.ones(len(ts), dtype=bool)
+        i, anchor = 0 if held is None else int(np.searchsorted(ts, held + self.ttl_us)), held
+        while i < len(ts):  # from anchor to anchor
+            hits[i], anchor = False, int(ts[i])
+            i = int(np.searchsorted(ts, anchor + self.ttl_us))
+        if anchor != held:
+            if held is not None:
+                self.handle.deleteTimer(self._expiry(held))
+            self.anchor.update((anchor,))
+            self.handle.registerTimer(self._expiry(anchor))
+        yield rest.assign(instance=key[0], key=key[1], hit=hits)[["instance", "key", *self.columns, "hit"]]
+
+    def _expiry(self, anchor: int) -> int:
+        return -(-(anchor + self.ttl_us) // 1000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.anchor.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
 def fixed_ttl_flags(stream: DataFrame, ttl_seconds: int) -> DataFrame:
-    """Fixed TTL as keyed state: value = set time of the cached entry; a hit
-    does not renew it; an event-time timeout drops expired entries.
+    """The columns of the stream with ``hit`` under the fixed TTL: value state with event-time timers, so that a
+    micro-batch touches the state of its keys only and expired entries are dropped. Rows older than their key's set
+    time are hits. Run under ``keyed_state``.
 
-    State is per key; a micro-batch's rows of one key are handled together,
-    bounded by the trigger size (maxFilesPerTrigger / maxBytesPerTrigger).
+    A micro-batch's rows of one key are handled together, bounded by the trigger size (maxFilesPerTrigger /
+    maxBytesPerTrigger).
     """
-    fn = _fixed_ttl_state_fn(ttl_seconds * 1_000_000)
-    itype = stream.schema["instance"].dataType.simpleString()
-    return (stream.withWatermark("ts", WATERMARK).groupBy("instance", "key")
-            .applyInPandasWithState(fn, f"instance {itype}, key long, seq long, hit boolean", "anchor_us long",
-                                    "append", GroupStateTimeout.EventTimeTimeout))
-
-
-def fixed_ttl_by_batch(stream: DataFrame, ttl_seconds: int, out: str, prune_delay_seconds: int = 3600) -> str:
-    """Fixed TTL with the state in a versioned table instead of the state store.
-
-    Each micro-batch runs the distributed ``fixed_ttl_anchors`` (range slices;
-    no key is ever one task) over its rows, seeded with the current
-    set time of every key from state version ``v``; the new set times form
-    version ``v + 1``. Rows older than their key's set time are hits (the entry
-    is still cached). Entries whose TTL ran out before the batch's newest event
-    minus ``prune_delay_seconds`` are dropped: any later access misses anyway.
-    Flags land in ``out/flags/batch_id=b``; a replayed batch is skipped.
-    Returns the flags folder (partitioned by ``batch_id``).
+    rest = [f for f in stream.schema.fields if f.name not in ("instance", "key")]
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ["instance", "key", *[f.name for f in rest]]) + ", hit boolean"
+    return (stream.withWatermark("ts", WATERMARK).groupBy("instance", "key").transformWithStateInPandas(
+        FixedTtl(ttl_seconds * 1_000_000, [f.name for f in rest]), schema, "Append", "EventTime"))
+
+
+def fixed_ttl_by_batch(stream: DataFrame, ttl_seconds: int, out: str, arrive: list[Callable[[], None]] | None = None, late_seconds: int = 3600) -> str:
+    """Fixed TTL with the state in tables of changes instead of the state store, for keys too hot for one task.
+
+    Each micro-batch runs the distributed ``fixed_ttl_anchors`` (range slices; no key is ever one task) over its
+    rows, seeded with the set time of their keys, and writes the set times it changes as ``out/state/b<batch>-<latest
+    set time>``. The state is the latest set time of each key in these tables: nothing is written twice, and a table
+    whose latest entry has expired ``late_seconds`` before the batch's first row is removed unread. Rows older than
+    their key's set time are hits (the entry is still cached). Flags land in ``out/flags/batch_id=b``; a replayed
+    batch is skipped. With ``arrive`` the query runs once for each part of the log. Returns the flags folder.
     """
     from sluice.operators.access import fixed_ttl_anchors
 
     spark = stream.sparkSession
     ttl_us = ttl_seconds * 1_000_000
     state_schema = "instance string, key long, anchor_ts timestamp"
-    spark.createDataFrame([], state_schema).write.mode("overwrite").parquet(f"{out}/state/v0")
-
-    def done(v: int) -> bool:
-        return _exists(spark, f"{out}/state/v{v}/_SUCCESS")
-
-    def newest() -> int:
-        return max(v for v in _versions(spark, f"{out}/state") if done(v))
+    more = ["instance", "key", "seq", "ts", "op_ms", "is_error"]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        target = batch_id + 1
-        if done(target):
+        if _exists(spark, f"{out}/done/{batch_id}/_SUCCESS"):
             return
-        prev = spark.read.parquet(f"{out}/state/v{newest()}")
-        rows = batch.select("instance", "key", "ts", "seq", "op_ms", "is_error").join(prev, ["instance", "key"], "left")
-        late = rows.filter(F.col("anchor_ts").isNotNull() & (F.col("ts") < F.col("anchor_ts")))
-        fresh = rows.filter(F.col("anchor_ts").isNull() | (F.col("ts") >= F.col("anchor_ts")))
-        seeds = (fresh.filter(F.col("anchor_ts").isNotNull()).select("instance", "key", "anchor_ts").distinct()
-                 .select("instance", "key", F.col("anchor_ts").alias("ts"), F.lit(-1).cast("long").alias("seq")))
-        log = fresh.select("instance", "key", "ts", "seq").unionByName(seeds)
-        anchors = fixed_ttl_anchors(log, ttl_seconds).withColumn("_miss", F.lit(True))
-        more = ["instance", "key", "seq", "ts", "op_ms", "is_error"]
-        flags = (fresh.join(anchors, ["instance", "key", "seq"], "left")
-                 .select(*more, F.col("_miss").isNull().alias("hit"))
-                 .unionByName(late.select(*more, F.lit(True).alias("hit"))))
-        flags.write.mode("overwrite").parquet(f"{out}/flags/batch_id={batch_id}")
-        last = (anchors.join(log, ["instance", "key", "seq"]).groupBy("instance", "key")
-                .agg(F.max("ts").alias("anchor_ts")))
-        newest_ts = batch.agg(F.max("ts").alias("_mx"))  # one row
-        keep = (prev.join(last, ["instance", "key"], "left_anti").unionByName(last).crossJoin(newest_ts)
-                .filter(F.unix_micros(F.col("anchor_ts")) + ttl_us
-                        > F.unix_micros(F.col("_mx")) - prune_delay_seconds * 1_000_000)
-                .drop("_mx"))
-        keep.write.mode("overwrite").parquet(f"{out}/state/v{target}")
-
-    q = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{out}/_checkpoint")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
+        rows = write_table(batch.select(*more), "batch")
+        span = rows.agg(F.unix_micros(F.min("ts")).alias("lo")).first()
+        if span.lo is not None:
+            live = []
+            for name in _names(spark, f"{out}/state"):
+                if int(name.split("-")[1]) + ttl_us + late_seconds * 1_000_000 < span.lo:
+                    remove_path(spark, f"{out}/state/{name}")
+                elif int(name[1:].split("-")[0]) < batch_id:
+                    live.append(f"{out}/state/{name}")
+            held = spark.read.schema(state_schema).parquet(*live) if live else spark.createDataFrame([], state_schema)
+            now = held.groupBy("instance", "key").agg(F.max("anchor_ts").alias("anchor_ts"))
+            known = write_table(rows.join(now, ["instance", "key"], "left"), "batch")
+            fresh = known.where(F.col("anchor_ts").isNull() | (F.col("ts") >= F.col("anchor_ts")))
+            late = known.where(F.col("anchor_ts") > F.col("ts"))
+            seeds = (fresh.where(F.col("anchor_ts").isNotNull()).select("instance", "key", "anchor_ts").distinct()
+                     .select("instance", "key", F.col("anchor_ts").alias("ts"), F.lit(-1).cast("long").alias("seq")))
+            log = fresh.select("instance", "key", "ts", "seq").unionByName(seeds)
+            anchors = write_table(fixed_ttl_anchors(log, ttl_seconds).withColumn("_miss", F.lit(True)), "anchors")
+            flags = (fresh.join(anchors, ["instance", "key", "seq"], "left").select(*more, F.col("_miss").isNull().alias("hit"))
+                     .unionByName(late.select(*more, F.lit(True).alias("hit"))))
+            flags.write.mode("overwrite").parquet(f"{out}/flags/batch_id={batch_id}")
+            changed = write_table(anchors.where("seq >= 0").join(rows.select("instance", "key", "seq", "ts"), ["instance", "key", "seq"])
+                                  .groupBy("instance", "key").agg(F.max("ts").alias("anchor_ts")), "anchors")
+            latest = changed.agg(F.unix_micros(F.max("anchor_ts"))).first()[0]
+            if latest is not None:
+                changed.write.mode("overwrite").parquet(f"{out}/state/b{batch_id}-{latest}")
+        spark.range(0).write.mode("overwrite").parquet(f"{out}/done/{batch_id}")
+
+    for step in arrive or [lambda: None]:
+        step()
+        q = (stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{out}/_checkpoint")
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        if q.exception():
+            raise q.exception()
     return f"{out}/flags"
 
 
@@ -205,8 +312,8 @@ def latest_counts(updates: DataFrame) -> DataFrame:
 
 
 def window_metrics(flags: DataFrame, window: str = "1 day") -> DataFrame:
-    """Operations, hits, misses, errors and operation times per tumbling window of a stream of flags, in
-    update mode: open windows are reported too, and again when they change."""
+    """Operations, hits, misses, errors and operation times per tumbling window of flags: of a micro-batch, or of
+    a stream in update mode (open windows are reported too, and again when they change)."""
     w = F.window(F.col("ts"), window)
     ms = F.round(F.col("op_ms") * 100).cast("long")
     g = flags.groupBy(w.alias("w")).agg(
@@ -217,11 +324,10 @@ def window_metrics(flags: DataFrame, window: str = "1 day") -> DataFrame:
                     "errors", "hit_ms_e2", "miss_ms_e2")
 
 
-def latest_windows(updates: DataFrame) -> DataFrame:
-    """Fold the update-mode rows of all batches: counts only grow, so the largest is the current one."""
-    values = [c for c in updates.columns if c not in ("window_start", "window_end", "batch_id")]
-    top = updates.groupBy("window_start", "window_end").agg(F.max_by(F.struct(*values), F.struct("ops", "batch_id")).alias("r"))
-    return top.select("window_start", "window_end", "r.*")
+def added_windows(counts: DataFrame) -> DataFrame:
+    """The windows of ``window_metrics`` over micro-batches, added up."""
+    values = [c for c in counts.columns if c not in ("window_start", "window_end", "batch_id")]
+    return counts.groupBy("window_start", "window_end").agg(*[F.sum(c).alias(c) for c in values])
 
 
 #: Hash buckets of the upsert sink's table; a micro-batch rewrites the buckets that its keys touch.
@@ -276,12 +382,27 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Move a folder that exists; a part without rows has none."""
+    fs, p = _fs(spark, source)
+    if fs.exists(p):
+        to = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        fs.mkdirs(to.getParent())
+        fs.rename(p, to)
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop FileSystem (works on shared stores)."""
     fs, p = _fs(spark, path)
     return bool(fs.exists(p))
 
 
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder; none if it does not exist."""
+    fs, p = _fs(spark, folder)
+    return sorted(st.getPath().getName() for st in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def _versions(spark: SparkSession, out: str, prefix: str = "v") -> list[int]:
     """Numbers of the sub-folders named prefix + number."""
     fs, p = _fs(spark, out)

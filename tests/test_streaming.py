@@ -1,6 +1,4 @@
-"""Streaming sinks: idempotent replay of the upsert sink, sampled curve vs exact."""
-
-import time
+"""Streams: replays, keyed state over several parts of a log, and the sampled curve against the exact one."""
 
 from pyspark.sql import functions as F
 
@@ -54,31 +52,87 @@ def test_sessions_include_open_ones(spark):
     assert got.count() == 8964 and got.agg(F.sum("hits")).first()[0] == 1036
 
 
-def test_fixed_ttl_by_batch_over_several_batches(spark):
-    """Events split into time-ordered files, one file per micro-batch, equal the batch rule."""
-    log = B.access_log(spark, SF001)
-    src = ST.scratch(spark, "t-split")
-    ev = log.select(F.col("instance").alias("event_type"), F.col("key").alias("user_id"), "ts",
-                    F.col("seq").alias("event_id"), F.col("op_ms").alias("value"))
-    bounds = ["2024-01-08", "2024-01-16", "2024-01-23"]
-    edges = [None, *bounds, None]
-    # the file source orders files by modification time: append the ranges one after another
-    for lo, hi in zip(edges[:-1], edges[1:]):
-        part = ev
-        if lo:
-            part = part.filter(F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
-        if hi:
-            part = part.filter(F.col("ts") < F.lit(hi).cast("timestamp_ntz"))
-        part.coalesce(1).write.mode("append").parquet(src)
-        time.sleep(1.1)
-    assert len(spark.read.parquet(src).inputFiles()) == 4
-    schema = spark.read.parquet(src).schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
-              .select(F.col("event_type").alias("instance"), F.col("user_id").alias("key"),
-                      F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
-                      F.col("value").alias("op_ms"), F.lit(False).alias("is_error")))
-    out = ST.scratch(spark, "t-fixed-batched")
-    flags = spark.read.parquet(ST.fixed_ttl_by_batch(stream, 6 * 3600, out))
-    assert flags.select("batch_id").distinct().count() == 4
-    assert flags.count() == 10000
-    assert flags.filter(~F.col("hit")).count() == 9017
+def _arrivals(spark, parts):
+    """A log (instance, key, seconds, seq) that arrives in parts: the stream and its steps."""
+    import datetime as dt
+
+    src, schema = ST.scratch(spark, "t-arrived"), "instance string, key long, ts timestamp, seq long, op_ms double, is_error boolean"
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+
+    def step(i, rows):
+        full = [(a, k, start + dt.timedelta(seconds=t), s, 1.0, False) for a, k, t, s in rows]
+        spark.createDataFrame(full, schema).repartition(2).write.parquet(f"{src}/part={i}")
+
+    return spark.readStream.schema(schema).parquet(src + "/part=*"), [lambda i=i, r=r: step(i, r) for i, r in enumerate(parts)]
+
+
+def _plain_fixed(rows, ttl):
+    anchor, hits = {}, {}
+    for a, k, t, s in sorted(rows, key=lambda r: (r[2], r[3])):
+        hit = (a, k) in anchor and t - anchor[a, k] < ttl
+        if not hit:
+            anchor[a, k] = t
+        hits[s] = hit
+    return hits
+
+
+def _parts(n=600, seed=5):
+    import random
+
+    draw = random.Random(seed)
+    rows = [("ab"[draw.random() < 0.3], 0 if draw.random() < 0.4 else draw.randrange(12), t, i) for i, t in enumerate(sorted(draw.randrange(100_000) for _ in range(n)))]
+    return rows, [rows[:150], rows[150:160], [], rows[160:450], rows[450:]]
+
+
+def test_fixed_ttl_from_keyed_state_and_by_batch(spark):
+    rows, parts = _parts()
+    want = _plain_fixed(rows, 3000)
+    stream, arrive = _arrivals(spark, parts)
+    out = ST.scratch(spark, "t-keyed")
+    with ST.keyed_state(spark):
+        ST.run_in_parts(ST.fixed_ttl_flags(stream, 3000), out, arrive)
+    assert {r.seq: r.hit for r in spark.read.parquet(f"{out}/batch_id=*").collect()} == want
+    stream, arrive = _arrivals(spark, parts)
+    out = ST.scratch(spark, "t-batched")
+    assert {r.seq: r.hit for r in spark.read.parquet(ST.fixed_ttl_by_batch(stream, 3000, out, arrive, late_seconds=60)).collect()} == want
+    # the state is tables of changes, and those whose entries have expired are gone
+    left = ST._names(spark, f"{out}/state")
+    assert 0 < len(left) < 4 and min(int(x[1:].split("-")[0]) for x in left) > 0
+
+
+def test_sessions_close_once_and_state_holds_open_ones(spark):
+    rows, parts = _parts(seed=6)
+    ttl, want = 2000, {}
+    for a, k, t, s in rows:
+        mine = want.setdefault((a, k), [])
+        if mine and t - mine[-1][1] < ttl:
+            mine[-1][1], mine[-1][2] = t, mine[-1][2] + 1
+        else:
+            mine.append([t, t, 1])
+    # within the watermark's hour rows may come out of order, also across parts
+    parts = [list(reversed(p)) for p in parts]
+    parts[0], parts[3] = parts[0][10:], parts[3]
+    late = [r for r in _parts(seed=6)[1][0]][-10:]
+    parts[1] = parts[1] + late
+    stream, arrive = _arrivals(spark, parts)
+    out = ST.scratch(spark, "t-sessions")
+    with ST.keyed_state(spark):
+        ST.run_in_parts(ST.residency_sessions(stream, ttl), out, arrive, "update")
+    updates = spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
+    got = ST.latest_sessions(updates, ttl)
+    start = 1704067200
+    have = sorted((r.instance, r.key, r.b - start, r.accesses) for r in got.select("instance", "key", "accesses", F.unix_seconds(F.col("session_start").cast("timestamp")).alias("b")).collect())
+    assert have == sorted((a, k, x[0], x[2]) for (a, k), v in want.items() for x in v)
+    closed = updates.where("closed")
+    assert closed.groupBy("instance", "key", "start_us").count().where("count > 1").isEmpty()
+    # all but the last hours are closed
+    assert closed.count() == sum(1 for v in want.values() for x in v if x[1] + ttl <= rows[-1][2] - 3600)
+
+
+def test_merging_of_out_of_order_sessions():
+    import numpy as np
+
+    start, last, n = ST.merge_sessions(np.array([50, 0, 10, 100]), np.array([60, 5, 45, 100]), np.array([2, 1, 3, 1]), 10)
+    assert (start.tolist(), last.tolist(), n.tolist()) == ([0, 100], [60, 100], [6, 1])
+    start, last, n = ST.merge_sessions(np.array([0, 5]), np.array([100, 6]), np.array([2, 1]), 1)
+    assert (start.tolist(), last.tolist(), n.tolist()) == ([0], [100], [3])
