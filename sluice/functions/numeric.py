@@ -73,10 +73,6 @@ def elapsed_ms(start: Column, end: Column) -> Column:
     return (F.unix_micros(end.cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1000.0
 
 
-def elapsed_ms_sql(start: str, end: str) -> str:
-    return f"(epoch_us({end}) - epoch_us({start})) / 1000.0"
-
-
 def qps(ops: Column, seconds: Column) -> Column:
     """Operations per second, 0 when the span is empty."""
     return F.when(seconds > 0, ops.cast("double") / seconds).otherwise(F.lit(0.0))

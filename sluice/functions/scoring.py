@@ -27,6 +27,19 @@ def hash32_sql(x: str) -> str:
     return f"CAST(('0x' || substr(md5({x}), 1, 8)) AS BIGINT)"
 
 
+#: Values of ``hash60``.
+SPACE = 1 << 60
+
+
+def hash60(x: Column) -> Column:
+    """The first 60 bits of md5 as a number."""
+    return F.conv(F.substring(F.md5(x), 1, 15), 16, 10).cast("long")
+
+
+def hash60_sql(x: str) -> str:
+    return f"CAST(('0x' || substr(md5({x}), 1, 15)) AS BIGINT)"
+
+
 def hash_bucket(x: Column, buckets: int = BUCKETS) -> Column:
     """Stable bucket 0..buckets-1 of a string."""
     return F.pmod(hash32(x), F.lit(buckets))

@@ -22,18 +22,18 @@ Instances are separate caches (instance = event_type for the events table).
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.numeric import round_ratio
-from sluice.functions.scoring import hash_bucket
+from sluice.functions.numeric import idiv, round_ratio
+from sluice.functions.scoring import SPACE, hash60
 from sluice.operators.dominance import BLOCK, CHUNK, FANOUT, dominance_counts
 from sluice.operators.sequence import dense_position, sequence_within, slice_count, stored_slices
-from sluice.session import cut_lineage, write_table
+from sluice.session import checked_broadcast, cut_lineage, write_table
 
 INST, KEY = "instance", "key"
 
@@ -277,20 +277,65 @@ def hit_rate_curve(seq_log: DataFrame, distances: DataFrame, sizes: Sequence[int
                       round_ratio(F.col("hits") * 100, F.col("accesses"), 2).alias("hit_rate_percent"))
 
 
-def sampled_log(log: DataFrame, modulus: int, threshold: int) -> DataFrame:
-    """Spatial (key-hash) sample for ``hit_rate_curve_sampled``: keep keys whose
-    hash bucket (md5, modulo P) is below T. Every access of a kept key is kept."""
-    return log.filter(hash_bucket(F.col(KEY).cast("string"), modulus) < threshold)
+def sample_thresholds(log: DataFrame, max_keys: int) -> DataFrame:
+    """(instance, threshold): keys with a hash below the threshold are at most ``max_keys`` of an instance.
 
-
-def hit_rate_curve_sampled(log: DataFrame, sizes: Sequence[int], modulus: int = 100,
-                           threshold: int = 10) -> DataFrame:
-    """Approximate curve from a key-hash sample (rate R = T/P); distances measured
-    in the sample are scaled by 1/R (SHARDS)."""
-    rate = threshold / modulus
-    s = sequence_log(sampled_log(log, modulus, threshold))
-    d = reuse_distance(s).withColumn("reuse_distance", F.floor(F.col("reuse_distance") / rate).cast("long"))
-    return hit_rate_curve(s, d, sizes)
+    Every task keeps the ``max_keys`` + 1 smallest distinct hashes of an instance while it reads: once the set is full,
+    its largest value is the task's threshold, and it falls with every smaller hash. The tasks' sets meet in the same
+    way. The whole hash space is the threshold of an instance with fewer keys.
+    """
+    kind = log.schema[INST].dataType.simpleString()
+    hashes = log.select(F.col(INST), hash60(F.col(KEY).cast("string")).alias("h")).where("h IS NOT NULL")
+
+    def smallest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict = {}
+        for pdf in batches:
+            for inst, f in pdf.groupby(INST, dropna=False):
+                h = np.unique(f["h"].to_numpy())
+                have = kept.get(inst)
+                if have is not None and len(have) > max_keys:
+                    h = h[h < have[-1]]
+                if len(h):
+                    kept[inst] = (h if have is None else np.union1d(have, h))[: max_keys + 1]
+        for inst, h in kept.items():
+            yield pd.DataFrame({INST: [inst] * len(h), "h": h})
+
+    found = hashes.mapInPandas(smallest, f"{INST} {kind}, h long").distinct()
+    order = Window.partitionBy(INST).orderBy("h")  # a limit: tasks pass on at most max_keys + 1 rows an instance
+    top = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max_keys + 1)
+    return top.groupBy(INST).agg(F.coalesce(F.max(F.when(F.col("r") == max_keys + 1, F.col("h"))), F.lit(SPACE)).alias("threshold"))
+
+
+def _wide(c: Column) -> Column:
+    return c.cast("decimal(20,0)")
+
+
+def hit_rate_curve_sampled(log: DataFrame, sizes: Sequence[int], max_keys: int = 8192) -> DataFrame:
+    """Approximate curve from at most ``max_keys`` keys of each instance, whatever their number (fixed-size spatial
+    sampling): cache_size, accesses, sampled_accesses, hits, hit_rate_percent.
+
+    Every access of a kept key is kept; the share R of the hash space below the threshold scales distances by 1 / R.
+    Counts are corrected for keys that the sample holds too many or too few accesses of: an instance's hits are all its
+    accesses less its sampled misses / R, at least none.
+    """
+    limits = checked_broadcast(write_table(sample_thresholds(log, max_keys), "limits"))  # a row an instance
+    kept = log.withColumn("_h", hash60(F.col(KEY).cast("string"))).join(limits, INST).where(F.col("_h") < F.col("threshold"))
+    s = sequence_log(kept.drop("_h"))
+    scaled = idiv(_wide(F.col("reuse_distance")) * SPACE, _wide(F.col("threshold"))).cast("long")
+    d = reuse_distance(s).join(limits, INST).withColumn("reuse_distance", scaled)
+    curve = hit_rate_curve(s, d, sizes, by_instance=True).join(limits, INST)
+    total = log.groupBy(INST).agg(F.count(F.lit(1)).alias("_all"))
+    misses = idiv(_wide(F.col("accesses") - F.col("hits")) * SPACE, _wide(F.col("threshold")))
+    rows = curve.join(total, INST).select("cache_size", F.col("_all"), F.col("accesses").alias("_sampled"), F.greatest(F.lit(0), F.col("_all") - misses).cast("long").alias("hits"))
+    g = rows.groupBy("cache_size").agg(F.sum("_all").alias("accesses"), F.sum("_sampled").alias("sampled_accesses"), F.sum("hits").alias("hits"))
+    return g.select("cache_size", "accesses", "sampled_accesses", "hits", round_ratio(F.col("hits") * 100, F.col("accesses"), 2).alias("hit_rate_percent"))
+
+
+def curve_error(sampled: DataFrame, exact: DataFrame) -> DataFrame:
+    """Sampled and exact hit rate by size, and how far they are apart (percentage points)."""
+    e = exact.select("cache_size", F.col("hit_rate_percent").alias("exact_percent"))
+    s = sampled.select("cache_size", "sampled_accesses", F.col("hit_rate_percent").alias("sampled_percent"))
+    return s.join(e, "cache_size").withColumn("error_points", F.round(F.abs(F.col("sampled_percent") - F.col("exact_percent")), 2))
 
 
 # ---------------------------------------------------------------------------

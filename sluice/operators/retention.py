@@ -1,8 +1,8 @@
 """Retention: which keys a full cache would drop, and the recent-event history.
 
-Eviction picks the lowest ``k`` keys of an instance by a policy score. The
-order is computed with the skew-safe dense position (range slices), not a
-window over the whole instance, so a hot instance is spread over many tasks.
+Eviction picks the lowest ``k`` keys of an instance by a policy score: histograms
+narrow the scores down to the range of the last one, and only the keys up to it are
+ranked, by the skew-safe dense position (range slices).
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.operators.sequence import dense_position
+from sluice.session import checked_broadcast, write_table
 
 NO_TTL = -1          # Redis TTL of a key without expiry
 LAST_RESORT = 999999  # TTL-LRU score of keys without a positive TTL
@@ -59,19 +60,58 @@ def eviction_score(policy: Column, ttl: Column) -> Column:
             .otherwise(ttl))
 
 
+#: Ranges of scores in one round of the selection, and its rounds.
+RANGES, ROUNDS = 256, 4
+
+
+def lowest(scored: DataFrame, sizes: DataFrame, by: list[str], score: str, count: str, enough: int = 4) -> DataFrame:
+    """Rows of ``scored`` that hold the ``count`` lowest scores of each group ``by`` (``sizes``: a row a group, with
+    ``count``), and not many more: a histogram of the scores between the group's bounds tells in which range the last
+    one lies, and the next round looks into that range only. Rows above it never leave their task. A group is narrow
+    enough when the border range holds at most ``count`` / ``enough`` rows, or one score.
+    """
+    bounds = (scored.groupBy(*by).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi")).join(sizes.select(*by, count), by)
+              .where(F.col(count) > 0).withColumns({"_need": F.col(count), "_done": F.lit(False)}))
+    for _ in range(ROUNDS):
+        bounds = write_table(bounds, "bounds")  # a row a group
+        if bounds.where("NOT _done").isEmpty():
+            break
+        width = F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.lit(RANGES)).cast("long")
+        open_ = checked_broadcast(bounds).where("NOT _done")
+        inside = scored.join(open_, by).where(F.col(score).between(F.col("_lo"), F.col("_hi")))
+        hist = inside.groupBy(*by, F.floor((F.col(score) - F.col("_lo")) / width).cast("long").alias("_r")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = Window.partitionBy(*by).orderBy("_r")  # at most RANGES rows a group
+        hist = hist.withColumn("_sum", F.sum("_c").over(upto)).join(open_, by)
+        border = hist.where(F.col("_sum") >= F.col("_need")).groupBy(*by).agg(F.min_by(F.struct("_r", "_c", "_sum"), "_r").alias("_b"))
+        low = F.col("_lo") + F.col("_b._r") * width
+        next_ = bounds.join(border, by, "left").withColumns({"_low": low, "_high": F.least(low + width - 1, F.col("_hi"))})
+        moved = F.col("_b").isNotNull()
+        bounds = next_.select(
+            *by, count, F.when(moved, F.col("_low")).otherwise(F.col("_lo")).alias("_lo"), F.when(moved, F.col("_high")).otherwise(F.col("_hi")).alias("_hi"),
+            F.when(moved, F.col("_need") - (F.col("_b._sum") - F.col("_b._c"))).otherwise(F.col("_need")).alias("_need"),
+            (~moved | (F.col("_b._c") * enough <= F.col(count)) | (F.col("_low") == F.col("_high"))).alias("_done"))
+    limits = checked_broadcast(write_table(bounds.select(*by, F.col("_hi").alias("_limit")), "bounds"))
+    return scored.join(limits, by).where(F.col(score) <= F.col("_limit")).drop("_limit")
+
+
 def evict_candidates(snapshot: DataFrame, cap: int, min_one: bool = True) -> DataFrame:
     """Keys removed by one eviction pass per (policy, instance): when the cache
     holds n >= cap keys, the ``max(1, floor(0.1 n))`` (or ``floor(0.1 n)`` with
-    ``min_one=False``) lowest-scored keys; ties broken by key."""
-    scored = snapshot.withColumn("score", eviction_score(F.col("policy"), F.col("ttl"))).filter(
-        F.col("score").isNotNull())
-    sizes = snapshot.groupBy("policy", "instance").agg(F.count(F.lit(1)).alias("n"))
+    ``min_one=False``) lowest-scored keys; ties broken by key.
+
+    The keys that stay are not sorted: ``lowest`` selects by histograms, and only what it
+    leaves, the removed keys and the rest of the border range, gets ranks.
+    """
+    by = ["policy", "instance"]
+    scored = write_table(snapshot.withColumn("score", eviction_score(F.col("policy"), F.col("ttl"))), "scored")
     k = F.floor(F.col("n") * 0.1)
     if min_one:
         k = F.greatest(F.lit(1), k)
-    sizes = sizes.withColumn("k", F.when(F.col("n") >= cap, k).otherwise(F.lit(0)).cast("long"))
-    ranked = dense_position(scored, ["policy", "instance"], ["score", "key"], "rank")
-    out = ranked.join(sizes, ["policy", "instance"], "inner").filter(F.col("rank") <= F.col("k"))
+    sizes = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.when(F.col("n") >= cap, k).otherwise(F.lit(0)).cast("long"))
+    sizes = write_table(sizes, "sizes")  # a row a cache
+    sizes = checked_broadcast(sizes)
+    ranked = dense_position(lowest(scored.where(F.col("score").isNotNull()), sizes, by, "score", "k"), by, ["score", "key"], "rank")
+    out = ranked.join(sizes, by, "inner").filter(F.col("rank") <= F.col("k"))
     return out.select("policy", "instance", "key", "ttl", "score", "rank",
                       F.col("n").alias("cache_size_before"),
                       F.element_at(F.create_map(*[x for kv in REASONS.items() for x in map(F.lit, kv)]),

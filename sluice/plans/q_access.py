@@ -134,21 +134,48 @@ def hit_rate_curve_orders(spark, sf):
     return A.hit_rate_curve(s, A.reuse_distance(s), CURVE_SIZES)
 
 
-SAMPLE_P, SAMPLE_T = 100, 50
+SAMPLE_KEYS = 40
+
+
+def _sampled_ctes() -> str:
+    """Keys below the threshold of their instance, and the corrected hits by size."""
+    return B.with_ctes(B.EV_CTE) + f"""
+, hashed AS (SELECT *, {S.hash60_sql('CAST(key AS VARCHAR)')} AS h FROM ev)
+, ordered AS (SELECT instance, h, row_number() OVER (PARTITION BY instance ORDER BY h) AS r FROM (SELECT DISTINCT instance, h FROM hashed))
+, limits AS (SELECT instance, coalesce(max(CASE WHEN r = {SAMPLE_KEYS + 1} THEN h END), {S.SPACE}) AS threshold FROM ordered GROUP BY instance)
+, evs AS (SELECT e.* EXCLUDE (h) FROM hashed e JOIN limits l USING (instance) WHERE e.h < l.threshold),
+""" + seq_ctes("evs") + f"""
+, scaled AS (SELECT rd.instance, CAST((CAST(rd.reuse_distance AS HUGEINT) * {S.SPACE}) // l.threshold AS BIGINT) AS d FROM rd JOIN limits l USING (instance))
+, kept AS (SELECT instance, count(*) AS n FROM evs GROUP BY instance)
+, hit AS (SELECT c.cache_size, s.instance, count(*) AS hits FROM (VALUES {', '.join(f'({s})' for s in CURVE_SIZES)}) AS c(cache_size)
+          JOIN scaled s ON s.d < c.cache_size GROUP BY c.cache_size, s.instance)
+, per AS (
+  SELECT c.cache_size, a.n AS accesses, k.n AS sampled,
+         greatest(0, a.n - CAST((CAST(k.n - coalesce(hit.hits, 0) AS HUGEINT) * {S.SPACE}) // l.threshold AS BIGINT)) AS hits
+  FROM (VALUES {', '.join(f'({s})' for s in CURVE_SIZES)}) AS c(cache_size)
+  CROSS JOIN (SELECT instance, count(*) AS n FROM ev GROUP BY instance) a JOIN kept k USING (instance) JOIN limits l USING (instance)
+  LEFT JOIN hit ON hit.cache_size = c.cache_size AND hit.instance = a.instance)
+, sampled AS (
+  SELECT cache_size, CAST(sum(accesses) AS BIGINT) AS accesses, CAST(sum(sampled) AS BIGINT) AS sampled_accesses, CAST(sum(hits) AS BIGINT) AS hits,
+         {round_ratio_sql('sum(hits) * 100', 'sum(accesses)', 2)} AS hit_rate_percent FROM per GROUP BY cache_size)"""
+
+
+@register("hit_rate_curve_sampled", _sampled_ctes() + "\nSELECT * FROM sampled")
+def hit_rate_curve_sampled(spark, sf):
+    """The curve from a bounded number of keys: far fewer than the log has, so that the threshold falls."""
+    return A.hit_rate_curve_sampled(B.access_log(spark, sf), CURVE_SIZES, SAMPLE_KEYS)
 
 
-@register("hit_rate_curve_sampled", B.with_ctes(
-    B.EV_CTE, f"evs AS (SELECT * FROM ev WHERE {S.hash_bucket_sql('CAST(key AS VARCHAR)', SAMPLE_P)} < {SAMPLE_T})",
-    seq_ctes("evs")) + f"""
-SELECT c.cache_size, (SELECT count(*) FROM evs) AS accesses, count(rd.seq) AS hits,
-       {round_ratio_sql('count(rd.seq) * 100', '(SELECT count(*) FROM evs)', 2)} AS hit_rate_percent
-FROM (VALUES {', '.join(f'({s})' for s in CURVE_SIZES)}) AS c(cache_size)
-LEFT JOIN rd ON floor(rd.reuse_distance / {SAMPLE_T / SAMPLE_P}) < c.cache_size
-GROUP BY c.cache_size""")
-def hit_rate_curve_sampled(spark, sf):
-    # approximate by design (key-hash sample, distances scaled by 1/rate); its own SQL twin
-    # checks the sample and the scaling, the tests check it against the exact curve
-    return A.hit_rate_curve_sampled(B.access_log(spark, sf), CURVE_SIZES, modulus=SAMPLE_P, threshold=SAMPLE_T)
+@register("hit_rate_curve_error", _sampled_ctes() + f"""
+, exact AS ({_curve_sql(CURVE_SIZES)})
+SELECT s.cache_size, s.sampled_accesses, s.hit_rate_percent AS sampled_percent, e.hit_rate_percent AS exact_percent,
+       round(abs(s.hit_rate_percent - e.hit_rate_percent), 2) AS error_points
+FROM sampled s JOIN exact e USING (cache_size)""")
+def hit_rate_curve_error(spark, sf):
+    """How far the sampled curve is from the exact one."""
+    log = B.access_log(spark, sf)
+    s = A.sequence_log(log)
+    return A.curve_error(A.hit_rate_curve_sampled(log, CURVE_SIZES, SAMPLE_KEYS), A.hit_rate_curve(s, A.reuse_distance(s), CURVE_SIZES))
 
 
 RATES_SQL = f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sluice.functions import scoring as S
 from sluice.operators import access as A
 from sluice.operators import retention as RT
 from sluice.operators import sampling as SP
@@ -91,15 +92,6 @@ def recent_history(spark, sf):
 # ---------------------------------------------------------------------------
 # sampling and workload tables
 
-def _draw_sql(seed: int, target: str) -> str:
-    return Q + f""", items AS (SELECT id, row_number() OVER (ORDER BY id) AS idx FROM questions),
-nn AS (SELECT count(*) AS n FROM questions),
-draws AS (SELECT q.id AS src, r.j, CAST(('0x' || substr(md5('{seed}:' || q.id || ':' || r.j), 1, 8)) AS BIGINT) / 4294967296.0 AS u
-          FROM questions q CROSS JOIN (SELECT range AS j FROM range(1, 11)) r),
-t AS (SELECT d.src, d.j, {target} AS target FROM draws d CROSS JOIN nn)
-SELECT i.id AS drawn_id, count(*) AS times_drawn FROM t JOIN items i ON i.idx = t.target GROUP BY i.id"""
-
-
 DRAWS = 10_000  # the default number of draws
 
 
@@ -112,13 +104,31 @@ def sample_with_replacement(spark, sf):
     return d.groupBy("drawn_id").agg(F.count(F.lit(1)).alias("times_drawn"))
 
 
-WEIGHTED_TARGET_SQL = ("CAST(least(CASE WHEN n <= 50 THEN floor(u * n) + 1 WHEN u < 0.8 THEN floor(u * 62.5) + 1 "
-                       "ELSE 51 + floor((u - 0.8) * (n - 50) * 5.0) END, n) AS BIGINT)")
+WEIGHT_SCALE = 1_000_000_000
+
+
+def _weighted_sql(items: str, seed: int, scale: int) -> str:
+    """Draws by places in the row of weights; ``items`` has id and w."""
+    return Q + f""", {items},
+units AS (SELECT id, CAST(floor(CAST(w AS DECIMAL(28,10)) * {scale}) AS BIGINT) AS u FROM weighted),
+spans AS (SELECT id, u, sum(u) OVER (ORDER BY id) AS upto FROM units WHERE u > 0),
+draws AS (SELECT CAST((CAST({S.hash60_sql(f"'{seed}:' || j")} AS HUGEINT) * (SELECT max(upto) FROM spans)) // {S.SPACE} AS BIGINT) AS place
+          FROM (SELECT range AS j FROM range(0, {DRAWS})))
+SELECT s.id AS drawn_id, count(*) AS times_drawn FROM draws d JOIN spans s ON d.place < s.upto AND d.place >= s.upto - s.u GROUP BY s.id"""
 
 
-@register("weighted_sample", _draw_sql(7, WEIGHTED_TARGET_SQL))
+@register("weighted_sample", _weighted_sql("""items AS (SELECT id, row_number() OVER (ORDER BY id) AS idx, count(*) OVER () AS n FROM questions),
+weighted AS (SELECT id, CASE WHEN idx <= 50 THEN 0.8::DOUBLE / least(n, 50) ELSE 0.2::DOUBLE / (n - 50) END AS w FROM items)""", 7, WEIGHT_SCALE))
 def weighted_sample(spark, sf):
-    d = SP.weighted_sample(B.questions(spark, sf).select("id"), 10, 7)
+    """The 80/20 workload: the weights of ``union_workload``."""
+    d = SP.weighted_sample(SP.union_workload(B.questions(spark, sf).select("id")), DRAWS, "weight", 7, scale=WEIGHT_SCALE)
+    return d.groupBy("drawn_id").agg(F.count(F.lit(1)).alias("times_drawn"))
+
+
+@register("weighted_sample_quality", _weighted_sql("weighted AS (SELECT id, quality_score AS w FROM questions)", 8, 1_000_000))
+def weighted_sample_quality(spark, sf):
+    """Weights of a column of the data: the quality score, null or 0 for many questions, which are never drawn."""
+    d = SP.weighted_sample(B.questions(spark, sf).select("id", "quality_score"), DRAWS, "quality_score", 8)
     return d.groupBy("drawn_id").agg(F.count(F.lit(1)).alias("times_drawn"))
 
 
@@ -180,6 +190,19 @@ def idempotent_load(spark, sf):
     return n.select(F.lit(first).alias("first_load"), F.lit(second).alias("second_load"), "rows")
 
 
+@register("incremental_load", Q + """
+SELECT (SELECT count(*) FROM questions WHERE original_class IS NOT NULL) AS first_rows,
+       (SELECT count(*) FROM questions WHERE original_class IS NULL) AS added_rows, 0::BIGINT AS repeated_rows, count(*) AS rows, sum(id)::BIGINT AS id_sum FROM questions""")
+def incremental_load(spark, sf):
+    """A first load, one of all rows that adds the missing ones, and a repetition that adds none."""
+    path = scratch_path(spark, "increments")
+    q = B.questions(spark, sf)
+    first = IN.incremental_load(q.where(F.col("original_class").isNotNull()), path, "id")
+    added, again = IN.incremental_load(q, path, "id"), IN.incremental_load(q, path, "id")
+    n = IN.loaded(spark, path, q.schema).agg(F.count(F.lit(1)).alias("rows"), F.sum("id").alias("id_sum"))
+    return n.select(*[F.lit(v).cast("long").alias(c) for c, v in (("first_rows", first), ("added_rows", added), ("repeated_rows", again))], "rows", "id_sum")
+
+
 @register("batch_append_sink", Q + "SELECT * FROM questions")
 def batch_append_sink(spark, sf):
     path = scratch_path(spark, "append")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the operators assume: UTC clock (the reference pins UTC), AQE for
 # runtime re-planning and skew splitting, Arrow for the few pandas stages.
@@ -120,6 +121,11 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def checked_broadcast(stored: DataFrame, most: int = 100_000) -> DataFrame:
+    """A stored table with a broadcast hint if it has at most ``most`` rows, as it is otherwise."""
+    return F.broadcast(stored) if stored.count() <= most else stored
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Remove a folder in the checkpoint folder, through the file system it lives in."""
     jvm = spark.sparkContext._jvm

@@ -6,7 +6,8 @@ the helpers never assume a machine-local folder.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,25 +72,84 @@ def load_row_limit(df: DataFrame, n: int, order_cols: list[str]) -> DataFrame:
     return df.orderBy(*order_cols).limit(n)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _data_files(spark: SparkSession, path: str) -> int | None:
+    """Files that readers see below a folder (names that begin with _ or . are hidden); None if it does not exist."""
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    n = 0
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if not name.startswith(("_", ".")):
+            n += _data_files(spark, st.getPath().toString()) if st.isDirectory() else 1
+    return n
+
+
 def is_empty_target(spark: SparkSession, path: str) -> bool:
-    """Whether the target has no rows. Only a missing path counts as empty: any other failure is raised,
-    so that an unreadable target is never overwritten."""
-    try:
-        return spark.read.parquet(path).limit(1).isEmpty()
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return True
-        raise
+    """Whether the target has no rows. A missing path and a folder without data files (what a load leaves that broke
+    before its commit) are empty; any other failure is raised, so that an unreadable target is never overwritten."""
+    return not _data_files(spark, path) or spark.read.parquet(path).limit(1).isEmpty()
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """Write ``df`` beside ``path`` and move it there in one step: readers see all of it or nothing. ``path`` must
+    hold no data."""
+    spark = df.sparkSession
+    fs, p = _hadoop(spark, path)
+    staged = f"{p.getParent()}/_staged-{uuid.uuid4().hex}"  # hidden from readers
+    df.write.parquet(staged)
+    if fs.exists(p):
+        if not is_empty_target(spark, path):
+            raise FileExistsError(path)
+        fs.delete(p, True)
+    fs.mkdirs(p.getParent())
+    if not fs.rename(_hadoop(spark, staged)[1], p):
+        raise OSError(f"cannot move {staged} to {path}")
 
 
 def idempotent_load(df: DataFrame, path: str) -> bool:
-    """Write ``df`` only when the target holds no rows; returns whether it wrote."""
+    """Write ``df`` only when the target holds no rows; returns whether it wrote. A load that breaks leaves the
+    target empty and can be repeated."""
     if not is_empty_target(df.sparkSession, path):
         return False
-    df.write.mode("overwrite").parquet(path)
+    publish(df, path)
     return True
 
 
+def loaded(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of all published loads of ``incremental_load``; none if there is no load yet."""
+    if not _data_files(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/load=*")
+
+
+def incremental_load(df: DataFrame, path: str, key: str) -> int:
+    """Load the rows of ``df`` whose ``key`` is not stored yet; returns their number.
+
+    A ``left_anti`` join on the key against the published loads finds the new rows; of rows with one key the smallest
+    is loaded; rows without a key are never loaded. They are published as ``path/load=<n>`` in one step, so a load
+    that breaks leaves nothing behind that a reader or the next load sees, and a repeated load adds nothing.
+    """
+    spark = df.sparkSession
+    rest = [c for c in df.columns if c != key]
+    one = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*rest)).alias("_r"))
+    new = one.join(loaded(spark, path, df.schema).select(key), key, "left_anti").select(
+        *[F.col(key) if c == key else F.col(f"_r.`{c}`").alias(c) for c in df.columns])
+    fs, p = _hadoop(spark, path)
+    done = [int(st.getPath().getName()[5:]) for st in fs.listStatus(p) if st.getPath().getName().startswith("load=")] if fs.exists(p) else []
+    target = f"{path}/load={max(done, default=-1) + 1}"
+    publish(new, target)
+    n = spark.read.schema(df.schema).parquet(target).count()
+    if not n:
+        fs.delete(_hadoop(spark, target)[1], True)
+    return n
+
+
 def batch_append_sink(df: DataFrame, path: str, files: int | None = None) -> None:
     """Append (writer tasks write in parallel; ``files`` bounds the file count)."""
     (df.repartition(files) if files else df).write.mode("append").parquet(path)

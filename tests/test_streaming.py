@@ -33,9 +33,12 @@ def test_sampled_curve_tracks_exact_curve(spark):
     s = A.sequence_log(log)
     exact = {r.cache_size: r.hit_rate_percent for r in A.hit_rate_curve(s, A.reuse_distance(s), [10, 100, 1000]).collect()}
     approx = {r.cache_size: r.hit_rate_percent
-              for r in A.hit_rate_curve_sampled(log, [10, 100, 1000], modulus=100, threshold=50).collect()}
+              for r in A.hit_rate_curve_sampled(log, [10, 100, 1000], max_keys=100).collect()}
     for c in exact:
-        assert abs(exact[c] - approx[c]) < 12.0, (c, exact[c], approx[c])
+        assert abs(exact[c] - approx[c]) < 5.0, (c, exact[c], approx[c])
+    # no fewer keys than there are: the curve itself
+    whole = {r.cache_size: r.hit_rate_percent for r in A.hit_rate_curve_sampled(log, [10, 100, 1000], max_keys=100_000).collect()}
+    assert whole == exact
 
 
 def test_window_metrics_of_open_and_closed_windows(spark):
