@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm._packed import pack, unpack
-from sluice.llm.packing import tokenizer_path, word_ids
+from sluice.llm.packing import WordIds, tokenizer_path
 from sluice.session import write_table
 
 CAPACITY, END_ID = 4096, 2
@@ -36,6 +36,19 @@ PIVOTS, RUNS = 4000, 3
 #: Pieces that are cut at borders are joined with their ids by broadcast up to this number, by shuffle beyond.
 BROADCAST_CUTS = 200_000
 
+#: Words whose ids a worker remembers.
+REMEMBERED = 600_000
+_ENCODERS: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's encoder: it outlives a task, and what it remembers is bounded."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = WordIds(path, REMEMBERED)
+    return _ENCODERS[path]
+
+
 _STORED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
