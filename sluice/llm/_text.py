@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Odd multipliers of the two rolling polynomials modulo 2**64 (3 modulo 8: swaps lose one bit at most).
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C13, 0xC2B2AE3D27D4EB4B
+#: Odd multiplier of the rolling polynomial of word hashes modulo 2**64 (3 modulo 8: swaps lose one bit at most).
+WORD_BASE = 0xC2B2AE3D27D4EB4B
+#: Bytes of text whose words are hashed at once.
 _SEGMENT = 1 << 20
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -22,7 +25,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-_BYTE_VALUES = mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -59,23 +61,20 @@ class Words:
         self.text_at = at
         self.lower = lower
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit Rabin-Karp hash of each word's bytes."""
-        out = np.empty(len(self.starts), dtype=U64)
+    def hashes(self, bits: int = 64) -> np.ndarray:
+        """A hash of each word's bytes (BLAKE2b): 64-bit numbers, or two columns of them for 128 ``bits``."""
+        wide = bits // 64
+        out = np.empty((len(self.starts), wide), dtype=U64)
         i, n = 0, len(self.starts)
-        while i < n:  # segments of whole words keep the working arrays small
+        while i < n:  # segments of whole words: the words of one segment are held as objects
             j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + _SEGMENT, side="right")))
-            a, b = int(self.starts[i]), int(self.ends[j - 1])
-            part = self.buf[a:b]
-            if self.lower:
-                part = np.where((part >= 65) & (part <= 90), part + 32, part)
-            power, inverse = powers(BYTE_BASE, b - a)
-            total = np.zeros(b - a + 1, dtype=U64)
-            np.cumsum(_BYTE_VALUES[part] * power, out=total[1:])
-            s, e = self.starts[i:j] - a, self.ends[i:j] - a
-            out[i:j] = mix64((total[e] - total[s]) * inverse[s] + (e - s).astype(U64))
+            part = self.raw[int(self.starts[i]) : int(self.ends[j - 1])]
+            words = (part.translate(_LOWER) if self.lower else part).split()  # splits at the same bytes
+            place = {w: k for k, w in enumerate(dict.fromkeys(words))}
+            digests = np.frombuffer(b"".join([blake2b(w, digest_size=8 * wide).digest() for w in place]), dtype="<u8").reshape(-1, wide)
+            out[i:j] = digests[np.fromiter(map(place.__getitem__, words), np.int64, len(words))]
             i = j
-        return out
+        return out[:, 0].copy() if wide == 1 else out
 
     def lengths(self) -> np.ndarray:
         """Number of words of each text."""

@@ -1,4 +1,4 @@
-"""Substring dedup: Rabin-Karp hashes of every token window, counted in Spark."""
+"""Substring dedup: Rabin-Karp hashes of every token window, counted in Spark; repeats are confirmed by 128 bits."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,38 +33,84 @@ def _merge(doc: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.nda
     return doc[border], first[border], np.maximum.reduceat(last, border)
 
 
-def _local(block: dict[str, list], width: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Windows of a block: the earliest of each hash for the counting task of its bucket, the others, which
-    certainly repeat, for the merging task of their document."""
+def _starts(cand: bytes | None) -> np.ndarray:
+    """The window starts of packed runs [from, to]."""
+    if not cand:
+        return np.empty(0, np.int64)
+    a, b = unpack(bytes(cand))
+    return np.repeat(a - np.concatenate([[0], np.cumsum(b - a + 1)[:-1]]), b - a + 1) + np.arange(int((b - a + 1).sum()))
+
+
+def _short(texts: list[bytes | None], width: int, buckets: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, index of text, start) of every window: the counting task in the upper 24 bits, 40 bits of hash below it.
+    ``bits`` of the hash are kept."""
+    words = Words(texts)
+    rolled, text, start = windows(words.hashes(), words.offsets, width)
+    if bits < 64:
+        rolled = rolled & U64((1 << bits) - 1)
+    task = ((rolled >> U64(40)) * U64(buckets)) >> U64(24)
+    return (task << U64(40) | (rolled & U64((1 << 40) - 1)))[:, None], text, start
+
+
+def _strong(texts: list[bytes | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(two columns of 64 bits, index of text, start) of every window."""
+    words = Words(texts)
+    word = words.hashes(128)
+    (low, text, start), (high, _, _) = (windows(np.ascontiguousarray(word[:, i]), words.offsets, width) for i in (0, 1))
+    return np.stack([low, high], 1), text, start
+
+
+def _borders(keys: np.ndarray) -> np.ndarray:
+    """Borders of runs of equal rows of sorted keys."""
+    if not len(keys):
+        return np.zeros(1, dtype=np.int64)
+    return np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
+
+
+def _by_document(doc: np.ndarray, start: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Window starts as runs, for the merging task of their document."""
+    by = np.lexsort((start, doc))
+    doc, a, b = _merge(doc[by], start[by], start[by])
+    target = _target(doc, buckets)
+    by = np.argsort(target, kind="stable")
+    for i, j in _spans(target[by]):
+        part = by[i:j]
+        yield buckets + int(target[part[0]]), pack(doc[part], a[part], b[part])
+
+
+def _local(block: dict[str, list], width: int, buckets: int, strong: bool, bits: int) -> Iterator[tuple[int, bytes]]:
+    """Windows of a block: the earliest of each hash for the counting task of its range, the others, which certainly
+    repeat, for the merging task of their document. The first pass (not ``strong``) tells candidates: a window that
+    others of the block repeat is one too. The second takes the windows that start at ``block["cand"]``."""
     ids = np.array([LAST if x is None else x for x in block["doc_id"]], dtype=np.int64)
     order = np.argsort(ids, kind="stable")
     ids, texts = ids[order], [block["text"][i] for i in order]
-    words = Words(texts)
-    rolled, text, start = windows(words.hashes(), words.offsets, width)
-    if not len(rolled):
+    hashes, text, start = _strong(texts, width) if strong else _short(texts, width, buckets, bits)
+    if strong:
+        border = np.searchsorted(text, np.arange(len(texts) + 1))
+        at = [border[k] + s[s < border[k + 1] - border[k]] for k, s in enumerate(_starts(block["cand"][i]) for i in order)]
+        at = np.concatenate(at) if at else np.empty(0, np.int64)
+        hashes, text, start = hashes[at], text[at], start[at]
+    if not len(hashes):
         return
-    by = np.argsort(rolled, kind="stable")  # within equal hashes by (doc_id, start), but for repeated rows
-    rolled, text, start = rolled[by], text[by].astype(np.uint32), start[by].astype(np.uint32)
-    border = runs(rolled)
-    head = np.repeat(border[:-1], np.diff(border))
-    first = np.zeros(len(rolled), dtype=bool)
+    by = np.lexsort((*hashes.T[1:], hashes[:, 0]))  # stable: within equal hashes by (doc_id, start), but for repeated rows
+    hashes, text, start = hashes[by], text[by].astype(np.uint32), start[by].astype(np.uint32)
+    border = _borders(hashes)
+    size = np.diff(border)
+    head = np.repeat(border[:-1], size)
+    first = np.zeros(len(hashes), dtype=bool)
     first[border[:-1]] = True
-    same = (ids[text] == ids[text[head]]) & (start == start[head])
-    again = ~first & ~same
-    if again.any():
-        doc, s = ids[text[again]], start[again]
-        by = np.lexsort((s, doc))
-        doc, a, b = _merge(doc[by], s[by], s[by])
-        target = _target(doc, buckets)
-        by = np.argsort(target, kind="stable")
-        for i, j in _spans(target[by]):
-            part = by[i:j]
-            yield buckets + int(target[part[0]]), pack(doc[part], a[part], b[part])
-    rolled, text, start = rolled[first], text[first], start[first]
-    bucket = ((rolled >> U64(32)) * U64(buckets)) >> U64(32)
+    again = ~first & ~((ids[text] == ids[text[head]]) & (start == start[head]))
+    told = again if strong else np.logical_or.reduceat(again, border[:-1]).repeat(size)
+    if told.any():
+        yield from _by_document(ids[text[told]], start[told], buckets)
+    hashes, text, start = hashes[first], text[first], start[first]
+    bucket = ((hashes[:, 0] >> U64(32)) * U64(buckets)) >> U64(32) if strong else hashes[:, 0] >> U64(40)
     for i, j in _spans(bucket):
         present, inverse = np.unique(text[i:j], return_inverse=True)
-        yield int(bucket[i]), pack(rolled[i:j], ids[present], inverse.astype(np.uint32), start[i:j])
+        # the task is known, so the first pass sends the 40 bits below it
+        keys = [hashes[i:j, 0], hashes[i:j, 1]] if strong else [hashes[i:j, 0].astype(np.uint32), (hashes[i:j, 0] >> U64(32)).astype(np.uint8)]
+        yield int(bucket[i]), pack(*keys, ids[present], inverse.astype(np.uint32), start[i:j])
 
 
 def _spans(keys: np.ndarray) -> list[tuple[int, int]]:
@@ -75,43 +122,56 @@ def _target(doc: np.ndarray, buckets: int) -> np.ndarray:
     return ((doc.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(33)) % U64(buckets)
 
 
-def _count(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Windows of one range of hashes: those that are not the earliest of their hash, by document."""
+def _count(frame: pd.DataFrame, buckets: int, strong: bool) -> pd.DataFrame:
+    """Windows of one range of hashes that repeat, by document: all of them in the first pass, in the second those
+    that are not the earliest of their hash."""
     key = int(frame["bucket"].iloc[0])
     if key >= buckets:
         return frame
     hashes, ids, places, starts, held = [], [], [], [], 0
     for value in frame["packed"]:
-        h, present, inverse, s = unpack(value)
-        hashes.append(h)
+        a, b, present, inverse, s = unpack(value)
+        hashes.append(np.stack([a, b], 1) if strong else a.astype(U64) | b.astype(U64) << U64(32))
         ids.append(present)
         places.append(inverse + np.uint32(held))
         starts.append(s)
         held += len(present)
     h, ids, place, start = np.concatenate(hashes), np.concatenate(ids), np.concatenate(places), np.concatenate(starts)
     del hashes, places, starts
-    by = np.argsort(h, kind="stable")
+    by = np.lexsort((h[:, 1], h[:, 0])) if strong else np.argsort(h, kind="stable")
     h = h[by]
+    equal = (h[1:] == h[:-1]).all(1) if strong else h[1:] == h[:-1]
     twin = np.zeros(len(h), dtype=bool)
-    equal = h[1:] == h[:-1]
     twin[1:] |= equal
     twin[:-1] |= equal
     by = by[twin]
     h, doc, start = h[twin], ids[place[by]], start[by]
-    by = np.lexsort((start, doc, h))
+    h = h if strong else h[:, None]
+    by = np.lexsort((start, doc, *h.T[1:], h[:, 0]))
     h, doc, start = h[by], doc[by], start[by]
-    border = runs(h)
-    head = np.repeat(border[:-1], np.diff(border))
+    border = _borders(h)
+    size = np.diff(border)
+    head = np.repeat(border[:-1], size)
     again = (doc != doc[head]) | (start != start[head])
-    doc, start = doc[again], start[again]
-    target = _target(doc, buckets)
-    by = np.lexsort((start, doc, target))
-    doc, start, target = doc[by], start[by], target[by]
-    out = []
-    for i, j in _spans(target):
-        d, a, b = _merge(doc[i:j], start[i:j], start[i:j])
-        out.append((buckets + int(target[i]), pack(d, a, b)))
-    return pd.DataFrame(out, columns=["bucket", "packed"])
+    if not strong and len(again):
+        again = np.logical_or.reduceat(again, border[:-1]).repeat(size)
+    return pd.DataFrame(list(_by_document(doc[again], start[again], buckets)), columns=["bucket", "packed"])
+
+
+def _candidates(frame: pd.DataFrame) -> pd.DataFrame:
+    """Runs [from, to] of window starts, packed by document."""
+    parts = [unpack(v) for v in frame["packed"]]
+    doc, a, b = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    by = np.lexsort((a, doc))
+    doc, a, b = doc[by], a[by].astype(np.int64), b[by].astype(np.int64)
+    shift = doc_rank(doc) * (1 << 40)
+    reach = np.maximum.accumulate(b + shift)
+    new = np.concatenate([[True], (a + shift)[1:] > reach[:-1] + 1])
+    border = np.flatnonzero(new)
+    stop = np.concatenate([border[1:], [len(doc)]]) - 1
+    low, high, who = a[border], reach[stop] - shift[stop], doc[border]
+    out = [(None if who[i] == LAST else int(who[i]), pack(low[i:j], high[i:j])) for i, j in _spans(who)]
+    return pd.DataFrame(out, columns=["_id", "_cand"]).astype({"_id": "Int64"})
 
 
 def _intervals(frame: pd.DataFrame, width: int) -> pd.DataFrame:
@@ -137,28 +197,49 @@ def doc_rank(doc: np.ndarray) -> np.ndarray:
     return np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]).astype(np.int64)])) if len(doc) else doc
 
 
-def repeated_intervals(docs: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def repeated_intervals(rows: DataFrame, doc_id: str, text: str, width: int = WIDTH, bits: int = 64) -> DataFrame:
     """Documents with words covered by a window of ``width`` words that also starts earlier (in a smaller
     doc_id, or earlier in the same document): ``_id`` and ``_removed``, the maximal intervals [from, to) in
-    words as two rows of 64-bit numbers.
-
-    Every window's hash is sent to the counting task of its hash range, once per block of texts (a hot
-    passage sends one entry a block); a counting task finds the earliest start and passes the others on by
-    document. All numbers move as packed columns. Null texts have no window. Rows with one doc_id are one
-    document: a window at the same place of another such row is not earlier. A null doc_id comes last.
+    words as two rows of 64-bit numbers. ``doc_id`` (a long) and ``text`` (string or binary) are columns of ``rows``, or
+    fields; ``bits`` is the length of the filter's hash.
+
+    Two passes. The first is a filter: every window's short hash is sent to the counting task of its hash range, once
+    per block of texts (a hot passage sends one entry a block), and windows whose hash is found twice are candidates.
+    The second decides: candidates meet by 128 bits that come from BLAKE2b of their words, so that no window is cut
+    for a hash that another happens to share, and the earliest start stays. Its join reads all columns of ``rows``: a
+    caller that joins the same ``rows`` with the result shuffles the texts once. All numbers move as packed columns.
+    Null texts have no window. Rows with one doc_id are one document: a window at the same place of another such row is
+    not earlier. A null doc_id comes last.
     """
-    spark = docs.sparkSession
-    buckets = 1 + table_bytes(spark, docs, [text]) // BUCKET_BYTES
+    spark = rows.sparkSession
+    plain = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    buckets = 1 + table_bytes(spark, plain, ["text"]) // BUCKET_BYTES
+
+    def counted(found: DataFrame, id_at: str, text_at: str, strong: bool) -> DataFrame:
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = {"doc_id": _field(batch, id_at), "text": _field(batch, text_at).cast(pa.binary())}
+                if strong:
+                    columns["cand"] = _field(batch, "_cand")
+                for block in blocks(iter([pa.RecordBatch.from_pydict(columns)]), "text", BLOCK_BYTES):
+                    for key, value in _local(block, width, buckets, strong, bits):
+                        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([value], pa.binary())], names=["bucket", "packed"])
+
+        packed = "bucket long, packed binary"
+        return found.mapInArrow(deal, packed).groupBy("bucket").applyInPandas(lambda f: _count(f, buckets, strong), packed)
+
+    candidates = counted(plain, "doc_id", "text", False).groupBy("bucket").applyInPandas(_candidates, "_id long, _cand binary")
+    joined = rows.join(candidates, F.col(doc_id).eqNullSafe(F.col("_id")))
+    return counted(joined, doc_id, text, True).groupBy("bucket").applyInPandas(lambda f: _intervals(f, width), "_id long, _removed binary")
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", BLOCK_BYTES):
-            for key, value in _local(block, width, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([value], pa.binary())], names=["bucket", "packed"])
 
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    entries = plain.mapInArrow(local, "bucket long, packed binary")
-    again = entries.groupBy("bucket").applyInPandas(lambda f: _count(f, buckets), "bucket long, packed binary")
-    return again.groupBy("bucket").applyInPandas(lambda f: _intervals(f, width), "_id long, _removed binary")
+def _field(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """A column of an Arrow batch, or a field of a struct column."""
+    column, *inner = name.split(".")
+    found = batch.column(batch.schema.names.index(column))
+    for field in inner:
+        found = pc.struct_field(found, field)
+    return found
 
 
 def _covered(words: int, removed: bytes | None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -175,11 +256,11 @@ def _covered(words: int, removed: bytes | None) -> tuple[list[tuple[int, int]],
     return kept, gone
 
 
-def removal_digest(docs: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def removal_digest(docs: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id", bits: int = 64) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)
     and removed, the intervals as an array of [from, to) in words."""
-    found = repeated_intervals(docs, width, text, doc_id)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    found = repeated_intervals(rows, "doc_id", "text", width, bits)
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "_removed")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +287,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     A cut takes the words of an interval and the white space after them; a text without cuts stays as it is.
     """
-    found = repeated_intervals(docs, width)
     rows = docs.select(F.col("doc_id").cast("long").alias("_d"), F.struct("*").alias("_row"))
+    found = repeated_intervals(rows, "_d", "_row.text", width)
     joined = rows.join(found, F.col("_d").eqNullSafe(F.col("_id")), "left")
 
     @F.pandas_udf("string")

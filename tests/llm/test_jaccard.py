@@ -102,3 +102,13 @@ def test_components_across_tasks(spark):
     for per_task in (10**6, 40):
         got = {r["node"]: r["root"] for r in graph.connected_components(df, per_task).collect()}
         assert all(got.get(x, x) == r for x, r in group.items())
+
+
+def test_long_words_of_two_letters(make_docs):
+    """Words that equal polynomial hashes modulo 2**64 share no shingle."""
+    from tests.llm.test_substring import thue_morse
+
+    for n in (1024, 2048, 4096):
+        rows = [(1, thue_morse(n)), (2, thue_morse(n, "b", "a")), (3, thue_morse(n) + " and more words"), (4, thue_morse(n, "b", "a") + " and more words")]
+        assert found(jaccard.near_duplicates(make_docs(rows))) == wanted(rows)
+        assert [r[2] for r in found(jaccard.near_duplicates(make_docs(rows)))] == [1, 2, 3, 4]

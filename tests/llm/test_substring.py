@@ -50,3 +50,44 @@ def test_removed_text(make_docs, odd_rows):
 def test_empty(make_docs):
     assert substring.removal_digest(make_docs([])).count() == 0
     assert substring.remove_repeats(make_docs([(1, None)])).collect()[0]["text"] is None
+
+
+def thue_morse(n, a="a", b="b"):
+    w = a
+    other = str.maketrans(a + b, b + a)
+    while len(w) < n:
+        w += w.translate(other)
+    return w
+
+
+def test_long_words_of_two_letters(make_docs):
+    """Words that equal polynomial hashes modulo 2**64 are different words."""
+    for n in (1024, 2048, 4096):
+        x, y = thue_morse(n), thue_morse(n, "b", "a")
+        head = [f"w{i}" for i in range(19)]
+        rows = [(1, " ".join([*head, x])), (2, " ".join([*head, y]))]
+        assert found(substring.removal_digest(make_docs(rows))) == wanted(rows)
+        assert [r[2] for r in found(substring.removal_digest(make_docs(rows)))] == [0, 0]
+
+
+def test_a_short_filter_hash_gives_the_same(make_docs, odd_rows, monkeypatch):
+    """With 16 bits most windows are candidates; the second pass decides."""
+    docs = make_docs(odd_rows)
+    assert found(substring.removal_digest(docs, bits=16)) == wanted(odd_rows)
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(substring, "BUCKET_BYTES", 2000)
+    assert found(substring.removal_digest(docs.repartition(5), width=5, bits=8)) == wanted(odd_rows, 5)
+
+
+def test_texts_are_shuffled_once(make_docs, odd_rows):
+    spark = make_docs([]).sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (substring.removal_digest(make_docs(odd_rows)), substring.remove_repeats(make_docs(odd_rows))):
+            out.write.format("noop").mode("overwrite").save()
+            out.collect()
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "ReusedExchange" in plan.split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
