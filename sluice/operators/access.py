@@ -33,7 +33,7 @@ from sluice.functions.numeric import idiv, round_ratio
 from sluice.functions.scoring import SPACE, hash60
 from sluice.operators.dominance import BLOCK, CHUNK, FANOUT, dominance_counts
 from sluice.operators.sequence import dense_position, sequence_within, slice_count, stored_slices
-from sluice.session import checked_broadcast, cut_lineage, write_table
+from sluice.session import checked_broadcast, cut_lineage, remove_path, scratch_path, write_table
 
 INST, KEY = "instance", "key"
 
@@ -192,7 +192,9 @@ def fixed_ttl_anchors_multi(log: DataFrame, ttls_seconds: Sequence[float], num_p
     passages = write_table(_passages(s, ttls, max_entries), "passages")
     told: dict[tuple[int, int], int] = {}  # at most one exit for each slice and TTL
     while True:
-        chain = write_table(_carried(passages, ttls, told), "chains")
+        path = scratch_path(s.sparkSession, "chains")
+        _carried(passages, ttls, told).write.parquet(path)
+        chain = s.sparkSession.read.parquet(path)
         asked = {(r["pid"], r["n"]): r["anchor"] for r in chain.where("open").collect()}  # at most one a slice and TTL
         if not asked:
             break
@@ -200,6 +202,7 @@ def fixed_ttl_anchors_multi(log: DataFrame, ttls_seconds: Sequence[float], num_p
         pids = sorted({p for p, _ in asked})
         for r in s.where(F.col("_pid").isin(pids)).groupBy("_pid").applyInPandas(_answers(ttls, asked), "pid int, n int, anchor long").collect():
             told[r["pid"], r["n"]] = r["anchor"]
+        remove_path(s.sparkSession, path)
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         before = dict(pdf["carry"].iloc[0] or {})

@@ -8,7 +8,7 @@ the join has no hot key; the incoming de-duplication is a partial aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions.predicates import conditional_overwrite_text, conditional_overwrite_value
@@ -27,9 +27,9 @@ def anti_unprocessed(questions: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def limit_requests(todo: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` ids of the questions to do, with how many there are."""
+    """The first ``n`` questions to do by conversation and turn, with how many there are."""
     total = todo.agg(F.count(F.lit(1)).alias("total_available"))
-    return todo.select("id").orderBy("id").limit(n).crossJoin(total)  # total is one row
+    return todo.orderBy("conv_id", "turn").limit(n).select("id").crossJoin(total)  # total is one row
 
 
 def semi_processed(questions: DataFrame, results: DataFrame) -> DataFrame:
@@ -80,6 +80,42 @@ def upsert_results(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+#: Folders and hash buckets of a stored result table.
+SHARDS, BUCKETS = 16, 8
+
+
+def _shard(shards: int) -> Column:
+    return F.pmod(F.xxhash64("question_id"), F.lit(shards)).cast("int").alias("shard")
+
+
+def create_result_table(results: DataFrame, name: str, path: str, shards: int = SHARDS, buckets: int = BUCKETS) -> None:
+    """Store results as table ``name`` at ``path``: a folder for each hash shard of the question, in it hash buckets of
+    the result key."""
+    (results.select(*RESULT_COLS, _shard(shards)).repartition(buckets, *RESULT_KEY)
+     .write.format("parquet").partitionBy("shard").bucketBy(buckets, *RESULT_KEY).option("path", path).saveAsTable(name))
+
+
+def merged_shards(spark: SparkSession, name: str, incoming: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``upsert_results`` of the shards that ``incoming`` touches: no other folder of the table is read, and the stored
+    side, bucketed by the key, needs no exchange."""
+    touched = [r[0] for r in incoming.select(_shard(shards)).distinct().collect()]  # at most ``shards`` numbers
+    stored = spark.table(name).where(F.col("shard").isin(touched))
+    return upsert_results(stored, incoming).select(*RESULT_COLS, _shard(shards))
+
+
+def upsert_result_table(spark: SparkSession, name: str, incoming: DataFrame, shards: int = SHARDS) -> None:
+    """INSERT ... ON CONFLICT into a table of ``create_result_table``. The touched shards are written beside the table
+    and replace the old ones when all are done; the files of the others stay as they are."""
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    merged = merged_shards(spark, name, incoming, shards)
+    spark.conf.set(mode, "dynamic")
+    try:
+        merged.write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set(mode, before)
+
+
 def best_result_writeback(questions: DataFrame, best: DataFrame, failure_score: float = FAILURE_SCORE) -> DataFrame:
     """Write the best answer/score onto each question; a question processed
     without any result gets the failure score 1.0."""

@@ -10,6 +10,7 @@ from sluice.operators import access as A
 from sluice.operators.sequence import previous_in_group
 from sluice.plans.registry import register
 from sluice.schemas import CACHE_SIZES, DEFAULT_TTL_SECONDS
+from sluice.session import write_table
 from sluice.sources import bindings as B
 
 TTL_HOURS = [6, 24, 72]
@@ -248,7 +249,8 @@ byttl AS (SELECT concat('TTL', '') AS policy, CAST(NULL AS INTEGER) AS cache_siz
 
 def config_metrics(spark, sf):
     """The metrics of the sized configurations (LRU and TTL-LRU by size) of the events log."""
-    return A.access_metrics(A.access_flags(B.access_log(spark, sf), DEFAULT_TTL_SECONDS), A.SIZED_POLICIES, CACHE_SIZES)
+    # ten rows that reports read several times
+    return write_table(A.access_metrics(A.access_flags(B.access_log(spark, sf), DEFAULT_TTL_SECONDS), A.SIZED_POLICIES, CACHE_SIZES), "metrics")
 
 
 @register("access_metrics", over_metrics_sql("SELECT * FROM cm"))

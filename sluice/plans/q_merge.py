@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sluice.functions.numeric import avg_rounded, avg_rounded_sql, round_ratio, round_ratio_sql, scaled
@@ -11,6 +13,7 @@ from sluice.operators.sequence import global_dense_id
 from sluice.plans.q_scoring import BEST_SQL, UPSERT_RESULTS_SQL
 from sluice.plans.registry import register
 from sluice.schemas import models_dim
+from sluice.session import scratch_path, write_table
 from sluice.sources import bindings as B
 
 MR = B.with_ctes(B.QA_CTE, B.MR_CTE, B.MODELS_CTE)
@@ -57,6 +60,19 @@ def upsert_results(spark, sf):
     return M.upsert_results(B.model_results(spark, sf), B.incoming_results(spark, sf))
 
 
+@register("upsert_results_bucketed", MRI + "," + UPSERT_RESULTS_SQL + " SELECT * FROM merged")
+def upsert_results_bucketed(spark, sf):
+    """A stored table and two upserts into the buckets they touch: every other conversation first, then the rest."""
+    name, path = f"sluice_results_{uuid.uuid4().hex}", scratch_path(spark, "results")
+    M.create_result_table(B.model_results(spark, sf), name, path)
+    incoming = write_table(B.incoming_results(spark, sf), "incoming")
+    conv = F.split("question_id", ":")[0].cast("long")
+    for rest in (0, 1):
+        M.upsert_result_table(spark, name, incoming.where(conv % 2 == rest))
+    spark.sql(f"DROP TABLE {name}")  # the files of a table with a path stay
+    return spark.read.parquet(path).select(*M.RESULT_COLS)
+
+
 @register("best_result_writeback", MR + "," + BEST_SQL + """
 SELECT qa.id, b.best_answer AS llm_answer, coalesce(b.best_score, 1.0) AS quality_score
 FROM qa LEFT JOIN best b ON b.question_id = qa.id""")
@@ -90,10 +106,10 @@ MAX_REQUESTS = 10000  # the reference's default request limit
 
 @register("limit_requests", MR + f"""
 SELECT id, CAST(count(*) OVER () AS BIGINT) AS total_available FROM (
-  SELECT id FROM qa WHERE NOT EXISTS (SELECT 1 FROM mr WHERE mr.question_id = qa.id)
-) ORDER BY id LIMIT {MAX_REQUESTS}""")
+  SELECT id, conv_id, turn FROM qa WHERE NOT EXISTS (SELECT 1 FROM mr WHERE mr.question_id = qa.id)
+) ORDER BY conv_id, turn LIMIT {MAX_REQUESTS}""")
 def limit_requests(spark, sf):
-    todo = M.anti_unprocessed(B.qa_pairs(spark, sf), B.model_results(spark, sf)).select("id")
+    todo = M.anti_unprocessed(B.qa_pairs(spark, sf), B.model_results(spark, sf)).select("id", "conv_id", "turn")
     return M.limit_requests(todo, MAX_REQUESTS)
 
 

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions.numeric import avg_rounded_sql
+from sluice.operators import quantiles as KQ
 from sluice.operators import report as R
 from sluice.operators.access import SIZED_POLICIES
 from sluice.plans.q_access import config_metrics, over_metrics_sql
 from sluice.plans.registry import register
 from sluice.schemas import CACHE_SIZES, POLICIES
-from sluice.session import scratch_path
+from sluice.session import scratch_path, write_table
 from sluice.sources import bindings as B
 
 GRID_SQL = "(VALUES " + ", ".join(
@@ -58,6 +59,15 @@ def pivot_metric(spark, sf):
     return R.pivot_metric(config_metrics(spark, sf), "hit_rate_percent", SIZED_POLICIES)
 
 
+@register("pivot_evictions", over_metrics_sql("""
+SELECT cache_size, CAST(max(CASE WHEN policy = 'LRU' THEN evictions END) AS BIGINT) AS "LRU",
+       CAST(max(CASE WHEN policy = 'TTL-LRU' THEN evictions END) AS BIGINT) AS "TTL-LRU"
+FROM cm GROUP BY cache_size"""))
+def pivot_evictions(spark, sf):
+    """The evictions panel."""
+    return R.pivot_metric(config_metrics(spark, sf), "evictions", SIZED_POLICIES)
+
+
 @register("mean_by_group", over_metrics_sql(f"""
 SELECT cache_size, policy, {avg_rounded_sql('hit_rate_percent', 2, 4)} AS mean_hit_rate_percent,
        {avg_rounded_sql('avg_hit_time_ms', 2, 4)} AS mean_avg_hit_time_ms
@@ -86,6 +96,38 @@ def distribution_hist(spark, sf):
     return R.distribution_hist(log.crossJoin(span), "op_ms", ["instance"], F.col("lo"), F.col("hi"), 10)
 
 
+#: Rank error that a sketch's quartiles and ranges keep to, with much to spare (three to four times the usual one).
+RANK_ERROR = 0.01
+
+
+@register("op_time_box", B.with_ctes(B.EV_CTE) + """
+SELECT instance, count(*) AS n, min(op_ms) AS lo, max(op_ms) AS hi, true AS quartiles_within FROM ev GROUP BY instance""")
+def op_time_box(spark, sf):
+    """Range and quartiles of all operation times by instance from one pass; the quartiles' rank error is checked."""
+    log = B.access_log(spark, sf)
+    found = write_table(KQ.sketches(log, "op_ms", ["instance"]), "sketches")
+    boxes = KQ.box(found, ["instance"])
+    errors = KQ.rank_errors(log, "op_ms", boxes, ["instance"])
+    worst = F.greatest("q1_error", "median_error", "q3_error")
+    return boxes.join(errors, "instance").select("instance", "n", "lo", "hi", (worst <= RANK_ERROR).alias("quartiles_within"))
+
+
+@register("op_time_hist", B.with_ctes(B.EV_CTE) + """
+, r AS (SELECT instance, min(op_ms) AS lo, max(op_ms) AS hi FROM ev GROUP BY instance)
+SELECT e.instance, CAST(least(floor((e.op_ms - r.lo) * 10 / (r.hi - r.lo)), 9) AS INTEGER) + 1 AS bucket, count(*) AS exact_n, true AS within
+FROM ev e JOIN r USING (instance) GROUP BY 1, 2""")
+def op_time_hist(spark, sf):
+    """The histogram of operation times that the sketches give, held against exact counts."""
+    log = B.access_log(spark, sf)
+    found = write_table(KQ.sketches(log, "op_ms", ["instance"]), "sketches")
+    rough = KQ.histogram(found, ["instance"], 10)
+    span = found.select("instance", "lo", "hi", F.col("n").alias("all"))  # a row an instance
+    exact = R.distribution_hist(log.join(F.broadcast(span), "instance"), "op_ms", ["instance", "all"], F.col("lo"), F.col("hi"), 10)
+    near = F.abs(F.col("e.n") - F.col("h.n")) <= 2 * RANK_ERROR * F.col("all")
+    return (exact.alias("e").join(rough.alias("h"), ["instance", "bucket"])
+            .select("instance", "bucket", F.col("e.n").alias("exact_n"), near.alias("within")))
+
+
 CHART_SQL = """
 SELECT policy, cache_size, hit_rate_percent, miss_rate_percent, evictions,
        round(CASE WHEN runtime_seconds > 0 THEN total_operations / runtime_seconds ELSE 0.0 END, 6) AS queries_per_sec,

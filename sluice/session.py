@@ -100,9 +100,26 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+_ROOTS: dict[str, str] = {}
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The application's own folder under the shared checkpoint folder. It goes, with all intermediate tables, when
+    the application ends (the file system's delete on exit)."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        root = f"{checkpoint_dir(spark).rstrip('/')}/sluice-{uuid.uuid4().hex}"
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _ROOTS[app] = root
+    return _ROOTS[app]
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the shared checkpoint folder (for sinks and round trips)."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder name in the application's scratch folder (for sinks and round trips)."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -114,10 +131,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Materialise ``df`` as a parquet table in the checkpoint folder and read it back."""
+    """Materialise ``df`` as a parquet table in the scratch folder and read it back."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -127,7 +144,7 @@ def checked_broadcast(stored: DataFrame, most: int = 100_000) -> DataFrame:
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
-    """Remove a folder in the checkpoint folder, through the file system it lives in."""
+    """Remove a folder that this library wrote, through the file system it lives in."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

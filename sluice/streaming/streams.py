@@ -340,8 +340,9 @@ def upsert_sink(results_stream: DataFrame, base: DataFrame, out: str, buckets: i
     Version 0 is ``base`` in hash buckets of the key; micro-batch ``b`` reads
     the newest version of the buckets it touches, applies ``upsert_results`` and
     writes those buckets as version ``b + 1`` (never reading and writing the
-    same folder). A replayed batch finds its version and skips it. Returns the
-    newest folder of each bucket.
+    same folder); the buckets they replace are removed then, so each is stored
+    once. A replayed batch finds its version and skips it. Returns the newest
+    folder of each bucket.
     """
     spark = results_stream.sparkSession
     columns = base.columns
@@ -365,6 +366,8 @@ def upsert_sink(results_stream: DataFrame, base: DataFrame, out: str, buckets: i
         paths = [now[b] for b in touched if b in now]
         stored = spark.read.schema(base.schema).parquet(*paths) if paths else spark.createDataFrame([], base.schema)
         put(upsert_results(stored, batch), target)
+        for p in paths:  # replaced, and a replay of this batch finds its version
+            remove_path(spark, p)
 
     if not _exists(spark, f"{out}/v0/_SUCCESS"):
         put(base.select(*columns), 0)

@@ -106,3 +106,96 @@ def test_empty_folder_is_an_empty_target(spark):
     assert IN.is_empty_target(spark, path)
     assert IN.idempotent_load(spark.range(3), path) and not IN.idempotent_load(spark.range(4), path)
     assert spark.read.parquet(path).count() == 3
+
+
+def test_upsert_touches_its_shards_only(spark):
+    import uuid
+
+    from sluice.operators import merge as M
+    from sluice.sources import bindings as B
+    from tests.conftest import SF0001
+
+    name, path = f"t_results_{uuid.uuid4().hex}", scratch_path(spark, "t-results")
+    base = B.model_results(spark, SF0001)
+    M.create_result_table(base, name, path)
+    files = lambda: set(spark.table(name).inputFiles())
+    before, rows = files(), B.incoming_results(spark, SF0001)
+    one = rows.where(F.col("question_id") == rows.select(F.min("question_id")).first()[0])
+    merged = M.merged_shards(spark, name, one)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    stored = [x for x in plan.split("\n") if name in x]
+    assert len(stored) == 1 and "Bucketed: true" in stored[0] and "PartitionFilters: [isnotnull(shard" in stored[0]
+    # the stored side reaches the join without an exchange
+    lines = plan.split("\n")
+    at = next(i for i, x in enumerate(lines) if name in x)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    above, need = [], depth(lines[at])
+    for x in reversed(lines[:at]):
+        if depth(x) < need:
+            above.append(x)
+            need = depth(x)
+    assert not any("Exchange" in x.split("[")[0] for x in above[: next(i for i, x in enumerate(above) if "Join" in x)])
+    M.upsert_result_table(spark, name, one)
+    kept = before & files()
+    shard = lambda x: x.split("shard=")[1].split("/")[0]
+    assert {shard(x) for x in before - kept} == {shard(x) for x in files() - kept} and len({shard(x) for x in files() - kept}) == 1
+    M.upsert_result_table(spark, name, rows)
+    want, got = M.upsert_results(base, rows), spark.table(name).select(*M.RESULT_COLS)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_requests_come_by_conversation_and_turn(spark):
+    from sluice.operators import merge as M
+
+    todo = spark.createDataFrame([("10:0", 10, 0), ("2:10", 2, 10), ("9:1", 9, 1), ("2:2", 2, 2)], "id string, conv_id long, turn int")
+    assert [r.id for r in M.limit_requests(todo, 3).collect()] == ["2:2", "2:10", "9:1"]
+
+
+def test_sketched_quartiles_and_histograms(spark):
+    from sluice.operators import quantiles as KQ
+
+    draw = random.Random(9)
+    rows = [("even", draw.random() * 100) for _ in range(30_000)] + [("skewed", draw.expovariate(1) ** 3) for _ in range(30_000)]
+    rows += [("same", 4.0)] * 1000 + [("few", float(i)) for i in range(5)] + [("few", None), ("few", float("nan")), ("none", None)]
+    log = spark.createDataFrame(rows, "g string, v double").repartition(12)
+    whole = KQ.sketches(log, "v", ["g"])
+    parts = KQ.merged(KQ.sketches(log.withColumn("part", F.spark_partition_id() % 5), "v", ["g", "part"]), ["g"])
+    for found in (whole, parts):
+        found = KQ.write_table(found, "t-sketches")
+        boxes = {r.g: r for r in KQ.box(found, ["g"]).collect()}
+        assert set(boxes) == {"even", "skewed", "same", "few"} and boxes["few"].n == 5 and boxes["few"].lo == 0.0 and boxes["few"].hi == 4.0
+        assert boxes["few"].median == 2.0 and boxes["same"].q1 == boxes["same"].q3 == 4.0
+        for r in KQ.rank_errors(log, "v", KQ.box(found, ["g"]), ["g"]).collect():
+            assert max(r.q1_error, r.median_error, r.q3_error) < 0.01, r
+        hist = {}
+        for r in KQ.histogram(found, ["g"], 8).collect():
+            hist.setdefault(r.g, {})[r.bucket] = r
+        for g in ("even", "skewed"):
+            mine = [v for k, v in rows if k == g]
+            lo, hi = min(mine), max(mine)
+            assert abs(sum(r.n for r in hist[g].values()) - len(mine)) <= 8
+            for b, r in hist[g].items():
+                exact = sum(1 for v in mine if min(int((v - lo) * 8 / (hi - lo)), 7) + 1 == b)
+                assert abs(r.n - exact) <= 0.02 * len(mine), (g, b)
+
+
+def test_intermediate_tables_go_with_the_application(tmp_path):
+    """A session of its own leaves nothing in the checkpoint folder but what Spark itself keeps there."""
+    import os
+    import subprocess
+    import sys
+
+    code = f"""
+from sluice.session import get_spark, write_table, scratch_path
+spark = get_spark('local[2]')
+spark.sparkContext.setCheckpointDir({str(tmp_path)!r})
+t = write_table(spark.range(10), 'numbers')
+print(t.count(), t.inputFiles()[0])
+spark.stop()
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    n, file = out.stdout.split()
+    assert n == "10" and str(tmp_path) in file
+    assert not os.path.exists(file.removeprefix("file://"))
+    assert not [f for _, _, names in os.walk(tmp_path) for f in names if f.endswith(".parquet")]

@@ -25,6 +25,9 @@ def test_upsert_sink_replay_is_idempotent(spark):
     assert first == second
     want = upsert_results(base, B.incoming_results(spark, SF0001))
     got = spark.read.parquet(*second)
+    # each bucket is stored once
+    stored = [f"{v}/{b}" for v in ST._names(spark, out) if v.startswith("v") for b in ST._names(spark, f"{out}/{v}") if b.startswith("bucket=")]
+    assert len(stored) == len({x.split("/")[1] for x in stored}) == len(second)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
 
 
