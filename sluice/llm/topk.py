@@ -134,11 +134,15 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20, bucket: int = BUCKET,
           vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 64) -> DataFrame:
     """The ``k`` highest integer products of every query (rows whose vec_id is divisible by ``every``) with all
     other rows, ties to smaller vec_id: query_id, rank (from 1), vec_id, score. Fewer rows give fewer answers;
-    vectors of different widths are filled with zeros; an empty table gives no rows."""
+    vectors of different widths are filled with zeros; an empty table gives no rows. Components whose products could
+    leave 64 bits are an error."""
     spark = vectors.sparkSession
     rows = write_table(quantised(vectors, scale, vec_id, embedding), "vectors")
-    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+    n, width, most, least = rows.agg(F.count(F.lit(1)), F.max(F.size("vec")), F.max(F.array_max("vec")), F.min(F.array_min("vec"))).first()
     width = int(width or 0)
+    top = max(int(most or 0), -int(least or 0))
+    if top * top * width >= 1 << 63:
+        raise ValueError(f"{embedding}: components of {top / scale:g} are too large for 64-bit products")
     # 1. buckets of falling length; a hash breaks ties, so that one very common vector fills many buckets
     parts = max(1, -(-n // bucket))
     sorted_ = rows.repartitionByRange(parts, F.desc("norm"), F.xxhash64("vec_id")).sortWithinPartitions(F.desc("norm"), F.xxhash64("vec_id"))

@@ -50,3 +50,9 @@ def test_odd_vectors(spark):
 def test_products_beyond_floating_point():
     a = np.array([[2**31, 3], [1, 2**30]])
     assert topk.products(a, a).tolist() == [[2**62 + 9, 2**31 + 3 * 2**30], [2**31 + 3 * 2**30, 2**60 + 1]]
+
+
+def test_components_beyond_64_bits_are_an_error(spark):
+    for rows in ([(0, [1e30, 1.0]), (20, [-1e30, 1.0])], [(0, [4e7, 1.0]), (20, [4e7, 4e7])]):
+        with pytest.raises(ValueError, match="too large"):
+            topk.top_k(frame(spark, rows))
