@@ -56,11 +56,12 @@ N_FEATURES = len(TAGS) + len(CUES) + 14
 #: Training pages (drawn by a rule from a fixed seed) and gradient steps.
 PAGES, STEPS = 100, 80
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/<>]*)")
+_QUOTE_OR_END = re.compile(r"[\"'>]")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _PART = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(rf"<(?:{'|'.join(sorted(HIDDEN))})\b", re.I)
-_RAW_END = {tag: re.compile(rf"</{tag}(?![^\s/>])[^>]*>", re.I) for tag in RAW}
+_RAW_END = {tag: re.compile(rf"</{tag}(?![^\s/>])", re.I) for tag in RAW}
 
 
 @dataclass
@@ -77,20 +78,53 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
 
+def tag_ends(source: str) -> tuple[list[int], list[int]]:
+    """Places of all quotes and ``>``, and for each the place of the ``>`` that ends a tag whose attributes go on
+    there, quoted values skipped; -1 where none does. One walk from the end: an unbalanced quote costs nothing more."""
+    places = [m.start() for m in _QUOTE_OR_END.finditer(source)]
+    ends = [-1] * (len(places) + 1)
+    later = {'"': -1, "'": -1}  # index of the next quote of each kind
+    for k in range(len(places) - 1, -1, -1):
+        c = source[places[k]]
+        if c == ">":
+            ends[k] = places[k]
+        else:
+            ends[k] = ends[later[c] + 1] if later[c] >= 0 else -1
+            later[c] = k
+    return places, ends
+
+
 def tokens(source: str) -> Iterator[tuple[str, str, str, str, int]]:
     """Text before a tag, "/" if it closes, its name, its attributes, its place. Comments and the like have no
-    name; raw text is left out; the last text may have no tag."""
-    at, end = 0, len(source)
+    name; raw text is left out; the last text may have no tag. Time is linear in the page's length."""
+    at, look, end = 0, 0, len(source)
+    places, ends = tag_ends(source)
+    last = source.rfind(">")
     while at < end:
-        m = _TOKEN.search(source, at)
-        if not m:
+        place = source.find("<", look)
+        if place < 0:
             yield source[at:], "", "", "", end
             return
-        before, at, tag = source[at : m.start()], m.end(), (m[2] or "").lower()
-        if tag in RAW and not m[1] and not m[3].endswith("/"):
+        close, tag, attributes = "", "", ""
+        m = _NAME.match(source, place)
+        if source.startswith("<!--", place):
+            stop = source.find("-->", place + 4)
+            stop = end if stop < 0 else stop + 3
+        elif m:
+            stop = ends[bisect_left(places, m.end())] + 1
+            close, tag, attributes = "/" if source[place + 1] == "/" else "", m[1].lower(), source[m.end() : stop - 1]
+        else:
+            stop = source.find(">", place) + 1 if source[place + 1 : place + 2] in ("!", "?") and place < last else 0
+        if not stop:  # no tag: text
+            look = place + 1
+            continue
+        before, at = source[at:place], stop
+        if tag in RAW and not close and not attributes.endswith("/"):
             raw = _RAW_END[tag].search(source, at)
-            at = raw.end() if raw else end
-        yield before, m[1] or "", tag, m[3] or "", m.start()
+            stop = source.find(">", raw.end()) + 1 if raw else 0
+            at = stop or end
+        look = at
+        yield before, close, tag, attributes, place
 
 
 def closed(source: str) -> set[int]:

@@ -99,3 +99,26 @@ def test_math_and_objects_are_text(model):
     for hidden in ("<svg><title>T</title><path d='M0'/><text>label</text><svg><text>inner</text></svg><text>after</text></svg>", "<select><option>one<option>two</select>",
                    "<template><b>copy</b></template>", "<noscript><img src=x>No script</noscript>", "<svg/>"):
         assert article(hidden) == "The sum is known to all of us.", hidden
+
+
+@pytest.mark.parametrize("piece", ['<i title="y', "<a '", "<p>x<i title=\"y", "</textarea ", "<!x", "<textarea></textarea", "<b a=\"'", "<", "<!--", "<svg", "<x/"])
+def test_malformed_pages_take_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    for start in ("", "<p>x", "<textarea>"):
+        H.parse(start + piece * (300_000 // len(piece)))
+    assert time.perf_counter() - began < 10
+
+
+def test_tags_with_odd_quotes():
+    def seen(source):
+        return [(b, c + t, a) for b, c, t, a, _ in H.tokens(source)]
+
+    assert seen('a<b c="x>y">d</b>e') == [("a", "b", ' c="x>y"'), ("d", "/b", ""), ("e", "", "")]
+    assert seen("<i t=\"y>z") == [("<i t=\"y>z", "", "")]
+    assert seen("<i t=\"y'>z'\">w") == [("", "i", " t=\"y'>z'\""), ("w", "", "")]
+    assert seen("1 < 2 <b>x") == [("1 < 2 ", "b", ""), ("x", "", "")]
+    assert seen("<script>a<b></script >c") == [("", "script", ""), ("c", "", "")]
+    assert seen("<!-- <p> -->x<!doctype html>y<?z>") == [("", "", ""), ("x", "", ""), ("y", "", "")]
+    assert seen("x<!-- open") == [("x", "", "")]
