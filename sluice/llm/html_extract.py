@@ -29,6 +29,10 @@ BREAKOUT = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
+#: Elements that hold running text: a parent of many such characters is where the article is, whatever its tag.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote ul ol dl table figure li dt dd".split())
+#: Elements that are sections of their own.
+SECTIONS = frozenset("nav header footer aside form dialog".split())
 #: An opening tag closes these open elements, up to a border.
 CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -52,9 +56,9 @@ _CUE = {w: i for i, group in enumerate(CUES) for w in group}
 _TAG = {t: i for i, t in enumerate(TAGS)}
 _ARTICLE, _INLINE = frozenset(("article", "main")), frozenset("b i em strong span a code time".split())
 ROLES = {"navigation": 1, "banner": 2, "contentinfo": 3, "complementary": 4, "search": 6, "main": 8, "article": 8, "dialog": 5, "alert": 5}
-N_FEATURES = len(TAGS) + len(CUES) + 14
+N_FEATURES = len(TAGS) + len(CUES) + 19
 #: Training pages (drawn by a rule from a fixed seed) and gradient steps.
-PAGES, STEPS = 100, 80
+PAGES, STEPS = 400, 200
 
 _NAME = re.compile(r"</?([a-zA-Z][^\s/<>]*)")
 _QUOTE_OR_END = re.compile(r"[\"'>]")
@@ -266,6 +270,13 @@ def features(page: Page) -> np.ndarray:
             total[p] += total[i]
             linked[p] += linked[i]
             children[p] += 1
+    prose, heads = np.zeros(n), np.zeros(n)  # characters outside links in a node's own prose children; an h1 among them
+    for i in range(n - 1, 0, -1):
+        p = parent[i]
+        if p >= 0 and page.tag[i] in PROSE and not page.names[i]:
+            prose[p] += max(total[i] - 2 * linked[i], 0)
+            heads[p] = heads[p] or page.tag[i] == "h1"
+    prose /= max(prose.max(initial=0), 1)
     total, linked, children = np.array(total), np.array(linked), np.array(children)
     x = np.zeros((n, N_FEATURES))
     base = len(TAGS)
@@ -297,14 +308,23 @@ def features(page: Page) -> np.ndarray:
     x[:, tail + 10] = total / max(float(chars.sum()), 1)
     x[:, tail + 11] = [p >= 0 and tags[p] in _ARTICLE for p in parent]
     x[:, tail + 13] = [t in _INLINE for t in tags]
+    x[:, tail + 14] = prose
+    x[:, tail + 15] = [prose[p] if p >= 0 else 0 for p in parent]
+    x[:, tail + 16] = heads
+    # in the open: in no section and in nothing named like clutter, but for elements with most of the page's text
+    plain, outside = np.maximum(total - linked, 0), [True] * n
+    most = plain > plain.max(initial=0) / 2
+    clutter = x[:, base : tail - 1].any(1) & ~most
+    for i in range(n):
+        p = parent[i]
+        outside[i] = (p < 0 or outside[p]) and not clutter[i] and tags[i] not in SECTIONS
+    x[:, tail + 17] = outside
+    x[:, tail + 18] = np.where(outside, np.log1p(plain) / 5, 0)
     return x
 
 
-#: Kinds of edges: the child is an own section, another block, or inline.
-SECTIONS = frozenset("nav header footer aside form dialog".split())
-
-
 def edge_kinds(page: Page) -> np.ndarray:
+    """Kinds of edges: the child is an own section, another block, or inline."""
     return np.array([0 if t in SECTIONS or n else 1 if t in BLOCK else 2 for t, n in zip(page.tag, page.names, strict=True)], dtype=np.int64)
 
 
@@ -409,9 +429,15 @@ def train(pages: list[str], steps: int = STEPS, rate: float = 0.15, decay: float
     return Model(weight, pairwise)
 
 
-def labelled_pages(n: int = PAGES, seed: int = 29) -> list[str]:
+#: Shapes of training pages: the article in an element of its own; its parts right in the body (or in a nameless
+#: wrapper of the whole page); an article with a header and footer of its own; one long paragraph.
+SHAPES = ("wrapped", "bare", "own header", "one paragraph")
+
+
+def labelled_pages(n: int = PAGES, seed: int = 29, shapes: tuple[str, ...] = ("wrapped", *SHAPES)) -> list[str]:
     """Training pages with labelled parts, drawn by a rule: an article of paragraphs, headings, lists, quotes and
-    tables of any length, among menus, headers, footers, sidebars, notices, adverts, forms and comments."""
+    tables of any length, among menus, headers, footers, sidebars, notices, adverts, forms and comments. An article's
+    own header (title and byline) is content, its own footer is not. Shapes take turns."""
     draw = random.Random(seed)
     syllables = "ba ce di fo gu la me ni po ru sa te vi xo zu ar en il on us".split()
 
@@ -468,14 +494,31 @@ def labelled_pages(n: int = PAGES, seed: int = 29) -> list[str]:
         return f'<{(tag := draw.choice(["section", "div", "aside"]))} data-label="other" id="comments" class="{draw.choice(["comments", "reader-comments", "discussion"])}">' + "".join(
             f'<div class="comment"><b>{words(1, 2)}</b><p>{words(3, 60)}</p></div>' for _ in range(draw.randint(1, 6))) + f"</{tag}>"
 
+    def own(tag: str, body: str, label: str) -> str:
+        name = draw.choice(["", "", f' class="entry-{tag}"', f' class="post-{tag}"', f' class="article-{tag}"'])
+        return f'<{tag} data-label="{label}"{name}>{body}</{tag}>'
+
     pages = []
-    for _ in range(n):
-        body = [f"<h1>{words(2, 9)}</h1>"] if draw.random() < 0.9 else []
+    for i in range(n):
+        shape = shapes[i % len(shapes)]
+        body = [f"<h1>{words(2, 9)}</h1>"] if draw.random() < (0.5 if shape == "one paragraph" else 0.9) else []
         parts = [part() for _ in range(draw.choice([1, 2, 4, 8, 16]))]
+        if shape == "bare":
+            parts = [f"<p>{words(20, 120)}</p>" for _ in range(draw.choice([1, 2, 3]))] + parts
+        elif shape == "one paragraph":
+            parts = [f"<p>{words(30, 300)}</p>"]
         if draw.random() < 0.35:
             parts.insert(draw.randint(0, len(parts)), clutter())
+        if shape == "own header" or (shape != "wrapped" and draw.random() < 0.3):
+            byline = draw.choice([f"<p>{words(2, 5)}</p>", f"<time>{words(1, 3)}</time>", f"<p>{words(2, 4)} <a href='/x'>{words(1, 2)}</a></p>", ""])
+            body = [own("header", f"<h1>{words(2, 9)}</h1>{byline}", "content")]
+            if shape == "own header":
+                parts.append(own("footer", draw.choice([f"<p>{words(2, 20)}</p>", f"{words(2, 8)}{links(1, 4)}", words(2, 12)]), "other"))
+        if draw.random() < 0.15 and shape != "bare":
+            parts.append(comments())
         tag, name = draw.choice([("article", ""), ("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="article-body"'), ("section", ' class="entry"')])
-        article = f'<{tag}{name} data-label="content">' + "".join(body + parts) + (comments() if draw.random() < 0.15 else "") + f"</{tag}>"
+        bare = shape == "bare" or (shape == "one paragraph" and draw.random() < 0.5)
+        article = "".join(body + parts) if bare else f'<{tag}{name} data-label="content">' + "".join(body + parts) + f"</{tag}>"
         top = [f'<nav data-label="other">{links(2, 9)}</nav>'] if draw.random() < 0.7 else [other("menu", "navbar", body=links(3, 9))]
         if draw.random() < 0.5:
             top.insert(0, f'<header data-label="other"><div class="logo">{words(1, 3)}</div>{paragraph() if draw.random() < 0.4 else ""}</header>')
@@ -484,8 +527,9 @@ def labelled_pages(n: int = PAGES, seed: int = 29) -> list[str]:
         if draw.random() < 0.3:
             bottom.insert(0, comments())
         bottom.append(f'<footer data-label="other">&copy; {words(1, 3)} &middot; {words(2, 20)}</footer>' if draw.random() < 0.8 else other("footer", "copyright"))
-        wrap = draw.choice([("", ""), ("", ""), ('<div id="wrapper">', "</div>"), ("<div><div>", "</div></div>")])
-        pages.append("<!DOCTYPE html><html><head><title>x</title></head><body>" + wrap[0] + "".join(top) + article + "".join(bottom) + wrap[1] + ("</body></html>" if draw.random() < 0.9 else ""))
+        wrap, label = draw.choice([("", ""), ("", ""), ('<div id="wrapper"{}>', "</div>"), ("<div><div{}>", "</div></div>")]), ' data-label="content"' if bare else ""
+        pages.append(f"<!DOCTYPE html><html><head><title>x</title></head><body{'' if wrap[0] else label}>" + wrap[0].format(label) + "".join(top) + article + "".join(bottom) + wrap[1]
+                     + ("</body></html>" if draw.random() < 0.9 else ""))
     return pages
 
 

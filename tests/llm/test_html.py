@@ -16,6 +16,27 @@ def test_held_out_pages(model):
     assert right.mean() > 0.99
 
 
+@pytest.mark.parametrize("shape", H.SHAPES)
+def test_held_out_shapes(model, shape):
+    sources = H.labelled_pages(80, seed=1234, shapes=(shape,))
+    pages = [H.parse(p) for p in sources]
+    labels = [H.labels_of(p) for p in pages]
+    assert ((model.marginals(pages) >= 0.5) == np.concatenate(labels)).mean() > 0.99
+    whole = ["\n\n".join(t for n, t in p.blocks if n >= 0 and y[n]) for p, y in zip(pages, labels, strict=True)]
+    assert sum(a == b for a, b in zip(H.texts(sources, model), whole, strict=True)) >= 0.9 * len(sources)
+
+
+def test_articles_without_a_wrapper_or_with_their_own_header(model):
+    part = "This is a long paragraph of the story, and it says many things about the world and its people. " * 4
+    part = part.strip()
+    menu = "<nav><ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul></nav>"
+    bare = f"<html><body>{menu}<h1>Title here</h1><p>{part}</p><p>{part}</p><p>{part}</p><footer>&copy; Me 2020</footer></body></html>"
+    own = (f"<html><body>{menu}<article><header><h1>Title here</h1><p>By someone</p></header><p>{part}</p>"
+           "<footer>Posted in <a href=/x>News</a></footer></article><footer>&copy; Me</footer></body></html>")
+    one = f"<html><body>{menu}<p>{part} {part}</p><footer>&copy; Me 2020</footer></body></html>"
+    assert H.texts([bare, own, one], model) == [f"Title here\n\n{part}\n\n{part}\n\n{part}", f"Title here\n\nBy someone\n\n{part}", f"{part} {part}"]
+
+
 def test_marginals_are_exact():
     """Against the sum over all labellings of a small tree."""
     page = H.parse("<div>a<p>b <b>c</b></p><ul><li>d</ul></div>")
