@@ -141,54 +141,93 @@ def cut_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACIT
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(cut, PIECES)
 
 
-def _exact(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths that fill ``capacity`` exactly, with how often; lowers ``counts``.
+class SumIndex:
+    """Sums below ``capacity`` of one, two and three of the lengths in ``counts``, indexed once.
 
-    From the longest length down, the gap is looked up among single lengths, sums of pairs and sums of
-    triples of available lengths, larger members first; a combination is used as often as its members last.
+    A pair is kept under its sum, a triple under its sum as a length and the sum of a pair; larger lengths come
+    first. ``use`` lowers the counts. Counts only fall, so a pair without its lengths is passed by for good: every
+    sum remembers its first pair that is still there.
     """
-    found: list[tuple[tuple[int, ...], int]] = []
 
-    def use(pattern: tuple[int, ...]) -> bool:
+    def __init__(self, counts: np.ndarray, capacity: int):
+        self.counts: list[int] = counts.tolist()
+        have = np.flatnonzero(counts[:capacity]).astype(np.int32)
+        pairs, starts = self._by_sum(have, have, capacity, ordered=True)
+        self.larger, self.smaller, self.starts = memoryview(pairs[0]), memoryview(pairs[1]), starts.tolist()
+        self.first = self.starts[:-1]
+        sums = np.flatnonzero(np.diff(starts)).astype(np.int32)
+        triples, starts = self._by_sum(have, sums, capacity)
+        self.single, self.pair_sum, self.triple_starts = memoryview(triples[0]), memoryview(triples[1]), starts.tolist()
+
+    @staticmethod
+    def _by_sum(a: np.ndarray, b: np.ndarray, capacity: int, ordered: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """All (x, y) of ``a`` and ``b`` with a sum below ``capacity``, by sum and falling x (``ordered``: y at most
+        x), and where each sum starts."""
+        fits = a[:, None] + b[None, :] < capacity
+        if ordered:
+            fits &= b[None, :] <= a[:, None]
+        i, j = np.nonzero(fits)
+        x, y = a[i], b[j]
+        by = np.lexsort((-x, x + y))
+        x, y = x[by], y[by]
+        return np.stack([x, y]), np.searchsorted(x + y, np.arange(capacity + 1))
+
+    def _there(self, at: int) -> bool:
+        a, b = self.larger[at], self.smaller[at]
+        return self.counts[a] > (a == b) and self.counts[b] > 0
+
+    def singles(self, total: int) -> Iterator[tuple[int, ...]]:
+        if self.counts[total]:
+            yield (total,)
+
+    def pairs(self, total: int) -> Iterator[tuple[int, ...]]:
+        at, end = self.first[total], self.starts[total + 1]
+        while at < end and not self._there(at):
+            at += 1
+        self.first[total] = at
+        for k in range(at, end):
+            if self._there(k):
+                yield self.larger[k], self.smaller[k]
+
+    def triples(self, total: int) -> Iterator[tuple[int, ...]]:
+        for k in range(self.triple_starts[total], self.triple_starts[total + 1]):
+            a = self.single[k]
+            if self.counts[a]:
+                for b, c in self.pairs(self.pair_sum[k]):
+                    if not self.counts[a]:
+                        break
+                    yield a, b, c
+
+    def use(self, pattern: tuple[int, ...]) -> int:
+        """Take ``pattern`` as often as its lengths last."""
         need = {x: pattern.count(x) for x in pattern}
-        times = min(int(counts[x]) // k for x, k in need.items())
+        times = min(self.counts[x] // k for x, k in need.items())
         if times:
             for x, k in need.items():
-                counts[x] -= times * k
-            found.append((pattern, times))
-        return times > 0
-
-    def pair(total: int, most: int) -> Iterator[tuple[int, int]]:
-        """Available (a, b) with a + b = total and total / 2 <= a <= most, larger a first."""
-        low, high = -(-total // 2), min(most, total - 1)
-        if low <= high:
-            a = np.arange(high, low - 1, -1)
-            for x in a[(counts[a] > 0) & (counts[total - a] > 0)]:
-                yield int(x), total - int(x)
-
-    if counts[capacity]:
-        use((capacity,))
-    for length in range(capacity - 1, 0, -1):
+                self.counts[x] -= times * k
+        return times
+
+
+def _exact(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns of lengths that fill ``capacity`` exactly, with how often; lowers ``counts``.
+
+    From the longest length down, the gap is looked up in the index of single lengths, sums of pairs and sums of
+    triples, larger members first; a combination is used as often as its members last.
+    """
+    index = SumIndex(counts, capacity)
+    found: list[tuple[tuple[int, ...], int]] = []
+    for length in range(capacity, 0, -1):
         gap = capacity - length
-        if not counts[length]:
-            continue
-        if gap <= length and counts[gap]:
-            use((length, gap))
-        if counts[length]:
-            for a, b in pair(gap, min(gap - 1, length)):
-                if not counts[length]:
-                    break
-                use((length, a, b))
-        if counts[length]:
-            have = np.flatnonzero(counts[: min(gap - 1, length + 1)])[::-1]
-            for a in have:
-                if not counts[length]:
+        for fillers in (index.singles, index.pairs, index.triples) if gap else (lambda _: iter([()]),):
+            if not index.counts[length]:
+                break
+            for members in fillers(gap):
+                times = index.use((length, *members))
+                if times:
+                    found.append(((length, *members), times))
+                if not index.counts[length]:
                     break
-                if counts[a]:
-                    for b, c in pair(gap - int(a), min(int(a), gap - int(a) - 1)):
-                        if not counts[length] or not counts[a]:
-                            break
-                        use((length, int(a), b, c))
+    counts[:] = index.counts
     return found
 
 

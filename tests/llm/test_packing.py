@@ -64,6 +64,30 @@ def test_patterns_use_every_piece(seed):
     assert used == Counter(lengths)
 
 
+@pytest.mark.parametrize("seed", range(8))
+def test_index_of_sums(seed):
+    """Looked-up combinations against all of them, while counts fall."""
+    draw = random.Random(seed)
+    capacity = draw.choice([12, 30, 60])
+    counts = np.array([0] + [draw.choice([0, 1, 2, 5]) for _ in range(capacity)])
+    index = packing.SumIndex(counts, capacity)
+    for _ in range(60):
+        total = draw.randrange(1, capacity)
+        there = {x for x in range(1, capacity) if index.counts[x]}
+        pairs = {(a, total - a) for a in there if total - a in there and 2 * a > total} | ({(total // 2,) * 2} if total % 2 == 0 and index.counts[total // 2] > 1 else set())
+        assert set(index.singles(total)) == ({(total,)} if total in there else set())
+        assert set(index.pairs(total)) == pairs and [a for a, _ in index.pairs(total)] == sorted((a for a, _ in pairs), reverse=True)
+        possible = {tuple(sorted((a, b, total - a - b))) for a in there for b in there if total - a - b in there}
+        possible = {t for t in possible if all(t.count(x) <= index.counts[x] for x in t)}
+        found = {tuple(sorted(t)) for t in index.triples(total)}
+        assert {t for t in found if all(t.count(x) <= index.counts[x] for x in t)} == possible
+        if possible:
+            pattern = draw.choice(sorted(possible))
+            before = [index.counts[x] for x in pattern]
+            times = index.use(pattern)
+            assert times > 0 and [index.counts[x] for x in pattern] == [n - times * pattern.count(x) for n, x in zip(before, pattern, strict=True)]
+
+
 def test_exact_complements_first():
     patterns = dict(packing.plan_patterns({60: 3, 40: 1, 25: 1, 15: 2, 10: 1}, 100))
     assert patterns[60, 40] == 1 and patterns[60, 25, 15] == 1  # a single, then a pair; 15 + 10 is left
