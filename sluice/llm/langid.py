@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.session import write_table
+
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 8
-#: Bounds of the training sample: rows of a language (those of the smallest hash of doc_id), windows of a
-#: row, and rows of all languages (shared evenly, but one row of each language at least).
+#: Bounds of the training sample: ids of a language (those of the smallest hash), windows of a row, and ids of
+#: all languages (shared evenly, but one of each language at least).
 ROWS, WINDOWS, TOTAL = 600, 6, 38_400
 #: Windows scored at once.
 BATCH = 256
@@ -177,15 +179,31 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def smallest(named: DataFrame, rows: int, total: int) -> tuple[DataFrame, bool]:
+    """The ``rows`` ids (fewer if all languages together would have more than ``total``) of the smallest hash of every
+    language of ``named`` (_lang, _id, _hash), and whether they are few enough to be broadcast.
+
+    The number of ids of a language, estimated by partial aggregates, gives a hash below which about twice as many
+    ids lie as are wanted; only these are shuffled and ranked, whatever the number of rows and tasks.
+    """
+    sizes = write_table(named.groupBy("_lang").agg(F.approx_count_distinct("_hash", 0.03).alias("_ids")), "languages")
+    languages = sizes.count()
+    each, few = min(rows, max(total // max(languages, 1), 1)), languages <= total
+    share = F.lit(2.0 * each + 200) / F.greatest(F.col("_ids"), F.lit(1))
+    below = sizes.select("_lang", (F.least(share, F.lit(1.0)) * 2.0**64 - 2.0**63).alias("_below"))
+    near = named.join(F.broadcast(below) if few else below, "_lang").where(F.col("_hash").cast("double") <= F.col("_below"))
+    first = Window.partitionBy("_lang").orderBy("_hash", "_id")
+    ranked = near.select("_lang", "_id", "_hash").distinct().withColumn("_n", F.row_number().over(first))
+    return ranked.where(F.col("_n") <= each).select("_lang", "_id"), few
+
+
 def fit(docs: DataFrame, rows: int = ROWS, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", total: int = TOTAL, **options) -> Network | None:
-    """A network learned from a bounded sample of the rows with a language that are not held out: ``rows`` rows of
-    every language, fewer each if these are more than ``total``, of a row ``WINDOWS`` windows. None if there is no
-    such row."""
+    """A network learned from a bounded sample of the rows with a language that are not held out: ``rows`` ids of
+    every language, fewer each if these are more than ``total``, of an id ``WINDOWS`` windows of its largest text.
+    None if there is no such row."""
     known = docs.where(F.col(lang).isNotNull() & ~held_out(F.col(doc_id)) & F.col(doc_id).isNotNull())
     named = known.select(F.col(lang).alias("_lang"), F.col(doc_id).alias("_id"), F.xxhash64(F.lit(11), F.col(doc_id)).alias("_hash"))
-    each = min(rows, max(total // max(named.select("_lang").distinct().count(), 1), 1))
-    first = Window.partitionBy("_lang").orderBy("_hash", "_id")
-    sample = named.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= each).select("_lang", "_id").distinct()
+    sample, few = smallest(named, rows, total)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +214,7 @@ def fit(docs: DataFrame, rows: int = ROWS, text: str = "text", lang: str = "lang
                     parts.append(part)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], names=["lang", "part"])
 
-    chosen = F.broadcast(sample)  # at most ``total`` ids, or one of each language
+    chosen = F.broadcast(sample) if few else sample  # at most ``total`` ids
     held = (known.select(F.col(lang).alias("_lang"), F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("_text"))
             .join(chosen, ["_lang", "_id"]).groupBy("_lang", "_id").agg(F.max("_text")).mapInArrow(windows, "lang string, part binary").collect())
     held = sorted((r["lang"], bytes(r["part"])) for r in held if r["part"])

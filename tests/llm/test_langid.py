@@ -64,3 +64,22 @@ def test_every_language_is_a_class(make_docs, monkeypatch):
     langid.fit(docs, total=140)
     langid.fit(docs, total=10)
     assert sizes == [(140, names), (70, names)]
+
+
+def test_sample_is_the_smallest_hashes(spark):
+    """Against all ids ranked plainly, with a third of the rows under one id and languages of any size."""
+    from pyspark.sql import functions as F
+
+    rows = [("en", i) for i in range(6000)] + [("en", 7)] * 4000 + [("de", 10_000 + i) for i in range(900)] + [("fr", 1), ("fr", 1), ("fr", 2)]
+    named = spark.createDataFrame(rows, "_lang string, _id long").withColumn("_hash", F.xxhash64(F.lit(11), "_id")).repartition(7)
+    for each, total, want in ((600, 38_400, 600), (600, 90, 30), (600, 2, 1)):
+        got, few = langid.smallest(named, each, total)
+        assert few == (total >= 3)
+        found = {}
+        for lang, i in got.collect():
+            found.setdefault(lang, set()).add(i)
+        plain = {}
+        for lang, h, i in sorted({(r["_lang"], r["_hash"], r["_id"]) for r in named.collect()}):
+            if len(plain.setdefault(lang, set())) < want:
+                plain[lang].add(i)
+        assert found == plain
