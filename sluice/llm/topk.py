@@ -25,6 +25,8 @@ K = 20
 BUCKET, QUERIES, TOGETHER = 4096, 512, 8
 #: Full buckets of the longest vectors that give every query its first threshold.
 SEEDS = 2
+#: Lengths that stand for all groups of buckets when a block of queries looks up how far down it must go.
+MARKS = 65_536
 #: From this local cosine threshold on a bucket is pruned by coordinate, below by length.
 COORDINATE = 0.5
 _EXACT = float(1 << 53)
@@ -130,6 +132,39 @@ def _take(q_id: int, scores: np.ndarray, ids: np.ndarray, least: float, at_least
         yield int(q_id), ids[at], scores[at]
 
 
+def needed_length(norms: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Length that a vector must have to reach each query's threshold; without a threshold or length, any will do."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        need = np.where((norms > 0) & (least > 0), least / np.maximum(norms, 1e-300), -np.inf)
+    return need * (1 - 1e-9)
+
+
+def in_groups(buckets: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """``buckets`` with ``grp``: those of ``together`` neighbouring ranges of falling length (the upper bits of
+    ``bucket``) share one, so group numbers rise as lengths fall."""
+    return buckets.withColumn("grp", F.floor(F.shiftright("bucket", 33) / F.lit(together)).cast("int"))
+
+
+def marks_of(numbered: DataFrame, count: int = MARKS) -> tuple[np.ndarray, np.ndarray]:
+    """At most about ``count`` marks (the last group that a mark stands for, the longest length among its groups), in order."""
+    last = numbered.agg(F.max("grp")).first()[0]
+    stride = 1 if last is None else -(-(last + 1) // count)
+    rows = numbered.groupBy(F.floor(F.col("grp") / F.lit(stride)).alias("mark")).agg(F.max("grp"), F.max("longest")).collect()
+    found = sorted((r[1], r[2]) for r in rows)
+    return np.array([g for g, _ in found], dtype=np.int64), np.array([x for _, x in found], dtype=np.float64)
+
+
+def groups_down_to(marks: tuple[np.ndarray, np.ndarray], need: float) -> int:
+    """Group numbers below this may hold a vector of length ``need``."""
+    at = np.flatnonzero(marks[1] >= need)
+    return int(marks[0][at[-1]]) + 1 if len(at) else 0
+
+
+def ask(blocks: DataFrame) -> DataFrame:
+    """One row for each group of buckets that a block of queries cannot rule out by its length."""
+    return blocks.where(F.col("upto") > 0).select("asked", F.explode(F.sequence(F.lit(0), F.col("upto") - 1)).alias("grp"))
+
+
 def top_k(vectors: DataFrame, k: int = K, every: int = 20, bucket: int = BUCKET, queries: int = QUERIES, seeds: int = SEEDS,
           vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 64) -> DataFrame:
     """The ``k`` highest integer products of every query (rows whose vec_id is divisible by ``every``) with all
@@ -172,13 +207,13 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20, bucket: int = BUCKET,
     first = [_unpacked(r["packed"]) for r in buckets.orderBy(F.desc("longest"), "bucket").limit(enough).collect()]
     shared = spark.sparkContext.broadcast(first)
 
-    def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed_ids = np.concatenate([x[0] for x in shared.value]) if shared.value else np.empty(0, np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, queries):
                 part = batch.slice(i, queries)
                 ids, norms = part.column(0).to_numpy(), part.column(2).to_numpy()
                 matrix = _matrix(part.column(1).to_pylist(), width)
-                seed_ids = np.concatenate([x[0] for x in shared.value]) if shared.value else np.empty(0, np.int64)
                 scores = np.concatenate([products(matrix, x[2]) for x in shared.value], 1) if shared.value else np.empty((len(ids), 0))
                 least, at_least = np.full(len(ids), -np.inf), np.full(len(ids), np.iinfo(np.int64).max)
                 for j in range(len(ids)):
@@ -186,14 +221,28 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20, bucket: int = BUCKET,
                     top = best(seed_ids[other], scores[j][other], k)
                     if len(top) == k:
                         least[j], at_least[j] = scores[j][other][top[-1]], seed_ids[other][top[-1]]
-                yield pa.RecordBatch.from_arrays([pa.array([_packed(ids, matrix, norms, least, at_least)], pa.binary())], names=["packed"])
-
-    blocks = rows.where(F.col("vec_id") % every == 0).select("vec_id", "vec", "norm").mapInArrow(in_blocks, "packed binary")
-    blocks = write_table(blocks, "query-blocks")
-    # 3. every block of queries meets every bucket, TOGETHER buckets in a group
-    groups = max(1, -(-count // TOGETHER))
-    numbered = buckets.withColumn("grp", F.pmod(F.xxhash64("bucket"), F.lit(groups)).cast("int"))
-    asked = blocks.select(F.col("packed").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("grp"))
+                arrays = [part.column(0), part.column(1), part.column(2), pa.array(least), pa.array(at_least, pa.int64()), pa.array(needed_length(norms, least))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["vec_id", "vec", "norm", "least", "at_least", "need"])
+
+    ready = rows.where(F.col("vec_id") % every == 0).select("vec_id", "vec", "norm").mapInArrow(
+        thresholds, "vec_id long, vec array<long>, norm double, least double, at_least long, need double")
+    ready = write_table(ready, "queries")
+    # 3. queries that need vectors of similar length form a block, which meets the groups of buckets down to that length
+    numbered = in_groups(buckets)
+    marks = marks_of(numbered)
+
+    def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, queries):
+                part = batch.slice(i, queries)
+                ids, norms, least, at_least, need = (part.column(c).to_numpy() for c in (0, 2, 3, 4, 5))
+                value = _packed(ids, _matrix(part.column(1).to_pylist(), width), norms, least, at_least)
+                upto = groups_down_to(marks, float(need.min()))
+                yield pa.RecordBatch.from_arrays([pa.array([value], pa.binary()), pa.array([upto], pa.int32())], names=["asked", "upto"])
+
+    blocks = ready.repartitionByRange(max(1, -(-ready.count() // (8 * queries))), F.desc("need"), F.xxhash64("vec_id")).sortWithinPartitions(F.desc("need"))
+    blocks = write_table(blocks.mapInArrow(in_blocks, "asked binary, upto int"), "query-blocks")
+    asked = ask(blocks)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

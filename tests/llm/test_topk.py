@@ -39,6 +39,25 @@ def test_clustered_vectors_prune_by_coordinate(spark):
     same(topk.top_k(frame(spark, rows), k=5, every=7, bucket=32, queries=8), plain(rows, 5, 7))
 
 
+def test_groups_too_short_for_a_block_are_not_shipped(spark, monkeypatch):
+    """Short vectors, which no query can use, meet none; a mark may stand for several groups."""
+    draw = np.random.default_rng(5)
+    rows = [(i, (np.eye(4)[i % 4] * (20 if i % 8 < 4 else 0.5) + draw.normal(0, 0.1, 4)).tolist()) for i in range(1200)]
+    shipped = []
+    monkeypatch.setattr(topk, "ask", lambda blocks, ask=topk.ask: shipped.append((ask(blocks).count(), blocks.count())) or ask(blocks))
+    numbered = []
+    monkeypatch.setattr(topk, "in_groups", lambda buckets, f=topk.in_groups: numbered.append(f(buckets, 2)) or numbered[-1])
+    same(topk.top_k(frame(spark, rows), k=5, every=5, bucket=20, queries=16, seeds=12), plain(rows, 5, 5))
+    groups = numbered[0].select("grp").distinct().count()
+    assert groups > 10 and 0 < shipped[0][0] <= 0.7 * groups * shipped[0][1]
+    for few in (3, 100):
+        last, longest = topk.marks_of(numbered[0], few)
+        by = {r["grp"]: r["l"] for r in numbered[0].groupBy("grp").agg(topk.F.max("longest").alias("l")).collect()}
+        for need in (-np.inf, 10.0, 700.0, 1285.0, 1e9):
+            upto = topk.groups_down_to((last, longest), need)
+            assert upto >= max((g + 1 for g, x in by.items() if x >= need), default=0) and (few == 3 or upto == max((g + 1 for g, x in by.items() if x >= need), default=0))
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 2.0]), (1, None), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, [None, 1.0]), (None, [1.0, 1.0]), (5, []), (6, [-1.0, -0.001]),
             (7, [3.0]), (20, [0.0, 0.0]), (20, [0.0, 0.0]), (40, [1e6, -1e6]), (8, [1e6, 3.0])]
