@@ -5,7 +5,9 @@ any fixed order of tokens; here the rarest come first. Every document picks its
 costs more postings but asks for more shared tokens, so fewer candidates need verification. A pair has to
 share ``min(L, L')`` tokens.
 
-1. Shingle hashes are dealt by hash range; equal sets travel once (class = hash of the set). A task
+1. Shingle hashes are counted by bounded summaries. Those above a bound are hot: their number is known from here,
+   so they go straight to the classes that hold them.
+   The others are dealt by hash range; equal sets travel once (class = hash of the set). A task
    drops the shingles of one class only and tells the others' number of classes.
 2. By class, the shared shingles are put in order. A class with too many unshared shingles has an empty
    prefix, so it cannot have a partner, and ends here.
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ from sluice.session import write_table
 WIDTH, PERCENT = 4, 85
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 8 << 20
+#: A shingle is hot when it has this many entries, or this share of all entries if that is more.
+HOT, HOT_SHARE = 1 << 16, 2.0**-19
 #: Shared shingles that one join task holds, about; larger clusters are split in blocks.
 JOIN_TOKENS = 1_000_000
 #: Costs in units of one posting: a prefix token looked up, a candidate verified.
@@ -72,28 +77,85 @@ def prefix_length(n: np.ndarray | int, level: np.ndarray | int, percent: int):
     return n + (-percent * n) // 100 + level  # n - ceil(percent * n / 100) + level
 
 
-def _deal(block: dict[str, list], width: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """A block's documents, its classes with their sizes (by class) and the shingles of the classes (by hash range)."""
-    tokens, border = shingle_sets(block["text"], width)
+def _entries(texts: list[bytes | None], width: int) -> tuple[np.ndarray, ...]:
+    """Of a block: set sizes and classes of the texts, the first text of each class that has shingles, and the shingles
+    of those texts, each with its text."""
+    tokens, border = shingle_sets(texts, width)
     n = np.diff(border)
     kind = _class_of(tokens, border)
+    _, first = np.unique(kind, return_index=True)
+    first = first[n[first] > 0]
+    keep = np.zeros(len(n), dtype=bool)
+    keep[first] = True
+    text = np.repeat(np.arange(len(n), dtype=np.uint32), n)
+    chosen = keep[text]
+    return n, kind, first, tokens[chosen], text[chosen]
+
+
+class Summary:
+    """Counts of the most frequent tokens of a stream in at most ``size`` counters: a count is too small by at most
+    ``seen / size``, and a token that is more frequent than that has a counter."""
+
+    def __init__(self, size: int):
+        self.size, self.seen = size, 0
+        self.tokens, self.counts = np.empty(0, U64), np.empty(0, np.int64)
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.seen += len(tokens)
+        new, counts = np.unique(tokens, return_counts=True)
+        self.tokens, where = np.unique(np.concatenate([self.tokens, new]), return_inverse=True)
+        self.counts = np.bincount(where, weights=np.concatenate([self.counts, counts]), minlength=len(self.tokens)).astype(np.int64)
+        if len(self.tokens) > self.size:
+            self.counts -= np.partition(self.counts, len(self.counts) - self.size - 1)[len(self.counts) - self.size - 1]
+            stay = self.counts > 0
+            self.tokens, self.counts = self.tokens[stay], self.counts[stay]
+
+
+def frequent(plain: DataFrame, width: int, text_bytes: int, hot: int = HOT, hot_share: float = HOT_SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """The hot shingles, sorted, and their counted numbers of entries (one of a class and block).
+
+    Every shingle with ``hot`` entries and the share ``hot_share`` of all entries is found, and none below a quarter
+    of the two; there are at most 4 / ``hot_share``. Tasks count in bounded summaries and send what may be frequent.
+    """
+    share = max(hot_share, min(hot / max(text_bytes, 1), 1.0))  # a text has fewer entries than bytes
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summary = Summary(int(np.ceil(4 / share)))
+        for block in blocks(batches, "text", BLOCK_BYTES):
+            summary.add(_entries(block["text"], width)[3])
+        often = summary.counts >= max(share / 4 * summary.seen, 1)
+        token = pa.array([None, *summary.tokens[often].view(np.int64).tolist()], pa.int64())
+        yield pa.RecordBatch.from_arrays([token, pa.array([summary.seen, *summary.counts[often].tolist()], pa.int64())], names=["token", "entries"])
+
+    counted = write_table(plain.select("text").mapInArrow(count, "token long, entries long").groupBy("token").agg(F.sum("entries").alias("entries")), "frequent")
+    total = counted.where("token is null").agg(F.max("entries")).first()[0] or 0
+    rows = counted.where(F.col("token").isNotNull() & (F.col("entries") >= F.lit(share / 4 * total))).collect()
+    found = sorted((r["token"] % (1 << 64), r["entries"]) for r in rows)
+    return np.array([t for t, _ in found], dtype=U64), np.array([c for _, c in found], dtype=np.int64)
+
+
+def _deal(block: dict[str, list], width: int, buckets: int, hot: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """A block's documents, its classes with their sizes and hot shingles (by class) and the other shingles of the
+    classes (by hash range)."""
+    n, kind, first, tokens, text = _entries(block["text"], width)
     ids = np.array([x if x is not None else 0 for x in block["doc_id"]], dtype=np.int64)
     null = np.array([x is None for x in block["doc_id"]], dtype=np.uint8)
     yield 2 * buckets + int(mix64(kind[:1].view(U64) + ids[:1].view(U64))[0] % U64(buckets)), pack(kind, n.astype(np.uint32), ids, null)
-    _, first = np.unique(kind, return_index=True)
-    first = first[n[first] > 0]
     if not len(first):
         return
+    is_hot = np.zeros(len(tokens), dtype=bool)
+    if len(hot):
+        is_hot = hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+    hot_tokens, hot_text = tokens[is_hot], text[is_hot]
+    tokens, text = tokens[~is_hot], text[~is_hot]
     target = kind[first].view(U64) % U64(buckets)
     by = np.argsort(target, kind="stable")
     first = first[by]
     for i, j in _spans(target[by]):
-        yield buckets + int(target[by[i]]), pack(np.zeros(1, np.uint8), kind[first[i:j]], n[first[i:j]].astype(np.uint32))
-    text = np.repeat(np.arange(len(n), dtype=np.uint32), n)
-    keep = np.zeros(len(n), dtype=bool)
-    keep[first] = True
-    chosen = keep[text]
-    tokens, text = tokens[chosen], text[chosen]
+        some = first[i:j]
+        low, high = np.searchsorted(hot_text, some), np.searchsorted(hot_text, some, side="right")
+        held = np.concatenate([hot_tokens[a:b] for a, b in zip(low, high, strict=True)])
+        yield buckets + int(target[by[i]]), pack(np.zeros(1, np.uint8), kind[some], n[some].astype(np.uint32), (high - low).astype(np.uint32), held)
     by = np.argsort(tokens)
     tokens, text = tokens[by], text[by]
     bucket = ((tokens >> U64(32)) * U64(buckets)) >> U64(32)
@@ -146,8 +208,8 @@ def _share(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["bucket", "packed"])
 
 
-def _order(frame: pd.DataFrame, percent: int, buckets: int) -> pd.DataFrame:
-    """By class, where the prefix is not empty, its shared shingles, rarest first. Documents pass as they came."""
+def _order(frame: pd.DataFrame, percent: int, buckets: int, hot: np.ndarray, hot_often: np.ndarray) -> pd.DataFrame:
+    """By class, where the prefix is not empty, its shared and hot shingles, rarest first. Documents pass as they came."""
     columns = ["kind", "n", "tokens", "often"]
     if int(frame["bucket"].iloc[0]) >= 2 * buckets:
         return pd.DataFrame([(None, 0, value, None) for value in frame["packed"]], columns=columns).astype({"kind": "Int64"})
@@ -156,14 +218,19 @@ def _order(frame: pd.DataFrame, percent: int, buckets: int) -> pd.DataFrame:
         mark, *rest = unpack(value)
         (entries if mark[0] else sizes).append(rest)
     rows = []
+    size_of: dict[int, int] = {}
+    for kind, n, many, held in sizes:
+        size_of.update(zip(kind.tolist(), n.tolist(), strict=True))
+        if len(held):
+            entries.append([kind, many, held, np.minimum(hot_often[np.searchsorted(hot, held)], (1 << 32) - 1).astype(np.uint32)])
     if entries:
-        size_of: dict[int, int] = {}
-        for kind, n in sizes:
-            size_of.update(zip(kind.tolist(), n.tolist(), strict=True))
         which = np.concatenate([np.repeat(e[0], e[1]) for e in entries])
         token, often = (np.concatenate([e[i] for e in entries]) for i in (2, 3))
         by = np.lexsort((token, often, which))
         which, token, often = which[by], token[by], often[by]
+        new = np.ones(len(which), dtype=bool)  # the hot shingles of a class come from every block that it is in
+        new[1:] = (which[1:] != which[:-1]) | (token[1:] != token[:-1])
+        which, token, often = which[new], token[new], often[new]
         for i, j in _spans(which):
             k = int(which[i])
             total = size_of[k]
@@ -322,8 +389,19 @@ def _links(classes: DataFrame, percent: int, join_tokens: int) -> DataFrame:
     return links.union(rest)
 
 
+def deal(plain: DataFrame, width: int, buckets: int, common: Broadcast) -> DataFrame:
+    """(bucket, packed): shingles in buckets below ``buckets``, sizes and hot shingles of classes in as many more, documents above."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", BLOCK_BYTES):
+            for key, value in _deal(block, width, buckets, common.value[0]):
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([value], pa.binary())], names=["bucket", "packed"])
+
+    return plain.mapInArrow(run, "bucket long, packed binary")
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id",
-                    join_tokens: int = JOIN_TOKENS) -> DataFrame:
+                    join_tokens: int = JOIN_TOKENS, hot: int = HOT) -> DataFrame:
     """Components of documents linked by ``100 * intersection >= percent * union`` of their sets of
     distinct ``width``-word shingles (lower-cased A-Z).
 
@@ -331,18 +409,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     links, itself included; one row per input row. Null texts and texts without words have an empty set
     and no link. A null doc_id takes part but is never a component's id unless all its doc_ids are null.
     """
-    spark = docs.sparkSession
-    buckets = 1 + table_bytes(spark, docs, [text]) // BUCKET_BYTES
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", BLOCK_BYTES):
-            for key, value in _deal(block, width, buckets):
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([value], pa.binary())], names=["bucket", "packed"])
-
+    text_bytes = table_bytes(docs.sparkSession, docs, [text])
+    buckets = 1 + text_bytes // BUCKET_BYTES
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    dealt = plain.mapInArrow(deal, "bucket long, packed binary")
+    common = docs.sparkSession.sparkContext.broadcast(frequent(plain, width, text_bytes, hot))  # at most 4 / HOT_SHARE shingles
+    dealt = deal(plain, width, buckets, common)
     shared = dealt.groupBy("bucket").applyInPandas(lambda f: _share(f, buckets), "bucket long, packed binary")
-    ordered = write_table(shared.groupBy("bucket").applyInPandas(lambda f: _order(f, percent, buckets), "kind long, n long, tokens binary, often binary"), "classes")
+    ordered = write_table(shared.groupBy("bucket").applyInPandas(lambda f: _order(f, percent, buckets, *common.value), "kind long, n long, tokens binary, often binary"), "classes")
 
     def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

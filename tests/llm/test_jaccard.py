@@ -112,3 +112,50 @@ def test_long_words_of_two_letters(make_docs):
         rows = [(1, thue_morse(n)), (2, thue_morse(n, "b", "a")), (3, thue_morse(n) + " and more words"), (4, thue_morse(n, "b", "a") + " and more words")]
         assert found(jaccard.near_duplicates(make_docs(rows))) == wanted(rows)
         assert [r[2] for r in found(jaccard.near_duplicates(make_docs(rows)))] == [1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("hot", [1, 4, 30])
+def test_hot_shingles(make_docs, odd_rows, hot):
+    """Few entries make a shingle hot: the same components."""
+    rows = near_copies(11, 12, 25)
+    assert found(jaccard.near_duplicates(make_docs(rows), hot=hot)) == wanted(rows)
+    assert found(jaccard.near_duplicates(make_docs(odd_rows), hot=hot)) == wanted(odd_rows)
+
+
+def test_summary_bounds():
+    draw = np.random.default_rng(3)
+    summary, all_ = jaccard.Summary(50), []
+    for _ in range(40):
+        part = np.concatenate([draw.integers(0, 4000, 300), draw.integers(0, 5, 60)]).astype(np.uint64)
+        summary.add(part)
+        all_.append(part)
+    tokens, counts = np.unique(np.concatenate(all_), return_counts=True)
+    have = dict(zip(summary.tokens.tolist(), summary.counts.tolist(), strict=True))
+    assert len(have) <= 50 and summary.seen == counts.sum()
+    for t, c in zip(tokens.tolist(), counts.tolist(), strict=True):
+        assert c - summary.seen / 50 <= have.get(t, 0) <= c
+
+
+def test_a_shingle_in_all_documents_is_in_no_range(spark):
+    """100,000 documents with one line in common: no group of shingles holds an entry for each."""
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("a line in common "), F.concat_ws(" ", *[F.md5(F.concat_ws("-", F.when(F.col("id") % 1000 == 7, 7).otherwise(F.col("id")), F.lit(i))) for i in range(3)]),
+        F.when(F.col("id") % 1000 == 7, F.concat(F.lit(" "), F.col("id").cast("string"))).otherwise(F.lit(""))).alias("text"))
+    plain = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    tokens, often = jaccard.frequent(plain, 4, 10**7, hot=20_000)
+    assert set(jaccard.shingle_sets([b"a line in common"], 4)[0].tolist()) <= set(tokens.tolist()) and len(tokens) < 10
+    assert 0.9 * n < often.max() <= n  # a summary counts a little too few
+    buckets = 64
+    largest = {}
+    for given in (tokens, np.empty(0, np.uint64)):
+        dealt = jaccard.deal(plain, 4, buckets, spark.sparkContext.broadcast((given, None))).where(F.col("bucket") < buckets)
+        entries = {}
+        for r in dealt.collect():
+            entries[r["bucket"]] = entries.get(r["bucket"], 0) + len(jaccard.unpack(bytes(r["packed"]))[0])
+        largest[len(given)] = max(entries.values())
+    assert largest[len(tokens)] < 10_000 and largest[0] > n
+    got = jaccard.near_duplicates(docs, percent=50, hot=20_000).groupBy("component_id").count().where("count > 1").collect()
+    assert [(r["component_id"], r["count"]) for r in got] == [(7, n // 1000)]
