@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -121,3 +122,11 @@ def table_bytes(spark, df, columns: list[str]) -> int:
 
     total = df.agg(*[F.sum(F.octet_length(F.col(c))).alias(f"t{i}") for i, c in enumerate(columns)]).first()
     return sum(int(x or 0) for x in total)
+
+
+def release() -> None:
+    """Give this worker's freed memory back to the system: Spark's Python workers live on for the next stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

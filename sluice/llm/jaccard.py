@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm._packed import pack, runs, unpack
-from sluice.llm._text import U64, Words, blocks, mix64, table_bytes, windows
+from sluice.llm._text import U64, Words, blocks, mix64, release, table_bytes, windows
 from sluice.llm.graph import connected_components, roots_of, shared_token_edges
 from sluice.session import write_table
 
 WIDTH, PERCENT = 4, 85
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 4 << 20
 #: A shingle is hot when it has this many entries, or this share of all entries if that is more.
 HOT, HOT_SHARE = 1 << 16, 2.0**-19
 #: Shared shingles that one join task holds, about; larger clusters are split in blocks.
@@ -123,6 +123,7 @@ def frequent(plain: DataFrame, width: int, text_bytes: int, hot: int = HOT, hot_
         summary = Summary(int(np.ceil(4 / share)))
         for block in blocks(batches, "text", BLOCK_BYTES):
             summary.add(_entries(block["text"], width)[3])
+        release()
         often = summary.counts >= max(share / 4 * summary.seen, 1)
         token = pa.array([None, *summary.tokens[often].view(np.int64).tolist()], pa.int64())
         yield pa.RecordBatch.from_arrays([token, pa.array([summary.seen, *summary.counts[often].tolist()], pa.int64())], names=["token", "entries"])
@@ -171,6 +172,7 @@ def _spans(keys: np.ndarray) -> list[tuple[int, int]]:
 
 def _share(frame: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """One range of shingles: those of two or more classes, with that number, by class."""
+    release()
     if int(frame["bucket"].iloc[0]) >= buckets:
         return frame
     tokens, present, places, held = [], [], [], 0
@@ -339,6 +341,7 @@ def link_block(kinds: list[int], sizes: list[int], tokens: list[np.ndarray], oft
 
 
 def _join(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+    release()
     frame = frame.sort_values(["n", "kind"])
     links = link_block(frame["kind"].tolist(), frame["n"].tolist(), [np.frombuffer(t, U64) for t in frame["tokens"]],
                        [np.frombuffer(t, np.uint32) for t in frame["often"]], frame["side"].tolist(), frame["side"].nunique() > 1, percent)
@@ -396,6 +399,7 @@ def deal(plain: DataFrame, width: int, buckets: int, common: Broadcast) -> DataF
         for block in blocks(batches, "text", BLOCK_BYTES):
             for key, value in _deal(block, width, buckets, common.value[0]):
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([value], pa.binary())], names=["bucket", "packed"])
+        release()
 
     return plain.mapInArrow(run, "bucket long, packed binary")
 
