@@ -3,9 +3,9 @@
 The reference keeps cache state with TTLs, counters and an upsert sink; here
 they are streaming queries over the access log:
 
-* ``residency_sessions``  sessions (gap < TTL: 1 miss + n-1 hits) as keyed state with timers: closed ones
+* ``residency_sessions``  sessions (gap < TTL: 1 miss + n-1 hits) as keyed state with timeouts: closed ones
                           are reported once and forgotten, open ones when they change
-* ``fixed_ttl_flags``     hits and misses of the fixed TTL as keyed state with timers
+* ``fixed_ttl_flags``     hits and misses of the fixed TTL as keyed state with timeouts
 * ``fixed_ttl_by_batch``  the same with each micro-batch as range slices, for keys too hot for one task;
                           the state is a table of the changes of each batch
 * ``first_seen``          the misses of that rule: keys that are not cached
@@ -21,15 +21,17 @@ stream casts it to TIMESTAMP first.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sluice.operators.access import anchors_of, first_at, fixed_ttl_anchors
 from sluice.operators.merge import upsert_results
 from sluice.session import remove_path, scratch_path, write_table
 from sluice.sources.tables import table_path
@@ -83,7 +85,7 @@ def run_in_parts(df: DataFrame, out: str, arrive: list[Callable[[], None]], mode
 
 @contextmanager
 def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """Stateful processors need the RocksDB state store; the session's own setting comes back afterwards."""
+    """Keyed state in RocksDB, so that it need not fit into memory; the session's own setting comes back afterwards."""
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -93,80 +95,110 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def _times(rows: Iterator[pd.DataFrame], *columns: str) -> tuple[np.ndarray, pd.DataFrame]:
-    """Microseconds and the given columns of a key's rows of one micro-batch, in the order of (ts, seq)."""
-    parts = list(rows)
-    pdf = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    ts = pd.to_datetime(pdf["ts"], utc=True).dt.tz_localize(None).to_numpy(dtype="datetime64[us]").astype(np.int64)
-    order = np.lexsort((pdf["seq"].to_numpy(), ts)) if "seq" in pdf else np.argsort(ts, kind="stable")
-    return ts[order], pdf.iloc[order][list(columns)]
+#: Hash buckets of the keys of a keyed state. One call of a state function handles a bucket: its rows of the micro-batch
+#: and the entries that it holds, all keys at once.
+STATE_BUCKETS = 1024
+
+
+def _by_bucket(stream: DataFrame, handle: Callable, schema: str, columns: Sequence[str], mode: str, buckets: int) -> DataFrame:
+    """``handle`` over the hash buckets of (instance, key), with a packed table of entries as the state of a bucket and
+    an event-time timeout. Instance and key travel as text, so that null keys stay null and long ones exact."""
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in ("instance", "key")}
+    text = [F.col(c).cast("string").alias(c) for c in kinds]
+    rows = stream.withWatermark("ts", WATERMARK).select(F.pmod(F.xxhash64("instance", "key"), F.lit(buckets)).cast("int").alias("bucket"), *text, *columns)
+    found = rows.groupBy("bucket").applyInPandasWithState(handle, f"instance string, key string, {schema}", "held binary", mode, GroupStateTimeout.EventTimeTimeout)
+    return found.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
+
+
+def _entries(state: GroupState, columns: Sequence[str]) -> pd.DataFrame:
+    """The entries that a bucket holds: instance, key and the given numbers."""
+    if state.exists:
+        return pa.ipc.open_stream(bytes(state.get[0])).read_pandas()
+    return pd.DataFrame({"instance": pd.Series(dtype=object), "key": pd.Series(dtype=object), **{c: np.empty(0, np.int64) for c in columns}})
+
+
+def _hold(state: GroupState, entries: pd.DataFrame, ends_ms: np.ndarray) -> None:
+    """Keep the entries, and a timeout at the first watermark (after the present one) at which one of them ends."""
+    if len(entries):
+        table, packed = pa.Table.from_pandas(entries, preserve_index=False), pa.BufferOutputStream()
+        with pa.ipc.new_stream(packed, table.schema) as out:
+            out.write_table(table)
+        state.update((packed.getvalue().to_pybytes(),))
+        state.setTimeoutTimestamp(max(1, int(ends_ms.min()) - 1))  # a timeout comes when the watermark is above it
+    elif state.exists:
+        state.remove()
+
+
+def _numbers(*frames: pd.DataFrame) -> list[np.ndarray]:
+    """Numbers of the (instance, key) pairs, the same in all frames."""
+    pairs = pd.concat([f[["instance", "key"]] for f in frames], ignore_index=True)
+    number = pairs.groupby(["instance", "key"], dropna=False, sort=False).ngroup().to_numpy()
+    return np.split(number, np.cumsum([len(f) for f in frames])[:-1])
+
+
+def _batch(rows: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    """A bucket's rows of one micro-batch; None if it was only called because of its timeout."""
+    parts = [pdf for pdf in rows if len(pdf)]
+    return pd.concat(parts, ignore_index=True) if parts else None
+
+
+def _micros(ts: pd.Series) -> np.ndarray:
+    return pd.to_datetime(ts, utc=True).dt.tz_localize(None).to_numpy(dtype="datetime64[us]").astype(np.int64)
+
+
+def _milliseconds(us: np.ndarray) -> np.ndarray:
+    """Milliseconds of the watermark that are not before the given microseconds."""
+    return -(-us // 1000)
+
+
+def _merge(number: np.ndarray, start: np.ndarray, last: np.ndarray, count: np.ndarray, ttl_us: int) -> tuple[np.ndarray, ...]:
+    """``merge_sessions`` of many keys, told apart by their numbers: number, start, last and count."""
+    by = np.lexsort((start, number))
+    number, start, last, count = number[by], start[by], last[by], count[by]
+    reach = pd.Series(last).groupby(number).cummax().to_numpy()
+    new = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (start[1:] - reach[:-1] >= ttl_us)))
+    return number[new], start[new], np.maximum.reduceat(last, new), np.add.reduceat(count, new)
 
 
 def merge_sessions(start: np.ndarray, last: np.ndarray, count: np.ndarray, ttl_us: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Intervals of accesses joined where one begins less than the TTL after an earlier one's last access."""
-    by = np.argsort(start, kind="stable")
-    start, last, count = start[by], last[by], count[by]
-    reach = np.maximum.accumulate(last)
-    new = np.flatnonzero(np.append(True, start[1:] - reach[:-1] >= ttl_us))
-    return start[new], np.maximum.reduceat(last, new), np.add.reduceat(count, new)
-
-
-class Sessions(StatefulProcessor):
-    """Sessions of one key. State: start, last access and number of accesses of its open sessions (more than one
-    only while the watermark still allows rows between them). A session closes when the watermark has passed its
-    last access by the TTL: its timer reports it and drops it."""
-
-    def __init__(self, ttl_us: int):
-        self.ttl_us = ttl_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.open = handle.getValueState("open", "start array<long>, last array<long>, n array<long>")
-
-    def _held(self) -> list[np.ndarray]:
-        return [np.array(x, dtype=np.int64) for x in self.open.get()] if self.open.exists() else [np.empty(0, np.int64)] * 3
-
-    def _rows(self, key: tuple, start: np.ndarray, last: np.ndarray, n: np.ndarray, closed: bool) -> pd.DataFrame:
-        return pd.DataFrame({"instance": np.repeat(key[0], len(start)), "key": np.repeat(key[1], len(start)), "start_us": start, "last_us": last,
-                             "accesses": n, "closed": np.repeat(closed, len(start))})
-
-    def _closing(self, last: np.ndarray) -> np.ndarray:
-        """Milliseconds of the watermark at which a session can get no more rows."""
-        return -(-(last + self.ttl_us) // 1000)
-
-    def _keep(self, start: np.ndarray, last: np.ndarray, n: np.ndarray) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if len(start):
-            self.open.update((start.tolist(), last.tolist(), n.tolist()))
-            self.handle.registerTimer(int(self._closing(last).min()))
-        else:
-            self.open.clear()
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        ts, _ = _times(rows)
-        start, last, n = self._held()
-        held = merge_sessions(np.concatenate([start, ts]), np.concatenate([last, ts]), np.concatenate([n, np.ones(len(ts), np.int64)]), self.ttl_us)
-        self._keep(*held)
-        yield self._rows(key, *held, False)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        start, last, n = self._held()
-        done = self._closing(last) <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        self._keep(start[~done], last[~done], n[~done])
-        yield self._rows(key, start[done], last[done], n[done], True)
-
-    def close(self) -> None:
-        pass
-
-
-def residency_sessions(stream: DataFrame, ttl_seconds: int) -> DataFrame:
+    return _merge(np.zeros(len(start), np.int64), start, last, count, ttl_us)[1:]
+
+
+def _sessions(ttl_us: int) -> Callable:
+    """State of a bucket: start, last access and number of accesses of its keys' open sessions (more than one a key
+    only while the watermark still allows rows between them). A session closes when the watermark has passed its last
+    access by the TTL: it is reported and dropped."""
+    numbers = ["start_us", "last_us", "accesses"]
+
+    def handle(_: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, batch = _entries(state, numbers), _batch(rows)
+        touched = np.zeros(len(held), dtype=bool)
+        if batch is not None:
+            ts = _micros(batch["ts"])
+            single = pd.DataFrame({"instance": batch["instance"], "key": batch["key"], "start_us": ts, "last_us": ts, "accesses": np.ones(len(ts), np.int64)})
+            new = _numbers(held, single)
+            both, number = pd.concat([held, single], ignore_index=True), np.concatenate(new)
+            _, one = np.unique(number, return_index=True)  # a row of each pair
+            number, *values = _merge(number, *[both[c].to_numpy(np.int64) for c in numbers], ttl_us)
+            held = both[["instance", "key"]].iloc[one[number]].reset_index(drop=True).assign(**dict(zip(numbers, values, strict=True)))
+            touched = np.isin(number, new[1])
+        ends = _milliseconds(held["last_us"].to_numpy(np.int64) + ttl_us)
+        done = ends <= state.getCurrentWatermarkMs()
+        _hold(state, held[~done], ends[~done])
+        told = done | touched
+        if told.any():
+            yield held.assign(closed=done)[told]
+
+    return handle
+
+
+def residency_sessions(stream: DataFrame, ttl_seconds: int, buckets: int = STATE_BUCKETS) -> DataFrame:
     """A key stays cached while accesses are closer than the TTL: instance, key, start_us, last_us, accesses,
     closed. A session is reported with closed = false whenever it changes and once with closed = true, when
-    the state forgets it; ``latest_sessions`` folds these rows. Run under ``keyed_state``, in update mode."""
-    kinds = {c: stream.schema[c].dataType.simpleString() for c in ("instance", "key")}
-    return (stream.select("instance", "key", "ts").withWatermark("ts", WATERMARK).groupBy("instance", "key").transformWithStateInPandas(
-        Sessions(ttl_seconds * 1_000_000), f"instance {kinds['instance']}, key {kinds['key']}, start_us long, last_us long, accesses long, closed boolean", "Update", "EventTime"))
+    the state forgets it; ``latest_sessions`` folds these rows. Keys are held in ``buckets`` hash buckets, and a
+    micro-batch writes those that its rows or ended sessions are in. Run in update mode."""
+    return _by_bucket(stream, _sessions(ttl_seconds * 1_000_000), "start_us long, last_us long, accesses long, closed boolean", ["ts"], "update", buckets)
 
 
 def latest_sessions(updates: DataFrame, ttl_seconds: int) -> DataFrame:
@@ -189,56 +221,46 @@ def first_seen(flags: DataFrame) -> DataFrame:
     return flags.filter(~F.col("hit")).drop("hit")
 
 
-class FixedTtl(StatefulProcessor):
-    """Cache entry of one key. State: the set time of its entry; a hit does not renew it. A timer at set time + TTL
-    drops it once the watermark is there: any later access misses anyway."""
-
-    def __init__(self, ttl_us: int, columns: list[str]):
-        self.ttl_us, self.columns = ttl_us, columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.anchor = handle.getValueState("anchor", "anchor_us long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        ts, rest = _times(rows, *self.columns)
-        held = int(self.anchor.get()[0]) if self.anchor.exists() else None
-        hits = np.ones(len(ts), dtype=bool)
-        i, anchor = 0 if held is None else int(np.searchsorted(ts, held + self.ttl_us)), held
-        while i < len(ts):  # from anchor to anchor
-            hits[i], anchor = False, int(ts[i])
-            i = int(np.searchsorted(ts, anchor + self.ttl_us))
-        if anchor != held:
-            if held is not None:
-                self.handle.deleteTimer(self._expiry(held))
-            self.anchor.update((anchor,))
-            self.handle.registerTimer(self._expiry(anchor))
-        yield rest.assign(instance=key[0], key=key[1], hit=hits)[["instance", "key", *self.columns, "hit"]]
-
-    def _expiry(self, anchor: int) -> int:
-        return -(-(anchor + self.ttl_us) // 1000)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.anchor.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
-
-
-def fixed_ttl_flags(stream: DataFrame, ttl_seconds: int) -> DataFrame:
-    """The columns of the stream with ``hit`` under the fixed TTL: value state with event-time timers, so that a
-    micro-batch touches the state of its keys only and expired entries are dropped. Rows older than their key's set
-    time are hits. Run under ``keyed_state``.
-
-    A micro-batch's rows of one key are handled together, bounded by the trigger size (maxFilesPerTrigger /
+def _fixed_ttl(ttl_us: int, columns: list[str]) -> Callable:
+    """State of a bucket: the set times of its keys' entries; a hit does not renew one. An entry is dropped once the
+    watermark is at its set time + TTL: any later access misses anyway."""
+
+    def handle(_: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, batch = _entries(state, ["anchor_us"]), _batch(rows)
+        if batch is not None:
+            ts, anchor = _micros(batch["ts"]), held["anchor_us"].to_numpy(np.int64)
+            old, number = _numbers(held, batch)
+            by = np.lexsort((batch["seq"].to_numpy(), ts, number) if "seq" in batch else (ts, number))
+            batch, run, ts = batch.iloc[by], number[by], ts[by]
+            starts = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+            seen = np.isin(old, run)
+            # a held entry is left at its set time + TTL, other keys enter at their first row
+            left = first_at(run, ts, old[seen], anchor[seen] + ttl_us)
+            left = left[(left < len(run)) & (run[np.minimum(left, len(run) - 1)] == old[seen])]
+            missed = anchors_of(run, ts, ttl_us, np.concatenate([starts[~np.isin(run[starts], old)], left]))
+            yield batch[["instance", "key", *columns]].assign(hit=~missed)
+            at = np.flatnonzero(missed)
+            at = at[np.append(run[at][1:] != run[at][:-1], True)[: len(at)]]  # the last of each key
+            set_now = batch[["instance", "key"]].iloc[at].assign(anchor_us=ts[at])
+            held = pd.concat([held[~np.isin(old, run[at])], set_now], ignore_index=True)
+        ends = _milliseconds(held["anchor_us"].to_numpy(np.int64) + ttl_us)
+        live = ends > state.getCurrentWatermarkMs()
+        _hold(state, held[live], ends[live])
+
+    return handle
+
+
+def fixed_ttl_flags(stream: DataFrame, ttl_seconds: int, buckets: int = STATE_BUCKETS) -> DataFrame:
+    """The columns of the stream with ``hit`` under the fixed TTL: set times as state with event-time timeouts, in
+    ``buckets`` hash buckets of the keys, so that a micro-batch makes one call a bucket and not one a key, and expired
+    entries are dropped. Rows older than their key's set time are hits.
+
+    A micro-batch's rows of one bucket are handled together, bounded by the trigger size (maxFilesPerTrigger /
     maxBytesPerTrigger).
     """
-    rest = [f for f in stream.schema.fields if f.name not in ("instance", "key")]
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in ["instance", "key", *[f.name for f in rest]]) + ", hit boolean"
-    return (stream.withWatermark("ts", WATERMARK).groupBy("instance", "key").transformWithStateInPandas(
-        FixedTtl(ttl_seconds * 1_000_000, [f.name for f in rest]), schema, "Append", "EventTime"))
+    rest = [f.name for f in stream.schema.fields if f.name not in ("instance", "key")]
+    schema = ", ".join(f"{c} {stream.schema[c].dataType.simpleString()}" for c in rest) + ", hit boolean"
+    return _by_bucket(stream, _fixed_ttl(ttl_seconds * 1_000_000, rest), schema, rest, "append", buckets)
 
 
 def fixed_ttl_by_batch(stream: DataFrame, ttl_seconds: int, out: str, arrive: list[Callable[[], None]] | None = None, late_seconds: int = 3600) -> str:
@@ -251,8 +273,6 @@ def fixed_ttl_by_batch(stream: DataFrame, ttl_seconds: int, out: str, arrive: li
     their key's set time are hits (the entry is still cached). Flags land in ``out/flags/batch_id=b``; a replayed
     batch is skipped. With ``arrive`` the query runs once for each part of the log. Returns the flags folder.
     """
-    from sluice.operators.access import fixed_ttl_anchors
-
     spark = stream.sparkSession
     ttl_us = ttl_seconds * 1_000_000
     state_schema = "instance string, key long, anchor_ts timestamp"

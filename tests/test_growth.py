@@ -45,3 +45,31 @@ def test_anchors_of_all_runs_at_once():
     assert A.anchors_of(run, t, 5, np.array([0, 4, 6])).tolist() == [True, True, False, True, True, True, True]
     assert A.anchors_of(run, t, 5, np.array([2, 5])).tolist() == [False, False, True, True, False, True, False]
     assert A.first_at(run, t, np.array([0, 0, 1]), np.array([6, 99, 6])).tolist() == [2, 4, 5]
+
+
+def test_keyed_state_is_called_by_bucket(spark):
+    """Many keys share the state of a bucket; null and long keys come out as they came in, with any state store."""
+    from sluice.streaming import streams as ST
+    from tests.test_streaming import _arrivals, _plain_fixed
+
+    draw = random.Random(8)
+    keys = [None, 2**60 + 1, 2**60 + 2, *range(300)]
+    rows = [("ab"[draw.random() < 0.5] if i % 50 else None, draw.choice(keys), t, i) for i, t in enumerate(sorted(draw.randrange(40_000) for _ in range(1500)))]
+    parts = [rows[:700], rows[700:710], rows[710:]]
+    stream, arrive = _arrivals(spark, parts)
+    out = ST.scratch(spark, "t-buckets")
+    ST.run_in_parts(ST.fixed_ttl_flags(stream, 2000, buckets=4), out, arrive)
+    got = spark.read.parquet(f"{out}/batch_id=*").collect()
+    assert {r.seq: r.hit for r in got} == _plain_fixed(rows, 2000)
+    assert sorted((r.seq, r.instance, r.key) for r in got) == [(s, a, k) for a, k, _, s in rows]
+    assert spark.read.format("statestore").load(f"{out}/_checkpoint").count() <= 4
+    stream, arrive = _arrivals(spark, parts)
+    out = ST.scratch(spark, "t-bucket-sessions")
+    ST.run_in_parts(ST.residency_sessions(stream, 2000, buckets=4), out, arrive, "update")
+    found = ST.latest_sessions(spark.read.option("basePath", out).parquet(f"{out}/batch_id=*"), 2000).collect()
+    last, opened = {}, 0
+    for a, k, t, _ in rows:
+        opened += (a, k) not in last or t - last[a, k] >= 2000
+        last[a, k] = t
+    assert len(found) == opened and sum(r.accesses for r in found) == len(rows)
+    assert spark.read.format("statestore").load(f"{out}/_checkpoint").count() <= 4
