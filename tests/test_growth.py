@@ -73,3 +73,25 @@ def test_keyed_state_is_called_by_bucket(spark):
         last[a, k] = t
     assert len(found) == opened and sum(r.accesses for r in found) == len(rows)
     assert spark.read.format("statestore").load(f"{out}/_checkpoint").count() <= 4
+
+
+def test_many_queries_of_one_position_are_dealt_to_parts(spark, monkeypatch):
+    """Queries of the log's end all ask for its last position: no pandas group holds them all."""
+    from sluice.operators import dominance as D
+
+    draw = random.Random(4)
+    prev = list(range(1, 101))
+    draw.shuffle(prev)
+    points = [("a", i + 1, prev[i] if prev[i] < 70 else 0) for i in range(100)]
+    queries = [("a", i, 0, 100 if i % 4 else draw.randrange(1, 101), draw.randrange(0, 100)) for i in range(600)]
+    p = spark.createDataFrame(points, "instance string, x long, y long")
+    q = spark.createDataFrame(queries, "instance string, id long, tag int, x long, y long")
+    held = []
+    parted = D._parted
+    monkeypatch.setattr(D, "_parted", lambda *a: held.append(parted(*a)) or held[-1])
+    for block, fanout, chunk in ((8, 4, 8), (128, 4, 8)):
+        got = {r.id: r.n for r in D.dominance_counts(p, q, 100, block, fanout, chunk).collect()}
+        assert got == {i: sum(a <= x and b <= y for _, a, b in points) for _, i, _, x, y in queries}
+    for h in held[:-1]:  # of the small blocks
+        group = [c for c in ("instance", "node", "chunk", "part") if c in h.columns]
+        assert max(r["count"] for r in h.where(h.kind == D.QUERY).groupBy(*group).count().collect()) <= 64
