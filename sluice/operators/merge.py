@@ -27,9 +27,10 @@ def anti_unprocessed(questions: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def limit_requests(todo: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` questions to do by conversation and turn, with how many there are."""
+    """The first ``n`` questions to do by conversation and turn (by id, if they have neither), with how many there are."""
     total = todo.agg(F.count(F.lit(1)).alias("total_available"))
-    return todo.orderBy("conv_id", "turn").limit(n).select("id").crossJoin(total)  # total is one row
+    order = [c for c in ("conv_id", "turn") if c in todo.columns] or ["id"]
+    return todo.orderBy(*order).limit(n).select("id").crossJoin(total)  # total is one row
 
 
 def semi_processed(questions: DataFrame, results: DataFrame) -> DataFrame:
