@@ -151,8 +151,9 @@ def incremental_load(df: DataFrame, path: str, key: str) -> int:
 
 
 def batch_append_sink(df: DataFrame, path: str, files: int | None = None) -> None:
-    """Append (writer tasks write in parallel; ``files`` bounds the file count)."""
-    (df.repartition(files) if files else df).write.mode("append").parquet(path)
+    """Append (writer tasks write in parallel). ``files`` is the number of tasks to begin with; the adaptive planner
+    splits those with more than its advisory partition size, so that no task grows with the data."""
+    (df.hint("rebalance", files) if files else df).write.mode("append").parquet(path)
 
 
 def load_reconcile(source: DataFrame, target: DataFrame) -> DataFrame:

@@ -95,3 +95,20 @@ def test_many_queries_of_one_position_are_dealt_to_parts(spark, monkeypatch):
     for h in held[:-1]:  # of the small blocks
         group = [c for c in ("instance", "node", "chunk", "part") if c in h.columns]
         assert max(r["count"] for r in h.where(h.kind == D.QUERY).groupBy(*group).count().collect()) <= 64
+
+
+def test_append_splits_large_tasks(spark, tmp_path):
+    """``files`` is where the sink begins; tasks above the advisory size are split."""
+    from sluice.sources import ingest as IN
+
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "64k")
+    try:
+        df = spark.range(0, 200_000, 1, 40).selectExpr("id", "sha2(cast(id as string), 256) AS text")
+        IN.batch_append_sink(df, f"{tmp_path}/t", files=4)
+    finally:
+        spark.conf.set(name, before)
+    files = list((tmp_path / "t").glob("*.parquet"))
+    assert len(files) > 8
+    assert spark.read.parquet(f"{tmp_path}/t").selectExpr("count(*)", "count(distinct id)").first() == (200_000, 200_000)
