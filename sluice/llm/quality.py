@@ -8,17 +8,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm._packed import pack, unpack
 from sluice.llm._text import U64, Words, blocks, mix64, windows
+from sluice.operators.sequence import slice_count, sliced
 from sluice.session import write_table
 
 #: Hash buckets of the two multinomials over one- and two-word grams, and slices they are summed in.
 BUCKETS, SLICES = 1 << 18, 64
-#: Bounds of the labelled samples: trusted texts that the target is counted on, texts the threshold is set on.
-TRUSTED, CALIBRATION = 20_000, 20_000
 #: The threshold passes at least this share of the trusted texts it is set on.
 PASSED = 0.995
 #: Added to each bucket's count, as a share of the mean count.
@@ -166,34 +165,52 @@ def choose_threshold(good: np.ndarray, bad: np.ndarray, passed: float = PASSED)
     return float(best.min())
 
 
-def _sample(labels: DataFrame, where, seed: int, n: int) -> DataFrame:
-    chosen = labels.where(where & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return chosen.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
+def threshold_of(scores: DataFrame, passed: float = PASSED, num_partitions: int | None = None) -> float:
+    """``choose_threshold`` of a table: ``scores`` has llr, good and bad (numbers of labelled texts with that score).
 
+    Scores are cut into ranges; a range's running totals begin where the ones before it end. The driver
+    sees a few numbers.
+    """
+    values = scores.groupBy("llr").agg(F.sum("good").cast("long").alias("good"), F.sum("bad").cast("long").alias("bad"))
+    values = write_table(values, "scores")
+    n = values.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()  # one row
+    if not n.good:
+        return float("-inf")
+    r = sliced(values, [], ["llr"], slice_count(values, num_partitions))
+    ranges = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = (r.groupBy("_pid").agg(F.sum("good").alias("_good"), F.sum("bad").alias("_bad"))
+              .select("_pid", *[F.coalesce(F.sum(f"_{c}").over(ranges), F.lit(0)).alias(f"_{c}") for c in ("good", "bad")]))
+    inside = Window.partitionBy("_pid").orderBy("llr").rowsBetween(Window.unboundedPreceding, -1)
+    below = r.join(starts, "_pid").withColumns({f"{c}_below": F.col(f"_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in ("good", "bad")})
+    below = write_table(below.select("llr", "good", "bad", "good_below", "bad_below"), "scores")
+    most = below.where(F.col("good_below") + F.col("good") > int((1 - passed) * n.good)).agg(F.min("llr")).first()[0]
+    if not n.bad:
+        return float(most)
+    # a threshold passes the scores from it on; between two scores it passes what the higher one does
+    at = below.where((F.col("llr") <= most) & ((F.col("good") > 0) | (F.col("llr") < most)))
+    at = at.withColumn("gain", (n.good - F.col("good_below")) / n.good - (n.bad - F.col("bad_below")) / n.bad)
+    best = at.where(F.col("gain") >= at.agg(F.max("gain")).first()[0] - 1e-12).agg(F.min("llr")).first()[0]
+    before = at.where(F.col("llr") < best).agg(F.max("llr")).first()[0]
+    return float(best if before is None else (best + before) / 2)
 
-def quality_rules(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, calibration: int = CALIBRATION, passed: float = PASSED,
-                  text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+
+def quality_rules(docs: DataFrame, labels: DataFrame, passed: float = PASSED, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: doc_id, base counts, base_failed, llr and kept.
 
-    The target multinomial is counted on at most ``trusted`` texts labelled quality 1, the raw one on all
-    texts. The threshold is set on at most ``calibration`` other texts of each label and holds for every
-    text. Null texts have no word and fail the base rule; repeated rows count as often as they occur; a
+    The target multinomial is counted on all texts labelled quality 1 whose doc_id hashes to one half, the raw one on
+    all texts. The threshold is set on all labelled texts but those and holds for every text. Null texts have no word and fail the base rule; repeated rows count as often as they occur; a
     null doc_id has no label; without labels only the base rule decides; no rows give no rows.
     """
     half = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(2)) == 0
-    good, bad = F.col("quality") == 1, F.col("quality") == 0
-    # bounded by the parameters: broadcast
-    ids = F.broadcast(_sample(labels, good & half, 1, trusted).select(F.col("doc_id").alias("_t"), F.lit(True).alias("_trusted")))
+    good, bad = F.coalesce(F.col("quality") == 1, F.lit(False)), F.coalesce(F.col("quality") == 0, F.lit(False))
+    flag = lambda c, name: F.max(c.cast("int")).alias(name)
+    known = write_table(labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(flag(good & half, "trusted"), flag(good & ~half, "good"), flag(bad, "bad")), "labels")
+    ids = known.where("trusted = 1").select(F.col("doc_id").alias("_t"), F.lit(True).alias("_trusted"))
     marked = docs.select(F.col(text).alias("_text"), F.col(doc_id).cast("long").alias("_id")).join(ids, F.col("_id") == F.col("_t"), "left")
     ratios = log_ratios(*gram_counts(marked, "_text", "_trusted"))
     rows = score(docs, ratios, text, doc_id)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     rows = write_table(rows.withColumn("base_failed", failed), "quality")
-    passing = rows.where(~F.col("base_failed")).select("doc_id", "llr")
-
-    def scores(where, seed: int) -> np.ndarray:
-        chosen = F.broadcast(_sample(labels, where, seed, calibration))
-        return np.array([r["llr"] for r in passing.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("llr").alias("llr")).collect()], dtype=np.float64)
-
-    threshold = choose_threshold(scores(good & ~half, 2), scores(bad, 3), passed)
+    passing = rows.where(~F.col("base_failed")).groupBy("doc_id").agg(F.min("llr").alias("llr"))  # a label counts once
+    threshold = threshold_of(passing.join(known.where("good + bad > 0"), "doc_id").select("llr", "good", "bad"), passed)
     return rows.withColumn("threshold", F.lit(threshold)).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))

@@ -62,3 +62,17 @@ def test_no_rows_no_labels(spark, make_docs):
     one = quality.quality_rules(make_docs([(1, " ".join(map(str, range(60))))]), labels(spark, [])).toPandas()
     assert one.kept.tolist() == [True]
     assert isinstance(one, pd.DataFrame)
+
+
+def test_every_label_counts(spark, make_docs):
+    """No cap on the labelled texts: the target holds all trusted ones of its half, the threshold all others."""
+    import inspect
+
+    assert not {"trusted", "calibration"} & set(inspect.signature(quality.quality_rules).parameters)
+    draw = np.random.default_rng(3)
+    for n_good, n_bad in ((1, 1), (400, 300), (400, 0), (0, 5), (900, 700)):
+        good, bad = np.round(draw.normal(0.2, 0.2, n_good), 2), np.round(draw.normal(-0.1, 0.2, n_bad), 2)
+        rows = [(float(x), 1, 0) for x in good] + [(float(x), 0, 1) for x in bad]
+        scores = spark.createDataFrame(rows, "llr double, good int, bad int")
+        for passed in (0.995, 0.9):
+            assert quality.threshold_of(scores, passed, num_partitions=5) == quality.choose_threshold(good, bad, passed)
