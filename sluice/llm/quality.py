@@ -201,12 +201,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, passed: float = PASSED, te
     all texts. The threshold is set on all labelled texts but those and holds for every text. Null texts have no word and fail the base rule; repeated rows count as often as they occur; a
     null doc_id has no label; without labels only the base rule decides; no rows give no rows.
     """
-    half = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(2)) == 0
+    in_half = lambda c: F.pmod(F.xxhash64(F.lit(23), F.col(c).cast("long")), F.lit(2)) == 0
+    half = in_half("doc_id")
     good, bad = F.coalesce(F.col("quality") == 1, F.lit(False)), F.coalesce(F.col("quality") == 0, F.lit(False))
     flag = lambda c, name: F.max(c.cast("int")).alias(name)
     known = write_table(labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(flag(good & half, "trusted"), flag(good & ~half, "good"), flag(bad, "bad")), "labels")
     ids = known.where("trusted = 1").select(F.col("doc_id").alias("_t"), F.lit(True).alias("_trusted"))
-    marked = docs.select(F.col(text).alias("_text"), F.col(doc_id).cast("long").alias("_id")).join(ids, F.col("_id") == F.col("_t"), "left")
+    plain = docs.select(F.col(text).alias("_text"), F.col(doc_id).cast("long").alias("_id"))
+    # only texts of the half can be trusted: the others need no look-up and stay where they are
+    looked_up = plain.where(in_half("_id")).join(ids.hint("merge"), F.col("_id") == F.col("_t"), "left").select("_text", "_trusted")
+    marked = looked_up.unionByName(plain.where(~in_half("_id")).select("_text", F.lit(False).alias("_trusted")))
     ratios = log_ratios(*gram_counts(marked, "_text", "_trusted"))
     rows = score(docs, ratios, text, doc_id)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
